@@ -43,8 +43,8 @@ def _op7_sql() -> str:
     return rf"""
 with body as (select doc_id, coalesce(text, '') as t from documents),
 base as (
-  select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') as w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from body),
 win as (
   select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
@@ -56,7 +56,7 @@ m as (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
          (length(t) - length(regexp_replace(t, '[!?]', '', 'g')))::bigint as n_marks,
          len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
-         len(list_filter(w, x -> lower(x) in ({stop})))::bigint as n_stop_words,
+         len(list_filter(w, lambda x: lower(x) in ({stop})))::bigint as n_stop_words,
          coalesce(c.n, 0)::bigint as n_repeat_words
   from base b left join cov c using (doc_id)),
 r as (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat_format, quality_rules, token_codec
+from formlake.llm import chat_format, quality_rules, simhash_dedup, token_codec, token_count
 from formlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,19 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram pieces of every whole text."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash_dedup.group_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash_dedup.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @_query
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and their decoding, as digests."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat_format, quality_rules, simhash_dedup, token_codec, token_count
+from formlake.llm import chat_format, line_quality, quality_rules, simhash_dedup, token_codec, token_count
 from formlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,16 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of held-out documents are not learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", F.col("quality").alias("label"))
+    found = line_quality.score(docs, *line_quality.learn(docs, labels))
+    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 @_query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram pieces of every whole text."""

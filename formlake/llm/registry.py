@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat_format, line_quality, quality_rules, simhash_dedup, token_codec, token_count
+from formlake.llm import chat_format, line_quality, passage_dedup, quality_rules, simhash_dedup, token_codec, token_count
 from formlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,28 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.digests(docs)
 
 
+@_query
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that every document keeps once the passages of earlier documents are removed."""
+    return passage_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op5_passage_dedup"] = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (
+  select doc_id, i, array_to_string(w[i : i + 12], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from w where len(w) >= 13)),
+first as (select g, min(doc_id) as low from win group by g),
+gone as (
+  select doc_id, list(distinct p) as ps
+  from (select win.doc_id, unnest(range(i, i + 13)) as p from win join first using (g) where low < win.doc_id) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: ps is null or not list_contains(ps, i)), ' '), '')) as kept_sha256
+from w left join gone using (doc_id)
+"""
+
+
 @_query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document."""

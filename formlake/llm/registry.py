@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat_format, line_quality, passage_dedup, quality_rules, simhash_dedup, token_codec, token_count
+from formlake.llm import chat_format, line_quality, passage_dedup, quality_rules, secret_scan, simhash_dedup, token_codec, token_count
 from formlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,15 @@ from w left join gone using (doc_id)
 """
 
 
+@_query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every whole text and the forest's verdict; values as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    trees = secret_scan.learn(secret_scan.labelled_findings(spark))
+    found = secret_scan.findings(docs, trees, path="source")
+    return found.select("doc_id", "word_index", F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), F.round("score", 6).alias("score"), "is_secret")
+
+
 @_query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document."""

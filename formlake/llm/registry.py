@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat_format, decontaminate, line_quality, passage_dedup, quality_rules, secret_scan, simhash_dedup, token_codec, token_count
+from formlake.llm import chat_format, decontaminate, license_scan, line_quality, passage_dedup, quality_rules, secret_scan, simhash_dedup, token_codec, token_count
 from formlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the best window."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice of every document, with coverage and spans."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("coverage", F.round("coverage", 6))

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder. The session's spark.checkpoint.dir holds; only where none is set, as in tests, a local folder is."""
-    context = df.sparkSession.sparkContext
+def _ensured(spark: SparkSession) -> str:
+    """The checkpoint folder of the session. spark.checkpoint.dir holds; only where none is set, as in tests, a local folder is."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder."""
+    _ensured(df.sparkSession)
     return df.checkpoint()
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder within the shared checkpoint folder."""
+    return f"{_ensured(spark).rstrip('/')}/{uuid.uuid4().hex}"

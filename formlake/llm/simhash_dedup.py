@@ -4,7 +4,7 @@ Bits that go together are grouped into partitions. Thresholds t_i with sum(t_i)
 have -1: never probed) guarantee that two fingerprints within the radius are within t_i bits in some partition i; they are
 allocated by dynamic programming on estimated candidate counts. Equal fingerprints are one class first. A bucket of classes
 that is too large for a task is split again, exactly, by the same principle over its other bits, so no bucket is unbounded and
-no pair is lost; within a bucket a search emits a spanning forest of the links, not the pairs.
+no pair is lost; within a bucket a search emits a least spanning forest of the links, not the pairs.
 
 Null and empty texts have the fingerprint 0 and are linked like any other. Repeated rows are copies (a doc_id twice gives two
 rows). An empty table gives an empty result. Other columns of the input are ignored.
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from formlake.llm.components import components
 from formlake.llm.durable import checkpointed
-from formlake.llm.kernels import chunks
+from formlake.llm.kernels import chunks, texts_of
 
 BITS = 64
 #: Rows of a bucket that one task compares; buckets beyond it are split by further bits.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 16384
 #: The cost of a comparison within a bucket, in signatures.
-COMPARE_COST = 0.01
+COMPARE_COST = 0.002
 
 
 def fingerprint_batch(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarray:
@@ -158,22 +158,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _linked(fp: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
+    """Members of a bucket that have a link in it."""
+    out = np.zeros(len(fp), bool)
+    for at in range(0, len(fp), 128):
+        near = np.bitwise_count(fp[at : at + 128, None] ^ fp[None, at:]) <= radius
+        near &= home[at : at + 128, None] | home[None, at:]
+        k = np.arange(len(near))
+        near[k, k] = False
+        out[at:] |= near.any(axis=0)
+        out[at : at + 128] |= near.any(axis=1)
+    return np.flatnonzero(out)
+
+
 def _search(fp: np.ndarray, ids: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one bucket: every member is compared once with those not yet reached. At least one of a pair is at home in the bucket."""
-    open_ = np.arange(len(fp))
+    """A least spanning forest of the links in one bucket: the nearest member joins next, so no link is replaced by a wider one. At least one of a linked pair is at home in the bucket."""
+    some = _linked(fp, home, radius)
+    fp, ids, home = fp[some], ids[some], home[some]
     out = []
-    while len(open_) > 1:
-        front, open_ = [open_[0]], open_[1:]
-        while front and len(open_):
-            i = front.pop()
-            hit = np.bitwise_count(fp[open_] ^ fp[i]) <= radius
-            if not home[i]:
-                hit &= home[open_]
-            if hit.any():
-                got = open_[hit]
-                open_ = open_[~hit]
-                out += [(int(ids[i]), int(j)) for j in ids[got]]
-                front += got.tolist()
+    open_ = np.arange(len(fp))
+    gap, by = np.full(len(fp), BITS + 1, np.uint8), np.zeros(len(fp), np.int64)
+    while len(open_):
+        k = int(gap[open_].argmin())
+        i = int(open_[k])
+        if gap[i] <= radius:
+            out.append((int(ids[by[i]]), int(ids[i])))
+        open_ = np.delete(open_, k)
+        new = np.bitwise_count(fp[open_] ^ fp[i])
+        if not home[i]:
+            new[~home[open_]] = BITS + 1
+        less = new < gap[open_]
+        gap[open_[less]], by[open_[less]] = new[less], i
     return out
 
 
@@ -243,5 +258,35 @@ def group_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_links(found: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The links (a, b) whose whole texts have a Jaccard similarity of `similarity` or more over shingles of `shingle` lower-cased words."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pairs = found.distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(texts_of(batch.column("left")), texts_of(batch.column("right")), strict=True):
+                x, y = _shingles(left, shingle), _shingles(right, shingle)
+                keep.append(len(x & y) >= similarity * len(x | y))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _shingles(text: bytes, k: int) -> set:
+    words = text.lower().split()
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)}
+
+
+def first_of_groups(docs: DataFrame, radius: int = 10) -> DataFrame:
+    """docs, with all their columns, without later near-copies: of documents connected by links within the radius that the similarity confirms, the one of the smallest doc_id stays."""
+    prints = checkpointed(fingerprints(docs))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = components(similar_links(links(classes, radius), docs))
+    heads = classes.select("rep").join(found.filter("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti")
+    return docs.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -387,10 +387,10 @@ class Codec:
                 runs[words.index(w)] = [i]
         of = dict(zip(words, runs, strict=True))
         for u, ws in zip(new, found, strict=True):
-            ids = tuple(i for w in ws for i in of[w])
-            memory[u] = (",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.tokens.__getitem__, ids)), ids)
+            ids = [i for w in ws for i in of[w]]
+            memory[u] = (",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.tokens.__getitem__, ids)))
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes, tuple]]]:
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """What is remembered of each text's units, in order."""
         if len(self.memory) > MEMORY_WORDS:
             self.before, self.memory = self.memory, {}
@@ -400,7 +400,7 @@ class Codec:
             yield list(map(self.memory.__getitem__, us))
 
     def ids(self, text: str) -> list[int]:
-        return [i for x in next(self.encode([text])) for i in x[3]]
+        return [int(i) for x in next(self.encode([text])) for i in x[0].split(",")] if text else []
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -448,7 +448,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in _some(texts):
-                ids = [[i for x in got for i in x[3]] for got in codec.encode(texts[a:b])]
+                ids = [[int(i) for x in got if x[1] for i in x[0].split(",")] for got in codec.encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

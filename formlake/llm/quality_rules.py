@@ -105,3 +105,11 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with their measures and the verdict `kept`. Columns of docs named like a measure are replaced."""
     return measures(docs, text).withColumn("kept", compile_rules(rules))
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep."""
+    # A verdict that is not deterministic by its form is not pushed below the projections that make its measures: pushed down, every measure would be made again for each use.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    judged = measures(rows, "_text").withColumn("_kept", compile_rules(rules) & (F.monotonically_increasing_id() >= 0))
+    return judged.filter("_kept").select("_row.*")

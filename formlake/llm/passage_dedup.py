@@ -8,13 +8,14 @@ shard of the window, so that no shard grows with a frequent phrase. Each shard's
 the segments are streamed through their index, and the matching statistics of every window of full length give the interval
 of its occurrences and the least doc_id there. A window with a smaller doc_id than a document's own covers words to remove.
 
-A null text has no words. A doc_id is one document: rows that repeat one must have one text, and each gets its own result
+A null text has no words. A document without a doc_id keeps its words and takes none from others. A doc_id is one document: rows that repeat one must have one text, and each gets its own result
 row. An empty table gives no rows; other columns are ignored. Equal windows are told by their words, hashes only route them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -71,59 +72,78 @@ def minimizer_rows(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> D
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
 
 
-def segments(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
-    """shard, c1, c2 (128 bits of the content), content, doc_id, starts (first words): segments of documents with their shared minimizers (array `found` of h, hot)."""
+def _segments(batches: Iterable[pa.RecordBatch], words: int, m: int) -> Iterator[tuple[int, int, int, bytes, int, int]]:
+    """(shard, c1, c2, content, doc_id, first word) of the segments of documents with shared minimizers (array `found` of h, hot); c1, c2: 128 bits of the content."""
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
+        found = batch.column("found")
+        ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
+        flat = found.flatten()
+        shared = flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        hot_flags = flat.field("hot").to_numpy(zero_copy_only=False)
+        for k, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+            mine = slice(ends[k - 1] if k else 0, ends[k])
+            order = np.argsort(shared[mine])
+            keys, hot = shared[mine][order], hot_flags[mine][order]
+            table = WordTable([text])
+            first, place, best = _minimizers(table, words, m)
+            if not len(first) or not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, best), len(keys) - 1)
+            ok = keys[at] == best
+            first, place, best, is_hot = first[ok], place[ok], best[ok], hot[at[ok]]
+            if not len(first):
+                continue
+            new = np.ones(len(first), bool)
+            new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(first)) - 1
+            tokens = text.split()
+            for x, y, h, z in zip(first[a].tolist(), first[b].tolist(), best[a].view(np.int64).tolist(), is_hot[a].tolist(), strict=True):
+                content = b" ".join(tokens[x : y + words])
+                c1, c2 = _TWO_LONGS(xxhash.xxh3_128_digest(content))
+                yield (c1 if z else h, c1, c2, content, doc_id, x)
+
+
+_TWO_LONGS = struct.Struct("<qq").unpack
+_HELD = 100_000
+
+
+def contents(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
+    """shard, c1, c2, content, low, high: segments, those that a task meets again put together (least and largest doc_id)."""
+
+    def batch_of(held: dict) -> pa.RecordBatch:
+        columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([x.cast(pa.string()) if x.type == pa.binary() else x for x in arrays], ["shard", "c1", "c2", "content", "low", "high"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for shard, c1, c2, content, doc, _ in _segments(batches, words, m):
+            if got := held.get((shard, c1, c2)):
+                got[1], got[2] = min(got[1], doc), max(got[2], doc)
+                continue
+            held[shard, c1, c2] = [content, doc, doc]
+            if len(held) >= _HELD:
+                yield batch_of(held)
+                held = {}
+        if held:
+            yield batch_of(held)
+
+    return marked.select("doc_id", "text", "found").mapInArrow(run, "shard long, c1 long, c2 long, content string, low long, high long")
+
+
+def places(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
+    """c1, c2, doc_id, first: where the segments stand."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
-            found = batch.column("found")
-            ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
-            flat = found.flatten()
-            shared = flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            hot_flags = flat.field("hot").to_numpy(zero_copy_only=False)
-            rows: list[tuple] = []
-            for k, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
-                mine = shared[ends[k - 1] if k else 0 : ends[k]]
-                order = np.argsort(mine)
-                keys, hot = mine[order], hot_flags[ends[k - 1] if k else 0 : ends[k]][order]
-                table = WordTable([text])
-                first, place, best = _minimizers(table, words, m)
-                if not len(first) or not len(keys):
-                    continue
-                at = np.minimum(np.searchsorted(keys, best), len(keys) - 1)
-                ok = keys[at] == best
-                first, place, best, is_hot = first[ok], place[ok], best[ok], hot[at[ok]]
-                if not len(first):
-                    continue
-                new = np.ones(len(first), bool)
-                new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
-                a = np.flatnonzero(new)
-                b = np.append(a[1:], len(first)) - 1
-                tokens = text.split()
-                own: dict[bytes, tuple] = {}
-                for x, y, h, z in zip(first[a].tolist(), first[b].tolist(), best[a].view(np.int64).tolist(), is_hot[a].tolist(), strict=True):
-                    content = b" ".join(tokens[x : y + words])
-                    if content in own:
-                        own[content][4].append(x)
-                        continue
-                    digest = xxhash.xxh3_128_digest(content)
-                    c1, c2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                    own[content] = (c1 if z else h, c1, c2, content, [x])
-                rows += [(*r, doc_id) for r in own.values()]
-                if len(rows) > 20_000:
-                    yield _segment_batch(rows)
-                    rows = []
-            if rows:
-                yield _segment_batch(rows)
-
-    return marked.select("doc_id", "text", "found").mapInArrow(run, "shard long, c1 long, c2 long, content string, starts array<int>, doc_id long")
-
-
-def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    shard, c1, c2, content, starts, doc = zip(*rows, strict=True)
-    columns = [pa.array(shard, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(content, pa.binary()).cast(pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(doc, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "c1", "c2", "content", "starts", "doc_id"])
+            rows = [(c1, c2, doc, x) for _, c1, c2, _, doc, x in _segments([batch], words, m)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["c1", "c2", "doc_id", "first"])
+
+    return marked.select("doc_id", "text", "found").mapInArrow(run, "c1 long, c2 long, doc_id long, first int")
 
 
 def search_block(contents: list[str], owners: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -144,32 +164,35 @@ def search_block(contents: list[str], owners: np.ndarray, words: int = WORDS) ->
     return np.split(index.least_value(low, high), np.cumsum(windows)[:-1])
 
 
-def search_shards(groups: DataFrame, words: int = WORDS) -> DataFrame:
+def search_shards(parts: DataFrame, words: int = WORDS) -> DataFrame:
     """c1, c2, least (array of the least doc_id of each window) of contents with a window that a document of theirs has to give up."""
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
         held: tuple[list, ...] = ([], [], [], [], [])
-        size, shard = 0, None
+        size, last = 0, (None,) * 3
         for batch in batches:
-            for s, *row in zip(*(batch.column(k).to_pylist() for k in ("shard", "c1", "c2", "content", "low", "high")), strict=True):
-                if s != shard and size >= INDEX_WORDS:
+            for s, c1, c2, content, low, high in zip(*(batch.column(k).to_pylist() for k in ("shard", "c1", "c2", "content", "low", "high")), strict=True):
+                if (s, c1, c2) == last:
+                    held[3][-1], held[4][-1] = min(held[3][-1], low), max(held[4][-1], high)
+                    continue
+                if s != last[0] and size >= INDEX_WORDS:
                     yield held
                     held, size = ([], [], [], [], []), 0
-                shard = s
-                for x, y in zip(held, row, strict=True):
+                last = (s, c1, c2)
+                for x, y in zip(held, (c1, c2, content, low, high), strict=True):
                     x.append(y)
-                size += row[2].count(" ") + 2
+                size += content.count(" ") + 2
         if held[0]:
             yield held
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c1, c2, contents, low, high in blocks(batches):
-            least = search_block(contents, np.array(low, np.int64), words)
+        for c1, c2, texts, low, high in blocks(batches):
+            least = search_block(texts, np.array(low, np.int64), words)
             keep = [i for i, (x, top) in enumerate(zip(least, high, strict=True)) if len(x) and x.min() < top]
             columns = [pa.array([c1[i] for i in keep], pa.int64()), pa.array([c2[i] for i in keep], pa.int64()), pa.array([least[i].tolist() for i in keep], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "least"])
 
-    return groups.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(run, "c1 long, c2 long, least array<long>")
+    return parts.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(run, "c1 long, c2 long, least array<long>")
 
 
 def covered_windows(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
@@ -178,19 +201,23 @@ def covered_windows(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER) ->
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = shared.filter("low < high").select("h", (F.col("n") > HOT_ROWS).alias("hot"))
     found = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("found"))
-    parts = segments(docs.select("doc_id", "text").join(found, "doc_id"), words, m)
-    groups = parts.groupBy("shard", "c1", "c2").agg(F.first("content").alias("content"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    least = search_shards(groups, words)
-    mine = parts.select("c1", "c2", "doc_id", "starts").join(least, ["c1", "c2"])
-    offsets = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), i)), lambda i: i.isNotNull())
-    mine = mine.select("doc_id", F.flatten(F.transform("starts", lambda s: F.transform(offsets, lambda i: s + i))).alias("starts")).filter(F.size("starts") > 0)
+    marked = docs.join(found, "doc_id")
+    least = search_shards(contents(marked, words, m), words)
+    mine = places(marked, words, m).join(least, ["c1", "c2"])
+    starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("first") + i)), lambda i: i.isNotNull())
+    mine = mine.select("doc_id", starts.alias("starts")).filter(F.size("starts") > 0)
     return mine.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def remove_passages(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (with_text: and kept, the words left) of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = docs.join(covered_windows(docs, words, m), "doc_id", "left")
+    docs = docs.select("doc_id", "text")
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    # All joins with the documents ask for the same rows, so the texts are shuffled once.
+    known = docs.filter("doc_id is not null")
+    joined = known.join(covered_windows(known, words, m), "doc_id", "left").select("doc_id", "text", "starts")
+    joined = joined.unionByName(docs.filter("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

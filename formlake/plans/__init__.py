@@ -1 +1,8 @@
 """Named queries over the tables of a data folder."""
+
+from formlake.plans import registry
+from formlake.plans import corpus as _corpus
+from formlake.plans import fixtures as _fixtures
+
+__all__ = ["registry"]
+_ = (_corpus, _fixtures)

@@ -15,20 +15,23 @@ row. An empty table gives no rows; other columns are ignored. Equal windows are
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formlake.llm.durable import checkpointed
 from formlake.llm.fm_index import FMIndex
-from formlake.llm.kernels import WordTable, chunks, texts_of
+from formlake.llm.kernels import WordTable, chunks, mix, texts_of
 
 WORDS, MINIMIZER = 13, 4
 HOT_ROWS = 500
+#: Documents that the compression dictionary of segments is made from, at most.
+SAMPLE_DOCUMENTS = 500
 #: Words of an index, as soon as the segments of a minimizer are complete.
 INDEX_WORDS = 1 << 16
 
@@ -72,66 +75,83 @@ def minimizer_rows(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> D
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
 
 
-def _segments(batches: Iterable[pa.RecordBatch], words: int, m: int) -> Iterator[tuple[int, int, int, bytes, int, int]]:
-    """(shard, c1, c2, content, doc_id, first word) of the segments of documents with shared minimizers (array `found` of h, hot); c1, c2: 128 bits of the content."""
-    for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
-        found = batch.column("found")
-        ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
-        flat = found.flatten()
-        shared = flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        hot_flags = flat.field("hot").to_numpy(zero_copy_only=False)
-        for k, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
-            mine = slice(ends[k - 1] if k else 0, ends[k])
-            order = np.argsort(shared[mine])
-            keys, hot = shared[mine][order], hot_flags[mine][order]
-            table = WordTable([text])
-            first, place, best = _minimizers(table, words, m)
-            if not len(first) or not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, best), len(keys) - 1)
-            ok = keys[at] == best
-            first, place, best, is_hot = first[ok], place[ok], best[ok], hot[at[ok]]
-            if not len(first):
-                continue
-            new = np.ones(len(first), bool)
-            new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(first)) - 1
-            tokens = text.split()
-            for x, y, h, z in zip(first[a].tolist(), first[b].tolist(), best[a].view(np.int64).tolist(), is_hot[a].tolist(), strict=True):
-                content = b" ".join(tokens[x : y + words])
-                c1, c2 = _TWO_LONGS(xxhash.xxh3_128_digest(content))
-                yield (c1 if z else h, c1, c2, content, doc_id, x)
-
-
-_TWO_LONGS = struct.Struct("<qq").unpack
+def _rolled(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of values weighted by powers of an odd base, and the powers of its inverse: hashes of any run are differences of them."""
+    n = len(values)
+    step = np.full((2, n + 1), base, np.uint64)
+    step[1] = pow(base, -1, 1 << 64)
+    step[:, 0] = 1
+    powers = np.multiply.accumulate(step, axis=1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * powers[0, :n], out=total[1:])
+    return total, powers[1]
+
+
+def _segments(batch: pa.RecordBatch, words: int, m: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each document of a batch with a shared minimizer (array `found` of h, hot): doc_id, words, and of its segments: shard, c1, c2 (128 bits of the content), first word, word after the last."""
+    ids, texts = batch.column("doc_id").to_pylist(), unpacked(batch.column("z"))
+    found = batch.column("found")
+    ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
+    flat = found.flatten()
+    shared = flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    hot_flags = flat.field("hot").to_numpy(zero_copy_only=False)
+    for k, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+        mine = slice(ends[k - 1] if k else 0, ends[k])
+        order = np.argsort(shared[mine])
+        keys, hot = shared[mine][order], hot_flags[mine][order]
+        table = WordTable([text])
+        first, place, best = _minimizers(table, words, m)
+        if not len(first) or not len(keys):
+            continue
+        at = np.minimum(np.searchsorted(keys, best), len(keys) - 1)
+        ok = keys[at] == best
+        first, place, best, is_hot = first[ok], place[ok], best[ok], hot[at[ok]]
+        if not len(first):
+            continue
+        new = np.ones(len(first), bool)
+        new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
+        a = np.flatnonzero(new)
+        x, y = first[a], first[np.append(a[1:], len(first)) - 1] + words
+        tokens = text.split()
+        twice = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, tokens)), np.uint64).reshape(-1, 2)
+        c = []
+        for column, base in ((0, 0x9E3779B97F4A7C15), (1, 0xC2B2AE3D27D4EB4F)):
+            total, back = _rolled(mix(twice[:, column]), base)
+            c.append(mix((total[y] - total[x]) * back[x] + (y - x).astype(np.uint64)).view(np.int64))
+        yield doc_id, tokens, np.where(is_hot[a], c[0], best[a].view(np.int64)), c[0], c[1], x, y
+
+
 _HELD = 100_000
 
 
-def contents(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
-    """shard, c1, c2, content, low, high: segments, those that a task meets again put together (least and largest doc_id)."""
+def contents(marked: DataFrame, dictionary, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
+    """shard, c1, c2, content (packed), low, high: segments, those that a task meets again put together (least and largest doc_id)."""
 
     def batch_of(held: dict) -> pa.RecordBatch:
         columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([x.cast(pa.string()) if x.type == pa.binary() else x for x in arrays], ["shard", "c1", "c2", "content", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "c1", "c2", "content", "low", "high"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None, write_dict_id=False, write_content_size=True).compress
         held: dict = {}
-        for shard, c1, c2, content, doc, _ in _segments(batches, words, m):
-            if got := held.get((shard, c1, c2)):
-                got[1], got[2] = min(got[1], doc), max(got[2], doc)
-                continue
-            held[shard, c1, c2] = [content, doc, doc]
-            if len(held) >= _HELD:
-                yield batch_of(held)
-                held = {}
+        for batch in batches:
+            for doc, tokens, shard, c1, c2, x, y in _segments(batch, words, m):
+                joined = b" ".join(tokens)
+                to = np.cumsum([len(t) + 1 for t in tokens]) - 1
+                begin = np.concatenate([[0], to[:-1] + 1])
+                for *key, i, j in zip(shard.tolist(), c1.tolist(), c2.tolist(), begin[x].tolist(), to[y - 1].tolist(), strict=True):
+                    if got := held.get(key := tuple(key)):
+                        got[1], got[2] = min(got[1], doc), max(got[2], doc)
+                    else:
+                        held[key] = [pack(joined[i:j]), doc, doc]
+                if len(held) >= _HELD:
+                    yield batch_of(held)
+                    held = {}
         if held:
             yield batch_of(held)
 
-    return marked.select("doc_id", "text", "found").mapInArrow(run, "shard long, c1 long, c2 long, content string, low long, high long")
+    return marked.select("doc_id", "z", "found").mapInArrow(run, "shard long, c1 long, c2 long, content binary, low long, high long")
 
 
 def places(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
@@ -139,19 +159,47 @@ def places(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c1, c2, doc, x) for _, c1, c2, _, doc, x in _segments([batch], words, m)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["c1", "c2", "doc_id", "first"])
+            rows = [(c1, c2, np.full(len(x), doc), x.astype(np.int32)) for doc, _, _, c1, c2, x, _ in _segments(batch, words, m)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["c1", "c2", "doc_id", "first"])
+
+    return marked.select("doc_id", "z", "found").mapInArrow(run, "c1 long, c2 long, doc_id long, first int")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, z: the texts compressed for the shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(pack, texts_of(batch.column("text"))), pa.binary())], ["doc_id", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
 
-    return marked.select("doc_id", "text", "found").mapInArrow(run, "c1 long, c2 long, doc_id long, first int")
 
+def unpacked(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
 
-def search_block(contents: list[str], owners: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+
+def word_dictionary(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, words: int = 20) -> bytes:
+    """A compression dictionary from at most `sample` documents of moderate length, chosen by a hash; it changes how many bytes are shuffled, nothing else."""
+    rows = docs.filter(F.length("text") < 20_000).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    pieces = []
+    for r in rows:
+        tokens = r.text.encode().split()
+        pieces += [b" ".join(tokens[i : i + words]) for i in range(0, len(tokens), words)]
+    try:
+        return zstandard.train_dictionary(32_768, pieces).as_bytes() if len(pieces) >= 1000 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def search_block(contents: list[bytes], owners: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """For each content, the least owner of every window of it over all contents, by one FM-index."""
-    split = [c.split(" ") for c in contents]
+    split = [c.split(b" ") for c in contents]
     sizes = np.array([len(s) for s in split])
-    symbols: dict[str, int] = {}
-    flat = [symbols.setdefault(w, len(symbols) + 1) for s in split for w in (*s, "")]
+    symbols: dict[bytes, int] = {}
+    flat = [symbols.setdefault(w, len(symbols) + 1) for s in split for w in (*s, b"")]
     text = np.array(flat, np.int64)
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0
@@ -164,12 +212,13 @@ def search_block(contents: list[str], owners: np.ndarray, words: int = WORDS) ->
     return np.split(index.least_value(low, high), np.cumsum(windows)[:-1])
 
 
-def search_shards(parts: DataFrame, words: int = WORDS) -> DataFrame:
+def search_shards(parts: DataFrame, dictionary, words: int = WORDS) -> DataFrame:
     """c1, c2, least (array of the least doc_id of each window) of contents with a window that a document of theirs has to give up."""
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
         held: tuple[list, ...] = ([], [], [], [], [])
         size, last = 0, (None,) * 3
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None).decompress
         for batch in batches:
             for s, c1, c2, content, low, high in zip(*(batch.column(k).to_pylist() for k in ("shard", "c1", "c2", "content", "low", "high")), strict=True):
                 if (s, c1, c2) == last:
@@ -178,10 +227,10 @@ def search_shards(parts: DataFrame, words: int = WORDS) -> DataFrame:
                 if s != last[0] and size >= INDEX_WORDS:
                     yield held
                     held, size = ([], [], [], [], []), 0
-                last = (s, c1, c2)
+                last, content = (s, c1, c2), unpack(content)
                 for x, y in zip(held, (c1, c2, content, low, high), strict=True):
                     x.append(y)
-                size += content.count(" ") + 2
+                size += content.count(b" ") + 2
         if held[0]:
             yield held
 
@@ -195,50 +244,67 @@ def search_shards(parts: DataFrame, words: int = WORDS) -> DataFrame:
     return parts.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(run, "c1 long, c2 long, least array<long>")
 
 
-def covered_windows(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
-    """doc_id, starts: first words of the windows of each document that start in a document with a smaller doc_id."""
+def covered_windows(docs: DataFrame, texts: DataFrame, again: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
+    """doc_id, starts: first words of the windows of each document that start in a document with a smaller doc_id. texts: the documents, packed; again: doc_id of those that are whole copies and left out."""
     rows = minimizer_rows(docs, words, m)
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = shared.filter("low < high").select("h", (F.col("n") > HOT_ROWS).alias("hot"))
-    found = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("found"))
-    marked = docs.join(found, "doc_id")
-    least = search_shards(contents(marked, words, m), words)
+    found = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("found")).join(again, "doc_id", "left_anti")
+    marked = texts.join(found, "doc_id")
+    dictionary = docs.sparkSession.sparkContext.broadcast(word_dictionary(docs))
+    least = search_shards(contents(marked, dictionary, words, m), dictionary, words)
     mine = places(marked, words, m).join(least, ["c1", "c2"])
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("first") + i)), lambda i: i.isNotNull())
     mine = mine.select("doc_id", starts.alias("starts")).filter(F.size("starts") > 0)
     return mine.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of each document whose whole words stand in a document with a smaller doc_id: told by 128 bits of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in texts_of(batch.column("text"))]
+            half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(half[:, 0]), pa.array(half[:, 1])], ["doc_id", "t1", "t2"])
+
+    seen = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, t1 long, t2 long")
+    first = seen.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    return seen.join(first, ["t1", "t2"]).filter(F.col("doc_id") > F.col("low")).select("doc_id").distinct()
+
+
 def remove_passages(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (with_text: and kept, the words left) of every document."""
     docs = docs.select("doc_id", "text")
     if docs.schema["doc_id"].dataType.simpleString() != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    # All joins with the documents ask for the same rows, so the texts are shuffled once.
     known = docs.filter("doc_id is not null")
-    joined = known.join(covered_windows(known, words, m), "doc_id", "left").select("doc_id", "text", "starts")
-    joined = joined.unionByName(docs.filter("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>")))
+    # Whole copies give up every window, so only the first of them is searched. The list of copies is written once.
+    again = checkpointed(copies(known))
+    # All joins with the texts ask for the same rows, so they are shuffled once.
+    texts = packed(known)
+    joined = texts.join(covered_windows(known, texts, again, words, m), "doc_id", "left").join(again.withColumn("copy", F.lit(True)), "doc_id", "left")
+    apart = packed(docs.filter("doc_id is null")).withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
+    joined = joined.select("doc_id", "z", "starts", "copy").unionByName(apart)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for text, starts in zip(texts_of(batch.column("text")), batch.column("starts").to_pylist(), strict=True):
-                tokens = text.split()
-                gone = 0
-                kept = tokens
-                if starts:
+            for text, starts, copy in zip(unpacked(batch.column("z")), batch.column("starts").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+                kept = tokens = text.split()
+                if copy and len(tokens) >= words:
+                    kept = []
+                elif starts:
                     edge = np.zeros(len(tokens) + 1, np.int64)
                     s = np.unique(np.array(starts))
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + words, -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    gone = len(tokens) - int(stay.sum())
-                    kept = [tokens[i] for i in np.flatnonzero(stay)]
+                    kept = [tokens[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 left = b" ".join(kept)
-                for x, y in zip(out, (len(tokens), gone, hashlib.sha256(left).hexdigest(), left if with_text else b""), strict=True):
+                for x, y in zip(out, (len(tokens), len(tokens) - len(kept), hashlib.sha256(left).hexdigest(), left if with_text else b""), strict=True):
                     x.append(y)
             columns = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    done = joined.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if with_text else done.drop("kept")

@@ -166,15 +166,15 @@ def places(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFra
     return marked.select("doc_id", "z", "found").mapInArrow(run, "c1 long, c2 long, doc_id long, first int")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, z: the texts compressed for the shuffle."""
+def packed(docs: DataFrame, known: bool = True) -> DataFrame:
+    """doc_id, z: the texts compressed for the shuffle. known: no doc_id is null, which spares joins a filter that would tell their inputs apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(pack, texts_of(batch.column("text"))), pa.binary())], ["doc_id", "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long{' not null' * known}, z binary")
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -284,7 +284,7 @@ def remove_passages(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER, wit
     # All joins with the texts ask for the same rows, so they are shuffled once.
     texts = packed(known)
     joined = texts.join(covered_windows(known, texts, again, words, m), "doc_id", "left").join(again.withColumn("copy", F.lit(True)), "doc_id", "left")
-    apart = packed(docs.filter("doc_id is null")).withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
+    apart = packed(docs.filter("doc_id is null"), known=False).withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
     joined = joined.select("doc_id", "z", "starts", "copy").unionByName(apart)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

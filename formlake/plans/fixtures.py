@@ -1 +1,414 @@
-"""Queries over small inline tables."""
+"""Queries over small inline tables, for what the driver tables do not hold: measured pages, formats, profiles, plans.
+
+The same VALUES stand in both engines' SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formlake.functions import formats, projection
+from formlake.functions import text as T
+from formlake.operators import geometry, plan, rules, sequences
+from formlake.plans.registry import query
+from formlake.sources import documents, profiles
+
+
+def rows(spark: SparkSession, values: str) -> DataFrame:
+    """A table of VALUES text, doubles for decimals."""
+    df = spark.sql(f"select * from values {values}")
+    return df.select([F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+# Formats
+
+IBANS = "('IT60X0542811101000000123456'), ('IT60X0542811101000000123457'), ('DE89370400440532013000'), ('GB82WEST12345698765432'), ('XX00'), ('') as t(v)"
+_IBAN_SQL = "regexp_full_match(upper(v), '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') and list_reduce(list_prepend(0, list_transform(string_split(substring(upper(v), 5) || substring(upper(v), 1, 4), ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda a, d: case when d < 10 then (a * 10 + d) % 97 else (a * 100 + d) % 97 end) = 1"
+
+
+@query(f"select v, coalesce({_IBAN_SQL}, false) as valid from (values {IBANS.replace(' as t(v)', '')}) t(v)")
+def fm_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, IBANS).select("v", formats.iban_valid(F.col("v")).alias("valid"))
+
+
+@query("select * from (values ('C.A.P.', '00100', null), ('CAP', '001', 'cap: 5 digits'), ('PEC', 'a@b.it', null), ('indirizzo e-mail', 'ab.it', 'mail: no @'), ('codice fiscale', '12345678901', null), ('C.F.', 'ABC', 'tax code: 16 characters or 11 digits'), ('P. IVA', 'IT12345678901', null), ('partita IVA', '123', 'vat: 11 digits'), ('tel.', '06 123', 'phone: digits'), ('telefono', '06 1234567', null), ('IBAN', 'IT60X0542811101000000123456', null), ('conto', 'IT60X0542811101000000123457', 'looks like an iban'), ('nome', 'Rossi', null)) t(label, value, reason)")
+def fm_format_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = "('C.A.P.', '00100'), ('CAP', '001'), ('PEC', 'a@b.it'), ('indirizzo e-mail', 'ab.it'), ('codice fiscale', '12345678901'), ('C.F.', 'ABC'), ('P. IVA', 'IT12345678901'), ('partita IVA', '123'), ('tel.', '06 123'), ('telefono', '06 1234567'), ('IBAN', 'IT60X0542811101000000123456'), ('conto', 'IT60X0542811101000000123457'), ('nome', 'Rossi') as t(label, value)"
+    return rows(spark, given).select("label", "value", formats.format_problem(F.col("label"), F.col("value")).alias("reason"))
+
+
+DATES = "('2024-02-29', 'dd/MM/yyyy'), ('29/02/2023', 'dd/MM/yyyy'), ('1/2/2024', 'd.M.yyyy'), ('01-12-2024', 'yyyy-MM-dd'), ('3.4.2024', 'dd-MM-yyyy'), ('02/03/24', 'dd/MM/yyyy'), ('31/12/2024', 'dd/MM-yyyy'), ('domani', 'dd/MM/yyyy')"
+
+
+@query("select * from (values ('2024-02-29', 'dd/MM/yyyy', '29/02/2024', '2024-02-29T00:00:00Z'), ('29/02/2023', 'dd/MM/yyyy', null, null), ('1/2/2024', 'd.M.yyyy', '1.2.2024', '2024-02-01T00:00:00Z'), ('01-12-2024', 'yyyy-MM-dd', '2024-12-01', '2024-12-01T00:00:00Z'), ('3.4.2024', 'dd-MM-yyyy', '03-04-2024', '2024-04-03T00:00:00Z'), ('02/03/24', 'dd/MM/yyyy', null, null), ('31/12/2024', 'dd/MM-yyyy', null, '2024-12-31T00:00:00Z'), ('domani', 'dd/MM/yyyy', null, null)) t(v, p, shown, iso)")
+def fm_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = formats.strict_date(F.col("v"))
+    return rows(spark, DATES + " as t(v, p)").select("v", "p", formats.shown_date(day, F.col("p")).alias("shown"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("iso"))
+
+
+@query("select line, len(regexp_extract_all(line, '_{1,2} */ *_{1,2} */ *_{2,4}'))::bigint as masks from (values ('nato il __/__/____ a ___'), ('dal __/__/____ al __ / __ / ____'), ('niente')) t(line)")
+def fm_date_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.regexp_extract_all("line", F.lit("(_{1,2} */ *_{1,2} */ *_{2,4})"), F.lit(1))
+    return rows(spark, "('nato il __/__/____ a ___'), ('dal __/__/____ al __ / __ / ____'), ('niente') as t(line)").select("line", F.size(mask).cast("long").alias("masks"))
+
+
+@query("select v, round_even(v, 0) + 0.0 as r from (values (0.5), (1.5), (2.5), (2.51), (-0.5), (-1.5)) t(w), lateral (select w::double as v)")
+def fm_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, "(0.5), (1.5), (2.5), (2.51), (-0.5), (-1.5) as t(v)").select("v", (F.bround("v", 0) + 0.0).alias("r"))
+
+
+_TWO = "(1, 0.0, 0.0, 10.0, 10.0, 5.0, 5.0, 20.0, 20.0), (2, 0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 6.0, 6.0), (3, 0.0, 0.0, 4.0, 4.0, 1.0, 1.0, 2.0, 2.0)"
+
+
+@query(f"select id, (greatest(least(x1, u1) - greatest(x0, u0), 0) * greatest(least(y1, v1) - greatest(y0, v0), 0))::double as area from (values {_TWO}) t(id, x0, y0, x1, y1, u0, v0, u1, v1)")
+def fm_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rows(spark, _TWO + " as t(id, x0, y0, x1, y1, u0, v0, u1, v1)")
+    r = lambda a, b, c, d: F.struct(F.col(a).alias("x0"), F.col(b).alias("y0"), F.col(c).alias("x1"), F.col(d).alias("y1"))
+    return t.select("id", geometry.overlap_area(r("x0", "y0", "x1", "y1"), r("u0", "v0", "u1", "v1")).alias("area"))
+
+
+_PROFILE = """('a.json', '{"profilo": {"ragione": "Rossi", "piva": "", "sedi": ["Roma", "Pisa"], "cap": "00100"}, "prova": false}'), ('b.json', '{"azienda": {"ragione": "Verdi", "x": null}, "prova": true}'), ('c.json', '{"ragione": "Bianchi", "n": 5}')"""
+
+
+@query("select * from (values ('a.json', 'profilo', 'ragione', 'Rossi', 'ok'), ('a.json', 'profilo', 'piva', null, 'empty'), ('a.json', 'profilo', 'sedi', null, 'nested'), ('a.json', 'profilo', 'cap', '00100', 'ok'), ('b.json', 'azienda', 'ragione', 'Verdi', 'ok'), ('b.json', 'azienda', 'x', null, 'empty'), ('c.json', '', 'ragione', 'Bianchi', 'ok'), ('c.json', '', 'n', '5', 'ok')) t(file, section, key, value, status)")
+def io_profile_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.facts(rows(spark, _PROFILE + " as t(file, raw)")).select("file", "section", "key", "value", "status")
+
+
+@query("select * from (values ('a.json', 'Rossi'), ('c.json', null)) t(file, name)")
+def io_profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = rows(spark, _PROFILE + " as t(file, raw)").filter(F.coalesce(F.get_json_object("raw", "$.prova"), F.lit("false")) != "true")
+    return real.select("file", profiles.path_value(F.col("raw"), "profilo.ragione").alias("name"))
+
+
+@query("select * from (values ('f', 'a.b', '2'), ('f', 'a.c', '3'), ('f', 'z', '9')) t(file, path, value)")
+def io_path_get_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = rows(spark, "('f', 'a.b', '1'), ('f', 'a.c', '3') as t(file, path, value)")
+    return profiles.with_path(facts, rows(spark, "('f', 'a.b', '2'), ('f', 'z', '9') as t(file, path, value)"), ["file"])
+
+
+@query("select * from (values ('k1', 'old'), ('k2', 'new')) t(k, v)")
+def io_profile_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.seeded(rows(spark, "('k1', 'old') as t(k, v)"), rows(spark, "('k1', 'new'), ('k2', 'new') as t(k, v)"), "k")
+
+
+@query("select * from (values ('a.json', 'profilo.ragione', 'Rossi'), ('a.json', 'profilo.piva', ''), ('a.json', 'profilo.sedi.0', 'Roma'), ('a.json', 'profilo.sedi.1', 'Pisa'), ('a.json', 'profilo.cap', '00100'), ('a.json', 'prova', 'false'), ('b.json', 'azienda.ragione', 'Verdi'), ('b.json', 'prova', 'true'), ('c.json', 'ragione', 'Bianchi'), ('c.json', 'n', '5')) t(file, path, value)")
+def fm_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.flattened(rows(spark, _PROFILE + " as t(file, raw)")).select("file", "path", "value")
+
+
+@query("select * from (values ('lavoro_corrente', 'Lavoro corrente'), ('scenari.gara_uno', 'Scenario: gara uno')) t(path, label)")
+def fm_path_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of a profile that can be chosen: neither empty ones nor names with a dot."""
+    t = rows(spark, """('{"lavoro_corrente": {"a": 1}, "scenari": {"gara_uno": {"b": 2}, "x.y": {"c": 3}, "vuoto": {}}}') as t(raw)""")
+    own = t.filter(F.get_json_object("raw", "$.lavoro_corrente") != "{}").select(F.lit("lavoro_corrente").alias("path"), F.lit("Lavoro corrente").alias("label"))
+    named = t.select(F.explode(F.from_json(F.get_json_object("raw", "$.scenari"), "map<string,string>")).alias("k", "v")).filter(~F.contains("k", F.lit(".")) & F.col("v").startswith("{") & (F.col("v") != "{}"))
+    return own.unionByName(named.select(F.concat(F.lit("scenari."), "k").alias("path"), F.concat(F.lit("Scenario: "), F.replace("k", F.lit("_"), F.lit(" "))).alias("label")))
+
+
+_SCALARS = "(1, 'text', 'Rossi'), (2, 'text', '  '), (3, 'bool', 'true'), (4, 'int', '0'), (5, 'float', 'NaN')"
+
+
+@query(f"select id, case when kind = 'bool' or trim(v) = '' or v = 'NaN' then null else v end as text from (values {_SCALARS}) t(id, kind, v)")
+def fm_strip_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a scalar: zero is one, a yes or no and a blank are none."""
+    t = rows(spark, _SCALARS + " as t(id, kind, v)")
+    return t.select("id", F.when((F.col("kind") != "bool") & (F.trim("v") != "") & (F.col("v") != "NaN"), F.col("v")).alias("text"))
+
+
+@query("select * from (values ('a.pdf', true), ('b.pdf', false)) t(path, signed)")
+def io_signed_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = rows(spark, "('a.pdf', 'x/ByteRange [0 1]'), ('b.pdf', 'x /Byte') as t(path, c)").withColumn("content", F.col("c").cast("binary"))
+    return files.select("path", documents.signed(F.col("content")).alias("signed"))
+
+
+# Projections of sources
+
+_FX = "('ragione', 'text', 'Rossi SRL'), ('attiva', 'bool', 'true'), ('vuoto', 'text', ' '), ('numero', 'int', '7')"
+
+
+@query("select * from (values (1, 'Rossi SRL', null), (2, 'true', null), (3, null, 'blank'), (4, null, 'no source')) t(id, value, reason)")
+def pj_resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rows(spark, "(1, 'ragione'), (2, 'attiva'), (3, 'vuoto'), (4, 'manca') as t(id, key)").join(rows(spark, _FX + " as t(key, kind, value)"), "key", "left")
+    reason = F.when(F.col("kind").isNull(), "no source").when(F.trim("value") == "", "blank")
+    return d.select("id", F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason"))
+
+
+@query("select * from (values (1, 'Rossi, 7', null), (2, null, 'fragment'), (3, null, 'separator')) t(id, value, reason)")
+def pj_resolve_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values put together from literal fragments of sources."""
+    parts = rows(spark, "(1, 0, 'ragione', 'Rossi', ', '), (1, 1, 'numero', '7', ', '), (2, 0, 'ragione', 'Bianchi', ' '), (3, 0, 'ragione', 'Rossi', '+') as t(id, place, key, fragment, sep)").join(rows(spark, _FX + " as t(key, kind, value)"), "key", "left")
+    ok = F.contains("value", "fragment") & (F.trim("fragment") != "")
+    g = parts.groupBy("id").agg(F.min("sep").alias("sep"), F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"), F.array_sort(F.collect_list(F.struct("place", "fragment"))).alias("p"))
+    reason = F.when(~F.col("sep").isin(" ", ", ", "; ", "\n", "", " - "), "separator").when(~F.col("ok"), "fragment")
+    return g.select("id", F.when(reason.isNull(), F.expr("concat_ws(sep, transform(p, x -> x.fragment))")).alias("value"), reason.alias("reason"))
+
+
+@query("select * from (values (1, true, null), (2, false, null), (3, null, 'kind')) t(id, equal, reason)")
+def pj_resolve_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rows(spark, "(1, 'numero', 'int', '7'), (2, 'ragione', 'text', 'Verdi'), (3, 'attiva', 'int', '1') as t(id, key, k2, v2)").join(rows(spark, _FX + " as t(key, kind, value)"), "key")
+    same = F.col("kind") == F.col("k2")
+    return t.select("id", F.when(same, F.col("value") == F.col("v2")).alias("equal"), F.when(~same, "kind").alias("reason"))
+
+
+@query("select * from (values (1, 'ciao', null), (2, null, 'not the user'), (3, null, 'needs yes or no'), (4, null, 'blank')) t(id, value, reason)")
+def pj_user_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rows(spark, "(1, 'utente', false, 'text', 'ciao'), (2, 'lettore', false, 'text', 'ciao'), (3, 'utente', true, 'text', 'si'), (4, 'utente', false, 'text', ' ') as t(id, origin, choice, kind, v)")
+    reason = F.when(F.col("origin") != "utente", "not the user").when(F.col("choice") & (F.col("kind") != "bool"), "needs yes or no").when(~F.col("choice") & (F.trim("v") == ""), "blank")
+    return t.select("id", F.when(reason.isNull(), F.col("v")).alias("value"), reason.alias("reason"))
+
+
+@query("select * from (values (1, 'scritto'), (2, 'Rossi SRL')) t(id, value)")
+def pj_values_from_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rows(spark, "(1, 'scritto', 'ragione'), (2, null, 'ragione'), (3, null, 'vuoto') as t(id, own, key)").join(rows(spark, _FX + " as t(key, kind, value)"), "key", "left")
+    return t.select("id", F.coalesce("own", "value").alias("value")).filter(F.trim("value") != "")
+
+
+@query("select * from (values (1, 'a,b,c'), (2, 'z')) t(id, keys)")
+def pj_referenced_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rows(spark, "(1, 'a', array('b', 'a', null), 'c'), (2, null, array('z'), null) as t(id, field, parts, compared)")
+    keys = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("field"), F.col("parts"), F.array("compared")), lambda k: F.coalesce(k, F.lit("")) != "")))
+    return t.select("id", F.array_join(keys, ",").alias("keys"))
+
+
+@query("select * from (values (1, 'sede legale / via'), (2, 'a b; c')) t(id, shown)")
+def pj_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda k: F.replace(F.replace(k, F.lit("_"), F.lit(" ")), F.lit("."), F.lit(" / "))
+    return rows(spark, "(1, array('sede_legale.via')), (2, array('a_b', 'c')) as t(id, keys)").select("id", F.array_join(F.transform("keys", name), "; ").alias("shown"))
+
+
+@query("select * from (values ('a', null), ('b', 'unknown'), ('c', 'blank'), ('d', 'too long')) t(id, reason)")
+def pj_output_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a program's value is not taken."""
+    t = rows(spark, "('a', 'x', 1), ('b', 'x', 1), ('c', '', 1), ('d', 'x', 2001) as t(id, v, times)").withColumn("v", F.expr("repeat(v, int(times))"))
+    known = rows(spark, "('a'), ('c'), ('d') as t(id)").withColumn("known", F.lit(True))
+    return t.join(known, "id", "left").select("id", F.when(F.col("known").isNull(), "unknown").when(F.trim("v") == "", "blank").when(F.length("v") > 2000, "too long").alias("reason"))
+
+
+@query("select * from (values ('geometria', 'lettura', 1), ('scrittura', 'scrittura', 4), ('rifiuto', null, 0), ('boh', null, 0)) t(step, phase, place)")
+def pj_step_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phases = rows(spark, "('geometria', 'lettura', 1), ('scrittura', 'scrittura', 4) as t(step, phase, place)")
+    return rows(spark, "('geometria'), ('scrittura'), ('rifiuto'), ('boh') as t(step)").join(phases, "step", "left").select("step", "phase", F.coalesce("place", F.lit(0)).alias("place"))
+
+
+# Text of forms
+
+
+@query("select * from (values ('via', 'Via Roma 1', 'Roma 1'), ('via', 'Viale Roma', 'Viale Roma'), ('Roma', 'Roma', 'Roma'), ('', 'x', 'x')) t(label, value, out)")
+def sc_strip_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, "('via', 'Via Roma 1'), ('via', 'Viale Roma'), ('Roma', 'Roma'), ('', 'x') as t(label, value)").select("label", "value", T.without_echo(F.col("label"), F.col("value")).alias("out"))
+
+
+@query("select * from (values ('sede in via', 'Via Roma', 1), ('nato a Roma il', 'Roma il 3', 2), ('x', 'y', 0)) t(before, value, n)")
+def sc_echo_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, "('sede in via', 'Via Roma'), ('nato a Roma il', 'Roma il 3'), ('x', 'y') as t(before, value)").select("before", "value", T.echo_length(F.col("before"), F.col("value")).cast("long").alias("n"))
+
+
+@query("select * from (values (1, 'nato a [ Roma ] il ___ prov ___'), (2, 'firma ___')) t(id, line)")
+def sc_fill_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, "(1, 'nato a «QUI» il «12:4» prov ____', 'Roma'), (2, 'firma ......', 'x') as t(id, line, v)").select("id", T.filled_sentence(F.col("line"), F.col("v")).alias("line"))
+
+
+@query("select * from (values (1, 'prov', 'nato a'), (2, 'solo', 'solo')) t(id, left_, right_)")
+def sc_label_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, "(1, 'nato a ____ il .... prov'), (2, 'solo') as t(id, s)").select("id", T.clean_label(F.col("s"), True).alias("left_"), T.clean_label(F.col("s"), False).alias("right_"))
+
+
+@query("select 'p' || page || '.' || kind || '.' || lpad(round_even(x, 0)::int::varchar, 3, '0') || '-' || lpad(round_even(y, 0)::int::varchar, 3, '0') as id from (values (1, 'area', 12.5, 7.5), (2, 'celle', 100.4, 99.6)) t(page, kind, x, y)")
+def sc_anchor_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, "(1, 'area', 12.5, 7.5), (2, 'celle', 100.4, 99.6) as t(page, kind, x, y)").select(geometry.anchor_id(F.col("page"), F.col("kind"), F.col("x"), F.col("y")).alias("id"))
+
+
+@query("""select * from (values (1, '{"b": 2}'), (2, '{"a": 1}'), (3, 'niente')) t(id, block)""")
+def sc_json_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, """(1, 'x ```json {"a": 1}``` y ```{"b": 2}```'), (2, 'ecco {"a": 1} fine'), (3, 'niente') as t(id, s)""").select("id", T.last_fenced_block(F.col("s")).alias("block"))
+
+
+# Measured pages
+
+_SEGS = "(1, 10.0, 0.0, 40.0), (1, 20.0, 0.0, 40.0), (1, 30.0, 0.0, 20.0)"
+_UPS = "(1, 0.0, 10.0, 30.0), (1, 20.0, 10.0, 30.0), (1, 40.0, 10.0, 20.0)"
+
+
+@query("select * from (values (1, 0.0::double, 10.0::double, 20.0::double, 20.0::double), (1, 20.0, 10.0, 40.0, 20.0), (1, 0.0, 20.0, 20.0, 30.0)) t(page, x0, y0, x1, y1)")
+def wn_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.grid_cells(rows(spark, _SEGS + " as t(page, y, from, to)"), rows(spark, _UPS + " as t(page, x, from, to)"))
+
+
+_GLYPHS = "(1, 10.0, 10.0, 'A'), (1, 12.0, 10.2, 'B'), (1, 60.0, 10.0, 'C'), (1, 11.0, 30.0, 'D'), (2, 10.0, 10.0, 'E')"
+_RECTS = "(1, 1, 9.0, 8.0, 20.0, 12.0), (1, 2, 50.0, 0.0, 70.0, 40.0)"
+
+
+@query(f"select page, rect, string_agg(text, '' order by round_even(y / 4, 0), x, text) as text from (values {_GLYPHS}) g(page, x, y, text) join (values {_RECTS}) r(page, rect, x0, y0, x1, y1) using (page) where x between x0 - 0.6 and x1 + 0.6 and y between y0 - 0.6 and y1 + 0.6 group by page, rect")
+def jn_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.contained(rows(spark, _GLYPHS + " as t(page, x, y, text)"), rows(spark, _RECTS + " as t(page, rect, x0, y0, x1, y1)"))
+
+
+_WORDS = "(1, 0.0, 8.0, 20.0, 'Nome'), (1, 10.0, 18.0, 20.5, 'completo'), (1, 50.0, 60.0, 8.0, 'Data'), (1, 0.0, 9.0, 60.0, 'lontano')"
+_FIELDS = "(1, 1, 20.0, 10.0, 40.0, 20.0), (1, 2, 50.0, 12.0, 70.0, 40.0)"
+
+
+@query("select * from (values (1, 1, 'completo')) t(page, rect, label)")
+def jn_left_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.left_texts(rows(spark, _FIELDS + " as t(page, rect, x0, y0, x1, y1)"), rows(spark, _WORDS + " as t(page, x0, x1, y, text)")).select("page", "rect", "label")
+
+
+@query(f"select page, rect, arg_min(text, (ry - y, x0, text)) as label from (select page, rect, x0 as rx0, x1 as rx1, y0 as ry from (values {_FIELDS}) f(page, rect, x0, y0, x1, y1)) join (values {_WORDS}) w(page, x0, x1, y, text) using (page) where y <= ry and ry - y <= 20 and x0 < rx1 and x1 > rx0 group by page, rect")
+def jn_above_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.above_texts(rows(spark, _FIELDS + " as t(page, rect, x0, y0, x1, y1)"), rows(spark, _WORDS + " as t(page, x0, x1, y, text)"))
+
+
+_BASES = "(1, 1, 10.0), (1, 2, 20.0), (1, 3, 60.0)"
+_PLACES = "(1, 7, 14.0), (1, 8, 26.0), (1, 9, 40.0)"
+
+
+@query(f"select page, field, arg_min(line, (abs(base - y), base)) as line from (values {_PLACES}) f(page, field, y) join (values {_BASES}) l(page, line, base) using (page) where abs(base - y) <= 8 group by page, field")
+def jn_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.nearest_lines(rows(spark, _PLACES + " as t(page, field, y)"), rows(spark, _BASES + " as t(page, line, base)"))
+
+
+@query("select * from (values (1, 1, 1, 'Cognome'), (1, 1, 2, 'Cognome'), (1, 2, 1, 'altra')) t(page, row, column, label)".replace("row, column", '"row", "column"'))
+def jn_table_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = "(1, 0, 0, 1, 'N'), (1, 0, 1, 2, 'Cognome'), (1, 1, 0, 1, ''), (1, 1, 1, 1, ''), (1, 1, 2, 1, ''), (1, 2, 0, 1, 'altra'), (1, 2, 1, 1, '') as t(page, row, place, span, text)"
+    return geometry.table_headers(rows(spark, cells)).filter("column > 0").select("page", "row", "column", "label")
+
+
+@query("select * from (values (1, 1, 0, null), (1, 1, 1, 'Cognome'), (1, 1, 2, 'Cognome'), (1, 1, 3, 'Cognome')) t(page, col, row_, header)")
+def jn_column_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = "(1, 1, 0, 'Cognome'), (1, 1, 1, ''), (1, 1, 2, null), (1, 1, 3, 'x') as t(page, column, row, text)"
+    return geometry.column_headers(rows(spark, cells)).select("page", F.col("column").alias("col"), F.col("row").alias("row_"), "header")
+
+
+@query("select page, round_even(size, 0) as body from (values (1, 9.1), (1, 8.9), (1, 12.0), (2, 11.2)) t(page, size) group by page, round_even(size, 0) qualify row_number() over (partition by page order by count(*) desc, round_even(size, 0)) = 1")
+def ag_mode_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent rounded size of a page's glyphs, the smaller of equals."""
+    sizes = rows(spark, "(1, 9.1), (1, 8.9), (1, 12.0), (2, 11.2) as t(page, size)").groupBy("page", F.bround("size", 0).alias("body")).agg(F.count("*").alias("n"))
+    return sizes.groupBy("page").agg(F.min_by("body", F.struct(-F.col("n"), "body")).alias("body"))
+
+
+_DOTS = ", ".join(f"(1, 5.0, {x}.0)" for x in range(0, 16, 2)) + ", " + ", ".join(f"(1, 9.0, {x}.0)" for x in (0, 1, 7, 8, 20, 21))
+
+
+@query(f"with d as (select *, x - lag(x) over (partition by page, y order by x) as s from (values {_DOTS}) t(page, y, x)) select page, y::double as y, (min(x) - median(s) / 2)::double as \"from\", (max(x) + median(s) / 2)::double as \"to\" from d group by page, y having count(*) >= 6 and max(s) = min(s)")
+def wn_dotted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.dotted_borders(rows(spark, _DOTS + " as t(page, y, x)"))
+
+
+@query(f"with d as (select *, x - lag(x) over (partition by page, y order by x) as s from (values {_DOTS}) t(page, y, x)) select page, y::double as y, median(s)::double as step from d group by page, y")
+def ag_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = rows(spark, _DOTS + " as t(page, y, x)").withColumn("s", F.expr("x - lag(x) over (partition by page, y order by x)"))
+    return steps.groupBy("page", "y").agg(F.median("s").alias("step"))
+
+
+_STRIP = "(1, 1, 0.0, 10.0, true), (1, 1, 10.0, 20.0, true), (1, 1, 20.0, 30.0, true), (1, 1, 30.0, 60.0, true), (1, 2, 0.0, 10.0, true), (1, 2, 40.0, 50.0, true)"
+
+
+@query("select * from (values (1, 1, 0.0::double, 30.0::double, 3)) t(page, r, x0, x1, many)")
+def wn_cell_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.cell_strips(rows(spark, _STRIP + " as t(page, row, x0, x1, empty)")).select("page", F.col("row").alias("r"), "x0", "x1", "many")
+
+
+@query("select * from (values (1, 40.0::double), (3, null)) t(id, until)")
+def wn_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = "(1, 1, 0.0, 0.0, 9.0, 9.0, 0.0), (1, 2, 20.0, 0.0, 29.0, 9.0, 0.5), (1, 3, 40.0, 0.0, 49.0, 9.0, 0.1), (1, 4, 60.0, 0.0, 90.0, 9.0, 0.0) as t(page, id, x0, y0, x1, y1, ink)"
+    return geometry.checkboxes(rows(spark, boxes)).select("id", F.col("label_until").alias("until"))
+
+
+@query("select * from (values (1, 10.0::double), (1, 80.0::double)) t(page, y)")
+def wn_ruled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = "(1, 10.0, 0.0, 50.0), (1, 40.0, 0.0, 50.0), (1, 50.0, 0.0, 50.0), (1, 80.0, 0.0, 50.0), (1, 95.0, 0.0, 10.0) as t(page, y, from, to)"
+    return geometry.ruled_fields(rows(spark, lines)).select("page", "y")
+
+
+@query("select * from (values ('a', 1, 1), ('b', 2, 1), ('c', 3, 2)) t(id, place, line_no)")
+def wn_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.reading_order(rows(spark, "(1, 'a', 0.0, 10.0), (1, 'b', 50.0, 9.0), (1, 'c', 0.0, 20.0) as t(page, id, x, y)"), ["page"], "x", "y").select("id", "place", "line_no")
+
+
+@query("select * from (values (1, 'nome'), (2, 'cognome')) t(id, label)")
+def wn_prev_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.labels_between(rows(spark, "(1, 1, 'nome ____ cognome ____', 5, 9), (1, 2, 'nome ____ cognome ____', 18, 22) as t(par, id, text, start, end)"), ["par"], "start", "end", "text").select("id", "label")
+
+
+@query("select * from (values (1, 'Nome stampato'), (2, 'campo_interno')) t(id, label)")
+def wn_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A widget's printed label before its internal name."""
+    return rows(spark, "(1, 'Nome stampato', 'x1'), (2, ' ', 'campo_interno') as t(id, printed, name)").select("id", F.when(F.trim("printed") != "", F.col("printed")).otherwise(F.col("name")).alias("label"))
+
+
+@query("select * from (values (1, 'riga uno riga due')) t(id, context)")
+def wn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that cross a field's surroundings, in order, without filler runs."""
+    near = rows(spark, "(1, 10.0, 'riga uno ____'), (1, 14.0, 'riga due'), (1, 90.0, 'lontano') as t(id, y, text)").filter(F.col("y").between(0, 30))
+    g = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("y", T.clean_label(F.col("text"), False).alias("t")))).alias("p"))
+    return g.select("id", F.substring(F.array_join(F.transform("p", lambda x: x.t), " "), 1, 200).alias("context"))
+
+
+@query("select id, case when kind = 'celle' then coalesce(many, greatest(1, floor(w / 4.2)))::bigint when kind = 'casella' then 1 else greatest(1, floor(w / 4.2))::bigint end as n from (values (1, 'celle', 16, 100.0), (2, 'celle', null, 42.0), (3, 'casella', null, 9.0), (4, 'area', null, 100.0), (5, 'area', null, 1.0)) t(id, kind, many, w)")
+def wn_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rows(spark, "(1, 'celle', 16, 100.0), (2, 'celle', null, 42.0), (3, 'casella', null, 9.0), (4, 'area', null, 100.0), (5, 'area', null, 1.0) as t(id, kind, many, w)")
+    return t.select("id", geometry.capacity(F.col("kind"), F.col("many"), F.col("w")).cast("long").alias("n"))
+
+
+@query("select * from (values (1, 1), (1, 3)) t(page, rank)")
+def jn_overlap_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.claim(rows(spark, "(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 5.0, 0.0, 12.0, 10.0), (1, 3, 9.0, 0.0, 29.0, 10.0) as t(page, rank, x0, y0, x1, y1)")).select("page", "rank")
+
+
+@query("select * from (values (1, 1), (1, 2), (1, 3), (1, 4)) t(page, side)")
+def io_pdf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four sides of a rectangle as segments."""
+    r = rows(spark, "(1, 0.0, 0.0, 4.0, 2.0) as t(page, x0, y0, x1, y1)")
+    sides = F.array(*[F.struct(F.lit(i).cast("long").alias("side")) for i in (1, 2, 3, 4)])
+    return r.select("page", F.explode(sides).alias("s")).select("page", "s.side")
+
+
+@query("select id, case turn when 90 then h - y else x end::double as x, case turn when 90 then x else y end::double as y from (values (1, 0, 600.0, 10.0, 20.0), (2, 90, 600.0, 10.0, 20.0)) t(id, turn, h, x, y)")
+def io_pdf_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on a turned page, as if it stood upright."""
+    t = rows(spark, "(1, 0, 600.0, 10.0, 20.0), (2, 90, 600.0, 10.0, 20.0) as t(id, turn, h, x, y)")
+    turned = F.col("turn") == 90
+    return t.select("id", F.when(turned, F.col("h") - F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
+
+
+# Rules and writers
+
+
+@query("select * from (values ('a', 2), ('b', 2)) t(id, n)")
+def ag_repeated_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = rows(spark, "('a', 1, 'cognome', 10.0, 50.0, 100.0), ('b', 1, 'cognome', 10.2, 50.1, 120.0), ('c', 1, 'nome', 60.0, 90.0, 100.0), ('d', 1, 'cap', 0.0, 9.0, 1.0), ('e', 1, 'cap', 0.0, 9.0, 1.2) as t(id, page, key, x0, x1, y0)")
+    return rules.repeated_columns(f).select("id", F.col("rows").alias("n"))
+
+
+@query("select * from (values (1, 'unknown slot'), (2, 'checkbox'), (3, 'blank'), (4, 'excluded section'), (5, 'provenance'), (6, 'cap: 5 digits'), (7, null)) t(id, reason)")
+def vd_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = "(1, null, 'x', 'x', 'v', array('v')), (2, 'casella', 'x', 'x', 'v', array('v')), (3, 'area', 'x', 'x', ' ', array('v')), (4, 'area', 'lavoratori transfrontalieri', 'x', 'v', array('v')), (5, 'area', 'x', 'x', 'Bianchi', array('Rossi')), (6, 'area', 'x', 'CAP', '001', array('001')), (7, 'area', 'x', 'nome', 'Rossi', array('Rossi SRL')) as t(id, kind, line, before, value, sources)"
+    return rules.gate(rows(spark, p)).select("id", "reason")
+
+
+@query("select * from (values ('f', 1, 'corto', null), ('f', 2, 'v. all. 1', 'molto lungo'), ('f', 3, 'v. all. 2', 'anche questo')) t(form, id, shown, appendix)")
+def wr_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.overflow(rows(spark, "('f', 1, 'corto', 10), ('f', 2, 'molto lungo', 5), ('f', 3, 'anche questo', 5) as t(form, id, value, room)"))
+
+
+@query("select * from (values (1, 'nome Rossi cognome Verdi')) t(par, text)")
+def wr_docx_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of a paragraph, those that overlap left out, spliced from right to left."""
+    e = sequences.overlapping_edits(rows(spark, "(1, 5, 9, 'Rossi'), (1, 18, 22, 'Verdi'), (1, 30, 36, 'x'), (1, 34, 38, 'y') as t(par, start, end, value)"), ["par"], "start", "end").filter("not clash")
+    edits = e.groupBy("par").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("from"), F.col("end").cast("int").alias("until"), "value")).alias("edits"))
+    return rows(spark, "(1, 'nome ____ cognome ____') as t(par, text)").join(edits, "par").select("par", sequences.spliced(F.col("text"), F.col("edits")).alias("text"))
+
+
+@query("select id, sum(greatest(g - n, 0))::bigint as spill from (values (1, 5, 2), (1, 0, 4), (2, 3, 3)) t(id, g, n) group by id")
+def au_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.spill(rows(spark, "(1, 5, 2), (1, 0, 4), (2, 3, 3) as t(id, gain, neighbour_gain)"))
+
+
+@query("select c_custkey, case when c_acctbal > 5000 and c_mktsegment <> 'MACHINERY' then upper(c_name) || '!' else lower(c_mktsegment) end as v from customer")
+def ud_projection_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formlake.tables import table
+
+    out = projection.compiled("name.upper() + '!' if balance > 5000 and segment != 'MACHINERY' else segment.lower()", {"name", "balance", "segment"})
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return c.select("c_custkey", out.alias("v"))

@@ -7,7 +7,8 @@ that is too large for a task is split again, exactly, by the same principle over
 no pair is lost; within a bucket a search emits a least spanning forest of the links, not the pairs.
 
 Null and empty texts have the fingerprint 0 and are linked like any other. Repeated rows are copies (a doc_id twice gives two
-rows). An empty table gives an empty result. Other columns of the input are ignored.
+rows; rows of one doc_id are one document and stay or go together). A document without a doc_id names no group: it takes its
+class's component, null if the class has no doc_id, and is never dropped. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -214,6 +215,7 @@ def _links_of(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
 
 def links(classes: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """a, b: links between representatives (rep) of fingerprint classes (fp), enough to connect all within the radius."""
+    classes = classes.filter("rep is not null")
     n, both = bit_statistics(classes)
     chosen = plan(n, both, radius)
     cases = []
@@ -285,7 +287,8 @@ def first_of_groups(docs: DataFrame, radius: int = 10) -> DataFrame:
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = components(similar_links(links(classes, radius), docs))
     heads = classes.select("rep").join(found.filter("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti")
-    return docs.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    kept = docs.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def hex_digits(fp: Column) -> Column:

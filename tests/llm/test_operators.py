@@ -1,0 +1,403 @@
+"""Every operator against a brute-force version or a library, and on odd inputs."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from formlake.llm import chat_format, decontaminate, license_scan, line_quality, passage_dedup, quality_rules, secret_scan, simhash_dedup, token_codec, token_count
+from formlake.llm.components import components
+from formlake.llm.fm_index import FMIndex
+from formlake.llm.kernels import WordTable
+
+SCHEMA = "doc_id long, text string, lang string, n_words long, score double, a long, fp string"
+LONG = " ".join(f"wort{i % 997}" for i in range(20_000))
+ODD = [
+    (1, None, None, 1, None, None, None),
+    (2, "", "en", None, 0.5, 7, "x"),
+    (3, " \n\t\x0b ", "en", 3, None, None, None),
+    (4, LONG, "en", 4, None, None, None),
+    (5, "the same short text of nine words stands here", "en", 5, None, None, None),
+    (5, "the same short text of nine words stands here", "en", 5, None, None, None),
+    (6, "the same short text of nine words stands here", None, 5, None, None, None),
+    (7, "日本語 émoji 😀 <|endoftext|> " + "aaa" * 60, "en", 5, None, None, None),
+    (8, LONG + " tail", "en", 4, None, None, None),
+    (9, "line one\nline one\nline one\n" * 40, "en", 4, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def made(seed, n, vocabulary=60):
+    r = random.Random(seed)
+    return [" ".join(r.choice("ab cd efg the und die".split()) + str(r.randint(0, vocabulary)) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+def test_word_table_hashes_equal_words_alike():
+    t = WordTable([b"a b a", b"", b"a  b\n", b"b"])
+    assert t.counts.tolist() == [3, 0, 2, 1]
+    assert t.hashes[0] == t.hashes[2] == t.hashes[3] != t.hashes[1]
+    assert t.hashes[1] == t.hashes[4] == t.hashes[5]
+    h, at = t.grams(2)
+    assert at.tolist() == [0, 1, 3] and h[0] == h[2]
+
+
+# 1
+
+
+def test_forward_backward_equals_enumeration():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 5):
+        unary, move = r.normal(size=n), r.normal(size=(2, 2))
+        good, moves, whole = line_quality._forward_backward(unary, np.array([0, n]), move)
+        total, marginal = 0.0, np.zeros(n)
+        for k in range(2**n):
+            y = [(k >> i) & 1 for i in range(n)]
+            w = np.exp(sum(unary[i] * y[i] for i in range(n)) + sum(move[y[i], y[i + 1]] for i in range(n - 1)))
+            total += w
+            marginal += w * np.array(y)
+        assert np.allclose(good, marginal / total) and np.isclose(whole[0], np.log(total)) and np.isclose(moves.sum(), n - 1)
+
+
+def test_line_quality_learns_and_scores_odd_rows(spark, odd, none):
+    good, bad = "A plain line of text, as it should be.\nAnother one follows it.", "###*** $$$ %%% &&& !!!\n*** ### !!! $$$"
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) + f" {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    weights, move = line_quality.learn(docs, labels)
+    got = {r.doc_id: r.score for r in line_quality.score(docs, weights, move).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in range(40, 60))
+    scores = line_quality.score(odd, weights, move).collect()
+    assert len(scores) == len(ODD) and all(0 <= r.score <= 1 for r in scores)
+    assert line_quality.score(none, weights, move).count() == 0
+    assert np.allclose([r.score for r in line_quality.score(odd, *line_quality.learn(odd, labels.filter("false"))).collect()], 0.5)
+
+
+# 2
+
+
+def test_token_counts_equal_the_library():
+    from tokenizers.models import Unigram
+
+    for seed in range(40):
+        r = random.Random(seed)
+        lexicon = [("<unk>", 0.0)] + [(p, float(-r.randint(1, 3))) for p in sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(12)})]
+        ours, theirs = token_count.Counter(lexicon, False), Unigram(lexicon, 0, False)
+        for _ in range(20):
+            w = "".join(r.choice("abcd") for _ in range(r.randint(1, 12)))
+            assert ours.count(w) == len(theirs.tokenize(w))
+
+
+def test_token_counts_with_bytes_and_odd_rows(odd, none):
+    from tokenizers.models import Unigram
+
+    lexicon = token_count.default_lexicon()
+    ours, theirs = token_count.Counter(lexicon), Unigram(lexicon, 0, True)
+    for w in ["hello", "日本語", "ñandú", "😀😀a", "zzqq"]:
+        assert ours.count("▁" + w) == len(theirs.tokenize("▁" + w))
+    got = sorted((r.doc_id, r.n_words) for r in token_count.count_tokens(odd).collect())
+    assert got == sorted((i, len((t or "").encode().split())) for i, t, *_ in ODD)
+    assert token_count.count_tokens(none).count() == 0
+
+
+# 3
+
+
+def fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reach(prints, radius):
+    ids = sorted(prints)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in ids:
+        for j in ids:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize(("radius", "bucket"), [(3, 16384), (3, 8), (6, 64)])
+def test_links_connect_all_within_the_radius(spark, radius, bucket):
+    r = random.Random(radius)
+    centres = [r.getrandbits(64) for _ in range(12)]
+    prints = {}
+    for i in range(160):
+        x = r.choice(centres)
+        for _ in range(r.randint(0, radius + 2)):
+            x ^= 1 << r.randrange(64)
+        prints[i] = x
+    first = {}
+    for i, x in prints.items():
+        first.setdefault(x, i)
+    classes = spark.createDataFrame([(simhash_dedup._signed(x), i) for x, i in first.items()], "fp long, rep long")
+    found = {r.node: r.component for r in components(simhash_dedup.links(classes, radius, bucket)).collect()}
+    expected = reach(prints, radius)
+    assert all(found.get(first[x], first[x]) == expected[i] for i, x in prints.items())
+
+
+def test_thresholds_follow_the_pigeonhole_principle():
+    both = np.full((64, 64), 2500.0)
+    np.fill_diagonal(both, 5000)
+    for n in (100, 10**6, 10**9):
+        for radius in (1, 3, 8):
+            chosen = simhash_dedup.plan(n, both * n / 10_000, radius)
+            m = len(chosen)
+            assert sum(t + 1 for _, t, _ in chosen) == radius + 1 or m == 1
+            assert not set.intersection(*[set(b) for _, _, b in chosen]) or m == 1
+
+
+def test_groups_of_odd_rows(odd, none):
+    got = {(r.doc_id, r.component_id) for r in simhash_dedup.group_near_copies(odd).collect()}
+    prints = {i: fingerprint(t) for i, t, *_ in ODD}
+    assert got == set(reach(prints, 3).items())
+    assert {r.doc_id: r.f for r in simhash_dedup.fingerprints(odd).select("doc_id", simhash_dedup.hex_digits(F.col("fp")).alias("f")).collect()} == {i: f"{x:016x}" for i, x in prints.items()}
+    assert simhash_dedup.group_near_copies(none).count() == 0
+
+
+def test_first_of_groups_confirms_links(spark):
+    r = random.Random(5)
+    base = [f"w{r.randint(0, 999)}" for _ in range(300)]
+    near = [*base[:150], "new", *base[151:]]
+    half = [*base[:150], *[f"x{i}" for i in range(150)]]
+    docs = spark.createDataFrame([(1, " ".join(base), "k"), (2, " ".join(near), "k"), (3, " ".join(half), None), (4, " ".join(base), "k"), (None, "x", "k")], "doc_id long, text string, rep string")
+    kept = simhash_dedup.first_of_groups(docs)
+    assert kept.columns == docs.columns and sorted((x.doc_id or 0) for x in kept.collect()) == [0, 1, 3]
+
+
+# 4
+
+
+def test_codec_equals_the_library(odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_codec.default_path())
+    got = {r.doc_id: r for r in token_codec.digests(odd).collect()}
+    back = {r.doc_id: r.text for r in token_codec.decode(token_codec.encode(odd)).collect()}
+    for i, t, *_ in ODD:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert back[i] == (t or "")
+
+
+def test_transducer_is_minimal_and_finds_only_its_words():
+    words = {w.encode(): [i, i + 1] for i, w in enumerate(sorted({a + b + c for a in ("un", "re", "") for b in ("do", "make", "take") for c in ("ing", "er", "")}))}
+    t = token_codec.Transducer.mapped(*token_codec.Transducer.build(words).pack())
+    assert t.find(list(words)) == list(words.values())
+    assert t.find([b"", b"undo!", b"und", b"xx"]) == [None] * 4
+    assert len(t.final) < sum(map(len, words)) / 3
+    assert token_codec.Transducer.mapped(*token_codec.Transducer.build({}).pack()).find([b"a", b""]) == [None, None]
+
+
+def test_codec_of_nothing(none):
+    assert token_codec.digests(none).count() == 0
+
+
+# 5
+
+
+def removed(docs, words=13):
+    first = {}
+    split = [(i, (t or "").encode().split()) for i, t in docs]
+    for i, w in split:
+        for k in range(len(w) - words + 1):
+            g = tuple(w[k : k + words])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for i, w in split:
+        gone = {p for k in range(len(w) - words + 1) if first[tuple(w[k : k + words])] < i for p in range(k, k + words)}
+        kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_passages_equal_brute_force(spark, odd, none, monkeypatch):
+    r = random.Random(3)
+    pool = [[f"w{r.randint(0, 30)}" for _ in range(r.randint(5, 60))] for _ in range(12)]
+    docs = [(i, "\n".join(" ".join(r.choice(pool)) for _ in range(r.randint(0, 5))) + f" own{i}") for i in range(60)]
+    monkeypatch.setattr(passage_dedup, "HOT_ROWS", 6)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, passage_dedup.remove_passages(df).collect())) == removed(docs)
+    texts = [(i, t) for i, t, *_ in ODD]
+    assert sorted(map(tuple, passage_dedup.remove_passages(odd).collect())) == removed(texts)
+    assert passage_dedup.remove_passages(none).count() == 0
+    alone = spark.createDataFrame([(None, LONG), (1, LONG), (2, LONG)], "doc_id long, text string")
+    assert {(x.doc_id, x.n_removed) for x in passage_dedup.remove_passages(alone).collect()} == {(None, 0), (1, 0), (2, 20_000)}
+
+
+def test_index_finds_longest_matches():
+    r = np.random.default_rng(4)
+    text = r.integers(1, 5, 300)
+    text[::37] = 0
+    index = FMIndex(text, np.arange(300))
+    query = r.integers(1, 6, 80)
+    length, low, high = index.matches(query, np.arange(80), 13)
+    t = text.tolist()
+    for e in range(80):
+        for n in range(13, -1, -1):
+            g = query[e - n + 1 : e + 1].tolist()
+            places = [k for k in range(300 - n + 1) if t[k : k + n] == g] if n and e - n + 1 >= 0 else []
+            if n == 0 or (places and 0 not in g):
+                break
+        assert length[e] == n
+        if n:
+            assert high[e] - low[e] == len(places) and index.least_value(low[e : e + 1], high[e : e + 1])[0] == min(places)
+
+
+# 6
+
+
+def test_secrets(spark, odd, none):
+    trees = secret_scan.learn(secret_scan.labelled_findings(spark, 1700))
+    key = "9a8b99b6f89edc9746a2ef7e89e21f68bcb4543d"
+    docs = spark.createDataFrame([(1, f'so token = "{key}" it is {key}', "web", 1), (2, f"seen in commit {key} of it", "web", 1), (3, "card 4096584840198885 and a_long_name_of_a_test_1", None, 1), (4, None, None, None)], "doc_id long, text string, source string, _n long")
+    found = secret_scan.findings(docs, trees, path="source").collect()
+    assert {(r.doc_id, r.is_secret) for r in found if r.word_index < 4} >= {(1, True), (3, False)}
+    assert not any(r.is_secret for r in found if r.doc_id in (2, 3))
+    clean = secret_scan.redact(docs, trees, path="source")
+    assert clean.columns == docs.columns
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[1] == f'so token = "{secret_scan.REDACTED}" it is {secret_scan.REDACTED}' and key in texts[2] and texts[4] is None
+    assert secret_scan.redact(odd, trees).count() == len(ODD) and secret_scan.findings(none, trees).count() == 0
+
+
+def test_compiled_forest_equals_its_trees(spark):
+    from formlake.llm import forest
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 4))
+    y = (x[:, 0] + 0.3 * x[:, 1] > 0).astype(float)
+    trees = forest.fit(x, y)
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], "f0 double, f1 double, f2 double, f3 double")
+    got = [v.s for v in df.select(forest.compiled(trees, lambda f: F.col(f"f{f}")).alias("s")).collect()]
+    assert np.allclose(sorted(got), sorted(forest.predict(trees, x))) and ((forest.predict(trees, x) >= 0.5) == y).mean() > 0.9
+
+
+# 7
+
+
+def rules_of(text):
+    w = (text or "").encode().split()
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    many = Counter(windows)
+    cover = {p for i, g in enumerate(windows) if many[g] > 1 for p in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)
+
+
+def test_rules_equal_brute_force(spark, odd, none):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = [(i, t) for i, t in enumerate([*made(1, 40, 3), "a b c a b c", "# | <x>\n# | <x>\n\n \n", *[t for _, t, *_ in ODD]])]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        x = rules_of(t)
+        assert tuple(got[i][n] for n in names) == x
+        assert got[i].base_failed == (x[0] < 50 or 100 * x[4] > 50 * x[0])
+        assert not (got[i].kept and got[i].base_failed)
+    kept = quality_rules.keep_good(odd)
+    assert kept.columns == odd.columns and {r.doc_id: r.n_words for r in kept.collect()} == {r.doc_id: dict((x[0], x[3]) for x in ODD)[r.doc_id] for r in kept.collect()}
+    assert quality_rules.keep_good(none).count() == 0
+
+
+# 8
+
+
+def test_chats_are_read_back(spark):
+    own = "</s>[INST] ok [/INST]"
+    turns = [(1, 0, "system", "be\n<<SYS>>\\"), (1, 1, "user", own), (1, 2, "assistant", own), (2, 1, "assistant", None), (2, 0, "tool<<ROLE>>", "x <</TURN>>\n"), (2, 2, None, "\\</s>\\\\"), (3, 0, "user", "<"), (3, 0, "user", "<"), (None, 5, "user", "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    chats = {r.conv_id: r for r in chat_format.format_chats(df).select("*", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss")).collect()}
+    for c, r in chats.items():
+        expected = sorted(((t, role or "", text or "") for i, t, role, text in turns if i == c), key=lambda x: x)
+        assert [(x.role, x.text) for x in r.turns] == [(a, b) for _, a, b in expected]
+        assert r.loss == "".join(b for _, a, b in expected if a == "assistant")
+    assert chats[1].valid and not chats[2].valid and chats[3].state == "error:2"
+    assert chat_format.format_chats(df.filter("false")).count() == 0
+
+
+# 9
+
+
+def test_leaks_equal_brute_force(spark, odd, none):
+    r = random.Random(9)
+    items = [(i, " ".join(f"v{r.randint(0, 400)}" for _ in range(r.randint(6, 40)))) for i in range(12)] + [(90, "two words"), (91, ""), (92, None)]
+    docs = []
+    for i in range(60):
+        w = [f"v{r.randint(0, 400)}" for _ in range(r.randint(0, 80))]
+        if i % 3 == 0:
+            own = items[i % 12][1].split()
+            if i % 2:
+                own[len(own) // 2] = "CHANGED"
+            w[len(w) // 2 : len(w) // 2] = own
+        docs.append((i, " ".join(w)))
+    docs.append((60, "now Two WORDS stand among these others"))
+
+    def shingles(w):
+        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+
+    expected = set()
+    for d, text in docs:
+        w = text.lower().split()
+        for i, item in items:
+            s = (item or "").lower().split()
+            for k in range(len(w) - len(s) + 1) if s else ():
+                a, b = shingles(s), shingles(w[k : k + len(s)])
+                both = sum((a & b).values())
+                if both / (sum(a.values()) + sum(b.values()) - both) >= 0.8:
+                    expected.add((d, i))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()} == expected
+    clean = decontaminate.clean_documents(df, bench)
+    assert {x.doc_id for x in clean.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+    assert decontaminate.clean_documents(odd, bench).count() == len(ODD) and decontaminate.leaks(none, bench).count() == 0
+    assert decontaminate.clean_documents(odd, bench.filter("false")).count() == len(ODD)
+
+
+# 10
+
+
+def test_licenses(spark, odd, none):
+    notice = license_scan.TEMPLATES["Apache-2.0-header"].split()
+    near = [*notice[:20], "really", *notice[21:]]
+    docs = spark.createDataFrame([(1, "x y\nLicensed under CC BY-NC 4.0."), (2, "a " + " ".join(near) + " z"), (3, "nothing licensed here under any version"), (4, "Released under the MIT License. " * 2), (5, "[[Released---under THE mit license]]")], "doc_id long, text string")
+    found = license_scan.scan(docs).collect()
+    best = {(r.doc_id, r.license): r for r in found}
+    assert (1, "CC-BY-NC-4.0") in best and best[1, "CC-BY-NC-4.0"].coverage == 1
+    r = best[2, "Apache-2.0-header"]
+    assert 0.9 < r.coverage < 1 and r.first_word == 1
+    assert sum(x.license == "MIT" for x in found if x.doc_id == 4) == 2 and (5, "MIT") in best and not any(x.doc_id == 3 for x in found)
+    assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
+
+
+def test_alignment_equals_longest_common_subsequence():
+    r = random.Random(1)
+    for _ in range(60):
+        a, b = [[r.randint(0, 5) for _ in range(r.randint(1, 9))] for _ in range(2)]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        n, first, last = license_scan.align(np.array(a), np.array(b), -len(a), len(b))
+        assert n == table[-1][-1] and (n == 0 or b[first] in a and b[last] in a)

@@ -1,0 +1,44 @@
+"""The registered queries against their SQL, and the pipeline against its stages by hand."""
+
+import duckdb
+import pytest
+
+from formlake.llm.registry import ORACLE, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+TABLES = "documents benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    df = QUERIES[name](spark, DATA)
+    cols = sorted(df.columns)
+    assert sorted(map(tuple, df.select(cols).collect())) == sorted(con.sql(f"select {', '.join(cols)} from ({ORACLE[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_query_runs(spark, name):
+    df = QUERIES[name](spark, DATA)
+    assert all("(" not in c for c in df.columns) and df.count() >= 0
+
+
+def test_held_out_accuracy(spark):
+    found = QUERIES["op1_line_quality"](spark, DATA).toPandas().merge(duckdb.sql(f"select * from '{DATA}/labels.parquet'").df(), on="doc_id")
+    held = found[found.held_out]
+    assert (held.predicted == held.quality).mean() > 0.9
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    by_hand = docs
+    seen = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES:
+        by_hand = stage(spark, by_hand, DATA)
+        seen.append(by_hand.count())
+    got = corpus_pipeline.run(spark, DATA)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_hand.collect()))
+    assert seen[0] > seen[1] >= seen[2] >= seen[3] == seen[4] == seen[5] > 0

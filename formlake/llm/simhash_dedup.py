@@ -213,6 +213,11 @@ def _links_of(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[hit], np.array(left, np.int64)])), pa.array(np.concatenate([ids[hit + 1], np.array(right, np.int64)]))], ["a", "b"])
 
 
+def _signature(part: int, mask: int, flip: Column, home: bool) -> Column:
+    """The bucket of a fingerprint, some bits flipped, in a partition of bits."""
+    return F.struct(F.lit(part).cast("long").alias("part"), F.col("fp").bitwiseXOR(flip.cast("long")).bitwiseAND(F.lit(mask).cast("long")).alias("key"), F.lit(home).alias("home"))
+
+
 def links(classes: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """a, b: links between representatives (rep) of fingerprint classes (fp), enough to connect all within the radius."""
     classes = classes.filter("rep is not null")
@@ -221,8 +226,8 @@ def links(classes: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -
     cases = []
     for i, (mask, t, bits) in enumerate(chosen):
         flips = [_signed(sum(1 << b for b in c)) for k in range(1, t + 1) for c in combinations(bits, k)]
-        home = F.array(F.struct(F.lit(i).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key"), F.lit(True).alias("home")))
-        probes = [F.transform(F.array(*map(F.lit, flips)), lambda x, i=i, m=mask: F.struct(F.lit(i).cast("long").alias("part"), F.col("fp").bitwiseXOR(x).bitwiseAND(F.lit(m)).alias("key"), F.lit(False).alias("home")))] if flips else []
+        home = F.array(_signature(i, mask, F.lit(0).cast("long"), True))
+        probes = [F.transform(F.array(*map(F.lit, flips)), lambda x: _signature(i, mask, x, False))] if flips else []  # noqa: B023  called at once
         cases.append(F.concat(home, *probes))
     rows = classes.select("fp", "rep", F.explode(F.concat(*cases)).alias("s")).select("s.part", "s.key", "s.home", "fp", "rep")
     masks = {i: mask & ((1 << 64) - 1) for i, (mask, _, _) in enumerate(chosen)}

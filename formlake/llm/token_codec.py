@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the lexicon, words that a summary of frequent words holds, and words whose ids a worker remembers.
-LEXICON_WORDS, SUMMARY_WORDS, MEMORY_WORDS = 30_000, 30_000, 300_000
+LEXICON_WORDS, SUMMARY_WORDS, MEMORY_WORDS = 30_000, 30_000, 400_000
 #: Longer words are merged one by one by a heap instead of all together in a matrix.
 MATRIX_BYTES = 64
 #: Words merged together: their matrices stay in the CPU's caches.
@@ -323,13 +323,18 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(split(text or ""))
+                # What stands between blanks is counted, and only the frequent of these are split into words.
+                seen.update((text or "").split(" "))
                 if len(seen) > 8 * SUMMARY_WORDS:
                     # As in summaries of heavy hitters: what is left gives up what the first word below the bound has.
                     top = seen.most_common(SUMMARY_WORDS + 1)
                     floor = top[-1][1]
                     seen = Counter({w: n - floor for w, n in top[:-1] if n > floor})
-        top = seen.most_common(SUMMARY_WORDS)
+        words: Counter = Counter()
+        for unit, n in seen.most_common(SUMMARY_WORDS):
+            for word in split(" " + unit):
+                words[word] += n
+        top = words.most_common(SUMMARY_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     counts = docs.select("text").mapInArrow(summaries, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -123,10 +123,16 @@ def scan_words(words: np.ndarray, h: np.ndarray, hit: np.ndarray, templates: Tem
             # A band that grows beyond a template's length, as in repeated text, is cut into bands of bounded width that overlap by one band.
             for start in range(low - BAND, high + BAND + 1, size + BAND) if high - low > size + BAND else (low - BAND,):
                 end = min(high + BAND, start + size + 3 * BAND) if high - low > size + BAND else high + BAND
-                base = max(0, start)
-                matched, a, b = align(templates.words[i], words[base : end + size + 1], start - base, end - base)
-                if matched >= MIN_COVERAGE * size:
-                    out.append((i, matched, base + a, base + b))
+                # What stands before and after a match may hold the template again.
+                open_ = [(max(0, start), min(len(words), end + size))]
+                while open_:
+                    x, y = open_.pop()
+                    if y - x < MIN_COVERAGE * size:
+                        continue
+                    matched, a, b = align(templates.words[i], words[x:y], start - x, end - x)
+                    if matched >= MIN_COVERAGE * size:
+                        out.append((i, matched, x + a, x + b))
+                        open_ += [(x, x + a), (x + b + 1, y)]
     return sorted(set(out), key=lambda x: (x[2], -x[1], x[0]))
 
 

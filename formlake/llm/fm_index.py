@@ -6,9 +6,12 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling the length that ranks stand for."""
+    """Suffixes in order, by doubling the length that ranks stand for. Each 0 is an end of its own, the first the least, so no comparison goes beyond one."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    ends = np.flatnonzero(text == 0)
+    rank = text.astype(np.int64) + len(ends)
+    rank[ends] = np.arange(len(ends))
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
     width = 1
     while True:
         after = np.full(n, -1, np.int64)
@@ -56,8 +59,8 @@ class FMIndex:
             self.levels.append(BitRank(bits))
             rows = np.concatenate([rows[~bits], rows[bits]])
         symbols = np.arange(self.sigma)
-        first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))[:-1]])
-        self.base = first - self._descend(symbols, np.zeros(self.sigma, np.int64))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))])
+        self.base = self.first[:-1] - self._descend(symbols, np.zeros(self.sigma, np.int64))
         # Least value over any interval of suffixes: minima over spans of powers of two.
         self.least = [values[order]]
         while 2 ** len(self.least) <= n:
@@ -74,8 +77,14 @@ class FMIndex:
         """Matching statistics: for each place `ends` of `queries`, the length of the longest match that ends there, `longest` at most (a symbol below 1 stops it), and its interval of suffixes."""
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         length = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        for j in range(longest):
+        # The first step starts from all suffixes: its interval is the symbol's own.
+        symbol = queries[ends]
+        live = np.flatnonzero((symbol > 0) & (symbol < self.sigma)) if longest else np.zeros(0, np.int64)
+        low[live], high[live] = self.first[symbol[live]], self.first[symbol[live] + 1]
+        live = live[high[live] > low[live]]
+        length[live] = 1
+        low[length == 0], high[length == 0] = 0, self.n
+        for j in range(1, longest):
             live = live[ends[live] - j >= 0]
             symbol = queries[ends[live] - j]
             ok = (symbol > 0) & (symbol < self.sigma)

@@ -9,7 +9,7 @@ the segments are streamed through their index, and the matching statistics of ev
 of its occurrences and the least doc_id there. A window with a smaller doc_id than a document's own covers words to remove.
 
 A null text has no words. A document without a doc_id keeps its words and takes none from others. A doc_id is one document: rows that repeat one must have one text, and each gets its own result
-row. An empty table gives no rows; other columns are ignored. Equal windows are told by their words, hashes only route them.
+row. An empty table gives no rows; other columns are ignored. Windows are told by their words; segments are put together by 128 bits.
 """
 
 from __future__ import annotations
@@ -87,15 +87,16 @@ def _rolled(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return total, powers[1]
 
 
-def _segments(batch: pa.RecordBatch, words: int, m: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each document of a batch with a shared minimizer (array `found` of h, hot): doc_id, words, and of its segments: shard, c1, c2 (128 bits of the content), first word, word after the last."""
-    ids, texts = batch.column("doc_id").to_pylist(), unpacked(batch.column("z"))
+def _segments(batch: pa.RecordBatch, words: int, m: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each document of a batch with a shared minimizer (array `found` of h, hot): doc_id, text, and of its segments: shard, c1, c2 (128 bits from 64 of each word), first word, word after the last."""
+    ids, unpack = batch.column("doc_id").to_pylist(), zstandard.ZstdDecompressor().decompress
     found = batch.column("found")
     ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
     flat = found.flatten()
     shared = flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     hot_flags = flat.field("hot").to_numpy(zero_copy_only=False)
-    for k, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+    for k, (doc_id, z) in enumerate(zip(ids, batch.column("z"), strict=True)):
+        text = unpack(z.as_py())
         mine = slice(ends[k - 1] if k else 0, ends[k])
         order = np.argsort(shared[mine])
         keys, hot = shared[mine][order], hot_flags[mine][order]
@@ -112,16 +113,15 @@ def _segments(batch: pa.RecordBatch, words: int, m: int) -> Iterator[tuple[int,
         new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
         a = np.flatnonzero(new)
         x, y = first[a], first[np.append(a[1:], len(first)) - 1] + words
-        tokens = text.split()
-        twice = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, tokens)), np.uint64).reshape(-1, 2)
         c = []
-        for column, base in ((0, 0x9E3779B97F4A7C15), (1, 0xC2B2AE3D27D4EB4F)):
-            total, back = _rolled(mix(twice[:, column]), base)
+        for values, base in ((table.hashes, 0x9E3779B97F4A7C15), (mix(table.hashes + np.uint64(0x632BE59BD9B4E019)), 0xC2B2AE3D27D4EB4F)):
+            total, back = _rolled(values, base)
             c.append(mix((total[y] - total[x]) * back[x] + (y - x).astype(np.uint64)).view(np.int64))
-        yield doc_id, tokens, np.where(is_hot[a], c[0], best[a].view(np.int64)), c[0], c[1], x, y
+        yield doc_id, text, np.where(is_hot[a], c[0], best[a].view(np.int64)), c[0], c[1], x, y
 
 
-_HELD = 100_000
+#: Segments that a task puts together before it passes them on.
+_HELD = 30_000
 
 
 def contents(marked: DataFrame, dictionary, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
@@ -136,7 +136,8 @@ def contents(marked: DataFrame, dictionary, words: int = WORDS, m: int = MINIMIZ
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None, write_dict_id=False, write_content_size=True).compress
         held: dict = {}
         for batch in batches:
-            for doc, tokens, shard, c1, c2, x, y in _segments(batch, words, m):
+            for doc, text, shard, c1, c2, x, y in _segments(batch, words, m):
+                tokens = text.split()
                 joined = b" ".join(tokens)
                 to = np.cumsum([len(t) + 1 for t in tokens]) - 1
                 begin = np.concatenate([[0], to[:-1] + 1])
@@ -194,8 +195,8 @@ def word_dictionary(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, words: int
         return b""
 
 
-def search_block(contents: list[bytes], owners: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
-    """For each content, the least owner of every window of it over all contents, by one FM-index."""
+def search_block(contents: list[bytes], owners: np.ndarray, words: int = WORDS, asked: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each content, the least owner of every window of it over all contents, by one FM-index. asked: only these contents are searched for, the others have no windows."""
     split = [c.split(b" ") for c in contents]
     sizes = np.array([len(s) for s in split])
     symbols: dict[bytes, int] = {}
@@ -206,6 +207,8 @@ def search_block(contents: list[bytes], owners: np.ndarray, words: int = WORDS)
     index = FMIndex(text, np.repeat(owners, sizes + 1))
     starts = ends - sizes
     windows = np.maximum(sizes - words + 1, 0)
+    if asked is not None:
+        windows = np.where(asked, windows, 0)
     firsts = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     length, low, high = index.matches(text, firsts + words - 1, words)
     assert (length == words).all()
@@ -216,27 +219,31 @@ def search_shards(parts: DataFrame, dictionary, words: int = WORDS) -> DataFrame
     """c1, c2, least (array of the least doc_id of each window) of contents with a window that a document of theirs has to give up."""
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-        held: tuple[list, ...] = ([], [], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [], [])
         size, last = 0, (None,) * 3
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None).decompress
         for batch in batches:
             for s, c1, c2, content, low, high in zip(*(batch.column(k).to_pylist() for k in ("shard", "c1", "c2", "content", "low", "high")), strict=True):
                 if (s, c1, c2) == last:
-                    held[3][-1], held[4][-1] = min(held[3][-1], low), max(held[4][-1], high)
+                    held[4][-1], held[5][-1] = min(held[4][-1], low), max(held[5][-1], high)
                     continue
                 if s != last[0] and size >= INDEX_WORDS:
                     yield held
-                    held, size = ([], [], [], [], []), 0
+                    held, size = ([], [], [], [], [], []), 0
                 last, content = (s, c1, c2), unpack(content)
-                for x, y in zip(held, (c1, c2, content, low, high), strict=True):
+                for x, y in zip(held, (s, c1, c2, content, low, high), strict=True):
                     x.append(y)
                 size += content.count(b" ") + 2
         if held[0]:
             yield held
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c1, c2, texts, low, high in blocks(batches):
-            least = search_block(texts, np.array(low, np.int64), words)
+        for shards, c1, c2, texts, low, high in blocks(batches):
+            # A content none of whose documents comes after the first of its shard has nothing to give up.
+            number = np.unique(np.array(shards), return_inverse=True)[1]
+            first = np.full(number.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, number, np.array(low, np.int64))
+            least = search_block(texts, np.array(low, np.int64), words, np.array(high, np.int64) > first[number])
             keep = [i for i, (x, top) in enumerate(zip(least, high, strict=True)) if len(x) and x.min() < top]
             columns = [pa.array([c1[i] for i in keep], pa.int64()), pa.array([c2[i] for i in keep], pa.int64()), pa.array([least[i].tolist() for i in keep], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "least"])

@@ -150,3 +150,43 @@ def claim(rects: DataFrame, share: float = 0.35) -> DataFrame:
 def spill(cells: DataFrame) -> DataFrame:
     """Ink gained around a written place (id, gain, neighbour_gain of each side of its ring), neighbours' own gains taken off."""
     return cells.groupBy("id").agg(F.sum(F.greatest(F.col("gain") - F.col("neighbour_gain"), F.lit(0))).alias("spill"))
+
+
+def completed_grid(bars: DataFrame, uprights: DataFrame, least: int = 3, share: float = 0.75, margin: float = 0.6) -> DataFrame:
+    """The outer uprights that an open table lacks: page, x, from, to. A table is `least` bars or more of which `share` have one span."""
+    spans = bars.groupBy("page", F.bround("from").alias("a"), F.bround("to").alias("b")).agg(F.count("*").alias("n"), F.min("y").alias("top"), F.max("y").alias("low"), F.min("from").alias("x0"), F.max("to").alias("x1"))
+    total = bars.groupBy("page").agg(F.count("*").alias("bars"))
+    tables = spans.join(total, "page").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("bars")))
+    edges = tables.select("page", F.explode(F.array("x0", "x1")).alias("x"), F.col("top").alias("from"), F.col("low").alias("to"))
+    near = uprights.select("page", F.bround("x").alias("_x"), F.col("x").alias("ux"))
+    return edges.withColumn("_x", F.explode(F.array(F.bround("x") - 1, F.bround("x"), F.bround("x") + 1))).join(near, ["page", "_x"], "left").groupBy("page", "x", "from", "to").agg(F.min(F.abs(F.col("ux") - F.col("x"))).alias("d")).filter(F.coalesce(F.col("d") > margin, F.lit(True))).select("page", "x", "from", "to")
+
+
+def empty_areas(rects: DataFrame, wide: float = 18.0, high: float = 6.0) -> DataFrame:
+    """Blank boxes large enough, the largest first, none covered by half by an accepted one."""
+    fit = rects.filter((F.col("x1") - F.col("x0") >= wide) & (F.col("y1") - F.col("y0") >= high) & ~F.col("marked"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    ranked = fit.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(area.desc(), "id")).cast("long"))
+    return claim(ranked, 0.5)
+
+
+#: The order in which kinds of places claim space.
+CASCADE = ("widget", "celle", "casella", "riempimento", "tratto", "area")
+
+
+def cascade(candidates: DataFrame) -> DataFrame:
+    """Candidates of all kinds, each free of what kinds before it, and earlier ones of its own, have claimed."""
+    order = F.array_position(F.array(*map(F.lit, CASCADE)), F.col("kind"))
+    return claim(candidates.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(order, "y0", "x0")).cast("long")))
+
+
+def ink(pixels: DataFrame, dark: int = 160) -> DataFrame:
+    """Box and number of the dark pixels of each clip (clip, x, y, value)."""
+    return pixels.filter(F.col("value") < dark).groupBy("clip").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
+
+
+def fitting_size(text: Column, widths: Column, room: Column, size: float = 10.0, least: float = 4.5) -> Column:
+    """The largest size, by quarter points, at which a text fits; null if none does. widths: of characters in ems; others take half an em."""
+    ems = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0.0), lambda acc, c: acc + F.coalesce(F.try_element_at(widths, c), F.lit(0.5)))
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(int((size - least) * 4))), lambda k: F.lit(size) - k * 0.25)
+    return F.get(F.filter(sizes, lambda s: s * ems <= room), F.lit(0))

@@ -412,3 +412,123 @@ def ud_projection_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = projection.compiled("name.upper() + '!' if balance > 5000 and segment != 'MACHINERY' else segment.lower()", {"name", "balance", "segment"})
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
     return c.select("c_custkey", out.alias("v"))
+
+
+# Places, writers and reports
+
+
+@query("select * from (values (1, 40.0::double, 0.0::double, 20.0::double)) t(page, x, top, low)")
+def wn_grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = rows(spark, "(1, 0.0, 0.0, 40.0), (1, 10.0, 0.0, 40.0), (1, 20.0, 0.0, 40.0) as t(page, y, from, to)")
+    found = geometry.completed_grid(bars, rows(spark, "(1, 0.2, 0.0, 20.0), (1, 20.0, 0.0, 20.0) as t(page, x, from, to)"))
+    return found.select("page", "x", F.col("from").alias("top"), F.col("to").alias("low"))
+
+
+@query("select * from (values (1, 2), (1, 3)) t(page, id)")
+def wn_empty_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = "(1, 1, 0.0, 0.0, 30.0, 10.0, false), (1, 2, 0.0, 0.0, 50.0, 10.0, false), (1, 3, 60.0, 0.0, 90.0, 10.0, false), (1, 4, 0.0, 50.0, 90.0, 90.0, true), (1, 5, 0.0, 99.0, 9.0, 100.0, false) as t(page, id, x0, y0, x1, y1, marked)"
+    return geometry.empty_areas(rows(spark, boxes)).select("page", "id")
+
+
+@query("select * from (values (1, 'celle'), (1, 'area')) t(page, kind)")
+def wn_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = "(1, 'area', 0.0, 0.0, 20.0, 10.0), (1, 'celle', 0.0, 0.0, 20.0, 10.0), (1, 'tratto', 1.0, 1.0, 19.0, 9.0), (1, 'area', 50.0, 0.0, 70.0, 10.0) as t(page, kind, x0, y0, x1, y1)"
+    return geometry.cascade(rows(spark, c)).select("page", "kind")
+
+
+@query("select clip, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as n from (values (1, 3, 4, 10), (1, 5, 9, 159), (1, 0, 0, 255), (2, 1, 1, 160)) t(clip, x, y, value) where value < 160 group by clip")
+def io_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.ink(rows(spark, "(1, 3, 4, 10), (1, 5, 9, 159), (1, 0, 0, 255), (2, 1, 1, 160) as t(clip, x, y, value)"))
+
+
+@query("select * from (values (1, 1, 'ab'), (1, 2, 'c')) t(page, line, text)")
+def io_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text from measured glyphs."""
+    g = rows(spark, "(1, 1, 5.0, 'b'), (1, 1, 1.0, 'a'), (1, 2, 0.0, 'c') as t(page, line, x, glyph)")
+    return g.groupBy("page", "line").agg(F.array_sort(F.collect_list(F.struct("x", "glyph"))).alias("p")).select("page", "line", F.array_join(F.transform("p", lambda z: z.glyph), "").alias("text"))
+
+
+@query("select * from (values (1, 10.0::double), (2, 8.0::double), (3, null)) t(id, size)")
+def fm_text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rows(spark, "(1, 'iii', 20.0), (2, 'mmmm', 32.0), (3, 'mmmm', 2.0) as t(id, s, room)")
+    widths = F.create_map(F.lit("i"), F.lit(0.25), F.lit("m"), F.lit(1.0))
+    return t.select("id", geometry.fitting_size(F.col("s"), widths, F.col("room")).alias("size"))
+
+
+@query("select * from (values (1, 1.0::double), (2, 0.5::double), (3, 0.0::double)) t(id, ratio)")
+def sc_lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formlake.functions.similarity import common_run_ratio
+
+    return rows(spark, "(1, 'Roma', 'via Roma 1'), (2, 'abcd', 'abxx'), (3, '', 'x') as t(id, a, b)").select("id", common_run_ratio("a", "b").alias("ratio"))
+
+
+@query("select * from (values (1, 2)) t(id, page)")
+def jn_best_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page whose context is nearest to a value's own, if near enough."""
+    from formlake.functions.similarity import common_run_ratio
+
+    hits = rows(spark, "(1, 1, 'firma del cliente', 'nome e cognome'), (1, 2, 'nome e cogn.', 'nome e cognome'), (2, 1, 'xyz', 'altro') as t(id, page, context, wanted)")
+    scored = hits.withColumn("r", common_run_ratio("context", "wanted")).filter("r >= 0.35")
+    return scored.groupBy("id").agg(F.max_by("page", F.struct("r", -F.col("page"))).alias("page"))
+
+
+@query("select * from (values (1, 'written', null), (2, 'failed', 'too long'), (3, 'failed', 'needs yes or no'), (4, 'written', null)) t(id, status, reason)")
+def wr_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A write of each kind succeeds or says why not; nothing is cut."""
+    t = rows(spark, "(1, 'celle', 'abc', 3), (2, 'celle', 'abcd', 3), (3, 'casella', 'forse', 1), (4, 'casella', 'true', 1) as t(id, kind, v, room)")
+    reason = F.when((F.col("kind") == "casella") & ~F.col("v").isin("true", "false"), "needs yes or no").when((F.col("kind") != "casella") & (F.length("v") > F.col("room")), "too long")
+    return t.select("id", F.when(reason.isNull(), "written").otherwise("failed").alias("status"), reason.alias("reason"))
+
+
+@query("select * from (values (1, 'ok'), (2, 'no ink'), (3, 'not readable'), (4, 'spill')) t(id, result)")
+def au_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written place gained ink, its text can be read again, and nothing ran over its edges."""
+    t = rows(spark, "(1, 0, 50, 'Rossi', 'a Rossi b', 0), (2, 5, 5, 'x', 'x', 0), (3, 0, 9, 'Rossi', 'Ros', 0), (4, 0, 9, 'x', 'x', 30) as t(id, before, after, v, seen, spill)")
+    return t.select("id", F.when(F.col("after") <= F.col("before"), "no ink").when(~F.contains("seen", "v"), "not readable").when(F.col("spill") > 8, "spill").otherwise("ok").alias("result"))
+
+
+@query("select * from (values (1, 0.5::double, true), (2, 0.1::double, false)) t(id, ratio, illegible)")
+def wn_new_ink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old ink on the pixel rows that gained ink, over the new: beyond 12 % the text cannot be read."""
+    t = rows(spark, "(1, 0, 5, 15), (1, 1, 4, 4), (2, 0, 1, 11) as t(id, y, old, now)").filter("now > old")
+    g = t.groupBy("id").agg((F.sum("old") / F.sum(F.col("now") - F.col("old"))).alias("ratio"))
+    return g.select("id", "ratio", (F.col("ratio") > 0.12).alias("illegible"))
+
+
+@query("select id, coalesce(min(y - b) filter (b < y), 40.0)::double as rise from (values (1, 50.0, 30.0), (1, 50.0, 45.0), (2, 50.0, 60.0)) t(id, y, b) group by id")
+def wn_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a line's field may rise before it meets ink."""
+    t = rows(spark, "(1, 50.0, 30.0), (1, 50.0, 45.0), (2, 50.0, 60.0) as t(id, y, b)")
+    return t.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("b") < F.col("y"), F.col("y") - F.col("b"))), F.lit(40.0)).alias("rise"))
+
+
+@query("select * from (values (1, 'spazio'), (2, 'casella'), (3, 'spazio_implicito'), (4, 'vuoto'), (5, null)) t(id, kind)")
+def wn_word_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of place a paragraph of a Word form offers."""
+    p = F.col("p")
+    kind = F.when(F.trim("p") == "", "vuoto").when(p.rlike("[☐☑□]"), "casella").when(p.rlike(r"_{3,}|\.{5,}|…{2,}"), "spazio").when(p.rlike(r":\s*$"), "spazio_implicito")
+    return rows(spark, "(1, 'nome ____'), (2, '☐ si'), (3, 'Cognome:'), (4, ' '), (5, 'testo') as t(id, p)").select("id", kind.alias("kind"))
+
+
+@query("select * from (values (1, 'assegna', 'b'), (2, 'dubbio', 'x')) t(id, state, key)")
+def pl_visual_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions that a reviewer of at most six pages changed."""
+    before = rows(spark, "(1, 1, 'assegna', 'a'), (2, 2, 'assegna', 'x'), (3, 3, 'assegna', 'c'), (4, 9, 'assegna', 'd') as t(id, page, state, key)")
+    after = rows(spark, "(1, 'assegna', 'b'), (2, 'dubbio', 'x'), (3, 'assegna', 'c'), (4, 'dubbio', 'd') as t(id, s2, k2)")
+    j = before.filter("page <= 6").join(after, "id")
+    return j.filter(~(F.col("state").eqNullSafe(F.col("s2")) & F.col("key").eqNullSafe(F.col("k2")))).select("id", F.col("s2").alias("state"), F.col("k2").alias("key"))
+
+
+@query("select * from (values ('f', 'completo: 2 verificate; punti aperti: a, b')) t(form, report)")
+def io_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form's verdict as a line; twelve open points are named at most."""
+    t = rows(spark, "('f', 'completo', 2, array('b', 'a')) as t(form, state, ok, opened)")
+    return t.select("form", F.format_string("%s: %d verificate; punti aperti: %s", "state", "ok", F.array_join(F.slice(F.array_sort("opened"), 1, 12), ", ")).alias("report"))
+
+
+@query("select * from (values ('p', 3)) t(doc, places)")
+def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of a document: pages, numbered lines and places, bound to its hash."""
+    lines = rows(spark, "('p', 0, 'nome ____ cognome ____'), ('p', 1, 'data ____') as t(doc, n, line)")
+    places = lines.select("doc", "n", F.explode(sequences.filler_runs(F.col("line"))).alias("run"))
+    return sequences.numbered(places, ["doc"], ["n", "run"]).groupBy("doc").agg(F.max("number").alias("places"))

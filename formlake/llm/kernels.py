@@ -40,6 +40,13 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             yield ids[at:], texts[at:]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that a worker holds the texts of these only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits (the finaliser of splitmix64)."""
     h = h ^ (h >> np.uint64(30))

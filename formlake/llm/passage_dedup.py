@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from formlake.llm.durable import checkpointed
 from formlake.llm.fm_index import FMIndex
-from formlake.llm.kernels import WordTable, chunks, mix, texts_of
+from formlake.llm.kernels import WordTable, chunks, mix, sliced, texts_of
 
 WORDS, MINIMIZER = 13, 4
 HOT_ROWS = 500
@@ -172,7 +172,7 @@ def packed(docs: DataFrame, known: bool = True) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(pack, texts_of(batch.column("text"))), pa.binary())], ["doc_id", "z"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long{' not null' * known}, z binary")
@@ -270,7 +270,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """doc_id of each document whose whole words stand in a document with a smaller doc_id: told by 128 bits of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             digests = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in texts_of(batch.column("text"))]
             half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(half[:, 0]), pa.array(half[:, 1])], ["doc_id", "t1", "t2"])
@@ -295,7 +295,7 @@ def remove_passages(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER, wit
     joined = joined.select("doc_id", "z", "starts", "copy").unionByName(apart)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: tuple[list, ...] = ([], [], [], [])
             for text, starts, copy in zip(unpacked(batch.column("z")), batch.column("starts").to_pylist(), batch.column("copy").to_pylist(), strict=True):
                 kept = tokens = text.split()

@@ -186,6 +186,39 @@ def test_first_of_groups_confirms_links(spark):
     assert kept.columns == docs.columns and sorted((x.doc_id or 0) for x in kept.collect()) == [0, 1, 3]
 
 
+def jaccard_heads(texts, bar=0.8):
+    """The least id of each group connected by five-word Jaccard similarities of the bar or more, by all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    ids, head = sorted(texts), {i: i for i in texts}
+    for i in ids:
+        for j in ids:
+            if i < j and len(sets[i] & sets[j]) >= bar * len(sets[i] | sets[j]) and head[i] != head[j]:
+                x, y = sorted((head[i], head[j]))
+                head = {k: x if v == y else v for k, v in head.items()}
+    return set(head.values())
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {x.doc_id for x in simhash_dedup.first_of_groups(docs).collect()}
+
+
+def test_near_copies_over_ten_bits_are_found(spark):
+    r = random.Random(11)
+    texts, wide = {}, 0
+    for k in range(400):
+        base = [f"w{r.randint(0, 9999)}" for _ in range(r.randint(50, 120))]
+        near = base + [f"n{r.randint(0, 9999)}" for _ in range(int(len(base) * r.uniform(0.15, 0.3)))]
+        if (fingerprint(" ".join(base)) ^ fingerprint(" ".join(near))).bit_count() > 10 and wide < 30:
+            wide += 1
+            texts |= {2 * k: " ".join(base), 2 * k + 1: " ".join(near)}
+    kept = jaccard_heads(texts)
+    assert wide == 30 and len(kept) < len(texts) - 5 and kept_of(spark, texts) == kept
+
+
 # 4
 
 

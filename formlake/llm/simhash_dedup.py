@@ -33,8 +33,8 @@ BITS = 64
 BUCKET_ROWS = 16384
 #: The cost of a comparison within a bucket, in signatures.
 COMPARE_COST = 0.002
-#: Cells of a sketch, and what keeps rounding from ruling out a pair.
-SKETCH_BITS, SLACK = 1024, 1e-6
+#: Cells of a sketch, rows of a place in one block of comparisons, and what keeps rounding from ruling out a pair.
+SKETCH_BITS, BLOCK_ROWS, SLACK = 1024, 2048, 1e-6
 #: Cells of the filter of documents whose texts are compared.
 FILTER_BITS = 1 << 24
 
@@ -384,11 +384,42 @@ def likely_pairs(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
+def open_pairs(shared: DataFrame, reps: DataFrame, found: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The pairs (a, b) that share a place, are not connected by what was found and are not ruled out by sizes and sketches."""
+    members = shared.select("place", "rep").unionByName(shared.select("place", F.col("least").alias("rep")).distinct())
+    named = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("place", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).filter("x <> y").select("place", "rows")
+    rows = named.join(mixed, "place").join(reps.select("rep", "n", "sketch"), "rep")
+    # A place of many rows is compared in blocks, two at a time, so that no task holds all its rows.
+    blocks = F.ceil(F.col("rows") / block_rows)
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    buckets = rows.groupBy("place", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("rows")).select("rows")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("rows").flatten()
+            rep, component, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n"))
+            cells = _cells(flat.field("sketch"))
+            sizes = batch.column("rows").value_lengths().to_numpy(zero_copy_only=False)
+            pairs = [np.zeros((0, 2), np.int64)]
+            for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                for at in range(end - size, end, 16):
+                    to = min(at + 16, end)
+                    x, y = np.nonzero(component[at:to, None] != component[None, at:end])
+                    differ = np.bitwise_count(cells[at:to, None] ^ cells[None, at:end]).sum(axis=2, dtype=np.int64)[x, y]
+                    ok = (x < y) & _may(n[at + x], n[at + y], differ, similarity)
+                    pairs.append(np.sort(np.stack([rep[at + x[ok]], rep[at + y[ok]]], axis=1), axis=1))
+            out = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    return buckets.mapInArrow(run, "a long, b long").distinct()
+
+
 def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, with all their columns, without later near-copies: of documents connected by links of `similarity` or more, the one of the smallest doc_id stays.
 
-    Two texts of the similarity share a place of their prefixes. Every text is compared with the
-    least one that its places name.
+    No pair is lost: two texts of the similarity share a place of their prefixes. First every text is compared with the
+    least one that its places name; then all of a place that are not connected by that, so large groups of near-copies make no pairs.
     """
     rows = checkpointed(profiles(docs, shingle, similarity).filter("doc_id is not null"))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -401,6 +432,9 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     tried = checkpointed(likely_pairs(pairs, reps, similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     near = checkpointed(similar_links(tried, docs, shingle, similarity))
     found = components(near)
+    more = checkpointed(open_pairs(shared, reps, found, similarity).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = components(near.unionByName(similar_links(more, docs, shingle, similarity)))
     heads = classes.select("rep").join(found.filter("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti")
     kept = docs.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -219,6 +219,29 @@ def test_near_copies_over_ten_bits_are_found(spark):
     assert wide == 30 and len(kept) < len(texts) - 5 and kept_of(spark, texts) == kept
 
 
+def test_unlike_texts_between_hide_no_link(spark):
+    r = random.Random(12)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(200)]
+    texts = {}
+    for i in range(120):
+        # Copies of 24 variants, each variant below the bar to most others, in an order that puts unlike texts first.
+        own = list(base)
+        v = random.Random(i % 24)
+        for _ in range(5):
+            own[v.randrange(200)] = f"v{i % 24}"
+        for _ in range(i // 24):
+            own[r.randrange(200)] = f"x{i}"
+        texts[i] = " ".join(own)
+    kept = jaccard_heads(texts)
+    assert 1 < len(kept) < 100 and kept_of(spark, texts) == kept
+
+
+def test_least_text_unlike_both_hides_no_link(spark):
+    a = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join([*a[:120], *(f"c{i}" for i in range(80))]), 2: " ".join(a), 3: " ".join([*a[:199], "z"])}
+    assert kept_of(spark, texts) == jaccard_heads(texts) == {1, 2}
+
+
 # 4
 
 

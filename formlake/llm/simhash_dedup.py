@@ -311,11 +311,11 @@ def _shingles(text: bytes, k: int) -> set:
 
 
 def profiles(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp, n (distinct shingles), sketch (parity of shingles in SKETCH_BITS cells) and places, the prefix of the shingles' hashes in ascending order that another text of the similarity must share one of."""
+    """doc_id, text_key (of equal word sequences), n (distinct shingles), sketch (parity of shingles in SKETCH_BITS cells) and places, the prefix of the shingles' hashes in ascending order that another text of the similarity must share one of."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            keys = fingerprint_batch(texts).view(np.int64)
+            keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             table = WordTable(texts, lower=True)
             h, at = table.grams(shingle)
             doc = table.doc_of()[at]
@@ -335,10 +335,10 @@ def profiles(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
                 cells = np.bincount((doc[x:y] - k) * SKETCH_BITS + (h[x:y] % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=min(256, len(texts) - k) * SKETCH_BITS)
                 sketch += [row.tobytes() for row in np.packbits((cells & 1).astype(bool).reshape(-1, SKETCH_BITS), axis=1)]
             offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-            columns = [pa.array(ids, pa.int64()), pa.array(keys), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(first.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sketch", "places"])
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(first.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "sketch", "places"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, n long, sketch binary, places array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key binary, n long, sketch binary, places array<long>")
 
 
 def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,8 +422,8 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     least one that its places name; then all of a place that are not connected by that, so large groups of near-copies make no pairs.
     """
     rows = checkpointed(profiles(docs, shingle, similarity).filter("doc_id is not null"))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    reps = checkpointed(rows.join(classes, "fp").filter("doc_id = rep").select("rep", "n", "sketch").distinct())
+    classes = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("rep")))
+    reps = checkpointed(rows.join(classes, "text_key").filter("doc_id = rep").select("rep", "n", "sketch").distinct())
     places = rows.select(F.explode("places").alias("place"), F.col("doc_id").alias("rep"))
     # A class's least doc_id is in all its places, so the least of a place is one, and the others of the class go after it.
     stars = places.repartition("place").sortWithinPartitions("place", "rep").mapInArrow(_stars, "place long, rep long, least long")

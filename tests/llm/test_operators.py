@@ -242,6 +242,14 @@ def test_least_text_unlike_both_hides_no_link(spark):
     assert kept_of(spark, texts) == jaccard_heads(texts) == {1, 2}
 
 
+def test_equal_fingerprints_of_unlike_texts_stay(spark):
+    r = random.Random(13)
+    line = " ".join(f"common{i}" for i in range(13))
+    texts = {i: "\n".join([line] * 400 + [" ".join(f"u{r.randint(0, 10**9)}" for _ in range(12)) for _ in range(700)]) for i in range(60)}
+    prints = {i: int(x) for i, x in enumerate(simhash_dedup.fingerprint_batch([t.encode() for t in texts.values()]))}
+    assert len(set(prints.values())) < len(prints) and kept_of(spark, texts) == set(texts)
+
+
 # 4
 
 

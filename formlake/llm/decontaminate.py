@@ -2,7 +2,8 @@
 
 Words of the lower-cased text (A-Z only) make shingles of five; an item or window of fewer words is one shingle. A document
 is contaminated by an item if a window of as many words as the item has a weighted Jaccard similarity of SIMILARITY or more
-to it, weights being how often a shingle occurs. A window without any shingle of the benchmark has similarity 0, so SimHash
+to it, weights being how often a shingle occurs; a document of fewer words than the item is one window of all its words, compared
+with every longer item that it shares a shingle with. A window without any shingle of the benchmark has similarity 0, so SimHash
 fingerprints are made of every item-sized window that holds one. The fingerprints' blocks are looked up in an index of the
 items: with radius below BLOCKS * (PROBE + 1), two fingerprints within the radius are within PROBE bits in some block, so
 every item within it is found; the exact similarity then decides.
@@ -43,6 +44,8 @@ class Items:
         self.prints = np.array([simhash(np.array(list(c.elements()), np.uint64)) for c in self.shingles], np.uint64) if ids else np.zeros(0, np.uint64)
         self.sizes = sorted({int(n) for n in self.words if n})
         self.known = np.unique(h)
+        order = np.argsort(h, kind="stable")
+        self.sorted, self.owners = h[order], owner[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         # Per block: which items a value is within PROBE bits of, for all 256 values.
@@ -61,6 +64,12 @@ class Items:
         place = np.minimum(np.searchsorted(self.known, h[may]), len(self.known) - 1)
         return may[self.known[place] == h[may]]
 
+    def longer(self, h: np.ndarray, words: int) -> list[int]:
+        """Items of more than so many words that have one of the shingles."""
+        a, b = np.searchsorted(self.sorted, h, "left"), np.searchsorted(self.sorted, h, "right")
+        found = np.unique(np.concatenate([self.owners[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)] or [np.zeros(0, np.int64)]))
+        return found[self.words[found] > words].tolist()
+
     def lookup(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
         """(fingerprint's number, item) of items of a size within RADIUS."""
         found = np.zeros((len(prints), self.blocks[0].shape[1]), np.uint8)
@@ -129,6 +138,12 @@ def scan_text(words: int, h: np.ndarray, hit: np.ndarray, items: Items, short: C
                 s = _similarity(items.shingles[i], Counter(h[start : start + n].tolist()))
                 if s >= SIMILARITY and s > best.get(i, (0.0, 0))[0]:
                     best[i] = (s, start)
+    if words < top and (longer := items.longer(np.unique(h[hit]), words)):
+        whole = Counter(h.tolist())
+        for i in longer:
+            s = _similarity(items.shingles[i], whole)
+            if s >= SIMILARITY:
+                best[i] = (s, 0)
     return best
 
 
@@ -151,7 +166,7 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
                 words = int(table.counts[k])
                 mine = hit[(hit >= a) & (hit < b)] - a
                 found = scan_text(words, h[a:b], mine, items, Counter(h[a:b].tolist()) if words < SHINGLE else None)
-                out += [(ids[k], items.ids[i], s, start, int(items.words[i])) for i, (s, start) in found.items()]
+                out += [(ids[k], items.ids[i], s, start, min(words, int(items.words[i]))) for i, (s, start) in found.items()]
             if shorts:
                 out += _short_items(ids, table, items)
             columns = list(zip(*out, strict=True)) or [()] * 5

@@ -439,6 +439,23 @@ def test_leaks_equal_brute_force(spark, odd, none):
     assert decontaminate.clean_documents(odd, bench.filter("false")).count() == len(ODD)
 
 
+def test_documents_shorter_than_an_item_are_one_window(spark):
+    items = [(1, " ".join(f"a{i}" for i in range(59))), (2, " ".join(f"b{i}" for i in range(36))), (3, " ".join(f"c{i}" for i in range(14))), (4, " ".join(["d e f g h"] * 6))]
+    docs, expected = [], {}
+    for i, item in items:
+        w = item.split()
+        for lost in range(1, len(w) - 4):
+            for first in (0, lost // 2, lost):
+                own = w[first : first + len(w) - lost]
+                docs.append((len(docs), " ".join(own)))
+                a, b = (Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) for x in (w, own))
+                if (s := sum((a & b).values()) / sum((a | b).values())) >= 0.8:
+                    expected[docs[-1][0], i] = (round(s, 9), 0, len(own))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert expected and {(x.doc_id, x.item_id): (round(x.similarity, 9), x.first_word, x.n_words) for x in decontaminate.leaks(df, bench).collect()} == expected
+    assert decontaminate.clean_documents(df, bench).count() == len(docs) - len({d for d, _ in expected})
+
+
 # 10
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling the length that ranks stand for. Each 0 is an end of its own, the first the least, so no comparison goes beyond one."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffixes in order, by doubling the length that ranks stand for. Each 0 is an end of its own, the first the least, so no comparison goes beyond one.
+
+    depth: suffixes that agree in so many symbols may stand in any order, which is enough to search for patterns of that length.
+    """
     n = len(text)
     ends = np.flatnonzero(text == 0)
     rank = text.astype(np.int64) + len(ends)
@@ -21,7 +24,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         new = np.zeros(n, np.int64)
         new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
         rank, width = new, 2 * width
-        if rank[order[-1]] == n - 1 or width > n:
+        if rank[order[-1]] == n - 1 or width > n or (depth and width >= depth):
             return order
 
 
@@ -46,10 +49,10 @@ class BitRank:
 class FMIndex:
     """Backward search over a text of symbols 0..sigma-1, one value (such as a document) for each place."""
 
-    def __init__(self, text: np.ndarray, values: np.ndarray):
+    def __init__(self, text: np.ndarray, values: np.ndarray, depth: int | None = None):
         n = len(text)
         self.n, self.sigma = n, int(text.max()) + 1
-        order = suffix_array(text)
+        order = suffix_array(text, depth)
         bwt = text[order - 1]
         self.levels: list[BitRank] = []
         self.height = max(1, (self.sigma - 1).bit_length())
@@ -73,8 +76,11 @@ class FMIndex:
             at = np.where(symbol >> (self.height - 1 - k) & 1, level.zeros + ones, at - ones)
         return at
 
-    def matches(self, queries: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics: for each place `ends` of `queries`, the length of the longest match that ends there, `longest` at most (a symbol below 1 stops it), and its interval of suffixes."""
+    def matches(self, queries: np.ndarray, ends: np.ndarray, longest: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics: for each place `ends` of `queries`, the length of the longest match that ends there, `longest` at most (a symbol below 1 stops it), and its interval of suffixes.
+
+        own: the queries are the indexed text and no end is nearer than `longest` to a 0, so an interval of one suffix is the query's own place: the rest of its match is known and not searched for.
+        """
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         length = np.zeros(len(ends), np.int64)
         # The first step starts from all suffixes: its interval is the symbol's own.
@@ -95,6 +101,11 @@ class FMIndex:
             live = live[found]
             low[live], high[live] = a[found], b[found]
             length[live] += 1
+            if own:
+                alone = b[found] - a[found] == 1
+                length[live[alone]] = longest
+                # Its place in the order of suffixes moves on with each symbol, but the value there is that of one text.
+                live = live[~alone]
             if not len(live):
                 break
         return length, low, high

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The bytes between words: blank and 0x09 to 0x0D.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -26,25 +27,22 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `limit` bytes of a column (one row may be longer), cut before any row becomes a Python object."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        total = np.cumsum(sizes)
+        at = 0
+        while at < len(total):
+            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + limit)) + 1
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(doc_id, text) of batches in runs of about `limit` bytes."""
-    for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
-        at = size = 0
-        for i, text in enumerate(texts):
-            size += len(text) + 1
-            if size >= limit:
-                yield ids[at : i + 1], texts[at : i + 1]
-                at, size = i + 1, 0
-        if at < len(texts):
-            yield ids[at:], texts[at:]
-
-
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of a few rows, so that a worker holds the texts of these only."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    for batch in sliced(batches, limit=limit):
+        yield batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,6 +78,7 @@ class WordTable:
         self.offsets = at
         gap = separator[self.data]
         gap[at[1:] - 1] = True
+        self.gap = gap
         step = np.diff(gap.view(np.int8), prepend=np.int8(1))
         self.starts, self.ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
         self.first = np.searchsorted(self.starts, at)
@@ -93,6 +92,16 @@ class WordTable:
         own = (total[self.ends] - total[self.starts]) * powers(n, inverse=True)[self.starts]
         return mix(own + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words with one blank after each, and where each begins in that (one more for the end)."""
+        keep = ~self.gap
+        keep[self.ends] = True
+        out = self.data[keep]
+        at = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts + 1, out=at[1:])
+        out[at[1:] - 1] = 32
+        return out.tobytes(), at
+
     def doc_of(self) -> np.ndarray:
         """The text's number, for each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)

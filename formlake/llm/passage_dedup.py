@@ -3,13 +3,16 @@
 Every window of `words` words has a minimizer, the run of MINIMIZER words in it of the least hash. Equal windows have equal
 minimizers, so only windows whose minimizer occurs in two documents can be shared, and windows meet in the shard of their
 minimizer. There, neighbouring windows of one minimizer form a segment. Equal segments are one first (least and largest
-doc_id), so copies cost nothing; a minimizer that more than HOT_ROWS documents have makes a segment of each window, in the
+doc_id), so copies cost nothing; a minimizer that occurs more than HOT_ROWS times makes a segment of each window, in the
 shard of the window, so that no shard grows with a frequent phrase. Each shard's segments make FM-indexes of bounded size;
 the segments are streamed through their index, and the matching statistics of every window of full length give the interval
 of its occurrences and the least doc_id there. A window with a smaller doc_id than a document's own covers words to remove.
 
-A null text has no words. A document without a doc_id keeps its words and takes none from others. A doc_id is one document: rows that repeat one must have one text, and each gets its own result
-row. An empty table gives no rows; other columns are ignored. Windows are told by their words; segments are put together by 128 bits.
+A null text has no words. A document without a doc_id keeps its words and takes none from others. Rows that repeat a doc_id
+are told apart by their texts (64 bits of the words); none takes words from another of the same doc_id, and each gets a
+result row. Very long texts are cut into segments like any other, so only their own task holds them whole. Ties cannot
+arise: the least doc_id keeps a passage. An empty table gives no rows; other columns are ignored. Windows are told by their
+words; whole copies and equal segments are put together by 128 bits of their words.
 """
 
 from __future__ import annotations
@@ -26,14 +29,15 @@ from pyspark.sql import functions as F
 
 from formlake.llm.durable import checkpointed
 from formlake.llm.fm_index import FMIndex
-from formlake.llm.kernels import WordTable, chunks, mix, sliced, texts_of
+from formlake.llm.kernels import CHUNK_BYTES, WordTable, sliced, texts_of
 
 WORDS, MINIMIZER = 13, 4
-HOT_ROWS = 500
-#: Documents that the compression dictionary of segments is made from, at most.
-SAMPLE_DOCUMENTS = 500
+#: Occurrences of a minimizer whose segments share one shard, at most.
+HOT_ROWS = 4096
 #: Words of an index, as soon as the segments of a minimizer are complete.
 INDEX_WORDS = 1 << 16
+#: Segments that a task puts together before it passes them on, and places that it passes on at once.
+HELD, PLACES = 30_000, 100_000
 
 
 def _minimizers(table: WordTable, words: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,12 +59,44 @@ def _minimizers(table: WordTable, words: int, m: int) -> tuple[np.ndarray, np.nd
     return first, place, best
 
 
-def minimizer_rows(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
-    """h, doc_id: the minimizers of each document, each once."""
+def packed(docs: DataFrame, known: bool = True) -> DataFrame:
+    """doc_id, t (64 bits of the words), z: the texts compressed for the shuffle. known: no doc_id is null, which spares joins a filter that would tell their inputs apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            table = WordTable(texts)
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in sliced(batches):
+            texts = texts_of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_digest(t)[0] for t in texts], pa.int64()), pa.array(map(pack, texts), pa.binary())], ["doc_id", "t", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long{' not null' * known}, t long not null, z binary")
+
+
+def _digest(text: bytes) -> tuple[int, int]:
+    x = xxhash.xxh3_128_digest(b" ".join(text.split()))
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows whose texts have about CHUNK_BYTES in all, and the texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        at, size, texts = 0, 0, []
+        for k, z in enumerate(batch.column("z")):
+            texts.append(unpack(z.as_py()))
+            size += len(texts[-1]) + 1
+            if size >= CHUNK_BYTES:
+                yield batch.slice(at, len(texts)), texts
+                at, size, texts = k + 1, 0, []
+        if texts:
+            yield batch.slice(at, len(texts)), texts
+
+
+def minimizer_rows(texts: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
+    """h, doc_id, n: the minimizers of each packed text, each once with the number of its places."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, plain in _unpacked(batches):
+            table = WordTable(plain)
             _, place, best = _minimizers(table, words, m)
             doc = table.doc_of()[place]
             new = np.ones(len(place), bool)
@@ -70,85 +106,67 @@ def minimizer_rows(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> D
             doc, best = doc[order], best[order]
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (best[1:] != best[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(best[new].view(np.int64)), pa.array(np.array(ids, np.int64)[doc[new]])], ["h", "doc_id"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
-
-
-def _rolled(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of values weighted by powers of an odd base, and the powers of its inverse: hashes of any run are differences of them."""
-    n = len(values)
-    step = np.full((2, n + 1), base, np.uint64)
-    step[1] = pow(base, -1, 1 << 64)
-    step[:, 0] = 1
-    powers = np.multiply.accumulate(step, axis=1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers[0, :n], out=total[1:])
-    return total, powers[1]
-
-
-def _segments(batch: pa.RecordBatch, words: int, m: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each document of a batch with a shared minimizer (array `found` of h, hot): doc_id, text, and of its segments: shard, c1, c2 (128 bits from 64 of each word), first word, word after the last."""
-    ids, unpack = batch.column("doc_id").to_pylist(), zstandard.ZstdDecompressor().decompress
-    found = batch.column("found")
-    ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
-    flat = found.flatten()
-    shared = flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    hot_flags = flat.field("hot").to_numpy(zero_copy_only=False)
-    for k, (doc_id, z) in enumerate(zip(ids, batch.column("z"), strict=True)):
-        text = unpack(z.as_py())
-        mine = slice(ends[k - 1] if k else 0, ends[k])
-        order = np.argsort(shared[mine])
-        keys, hot = shared[mine][order], hot_flags[mine][order]
-        table = WordTable([text])
-        first, place, best = _minimizers(table, words, m)
-        if not len(first) or not len(keys):
-            continue
-        at = np.minimum(np.searchsorted(keys, best), len(keys) - 1)
-        ok = keys[at] == best
-        first, place, best, is_hot = first[ok], place[ok], best[ok], hot[at[ok]]
-        if not len(first):
-            continue
-        new = np.ones(len(first), bool)
-        new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
-        a = np.flatnonzero(new)
-        x, y = first[a], first[np.append(a[1:], len(first)) - 1] + words
-        c = []
-        for values, base in ((table.hashes, 0x9E3779B97F4A7C15), (mix(table.hashes + np.uint64(0x632BE59BD9B4E019)), 0xC2B2AE3D27D4EB4F)):
-            total, back = _rolled(values, base)
-            c.append(mix((total[y] - total[x]) * back[x] + (y - x).astype(np.uint64)).view(np.int64))
-        yield doc_id, text, np.where(is_hot[a], c[0], best[a].view(np.int64)), c[0], c[1], x, y
-
-
-#: Segments that a task puts together before it passes them on.
-_HELD = 30_000
-
-
-def contents(marked: DataFrame, dictionary, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
-    """shard, c1, c2, content (packed), low, high: segments, those that a task meets again put together (least and largest doc_id)."""
+            at = np.flatnonzero(new)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(best[at].view(np.int64)), pa.array(ids[doc[at]]), pa.array(np.diff(at, append=len(doc)).astype(np.int32))], ["h", "doc_id", "n"])
+
+    return texts.select("doc_id", "z").mapInArrow(run, "h long not null, doc_id long not null, n int")
+
+
+def _segments(batch: pa.RecordBatch, texts: list[bytes], words: int, m: int) -> tuple[np.ndarray, ...] | None:
+    """The segments of some texts with shared minimizers (array `found` of h, hot): number of the text, its first word's number, shard (or none, -1, where the segment's own digest is it), first word and word after the last in the table, and the table.
+
+    A minimizer is shared or not whatever the document, so the texts' lists are one.
+    """
+    flat = batch.column("found").flatten()
+    shared, k = np.unique(flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
+    hot = flat.field("hot").to_numpy(zero_copy_only=False)[k]
+    table = WordTable(texts)
+    first, place, best = _minimizers(table, words, m)
+    if not len(first) or not len(shared):
+        return None
+    at = np.minimum(np.searchsorted(shared, best), len(shared) - 1)
+    ok = shared[at] == best
+    first, place, best, is_hot = first[ok], place[ok], best[ok], hot[at[ok]].astype(bool)
+    if not len(first):
+        return None
+    doc = table.doc_of()[first]
+    new = np.ones(len(first), bool)
+    new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
+    a = np.flatnonzero(new)
+    x, y = first[a], first[np.append(a[1:], len(first)) - 1] + words
+    return doc[a], table.first[doc[a]], best[a].view(np.int64), is_hot[a], x, y, table
+
+
+def contents(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
+    """shard, c1, c2 (128 bits of the words), content, low, high: segments, those that a task meets again put together (least and largest doc_id)."""
 
     def batch_of(held: dict) -> pa.RecordBatch:
-        columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "c1", "c2", "content", "low", "high"])
+        c = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
+        shard, content, low, high = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(content, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["shard", "c1", "c2", "content", "low", "high"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None, write_dict_id=False, write_content_size=True).compress
         held: dict = {}
-        for batch in batches:
-            for doc, text, shard, c1, c2, x, y in _segments(batch, words, m):
-                tokens = text.split()
-                joined = b" ".join(tokens)
-                to = np.cumsum([len(t) + 1 for t in tokens]) - 1
-                begin = np.concatenate([[0], to[:-1] + 1])
-                for *key, i, j in zip(shard.tolist(), c1.tolist(), c2.tolist(), begin[x].tolist(), to[y - 1].tolist(), strict=True):
-                    if got := held.get(key := tuple(key)):
-                        got[1], got[2] = min(got[1], doc), max(got[2], doc)
-                    else:
-                        held[key] = [pack(joined[i:j]), doc, doc]
-                if len(held) >= _HELD:
-                    yield batch_of(held)
-                    held = {}
+        for batch, texts in _unpacked(batches):
+            if not (found := _segments(batch, texts, words, m)):
+                continue
+            doc, _, shard, hot, x, y, table = found
+            joined, at = table.joined()
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+            for d, s, h, i, j in zip(ids.tolist(), shard.tolist(), hot.tolist(), at[x].tolist(), (at[y] - 1).tolist(), strict=True):
+                content = joined[i:j]
+                key = xxhash.xxh3_128_digest(content)
+                if got := held.get(key):
+                    if d < got[2]:
+                        got[2] = d
+                    elif d > got[3]:
+                        got[3] = d
+                else:
+                    held[key] = [int.from_bytes(key[:8], "little", signed=True) if h else s, content, d, d]
+            if len(held) >= HELD:
+                yield batch_of(held)
+                held = {}
         if held:
             yield batch_of(held)
 
@@ -156,43 +174,22 @@ def contents(marked: DataFrame, dictionary, words: int = WORDS, m: int = MINIMIZ
 
 
 def places(marked: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
-    """c1, c2, doc_id, first: where the segments stand."""
+    """c1, c2, doc_id, t, first: where the segments stand."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(c1, c2, np.full(len(x), doc), x.astype(np.int32)) for doc, _, _, c1, c2, x, _ in _segments(batch, words, m)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["c1", "c2", "doc_id", "first"])
+        for batch, texts in _unpacked(batches):
+            if not (found := _segments(batch, texts, words, m)):
+                continue
+            doc, begin, _, _, x, y, table = found
+            joined, at = table.joined()
+            ids, t = (batch.column(k).to_numpy(zero_copy_only=False)[doc] for k in ("doc_id", "t"))
+            digest = xxhash.xxh3_128_digest
+            for k in range(0, len(x), PLACES):
+                to = k + PLACES
+                c = np.frombuffer(b"".join([digest(joined[i:j]) for i, j in zip(at[x[k:to]].tolist(), (at[y[k:to]] - 1).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c[:, 0], c[:, 1], ids[k:to], t[k:to], (x - begin)[k:to].astype(np.int32))], ["c1", "c2", "doc_id", "t", "first"])
 
-    return marked.select("doc_id", "z", "found").mapInArrow(run, "c1 long, c2 long, doc_id long, first int")
-
-
-def packed(docs: DataFrame, known: bool = True) -> DataFrame:
-    """doc_id, z: the texts compressed for the shuffle. known: no doc_id is null, which spares joins a filter that would tell their inputs apart."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(pack, texts_of(batch.column("text"))), pa.binary())], ["doc_id", "z"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long{' not null' * known}, z binary")
-
-
-def unpacked(column: pa.Array) -> list[bytes]:
-    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
-
-
-def word_dictionary(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, words: int = 20) -> bytes:
-    """A compression dictionary from at most `sample` documents of moderate length, chosen by a hash; it changes how many bytes are shuffled, nothing else."""
-    rows = docs.filter(F.length("text") < 20_000).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    pieces = []
-    for r in rows:
-        tokens = r.text.encode().split()
-        pieces += [b" ".join(tokens[i : i + words]) for i in range(0, len(tokens), words)]
-    try:
-        return zstandard.train_dictionary(32_768, pieces).as_bytes() if len(pieces) >= 1000 else b""
-    except zstandard.ZstdError:
-        return b""
+    return marked.select("doc_id", "t", "z", "found").mapInArrow(run, "c1 long, c2 long, doc_id long, t long, first int")
 
 
 def search_block(contents: list[bytes], owners: np.ndarray, words: int = WORDS, asked: np.ndarray | None = None) -> list[np.ndarray]:
@@ -204,25 +201,24 @@ def search_block(contents: list[bytes], owners: np.ndarray, words: int = WORDS,
     text = np.array(flat, np.int64)
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0
-    index = FMIndex(text, np.repeat(owners, sizes + 1))
+    index = FMIndex(text, np.repeat(owners, sizes + 1), words)
     starts = ends - sizes
     windows = np.maximum(sizes - words + 1, 0)
     if asked is not None:
         windows = np.where(asked, windows, 0)
     firsts = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    length, low, high = index.matches(text, firsts + words - 1, words)
+    length, low, high = index.matches(text, firsts + words - 1, words, own=True)
     assert (length == words).all()
     return np.split(index.least_value(low, high), np.cumsum(windows)[:-1])
 
 
-def search_shards(parts: DataFrame, dictionary, words: int = WORDS) -> DataFrame:
+def search_shards(parts: DataFrame, words: int = WORDS) -> DataFrame:
     """c1, c2, least (array of the least doc_id of each window) of contents with a window that a document of theirs has to give up."""
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
         held: tuple[list, ...] = ([], [], [], [], [], [])
         size, last = 0, (None,) * 3
-        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None).decompress
-        for batch in batches:
+        for batch in sliced(batches, "content"):
             for s, c1, c2, content, low, high in zip(*(batch.column(k).to_pylist() for k in ("shard", "c1", "c2", "content", "low", "high")), strict=True):
                 if (s, c1, c2) == last:
                     held[4][-1], held[5][-1] = min(held[4][-1], low), max(held[5][-1], high)
@@ -230,7 +226,7 @@ def search_shards(parts: DataFrame, dictionary, words: int = WORDS) -> DataFrame
                 if s != last[0] and size >= INDEX_WORDS:
                     yield held
                     held, size = ([], [], [], [], [], []), 0
-                last, content = (s, c1, c2), unpack(content)
+                last = (s, c1, c2)
                 for x, y in zip(held, (s, c1, c2, content, low, high), strict=True):
                     x.append(y)
                 size += content.count(b" ") + 2
@@ -251,33 +247,30 @@ def search_shards(parts: DataFrame, dictionary, words: int = WORDS) -> DataFrame
     return parts.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(run, "c1 long, c2 long, least array<long>")
 
 
-def covered_windows(docs: DataFrame, texts: DataFrame, again: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
-    """doc_id, starts: first words of the windows of each document that start in a document with a smaller doc_id. texts: the documents, packed; again: doc_id of those that are whole copies and left out."""
-    rows = minimizer_rows(docs, words, m)
-    shared = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+def covered_windows(texts: DataFrame, words: int = WORDS, m: int = MINIMIZER) -> DataFrame:
+    """doc_id, covered (t and starts): first words of the windows of each packed text that start in a document with a smaller doc_id."""
+    rows = minimizer_rows(texts, words, m)
+    shared = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
     shared = shared.filter("low < high").select("h", (F.col("n") > HOT_ROWS).alias("hot"))
-    found = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("found")).join(again, "doc_id", "left_anti")
+    found = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("found"))
     marked = texts.join(found, "doc_id")
-    dictionary = docs.sparkSession.sparkContext.broadcast(word_dictionary(docs))
-    least = search_shards(contents(marked, dictionary, words, m), dictionary, words)
-    mine = places(marked, words, m).join(least, ["c1", "c2"])
+    mine = places(marked, words, m).join(search_shards(contents(marked, words, m), words), ["c1", "c2"])
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("first") + i)), lambda i: i.isNotNull())
-    mine = mine.select("doc_id", starts.alias("starts")).filter(F.size("starts") > 0)
-    return mine.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    mine = mine.select("doc_id", "t", starts.alias("starts")).filter(F.size("starts") > 0)
+    return mine.groupBy("doc_id").agg(F.collect_list(F.struct("t", "starts")).alias("covered"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id of each document whose whole words stand in a document with a smaller doc_id: told by 128 bits of them."""
+    """doc_id, t of each row whose whole words stand in a document with a smaller doc_id: told by 128 bits of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            digests = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in texts_of(batch.column("text"))]
-            half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(half[:, 0]), pa.array(half[:, 1])], ["doc_id", "t1", "t2"])
+            half = np.array([_digest(t) for t in texts_of(batch.column("text"))], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(half[:, 0]), pa.array(half[:, 1])], ["doc_id", "t", "t2"])
 
-    seen = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, t1 long, t2 long")
-    first = seen.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    return seen.join(first, ["t1", "t2"]).filter(F.col("doc_id") > F.col("low")).select("doc_id").distinct()
+    seen = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, t long, t2 long")
+    first = seen.groupBy("t", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    return seen.join(first, ["t", "t2"]).filter(F.col("doc_id") > F.col("low")).select("doc_id", "t").distinct()
 
 
 def remove_passages(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER, with_text: bool = False) -> DataFrame:
@@ -287,21 +280,21 @@ def remove_passages(docs: DataFrame, words: int = WORDS, m: int = MINIMIZER, wit
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
     # Whole copies give up every window, so only the first of them is searched. The list of copies is written once.
-    again = checkpointed(copies(known))
+    again = checkpointed(copies(known)).groupBy("doc_id").agg(F.collect_set("t").alias("copied"))
     # All joins with the texts ask for the same rows, so they are shuffled once.
-    texts = packed(known)
-    joined = texts.join(covered_windows(known, texts, again, words, m), "doc_id", "left").join(again.withColumn("copy", F.lit(True)), "doc_id", "left")
-    apart = packed(docs.filter("doc_id is null"), known=False).withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
-    joined = joined.select("doc_id", "z", "starts", "copy").unionByName(apart)
+    texts = packed(known).join(again, "doc_id", "left").select("doc_id", "t", "z", F.coalesce(F.array_contains("copied", F.col("t")), F.lit(False)).alias("copy"))
+    joined = texts.join(covered_windows(texts.filter("not copy"), words, m), "doc_id", "left")
+    apart = packed(docs.filter("doc_id is null"), known=False).select("doc_id", "t", "z", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<t:bigint,starts:array<int>>>").alias("covered"))
+    joined = joined.select("doc_id", "t", "z", "copy", "covered").unionByName(apart)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch, texts in _unpacked(batches):
             out: tuple[list, ...] = ([], [], [], [])
-            for text, starts, copy in zip(unpacked(batch.column("z")), batch.column("starts").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+            for text, t, covered, copy in zip(texts, *(batch.column(k).to_pylist() for k in ("t", "covered", "copy")), strict=True):
                 kept = tokens = text.split()
                 if copy and len(tokens) >= words:
                     kept = []
-                elif starts:
+                elif starts := [i for c in covered or () if c["t"] == t for i in c["starts"]]:
                     edge = np.zeros(len(tokens) + 1, np.int64)
                     s = np.unique(np.array(starts))
                     np.add.at(edge, s, 1)

@@ -311,6 +311,25 @@ def test_passages_equal_brute_force(spark, odd, none, monkeypatch):
     assert {(x.doc_id, x.n_removed) for x in passage_dedup.remove_passages(alone).collect()} == {(None, 0), (1, 0), (2, 20_000)}
 
 
+def test_passages_of_rows_that_repeat_a_doc_id(spark, monkeypatch):
+    own = [" ".join(f"{k}{i}" for i in range(30)) for k in "abc"]
+    rows = [(1, own[0]), (2, "x " + own[0]), (2, own[1]), (2, own[1]), (2, own[0]), (3, own[1] + " " + own[2]), (3, own[2])]
+    expected = [(1, 30, 0), (2, 30, 0), (2, 30, 0), (2, 30, 30), (2, 31, 30), (3, 30, 0), (3, 60, 30)]
+    for hot in (1, 4096):
+        monkeypatch.setattr(passage_dedup, "HOT_ROWS", hot)
+        got = passage_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((x.doc_id, x.n_words, x.n_removed) for x in got.collect()) == expected
+
+
+def test_a_text_that_repeats_a_phrase_is_split_by_windows(spark, monkeypatch):
+    # One phrase in many contexts of two documents: more places than HOT_ROWS though few documents.
+    r = random.Random(6)
+    text = " ".join("all the same words here " + " ".join(f"u{r.randint(0, 40)}" for _ in range(r.randint(1, 9))) for _ in range(200))
+    docs = [(1, text), (2, "b " + text[200:] + " e"), (3, "c " + text[:900])]
+    monkeypatch.setattr(passage_dedup, "HOT_ROWS", 20)
+    assert sorted(map(tuple, passage_dedup.remove_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == removed(docs)
+
+
 def test_index_finds_longest_matches():
     r = np.random.default_rng(4)
     text = r.integers(1, 5, 300)

@@ -1,12 +1,16 @@
 """License scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment measures them.
 
 Words are runs of letters and digits, lower-cased (A-Z). Hashes of GRAM words are winnowed: of every WINDOW neighbours the
-least is kept, so a template that shares WINDOW + GRAM - 1 words in a row with a text shares a fingerprint. Every document's
-hashes are looked up; hits of one template on neighbouring diagonals are a candidate, and the words around it are aligned to
-the template within a band around those diagonals. A match is reported from MIN_COVERAGE of the template's words on.
+least is kept, so a template that shares WINDOW + GRAM - 1 words in a row with a text shares a fingerprint. A template of
+SHORT words or fewer has each pair of neighbouring words as a fingerprint, and is a candidate where these cover half of it.
+Every document's hashes are looked up; hits of one template on diagonals less than its length apart are a candidate, so a
+template with words put into it is one, and the words around it are aligned to the template within a band around those
+diagonals. A match is reported from MIN_COVERAGE of the template's words on, in at most twice as many words of the text.
 
 Null and empty texts match nothing; repeated rows are scanned alike; a template that stands twice in a text is reported twice;
-of templates matching at the same place all are reported, the best first in `rank`. Other columns are ignored.
+of templates matching at the same place all are reported, the best first in `rank`: more of the template, then more words,
+then the earlier place, then the name. Very long texts are aligned only around their candidates. Other columns are ignored.
+`read_templates` takes full texts from a folder.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.llm.kernels import WordTable, chunks
 
-GRAM, WINDOW = 3, 3
+GRAM, WINDOW, SHORT = 3, 3, 12
 BAND, MIN_COVERAGE = 8, 0.7
 
 #: Notices of public licenses.
@@ -35,7 +39,18 @@ TEMPLATES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "MIT-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
 _WORDLESS = np.ones(256, bool)
@@ -65,8 +80,16 @@ class Templates:
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in range(len(self.names)):
             own, place = h[owner == i], at[owner == i] - table.first[i]
+            if len(self.words[i]) <= SHORT:
+                continue
             for k in winnow(own).tolist():
                 self.index[int(own[k])].append((i, int(place[k])))
+        # Short templates: every pair of neighbouring words.
+        h, at = table.grams(2, short=True)
+        for x, place in zip(h.tolist(), at.tolist(), strict=True):
+            i = int(np.searchsorted(table.first, place, "right")) - 1
+            if len(self.words[i]) <= SHORT:
+                self.index[x].append((i, place - int(table.first[i])))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.known = np.array(sorted(self.index), np.uint64)
         self.filter[(self.known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
@@ -76,53 +99,67 @@ class Templates:
         return may[np.isin(h[may], self.known)]
 
 
+#: A cell of an alignment in one number: words matched, first matched place + 1, places left after the last; more is better.
+_PLACE = 21
+_FIRST, _LAST = np.int64(((1 << _PLACE) - 1) << _PLACE), np.int64((1 << _PLACE) - 1)
+_ONE = np.int64(1) << np.int64(2 * _PLACE)
+
+
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """The most template words matched, in order, by text words whose place minus the template's lies in [low, high], and the first and last matched place in the text. Of equal alignments the shortest span, then the first, counts."""
-    # A cell holds (matched, last - first matched place, first): of as many matched, the later first place can only end in a shorter span.
+    # Of as many matched, the later first place can only end in a shorter span. A row of the band takes one template word.
     wide = high - low + 1
-    none = (0, 0, -1)
-    row: list[tuple] = [none] * (wide + 1)
-
-    def better(a: tuple, b: tuple) -> tuple:
-        return a if (a[0], a[2]) >= (b[0], b[2]) else b
-
+    row = np.zeros(wide + 1, np.int64)
+    padded = np.zeros(wide + len(template) - 1, text.dtype)
+    there = np.zeros(len(padded), bool)
+    a, b = max(0, low), min(len(text), low + len(padded))
+    if b > a:
+        padded[a - low : b - low], there[a - low : b - low] = text[a:b], True
     for i, word in enumerate(template.tolist()):
-        new: list[tuple] = [none] * (wide + 1)
-        for d in range(wide):
-            j = i + low + d
-            cell = row[d + 1] if d + 1 <= wide else none  # template word skipped
-            if d:
-                cell = better(cell, new[d - 1])  # text word skipped
-            if 0 <= j < len(text) and int(text[j]) == word:
-                n, span, first = row[d]
-                hit = (n + 1, j - first, first) if n else (1, 0, j)
-                cell = better(hit, cell)
-            new[d] = cell
-        row = new
-    n, span, first = max(row, key=lambda x: (x[0], -x[1], -x[2]))
-    return (n, first, first + span) if n else (0, 0, 0)
-
-
-def scan_words(words: np.ndarray, h: np.ndarray, hit: np.ndarray, templates: Templates) -> list[tuple[int, int, int, int]]:
-    """(template, matched words, first and last matched word) of every candidate of one text that is covered enough."""
-    diagonals: dict[int, set[int]] = defaultdict(set)
-    for k in hit.tolist():
-        for i, place in templates.index[int(h[k])]:
-            diagonals[i].add(k - place)
+        d = np.flatnonzero((padded[i : i + wide] == word) & there[i : i + wide])
+        if not len(d):
+            # Only the template's word is skipped: the text's place moves against the band.
+            row[:-1] = row[1:]
+            continue
+        j = i + low + d
+        was = row[d]
+        hit = np.where(was > 0, (was & ~_LAST) + _ONE, _ONE | (j + 1) << _PLACE) | (_LAST - j)
+        row[:-1] = row[1:]
+        row[-1] = 0
+        np.maximum.at(row, d, hit)
+        row[:-1] = np.maximum.accumulate(row[:-1])
+        row[-1] = 0
+    best = row[row >> np.int64(2 * _PLACE) == int(row.max()) >> 2 * _PLACE]
+    first, last = ((best & _FIRST) >> _PLACE) - 1, _LAST - (best & _LAST)
+    k = int(np.lexsort((first, last - first))[0])
+    n = int(best[k]) >> 2 * _PLACE
+    return (n, int(first[k]), int(last[k])) if n else (0, 0, 0)
+
+
+def scan_words(words: np.ndarray, hit: list[tuple[int, int]], templates: Templates) -> list[tuple[int, int, int, int]]:
+    """(template, matched words, first and last matched word) of every candidate of one text that is covered enough. hit: (first word, hash) of the fingerprints found."""
+    diagonals: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for k, x in hit:
+        for i, place in templates.index[x]:
+            diagonals[i].append((k - place, place))
     out = []
     for i, found in diagonals.items():
         size = len(templates.words[i])
-        near: list[list[int]] = []
-        for d in sorted(found):
-            # Diagonals a template's length apart or more are different places.
-            if near and d - near[-1][1] <= BAND:
+        near: list[list] = []
+        for d, place in sorted(found):
+            # Diagonals more than a template's length apart are different places.
+            if near and d - near[-1][1] <= max(BAND, size):
                 near[-1][1] = d
             else:
-                near.append([d, d])
-        for low, high in near:
+                near.append([d, d, set()])
+            near[-1][2] |= {place, place + 1}
+        for low, high, covered in near:
+            if size <= SHORT and 2 * len(covered) < size:
+                continue
             # A band that grows beyond a template's length, as in repeated text, is cut into bands of bounded width that overlap by one band.
-            for start in range(low - BAND, high + BAND + 1, size + BAND) if high - low > size + BAND else (low - BAND,):
-                end = min(high + BAND, start + size + 3 * BAND) if high - low > size + BAND else high + BAND
+            cut = high - low > size + BAND
+            for start in range(low - BAND, high + BAND + 1, size + BAND) if cut else (low - BAND,):
+                end = min(high + BAND, start + size + 3 * BAND) if cut else high + BAND
                 # What stands before and after a match may hold the template again.
                 open_ = [(max(0, start), min(len(words), end + size))]
                 while open_:
@@ -130,12 +167,19 @@ def scan_words(words: np.ndarray, h: np.ndarray, hit: np.ndarray, templates: Tem
                     if y - x < MIN_COVERAGE * size:
                         continue
                     matched, a, b = align(templates.words[i], words[x:y], start - x, end - x)
-                    if matched >= MIN_COVERAGE * size:
+                    # Words scattered over more than twice the template's length are no match of it.
+                    if matched >= MIN_COVERAGE * size and b - a < 2 * size:
                         out.append((i, matched, x + a, x + b))
                         open_ += [(x, x + a), (x + b + 1, y)]
     return sorted(set(out), key=lambda x: (x[2], -x[1], x[0]))
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from the text files of a folder, named by the files (without their endings): a few hundred license texts, gathered for the index."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("name"), "value").collect()
+    return {r.name: r.value for r in rows}
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, coverage (share of the template's words), first_word, last_word, first_byte, last_byte (of the UTF-8 text, end exclusive), rank."""
     named = dict(TEMPLATES if templates is None else templates)
@@ -144,15 +188,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         known = _templates(tuple(sorted(named.items())))
         for ids, texts in chunks(batches):
             table = WordTable(texts, lower=True, separator=_WORDLESS)
-            h, at = table.grams(GRAM, short=True)
-            doc = table.doc_of()[at]
-            hit = known.hits(h)
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+            rows = []
+            for n in (2, GRAM):
+                h, at = table.grams(n, short=True)
+                hit = known.hits(h)
+                rows.append((at[hit], h[hit]))
+            place, keys = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(place, kind="stable")
+            place, keys = place[order], keys[order]
+            ends = np.searchsorted(place, table.first)
             out: list[tuple] = []
-            for k in np.unique(doc[hit]).tolist():
+            for k in np.flatnonzero(np.diff(ends)).tolist():
                 a, b = int(table.first[k]), int(table.first[k + 1])
-                mine = hit[(hit >= ends[k]) & (hit < ends[k + 1])] - ends[k]
-                found = scan_words(table.hashes[a:b], h[ends[k] : ends[k + 1]], mine, known)
+                mine = slice(ends[k], ends[k + 1])
+                found = scan_words(table.hashes[a:b], list(zip((place[mine] - a).tolist(), keys[mine].tolist(), strict=True)), known)
                 best = sorted(range(len(found)), key=lambda j: (-found[j][1] / len(known.words[found[j][0]]), -found[j][1], j))
                 for r, j in enumerate(best):
                     i, n, x, y = found[j]

@@ -3,20 +3,25 @@
 Words of the lower-cased text (A-Z only) make shingles of five; an item or window of fewer words is one shingle. A document
 is contaminated by an item if a window of as many words as the item has a weighted Jaccard similarity of SIMILARITY or more
 to it, weights being how often a shingle occurs; a document of fewer words than the item is one window of all its words, compared
-with every longer item that it shares a shingle with. A window without any shingle of the benchmark has similarity 0, so SimHash
-fingerprints are made of every item-sized window that holds one. The fingerprints' blocks are looked up in an index of the
-items: with radius below BLOCKS * (PROBE + 1), two fingerprints within the radius are within PROBE bits in some block, so
-every item within it is found; the exact similarity then decides.
-
-Null and empty texts and items match nothing. Repeated rows are judged alike. Items with equal text are reported each. An
-empty benchmark leaves every document clean. Other columns are ignored. The benchmark is gathered for the index only below
+with every longer item that it shares a shingle with. Window and item have equally many shingles, so the similarity needs a
+share of 2 s / (1 + s) of the window's shingles to be in the benchmark: SimHash fingerprints are made of every item-sized window
+that has it. The fingerprints' blocks are looked up in an index of the items of that size: with radius below
+BLOCKS * (PROBE + 1), two fingerprints within the radius are within PROBE bits in some block, so every item within it is
+found; the exact similarity of the words then decides. A pair of similarity 0.8 has 9.7 unlike bits on average (standard
+deviation 2.9), so RADIUS lies 4.6 deviations above the farthest kind of match.
+
+Null and empty texts and items match nothing. Very long texts are worked through in stretches. Repeated rows are judged alike,
+those without a doc_id too. Items with equal text are reported each; of equally similar windows the first is. An empty
+benchmark leaves every document clean. Other columns are ignored. The benchmark is gathered for the index only below
 MAX_BENCHMARK_BYTES; a larger one is worked through in parts of that size, each over all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +32,14 @@ from formlake.llm.kernels import WordTable, chunks
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, PROBE = 23, 8, 2
-MAX_BENCHMARK_BYTES = 8 << 20
+MAX_BENCHMARK_BYTES = 32 << 20
 _FILTER_BITS = 22
+#: A column's name that no caller has.
+FREE = "__leaked_text_key__"
+#: Windows whose fingerprints are made at once, and bytes of a table of candidates.
+_STRETCH, _TABLE = 1 << 14, 1 << 22
+#: 1 where two bytes are within PROBE bits.
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= PROBE
 
 
 class Items:
@@ -38,23 +49,27 @@ class Items:
         table = WordTable(texts, lower=True)
         h, at = table.grams(SHINGLE, short=True)
         owner = table.doc_of()[at]
-        self.ids = ids
+        self.ids, self.texts = ids, texts
         self.words = table.counts
-        self.shingles = [Counter(h[owner == i].tolist()) for i in range(len(ids))]
-        self.prints = np.array([simhash(np.array(list(c.elements()), np.uint64)) for c in self.shingles], np.uint64) if ids else np.zeros(0, np.uint64)
         self.sizes = sorted({int(n) for n in self.words if n})
-        self.known = np.unique(h)
+        ends = np.searchsorted(owner, np.arange(len(ids) + 1))
+        self.only = {i: int(h[ends[i]]) for i in np.flatnonzero((self.words > 0) & (self.words < SHINGLE)).tolist()}
+        self.prints = np.zeros(len(ids), np.uint64)
+        for i in np.flatnonzero(self.words).tolist():
+            self.prints[i] = simhash(h[ends[i] : ends[i + 1]])
         order = np.argsort(h, kind="stable")
         self.sorted, self.owners = h[order], owner[order]
+        self.known = np.unique(h)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        # Per block: which items a value is within PROBE bits of, for all 256 values.
-        values = np.arange(256, dtype=np.uint8)
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= PROBE
-        self.blocks = []
-        for b in range(BLOCKS):
-            own = (self.prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)
-            self.blocks.append(np.packbits(near[:, own], axis=1) if len(ids) else np.zeros((256, 0), np.uint8))
+        # Of each size: its items, and per block which of them a value is within PROBE bits of, for all 256 values.
+        by_size = np.argsort(self.words, kind="stable")
+        cut = np.searchsorted(self.words[by_size], self.sizes)
+        self.index = {}
+        for size, own in zip(self.sizes, np.split(by_size, cut)[1:], strict=True):
+            values = [(self.prints[own] >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64) for b in range(BLOCKS)]
+            self.index[size] = own, [np.packbits(_NEAR[:, v], axis=1) for v in values]
+        self.shingles = cache(lambda i: _counted(self.texts[i].lower().split()))
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
@@ -70,16 +85,18 @@ class Items:
         found = np.unique(np.concatenate([self.owners[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)] or [np.zeros(0, np.int64)]))
         return found[self.words[found] > words].tolist()
 
-    def lookup(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
+    def lookup(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         """(fingerprint's number, item) of items of a size within RADIUS."""
-        found = np.zeros((len(prints), self.blocks[0].shape[1]), np.uint8)
-        for b, table in enumerate(self.blocks):
-            found |= table[(prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)]
-        own = np.flatnonzero(self.words == size)
-        bits = np.unpackbits(found, axis=1)[:, own].astype(bool)
-        row, col = np.nonzero(bits)
-        ok = np.bitwise_count(prints[row] ^ self.prints[own[col]]) <= RADIUS
-        return list(zip(row[ok].tolist(), own[col[ok]].tolist(), strict=True))
+        own, tables = self.index[size]
+        step = max(1, _TABLE // len(own))
+        for at in range(0, len(prints), step):
+            some = prints[at : at + step]
+            found = np.zeros((len(some), tables[0].shape[1]), np.uint8)
+            for b, table in enumerate(tables):
+                found |= table[(some >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)]
+            row, col = np.nonzero(np.unpackbits(found, axis=1, count=len(own)))
+            ok = np.bitwise_count(some[row] ^ self.prints[own[col]]) <= RADIUS
+            yield from zip((at + row[ok]).tolist(), own[col[ok]].tolist(), strict=True)
 
 
 def simhash(h: np.ndarray) -> int:
@@ -90,69 +107,82 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
 
 
+def _counted(words: list[bytes]) -> Counter:
+    """Shingles of words; fewer words than a shingle has are one."""
+    return Counter(zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else Counter([tuple(words)] if words else [])
+
+
 def _similarity(a: Counter, b: Counter) -> float:
     both = sum(min(n, b[x]) for x, n in a.items() if x in b)
     return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
 
 
-def scan_text(words: int, h: np.ndarray, hit: np.ndarray, items: Items, short: Counter | None) -> dict[int, tuple[float, int]]:
-    """Of one document: item -> (best similarity, first word of its first best window). h: its shingles in order; hit: places of shared ones; short: the only shingle of a document below SHINGLE words."""
+def scan_text(text: bytes, words: int, h: np.ndarray, hit: np.ndarray, items: Items) -> dict[int, tuple[float, int]]:
+    """Of one document: item -> (best similarity, first word of its first best window). h: its shingles in order; hit: places of shared ones."""
+    own = cache(lambda: text.lower().split())
     best: dict[int, tuple[float, int]] = {}
-    if short is not None:
-        for i in range(len(items.ids)):
-            if items.words[i] == words and _similarity(short, items.shingles[i]) >= SIMILARITY:
-                best[i] = (1.0, 0)
-        return best
-    top = max(items.sizes)
-    # Stretches of shingles that windows with a shared one lie in.
-    edges: list[list[int]] = []
-    for x in hit.tolist():
-        a, b = max(0, x - top + SHINGLE), min(len(h), x + top - SHINGLE + 1)
-        if edges and a <= edges[-1][1]:
-            edges[-1][1] = b
-        else:
-            edges.append([a, b])
-    for a, b in edges:
-        own = h[a:b]
-        bits = np.unpackbits(own.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        sums = np.zeros((len(own) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, out=sums[1:])
-        near = np.zeros(len(own) + 1, np.int32)
-        inside = hit[(hit >= a) & (hit < b)] - a
-        near[inside + 1] = 1
-        near = np.cumsum(near)
-        for size in items.sizes:
-            n = size - SHINGLE + 1
-            if n < 1 or n > len(own):
-                continue
-            at = np.flatnonzero(near[n:] - near[:-n] > 0)
-            if not len(at):
-                continue
-            count = sums[at + n] - sums[at]
-            prints = np.packbits(2 * count > n, axis=1, bitorder="little").view("<u8")[:, 0]
-            for k, i in items.lookup(prints, size):
-                start = a + int(at[k])
-                # The windows of a stretch overlap: what cannot beat the bar is told by counting shared places alone.
-                if (near[at[k] + n] - near[at[k]]) / n < SIMILARITY / 2:
-                    continue
-                s = _similarity(items.shingles[i], Counter(h[start : start + n].tolist()))
+    if words < SHINGLE:
+        return {i: (1.0, 0) for i in (items.index[words][0].tolist() if words in items.index else ()) if items.shingles(i) == _counted(own())}
+    for size in items.sizes:
+        n = size - SHINGLE + 1
+        if n < 1 or n > len(h):
+            continue
+        # The last place that leaves room for a window, and the least number of shared shingles in it.
+        need = int(np.ceil(2 * n * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+        if len(hit) < need:
+            continue
+        # Windows begin at most so far before their first shared shingle as they have shingles to spare.
+        begin = np.unique(np.maximum(hit[: len(hit) - need + 1][:, None] - np.arange(n - need + 1)[None, :], 0))
+        begin = begin[begin <= len(h) - n]
+        at = begin[np.searchsorted(hit, begin + n) - np.searchsorted(hit, begin) >= need]
+        for k in range(0, len(at), _STRETCH):
+            some = at[k : k + _STRETCH]
+            prints = _window_prints(h, some, n)
+            for x, i in items.lookup(prints, size):
+                start = int(some[x])
+                s = _similarity(items.shingles(i), _counted(own()[start : start + size]))
                 if s >= SIMILARITY and s > best.get(i, (0.0, 0))[0]:
                     best[i] = (s, start)
-    if words < top and (longer := items.longer(np.unique(h[hit]), words)):
-        whole = Counter(h.tolist())
+    if words < items.sizes[-1] and (longer := items.longer(np.unique(h[hit]), words)):
+        whole = _counted(own())
         for i in longer:
-            s = _similarity(items.shingles[i], whole)
+            s = _similarity(items.shingles(i), whole)
             if s >= SIMILARITY:
                 best[i] = (s, 0)
     return best
 
 
+def _window_prints(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """SimHashes of windows of n shingles, by differences of sums over each stretch that windows share."""
+    out = np.zeros(len(at), np.uint64)
+    cut = np.flatnonzero(np.diff(at) > n) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+        low, high = int(at[a]), int(at[b - 1]) + n
+        bits = np.unpackbits(h[low:high].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        sums = np.zeros((len(bits) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        count = sums[at[a:b] - low + n] - sums[at[a:b] - low]
+        out[a:b] = np.packbits(2 * count > n, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+#: The index of a worker that is used again, by the digest of the benchmark.
+_built: dict[str, Items] = {}
+
+
+def _index(sent) -> Items:
+    key, rows = sent.value
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items([i for i, _ in rows], [t.encode() for _, t in rows])
+    return _built[key]
+
+
 def _scan(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    sent = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(rows).encode()).hexdigest(), rows))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items([i for i, _ in sent.value], [t.encode() for _, t in sent.value])
-        shorts = [n for n in items.sizes if n < SHINGLE]
+        items = _index(sent)
         for ids, texts in chunks(batches):
             table = WordTable(texts, lower=True)
             h, at = table.grams(SHINGLE, short=True)
@@ -160,15 +190,14 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
             hit = items.hits(h)
             out: list[tuple] = []
             ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            owners = np.unique(doc[hit])
-            for k in owners.tolist():
+            hits = np.searchsorted(doc[hit], np.arange(len(texts) + 1))
+            for k in np.unique(doc[hit]).tolist():
                 a, b = ends[k], ends[k + 1]
                 words = int(table.counts[k])
-                mine = hit[(hit >= a) & (hit < b)] - a
-                found = scan_text(words, h[a:b], mine, items, Counter(h[a:b].tolist()) if words < SHINGLE else None)
+                found = scan_text(texts[k], words, h[a:b], hit[hits[k] : hits[k + 1]] - a, items)
                 out += [(ids[k], items.ids[i], s, start, min(words, int(items.words[i]))) for i, (s, start) in found.items()]
-            if shorts:
-                out += _short_items(ids, table, items)
+            if items.only:
+                out += _short_items(ids, texts, table, items)
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -176,22 +205,24 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
 
 
-def _short_items(ids: list, table: WordTable, items: Items) -> list[tuple]:
+def _short_items(ids: list, texts: list[bytes], table: WordTable, items: Items) -> list[tuple]:
     """Items below SHINGLE words are one shingle: windows of as many words, in longer documents, equal to it."""
-    out = []
+    first: dict[tuple, tuple] = {}
     doc = table.doc_of()
     for size in (n for n in items.sizes if n < SHINGLE):
         own: dict[int, list[int]] = defaultdict(list)
-        for i in np.flatnonzero(items.words == size).tolist():
-            own[next(iter(items.shingles[i]))].append(i)
+        for i in items.index[size][0].tolist():
+            own[items.only[i]].append(i)
+        # Items of one word are met by the hash of grams of one, of two by grams of two, and so on.
         h, at = table.grams(size)
         for k in np.flatnonzero(np.isin(h, np.array(list(own), np.uint64))).tolist():
-            d = int(doc[at[k]])
-            if table.counts[d] >= SHINGLE:
-                out += [(ids[d], items.ids[i], 1.0, int(at[k] - table.first[d]), size) for i in own[int(h[k])]]
-    first: dict[tuple, tuple] = {}
-    for r in out:
-        first.setdefault(r[:2], r)
+            d, word = int(doc[at[k]]), int(at[k])
+            if table.counts[d] < SHINGLE:
+                continue
+            words = [table.raw[x:y].lower() for x, y in zip(table.starts[word : word + size].tolist(), table.ends[word : word + size].tolist(), strict=True)]
+            for i in own[int(h[k])]:
+                if items.shingles(i) == _counted(words):
+                    first.setdefault((d, i), (ids[d], items.ids[i], 1.0, word - int(table.first[d]), size))
     return list(first.values())
 
 
@@ -211,5 +242,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that leak no item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs, with all their columns, that leak no item. Rows without a doc_id are told by 64 bits of their texts."""
+    found = leaks(docs.filter("doc_id is not null"), benchmark).select("doc_id").distinct()
+    clean = docs.filter("doc_id is not null").join(found, "doc_id", "left_anti").select(*docs.columns)
+    key = F.xxhash64("text")
+    apart = docs.filter("doc_id is null")
+    lost = leaks(apart.select(key.alias("doc_id"), "text").distinct(), benchmark).select(F.col("doc_id").alias(FREE)).distinct()
+    return clean.unionByName(apart.join(lost, key == F.col(FREE), "left_anti").select(*docs.columns))

@@ -3,10 +3,12 @@
 The transducer shares prefixes and suffixes; each arc carries a number, and the numbers along a word's path add up to the
 word's place in a table of id runs. Its arrays are mapped into memory from a file that every worker writes for itself and
 unlinks at once. A word that the lexicon lacks is merged exactly, many words at a time. The lexicon only saves work: ids do
-not depend on it. It is made of the most frequent words of all documents, counted by summaries of bounded size.
+not depend on it. It is made of the most frequent words of all documents, counted by summaries of bounded size; words as
+frequent as each other are in it or out of it together.
 
-A null text is an empty one; it has no ids and decodes to the empty text. Repeated rows are encoded alike, an empty table
-gives an empty result, and other columns of the input are ignored.
+A null text is an empty one; it has no ids and decodes to the empty text. A very long text is encoded whole; no more than one
+such text is held besides the bounded memory. Repeated rows are encoded alike, an empty table gives an empty result, and other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formlake.llm.durable import checkpointed
+from formlake.llm.frequent import most_frequent
+from formlake.llm.kernels import sliced
+
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words in the lexicon, words that a summary of frequent words holds, and words whose ids a worker remembers.
-LEXICON_WORDS, SUMMARY_WORDS, MEMORY_WORDS = 30_000, 30_000, 400_000
+#: Words in the lexicon, and words that a summary of frequent words holds, at most.
+LEXICON_WORDS, SUMMARY_WORDS = 30_000, 30_000
+#: Characters of a word in the lexicon or its summaries, and of a unit that a worker remembers, at most.
+WORD_CHARS, UNIT_CHARS = 64, 256
+#: Bytes of the units that a worker remembers, by estimate: as many again may be kept from before.
+MEMORY_BYTES = 96 << 20
 #: Longer words are merged one by one by a heap instead of all together in a matrix.
 MATRIX_BYTES = 64
 #: Words merged together: their matrices stay in the CPU's caches.
@@ -321,10 +331,13 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
     def summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(PATTERN).findall
         seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                # What stands between blanks is counted, and only the frequent of these are split into words.
-                seen.update((text or "").split(" "))
+        for batch in sliced(batches):
+            for text in batch.column("text").to_pylist():
+                # What stands between blanks is counted, and only the frequent of these are split into words; what is long is split at once.
+                units = (text or "").split(" ")
+                if any(len(u) > WORD_CHARS for u in units):
+                    units = [u for x in units for u in ([x] if len(x) <= WORD_CHARS else (w for w in split(x) if len(w) <= WORD_CHARS))]
+                seen.update(units)
                 if len(seen) > 8 * SUMMARY_WORDS:
                     # As in summaries of heavy hitters: what is left gives up what the first word below the bound has.
                     top = seen.most_common(SUMMARY_WORDS + 1)
@@ -337,8 +350,9 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
         top = words.most_common(SUMMARY_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    counts = docs.select("text").mapInArrow(summaries, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    # Written once: its histogram and its rows above the bound are two jobs.
+    counts = checkpointed(docs.select("text").mapInArrow(summaries, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return sorted(r.word for r in most_frequent(counts, size).select("word").collect())
 
 
 class Codec:
@@ -351,6 +365,7 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, cut)) + ")").split if cut else None
         self.memory: dict = {}
         self.before: dict = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         """Words and special strings of a text, in order."""
@@ -371,15 +386,18 @@ class Codec:
         out[0] = (out[0],)
         return out
 
-    def learn(self, units: Iterable) -> None:
-        """Puts new units into the memory; when it is full, the units not met since it was last full are forgotten."""
-        memory, before, new = self.memory, self.before, []
+    def learn(self, units: Iterable) -> dict:
+        """What the units become. Short ones are remembered; when the memory is full, the units not met since it was last full are forgotten."""
+        memory, before, new, out = self.memory, self.before, [], {}
         for u in units:
-            if u not in memory:
-                if u in before:
-                    memory[u] = before[u]
-                else:
+            got = memory.get(u)
+            if got is None:
+                got = before.get(u)
+                if got is None:
                     new.append(u)
+                    continue
+                self._remember(u, got)
+            out[u] = got
         found = [self.pieces(u[0] if isinstance(u, tuple) else " " + u) for u in new]
         words = list(dict.fromkeys(w for ws in found for w in ws))
         raw = [w.encode() for w in words]
@@ -387,22 +405,28 @@ class Codec:
         lost = [i for i, r in enumerate(runs) if r is None]
         for i, ids in zip(lost, self.vocabulary.merge_many([raw[i] for i in lost]), strict=True):
             runs[i] = ids
-        for w, i in self.vocabulary.special.items():
-            if w in words:
-                runs[words.index(w)] = [i]
         of = dict(zip(words, runs, strict=True))
+        of |= {w: [i] for w, i in self.vocabulary.special.items() if w in of}
         for u, ws in zip(new, found, strict=True):
             ids = [i for w in ws for i in of[w]]
-            memory[u] = (",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.tokens.__getitem__, ids)))
+            out[u] = (",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.tokens.__getitem__, ids)))
+            if len(u[0] if isinstance(u, tuple) else u) <= UNIT_CHARS:
+                self._remember(u, out[u])
+        return out
+
+    def _remember(self, unit, got: tuple[str, int, bytes]) -> None:
+        self.memory[unit] = got
+        # Besides the characters: the objects' own headers and the place in the dictionary.
+        self.held += 4 * len(got[2]) + len(got[0]) + 400
 
     def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
-        """What is remembered of each text's units, in order."""
-        if len(self.memory) > MEMORY_WORDS:
-            self.before, self.memory = self.memory, {}
+        """What each text's units become, in order."""
+        if self.held > MEMORY_BYTES:
+            self.before, self.memory, self.held = self.memory, {}, 0
         found = [self.units(t) for t in texts]
-        self.learn(dict.fromkeys(u for us in found for u in us))
+        known = self.learn(dict.fromkeys(u for us in found for u in us))
         for us in found:
-            yield list(map(self.memory.__getitem__, us))
+            yield list(map(known.__getitem__, us))
 
     def ids(self, text: str) -> list[int]:
         return [int(i) for x in next(self.encode([text])) for i in x[0].split(",")] if text else []
@@ -418,43 +442,33 @@ def _prepared(docs: DataFrame, path: str | None):
     vocabulary = Vocabulary(blob)
     words = [w.encode() for w in frequent_words(docs)]
     lexicon = Transducer.build(dict(zip(words, vocabulary.merge_many(words), strict=True)))
-    return docs.sparkSession.sparkContext.broadcast((blob, *lexicon.pack()))
+    packed, index = lexicon.pack()
+    key = hashlib.sha256(blob + packed + repr(index).encode()).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast((key, blob, packed, index))
 
 
-_codecs: dict[int, Codec] = {}
+#: The codec of a worker that is used again, by the digest of what it is made of.
+_codecs: dict[str, Codec] = {}
 
 
 def _codec(sent) -> Codec:
-    key = id(sent.value)
+    key, blob, packed, index = sent.value
     if key not in _codecs:
         _codecs.clear()
-        blob, packed, index = sent.value
         _codecs[key] = Codec(Vocabulary(blob), Transducer.mapped(packed, index))
     return _codecs[key]
 
 
-def _some(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int): the token ids of every whole text."""
     sent = _prepared(docs, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _some(texts):
-                ids = [[int(i) for x in got if x[1] for i in x[0].split(",")] for got in codec.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [[int(i) for x in got if x[1] for i in x[0].split(",")] for got in codec.encode(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -481,16 +495,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _some(texts):
-                counts, ids_sha, text_sha = [], [], []
-                for got in codec.encode(texts[a:b]):
-                    counts.append(sum(x[1] for x in got))
-                    ids_sha.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join([x[2] for x in got]).decode("utf-8", "replace").encode()).hexdigest())
-                columns = [batch.column("doc_id")[a:b], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in sliced(batches):
+            counts, ids_sha, text_sha = [], [], []
+            for got in codec.encode([t or "" for t in batch.column("text").to_pylist()]):
+                counts.append(sum(x[1] for x in got))
+                ids_sha.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join([x[2] for x in got]).decode("utf-8", "replace").encode()).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -455,6 +456,8 @@ def test_leaks_equal_brute_force(spark, odd, none):
     clean = decontaminate.clean_documents(df, bench)
     assert {x.doc_id for x in clean.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
     assert decontaminate.clean_documents(odd, bench).count() == len(ODD) and decontaminate.leaks(none, bench).count() == 0
+    unnamed = spark.createDataFrame([(None, docs[0][1], 1), (None, "clean words", 2), (None, None, 3)], "doc_id long, text string, n int")
+    assert (0, 0) in expected and {x.n for x in decontaminate.clean_documents(unnamed, bench).collect()} == {2, 3}
     assert decontaminate.clean_documents(odd, bench.filter("false")).count() == len(ODD)
 
 
@@ -475,6 +478,29 @@ def test_documents_shorter_than_an_item_are_one_window(spark):
     assert decontaminate.clean_documents(df, bench).count() == len(docs) - len({d for d, _ in expected})
 
 
+def test_benchmark_in_a_very_long_text_and_recall_of_the_radius(spark):
+    r = random.Random(10)
+    items = [(i, " ".join(f"w{r.randint(0, 5000)}" for _ in range(r.randint(14, 59)))) for i in range(150)]
+    long, at = [f"x{r.randint(0, 5000)}" for _ in range(60_000)], {}
+    for i, t in items[:50]:
+        place = i * 1100 + 7
+        long[place : place + len(t.split())] = t.split()
+        at[i] = place
+    changed, wanted = [], set()
+    for i, t in items[50:]:
+        own = t.split()
+        for k in range(1, 3):
+            own[r.randrange(len(own))] = "new"
+            a, b = (Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (t.split(), own))
+            changed.append((1000 * k + i, "a b " + " ".join(own) + " c"))
+            if sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+                wanted.add((1000 * k + i, i))
+    df, bench = spark.createDataFrame([(7, " ".join(long)), *changed], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(df, bench).collect()}
+    assert {k for k in found if k[0] != 7} == wanted and len(wanted) > 20
+    assert {i: found[7, i].first_word for i in at} == at and {k[1] for k in found if k[0] == 7} == set(at)
+
+
 # 10
 
 
@@ -491,6 +517,56 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_equal_brute_force(spark):
+    # Every window of twice a template's words against all templates, by longest common subsequences.
+    r = random.Random(20)
+    templates = {k: v for k, v in license_scan.TEMPLATES.items() if len(words_of(v)) < 60}
+    filler = [f"f{i}" for i in range(300)] + "the of under and a to is".split()
+    docs = []
+    for name, text in sorted(templates.items()):
+        for k in range(6):
+            own = words_of(text)
+            for _ in range(k * len(own) // 20):
+                at = r.randrange(len(own))
+                own[at : at + 1] = r.choice([[], ["other"], [own[at], "more"]])
+            docs.append((len(docs), " ".join(r.choices(filler, k=r.randint(0, 30)) + own + r.choices(filler, k=r.randint(0, 30))), name))
+    docs += [(len(docs) + i, " ".join(r.choices(filler, k=60)), None) for i in range(20)]
+    docs += [(900, "Released under the old MIT License.", "MIT"), (901, "Released under MIT License now", "MIT")]
+    middle = words_of(templates["GPL-3.0-header"])
+    docs.append((902, " ".join([*middle[:20], *(f"y{i}" for i in range(14)), *middle[20:]]), "GPL-3.0-header"))
+    expected = set()
+    for i, text, _ in docs:
+        w = words_of(text)
+        for name, t in templates.items():
+            t = words_of(t)
+            if any(common(t, w[k : k + 2 * len(t)]) >= license_scan.MIN_COVERAGE * len(t) for k in range(max(1, len(w) - len(t)))):
+                expected.add((i, name))
+    found = license_scan.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), templates)
+    got = {(x.doc_id, x.license) for x in found.collect()}
+    assert got <= expected and len(expected - got) <= 0.02 * len(expected) and {(900, "MIT"), (901, "MIT"), (902, "GPL-3.0-header")} <= got
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "Mine-1.0.txt").write_text("You may use this file as you like, if you say so to all who ask you for it and nobody else.")
+    named = license_scan.read_templates(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "x " + named["Mine-1.0"]), (2, "You may")], "doc_id long, text string")
+    assert [(x.doc_id, x.license, x.coverage) for x in license_scan.scan(docs, named).collect()] == [(1, "Mine-1.0", 1.0)]
+
+
 def test_alignment_equals_longest_common_subsequence():
     r = random.Random(1)
     for _ in range(60):

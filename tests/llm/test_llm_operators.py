@@ -85,6 +85,37 @@ def test_line_quality_learns_and_scores_odd_rows(spark, odd, none):
     assert np.allclose([r.score for r in line_quality.score(odd, *line_quality.learn(odd, labels.filter("false"))).collect()], 0.5)
 
 
+def test_lines_of_both_kinds_are_told_apart(spark):
+    # Documents of both labels have lines of both kinds; only the mixture differs.
+    r = random.Random(3)
+    good = ["A plain line of text about a house, as it should be.", "Another one follows it, with more to read and no haste.", "The river was cold that day and we went home."]
+    bad = ["### *** $$$ %%% &&& buy !!!", "*** >>> click <<< !!! ###", "$$$ 000 000 000 !!! ***"]
+
+    def text(label):
+        own = [r.choice(good) for _ in range(12)]
+        at = r.randrange(6)
+        own[at : at + (1 if label else 9)] = [r.choice(bad) for _ in range(1 if label else 9)]
+        return "\n".join(own)
+
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(120)], "doc_id long, text string")
+    weights, move = line_quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, label int"))
+    assert move[0, 0] + move[1, 1] > move[0, 1] + move[1, 0]
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "own")).join(line_quality.line_scores(docs, weights, move), ["doc_id", "line"]).collect()
+    assert len(lines) == sum(len(x.text.split("\n")) for x in docs.collect()) and all(x.n_chars == len(x.own) for x in lines)
+    assert sum((x.own in good) == (x.score >= 0.5) for x in lines) > 0.95 * len(lines)
+    got = {x.doc_id: x.score for x in line_quality.score(docs, weights, move).collect()}
+    assert sum((got[i] >= 0.5) == bool(i % 2) for i in range(80, 120)) >= 38
+
+
+def test_sample_holds_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(line_quality, "SAMPLE_LINES", 50)
+    seen = []
+    monkeypatch.setattr(line_quality, "fit", lambda x, first, labels: seen.append(np.diff(first).tolist()))
+    docs = spark.createDataFrame([(i, "\n".join(["x"] * n)) for i, n in enumerate([10, 20, 15, 51, 9, 7])], "doc_id long, text string")
+    line_quality.learn(docs, docs.select("doc_id", F.lit(1).alias("label")))
+    assert 0 < sum(seen[0]) <= 50 and set(seen[0]) <= {10, 20, 15, 9, 7}
+
+
 # 2
 
 

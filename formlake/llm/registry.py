@@ -75,8 +75,8 @@ from w left join gone using (doc_id)
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every whole text and the forest's verdict; values as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    trees = secret_scan.learn(secret_scan.labelled_findings(spark))
-    found = secret_scan.findings(docs, trees, path="source")
+    model = secret_scan.learn(secret_scan.labelled_findings(spark), secret_scan.corpus_words(docs))
+    found = secret_scan.findings(docs, model, path="source")
     return found.select("doc_id", "word_index", F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), F.round("score", 6).alias("score"), "is_secret")
 
 

@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, token ids."""
+"""A corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, token ids.
+
+Null and empty texts have no words and go with the first stage, as all texts below its thresholds. Rows without a doc_id are
+judged like others, but name no group of near-copies and are never dropped as one. Rows that repeat a doc_id are one document:
+they stay or go together. Of a group of near-copies the smallest doc_id stays. Very long texts pass every stage whole. An empty
+table gives an empty result. Other columns of documents, whatever their names, pass through all stages but the last, which
+returns ids and digests.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +35,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced."""
-    trees = secret_scan.learn(secret_scan.labelled_findings(spark))
-    return secret_scan.redact(docs, trees, path="source").select(*docs.columns)
+    model = secret_scan.learn(secret_scan.labelled_findings(spark), secret_scan.corpus_words(docs))
+    return secret_scan.redact(docs, model, path="source").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_codec", token_ids),
 ]
 
-#: SQL cannot express the fingerprints, the forest and the merges; tests hold run() against a brute-force version.
+#: SQL cannot express the fingerprints, the forest and the merges; tests hold run() against an independent version in Python.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from formlake.llm.durable import checkpointed
 
+#: Links of a partition.
+ROWS = 200_000
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links every neighbour of a node that is larger (large) or smaller than it to the least of its neighbourhood. No pairs of neighbours arise."""
@@ -25,10 +28,10 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component: the least node reachable over links (columns a, b), for every node of a link between two nodes."""
-    now = checkpointed(links.select("a", "b").filter("a <> b").distinct())
+    now = checkpointed(links.select("a", "b").filter("a <> b").distinct(), ROWS)
     mark = None
     while True:
-        now = checkpointed(_star(_star(now, True), False))
+        now = checkpointed(_star(_star(now, True), False), ROWS)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break

@@ -16,10 +16,11 @@ def _ensured(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder."""
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written to the shared checkpoint folder. rows: as few partitions as hold so many rows each, so that a small table makes few shuffle files."""
     _ensured(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    return out if rows is None else out.coalesce(max(1, -(-out.count() // rows)))
 
 
 def stage_folder(spark: SparkSession) -> str:

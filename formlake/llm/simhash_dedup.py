@@ -13,7 +13,6 @@ class's component, null if the class has no doc_id, and is never dropped. An emp
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
@@ -26,17 +25,14 @@ from pyspark.sql import functions as F
 
 from formlake.llm.components import components
 from formlake.llm.durable import checkpointed
-from formlake.llm.kernels import WordTable, chunks, texts_of
+from formlake.llm.kernels import chunks
+from formlake.llm.prefix_join import PAIR_ROWS, PLACE_ROWS, TEXT_ROWS, apart, common_shingles, likely_pairs, open_pairs, profiles, similar_links, stars
 
 BITS = 64
 #: Rows of a bucket that one task compares; buckets beyond it are split by further bits.
 BUCKET_ROWS = 16384
 #: The cost of a comparison within a bucket, in signatures.
 COMPARE_COST = 0.002
-#: Cells of a sketch, rows of a place in one block of comparisons, and what keeps rounding from ruling out a pair.
-SKETCH_BITS, BLOCK_ROWS, SLACK = 1024, 2048, 1e-6
-#: Cells of the filter of documents whose texts are compared.
-FILTER_BITS = 1 << 24
 
 
 def fingerprint_batch(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarray:
@@ -270,174 +266,48 @@ def group_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text (compressed) of the documents of the ids, and of few others: a filter of fixed size is sent to all tasks, so that not all texts are shuffled."""
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).toArrow()
-    marks = np.zeros(FILTER_BITS // 64, np.uint64)
-    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(marks)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("cell").to_numpy(zero_copy_only=False).astype(np.uint64)
-            some = batch.filter(pa.array((sent.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([zlib.compress(t, 1) for t in texts_of(some.column("text"))], pa.binary())], ["doc_id", "text"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return rows.select("doc_id", "text", cell.alias("cell")).mapInArrow(run, "doc_id long, text binary")
-
-
-def similar_links(found: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The links (a, b) whose whole texts have a Jaccard similarity of `similarity` or more over shingles of `shingle` lower-cased words."""
-    found = checkpointed(found.distinct())
-    texts = packed_texts(docs, found.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    pairs = found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                x, y = _shingles(zlib.decompress(left), shingle), _shingles(zlib.decompress(right), shingle)
-                keep.append(len(x & y) >= similarity * len(x | y))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def _shingles(text: bytes, k: int) -> set:
-    words = text.lower().split()
-    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)}
-
-
-def profiles(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_key (of equal word sequences), n (distinct shingles), sketch (parity of shingles in SKETCH_BITS cells) and places, the prefix of the shingles' hashes in ascending order that another text of the similarity must share one of."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            table = WordTable(texts, lower=True)
-            h, at = table.grams(shingle)
-            doc = table.doc_of()[at]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc = h[fresh], doc[fresh]
-            n = np.bincount(doc, minlength=len(texts))
-            ends = np.cumsum(n)
-            # Two texts of the similarity share at least similarity * n shingles, so not all of a text's first n - ceil(similarity * n) + 1 are missing from the other's.
-            size = np.where(n > 0, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1, 0)
-            first = h[np.arange(len(h)) - np.repeat(ends - n, n) < np.repeat(size, n)]
-            sketch = []
-            for k in range(0, len(texts), 256):
-                x, y = np.searchsorted(doc, [k, k + 256])
-                cells = np.bincount((doc[x:y] - k) * SKETCH_BITS + (h[x:y] % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=min(256, len(texts) - k) * SKETCH_BITS)
-                sketch += [row.tobytes() for row in np.packbits((cells & 1).astype(bool).reshape(-1, SKETCH_BITS), axis=1)]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(first.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "sketch", "places"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key binary, n long, sketch binary, places array<long>")
-
-
-def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (place, rep) in order: each further rep of a place with the place's least."""
-    place_, rep_, least_ = None, None, 0
-    for batch in batches:
-        place, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("place", "rep"))
-        if not len(place):
-            continue
-        new = np.ones(len(place), bool)
-        new[1:] = place[1:] != place[:-1]
-        new[0] = place_ is None or place[0] != place_
-        again = np.zeros(len(place), bool)
-        again[1:] = rep[1:] == rep[:-1]
-        again[0] = rep[0] == rep_
-        start = np.maximum.accumulate(np.where(new, np.arange(len(place)), -1))
-        least = np.where(start >= 0, rep[start], least_)
-        keep = (rep != least) & ~(again & ~new)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (place, rep, least)], ["place", "rep", "least"])
-        place_, rep_, least_ = place[-1], rep[-1], least[-1]
-
-
-def _may(n: np.ndarray, m: np.ndarray, differ: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of n and m members can have the similarity: the members that only one of them has are at least as many as `differ`, the cells of odd parity."""
-    return (1 + similarity) * np.maximum(differ, np.abs(n - m)) <= (1 - similarity) * (n + m) + SLACK
-
-
-def _cells(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-
-
-def likely_pairs(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            differ = np.bitwise_count(_cells(batch.column("sketch_a")) ^ _cells(batch.column("sketch_b"))).sum(axis=1, dtype=np.int64)
-            ok = _may(*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("n_a", "n_b")), differ, similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
-
-    for k in "ab":
-        pairs = pairs.join(reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
-    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
-
-
-def open_pairs(shared: DataFrame, reps: DataFrame, found: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The pairs (a, b) that share a place, are not connected by what was found and are not ruled out by sizes and sketches."""
-    members = shared.select("place", "rep").unionByName(shared.select("place", F.col("least").alias("rep")).distinct())
-    named = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("place", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).filter("x <> y").select("place", "rows")
-    rows = named.join(mixed, "place").join(reps.select("rep", "n", "sketch"), "rep")
-    # A place of many rows is compared in blocks, two at a time, so that no task holds all its rows.
-    blocks = F.ceil(F.col("rows") / block_rows)
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    buckets = rows.groupBy("place", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("rows")).select("rows")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column("rows").flatten()
-            rep, component, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n"))
-            cells = _cells(flat.field("sketch"))
-            sizes = batch.column("rows").value_lengths().to_numpy(zero_copy_only=False)
-            pairs = [np.zeros((0, 2), np.int64)]
-            for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
-                for at in range(end - size, end, 16):
-                    to = min(at + 16, end)
-                    x, y = np.nonzero(component[at:to, None] != component[None, at:end])
-                    differ = np.bitwise_count(cells[at:to, None] ^ cells[None, at:end]).sum(axis=2, dtype=np.int64)[x, y]
-                    ok = (x < y) & _may(n[at + x], n[at + y], differ, similarity)
-                    pairs.append(np.sort(np.stack([rep[at + x[ok]], rep[at + y[ok]]], axis=1), axis=1))
-            out = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-    return buckets.mapInArrow(run, "a long, b long").distinct()
-
-
-def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """docs, with all their columns, without later near-copies: of documents connected by links of `similarity` or more, the one of the smallest doc_id stays.
 
-    No pair is lost: two texts of the similarity share a place of their prefixes. First every text is compared with the
-    least one that its places name; then all of a place that are not connected by that, so large groups of near-copies make no pairs.
+    Texts of equal word sequences are one class. Candidates are first the links of SimHashes of the shingle sets within the
+    radius, and with each text one least text of each place of its prefix (see prefix_join). Fingerprints of 64 bits cannot
+    name every pair of the similarity (some are 20 bits apart), so then the texts of a place that are not connected by that
+    are compared, first as many as may connect them, then all: no pair is lost. Every link is verified on whole texts.
     """
-    rows = checkpointed(profiles(docs, shingle, similarity).filter("doc_id is not null"))
-    classes = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("rep")))
-    reps = checkpointed(rows.join(classes, "text_key").filter("doc_id = rep").select("rep", "n", "sketch").distinct())
-    places = rows.select(F.explode("places").alias("place"), F.col("doc_id").alias("rep"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    rows = checkpointed(profiles(known, common_shingles(known, shingle, similarity), shingle, similarity))
+    classes = checkpointed(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), PLACE_ROWS)
+    named = rows.select("doc_id", "k1", "k2", "n", "fp", "sketch", "coarse").join(classes, ["k1", "k2"])
+    reps = checkpointed(named.filter("doc_id = rep").select("rep", "n", "fp", "sketch", "coarse").distinct(), TEXT_ROWS)
+    # Rows of one doc_id are one document, also where its texts are of two classes.
+    same = checkpointed(named.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct().join(reps.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b"), PAIR_ROWS)
     # A class's least doc_id is in all its places, so the least of a place is one, and the others of the class go after it.
-    stars = places.repartition("place").sortWithinPartitions("place", "rep").mapInArrow(_stars, "place long, rep long, least long")
-    shared = checkpointed(stars.join(reps.select("rep").distinct(), "rep", "left_semi"))
-    pairs = shared.select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = checkpointed(likely_pairs(pairs, reps, similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    near = checkpointed(similar_links(tried, docs, shingle, similarity))
-    found = components(near)
-    more = checkpointed(open_pairs(shared, reps, found, similarity).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = components(near.unionByName(similar_links(more, docs, shingle, similarity)))
-    heads = classes.select("rep").join(found.filter("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti")
-    kept = docs.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    places = rows.select(F.col("doc_id").alias("rep"), F.explode("places").alias("p")).select("p.place", "p.part", "rep")
+    first = checkpointed(stars(places).join(reps.select("rep").distinct(), "rep", "left_semi"), PLACE_ROWS)
+    tops = first.filter("rep = least").groupBy("place").agg(F.min("rep").alias("top"))
+    between = first.join(tops, "place").filter("least <> top").select("place", F.col("least").alias("rep"), F.col("top").alias("least")).distinct()
+    shared = first.filter("rep <> least").select("place", "rep", "least").unionByName(between)
+    by_place = checkpointed(likely_pairs(shared.select(F.least("least", "rep").alias("a"), F.greatest("least", "rep").alias("b")).distinct(), reps, similarity), PAIR_ROWS)
+    # Places of two texts are done with these pairs.
+    wide = shared.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place")
+    members = shared.select("place", "rep").unionByName(shared.select("place", F.col("least").alias("rep"))).join(wide, "place").distinct()
+    members = checkpointed(members, PLACE_ROWS)
+    prints = checkpointed(reps.groupBy("fp").agg(F.min("rep").alias("rep")), PLACE_ROWS)
+    equal = reps.join(prints.select("fp", F.col("rep").alias("a")), "fp").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    near = links(prints, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = by_place.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(likely_pairs(equal.unionByName(near).distinct(), reps, similarity)).distinct()
+    tried = checkpointed(tried, PAIR_ROWS)
+    good = checkpointed(similar_links(tried, docs, shingle, similarity).unionByName(same), PAIR_ROWS)
+    found = components(good)
+    for forest in (True, False):
+        more = open_pairs(members, reps, found, similarity, forest).unionByName(apart(by_place, found)).distinct()
+        more = checkpointed(more.join(tried, ["a", "b"], "left_anti"), PAIR_ROWS)
+        if not more.isEmpty():
+            tried = checkpointed(tried.unionByName(more), PAIR_ROWS)
+            good = checkpointed(good.unionByName(similar_links(more, docs, shingle, similarity)), PAIR_ROWS)
+            found = components(good)
+    kept = classes.select("rep").distinct().join(found.filter("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti")
+    return docs.join(kept.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def hex_digits(fp: Column) -> Column:

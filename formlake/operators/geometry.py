@@ -74,15 +74,28 @@ def table_headers(cells: DataFrame) -> DataFrame:
     return empty.join(firsts, ["page", "row"], "left").join(heads, ["page", "column"], "left").select("page", "row", "column", F.coalesce("first", "head").alias("label"))
 
 
-def grid_cells(bars: DataFrame, uprights: DataFrame, margin: float = 0.6, wide: float = 3.5, high: float = 2.0) -> DataFrame:
-    """page, x0, y0, x1, y1: cells between neighbouring bars (page, y, from, to) and neighbouring uprights (page, x, from, to) that reach both."""
-    w = Window.partitionBy("page").orderBy("y")
-    levels = bars.select("page", "y").distinct().withColumn("below", F.lead("y").over(w)).filter("below is not null")
-    u = levels.join(uprights, "page").filter((F.col("from") <= F.col("y") + margin) & (F.col("to") >= F.col("below") - margin))
-    sides = u.withColumn("right", F.lead("x").over(Window.partitionBy("page", "y").orderBy("x"))).filter("right is not null")
-    closed = sides.join(bars.select("page", "y", F.col("from").alias("bf"), F.col("to").alias("bt")), ["page", "y"]).filter((F.col("bf") <= F.col("x") + margin) & (F.col("bt") >= F.col("right") - margin))
-    out = closed.select("page", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("right").alias("x1"), F.col("below").alias("y1")).distinct()
-    return out.filter((F.col("x1") - F.col("x0") >= wide) & (F.col("y1") - F.col("y0") >= high))
+def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    return F.least(a1, b1) - F.greatest(a0, b0)
+
+
+def grid_cells(bars: DataFrame, uprights: DataFrame, margin: float = 0.6, wide: float = 2.0, high: float = 3.5) -> DataFrame:
+    """page, x0, y0, x1, y1: cells closed on four sides by bars (page, y, from, to) and uprights (page, x, from, to).
+
+    Two neighbouring uprights make a cell of two levels of bars if they reach from one to the other and stand on a bar of each,
+    a bar of each level covers the span between them, and no bar of a level between covers it (a cell may span rows).
+    Uprights elsewhere on the page do not divide it. Levels meet through the uprights that reach both, never as all pairs of a page.
+    """
+    bar = bars.select("page", "y", F.col("from").alias("bf"), F.col("to").alias("bt"))
+    reach = lambda b0, b1, at: (b0 <= at + margin) & (b1 >= at - margin)
+    # The levels that an upright stands on.
+    on = uprights.select("page", "x", "from", "to").distinct().join(bar, "page").filter((F.col("y") >= F.col("from") - margin) & (F.col("y") <= F.col("to") + margin) & reach(F.col("bf"), F.col("bt"), F.col("x")))
+    on = on.groupBy("page", "x", "from", "to").agg(F.array_sort(F.collect_set("y")).alias("ys"))
+    tops = on.select("page", "x", F.explode(F.transform("ys", lambda t: F.struct(t.alias("y0"), F.filter("ys", lambda b: b - t >= high).alias("lows")))).alias("p")).select("page", "x", "p.y0", F.explode("p.lows").alias("y1")).distinct()
+    sides = tops.withColumn("x1", F.lead("x").over(Window.partitionBy("page", "y0", "y1").orderBy("x"))).filter(F.col("x1") - F.col("x") >= wide).withColumnRenamed("x", "x0")
+    covers = (F.col("bf") <= F.col("x0") + margin) & (F.col("bt") >= F.col("x1") - margin)
+    near = sides.join(bar, "page").filter(covers & F.col("y").between(F.col("y0"), F.col("y1")))
+    found = near.groupBy("page", "x0", "y0", "x1", "y1").agg(F.max((F.col("y") == F.col("y0")).cast("int")).alias("top"), F.max((F.col("y") == F.col("y1")).cast("int")).alias("low"), F.max(((F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1"))).cast("int")).alias("inner"))
+    return found.filter("top = 1 and low = 1 and inner = 0").select("page", "x0", "y0", "x1", "y1")
 
 
 def cell_strips(cells: DataFrame, least: int = 3, spread: float = 0.1, gap: float = 1.0) -> DataFrame:
@@ -102,12 +115,36 @@ def checkboxes(rects: DataFrame) -> DataFrame:
     return rects.filter(square).withColumn("label_until", F.lead("x0").over(line))
 
 
-def ruled_fields(lines: DataFrame, least: float = 24.0, apart: float = 22.0) -> DataFrame:
-    """Horizontal rules of some length without a parallel one close by: page, y, from, to."""
-    long = lines.filter(F.col("to") - F.col("from") >= least)
-    up = Window.partitionBy("page").orderBy("y")
-    alone = (F.coalesce(F.col("y") - F.lag("y").over(up), F.lit(1e9)) > apart) & (F.coalesce(F.lead("y").over(up) - F.col("y"), F.lit(1e9)) > apart)
-    return long.withColumn("_alone", alone).filter("_alone").drop("_alone")
+def ruled_fields(lines: DataFrame, cells: DataFrame | None = None, inked: DataFrame | None = None, labels: DataFrame | None = None, least: float = 24.0, apart: float = 22.0, margin: float = 0.6) -> DataFrame:
+    """Horizontal rules (page, y, from, to) that are there to be written on.
+
+    Of some length; no other rule within `apart` that meets more than half of its span; not the edge of a cell (page, x0, y0,
+    x1, y1) over four fifths of it; no ink (boxes page, x0, y0, x1, y1) in the 11 points above it; and, where labels (page, x0,
+    x1, y) are given, one that ends left of it on its line or stands up to 20 points above it. Rules meet in bands of y.
+    """
+    rules = lines.filter(F.col("to") - F.col("from") >= least)
+    length = F.col("to") - F.col("from")
+    band = lambda y: F.floor(y / apart)
+    other = lines.select("page", F.col("y").alias("oy"), F.col("from").alias("of"), F.col("to").alias("ot"), F.explode(F.array(band(F.col("y")) - 1, band(F.col("y")), band(F.col("y")) + 1)).alias("_b"))
+    same = (F.col("oy") == F.col("y")) & (F.col("of") == F.col("from")) & (F.col("ot") == F.col("to"))
+    beside = rules.withColumn("_b", band(F.col("y"))).join(other, ["page", "_b"]).filter(~same & (F.abs(F.col("oy") - F.col("y")) <= apart) & (_overlap(F.col("from"), F.col("to"), F.col("of"), F.col("ot")) > 0.5 * length))
+    keys = ["page", "y", "from", "to"]
+    rules = rules.join(beside.select(*keys).distinct(), keys, "left_anti")
+    if cells is not None:
+        edges = cells.select("page", "x0", "x1", F.explode(F.array("y0", "y1")).alias("e")).select("page", "x0", "x1", "e", F.explode(F.array(band(F.col("e")) - 1, band(F.col("e")), band(F.col("e")) + 1)).alias("_b"))
+        on = rules.withColumn("_b", band(F.col("y"))).join(edges, ["page", "_b"]).filter((F.abs(F.col("e") - F.col("y")) <= margin) & (_overlap(F.col("from"), F.col("to"), F.col("x0"), F.col("x1")) > 0.8 * length))
+        rules = rules.join(on.select(*keys).distinct(), keys, "left_anti")
+    if inked is not None:
+        boxes = inked.select("page", "x0", "x1", "y0", "y1", F.explode(F.sequence(band(F.col("y0")), band(F.col("y1")) + 1)).alias("_b"))
+        over = rules.withColumn("_b", band(F.col("y"))).join(boxes, ["page", "_b"]).filter((F.col("y0") < F.col("y") - 0.8) & (F.col("y1") > F.col("y") - 11) & (_overlap(F.col("from") + 0.5, F.col("to") - 0.5, F.col("x0"), F.col("x1")) > 0))
+        rules = rules.join(over.select(*keys).distinct(), keys, "left_anti")
+    if labels is not None:
+        words = labels.select("page", "x0", "x1", F.col("y").alias("wy"), F.explode(F.array(band(F.col("y")), band(F.col("y")) + 1)).alias("_b"))
+        left = (F.col("x1") <= F.col("from")) & (F.abs(F.col("wy") - F.col("y")) <= 4)
+        above = (F.col("wy") < F.col("y")) & (F.col("y") - F.col("wy") <= 20) & (_overlap(F.col("from"), F.col("to"), F.col("x0"), F.col("x1")) > 0)
+        told = rules.withColumn("_b", F.explode(F.array(band(F.col("y")), band(F.col("y")) + 1))).join(words, ["page", "_b"]).filter(left | above)
+        rules = rules.join(told.select(*keys).distinct(), keys, "left_semi")
+    return rules
 
 
 def dotted_borders(dots: DataFrame, least: int = 6, spread: float = 0.25) -> DataFrame:
@@ -177,7 +214,7 @@ CASCADE = ("widget", "celle", "casella", "riempimento", "tratto", "area")
 def cascade(candidates: DataFrame) -> DataFrame:
     """Candidates of all kinds, each free of what kinds before it, and earlier ones of its own, have claimed."""
     order = F.array_position(F.array(*map(F.lit, CASCADE)), F.col("kind"))
-    return claim(candidates.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(order, "y0", "x0")).cast("long")))
+    return claim(candidates.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(order, "y0", "x0", "x1", "y1")).cast("long")))
 
 
 def ink(pixels: DataFrame, dark: int = 160) -> DataFrame:

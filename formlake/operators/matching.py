@@ -22,8 +22,11 @@ def match_keys(labels: DataFrame, keys: DataFrame) -> DataFrame:
     """
     frequency = document_frequency(keys)
     words = labels.select("label", F.explode(F.array_distinct("words")).alias("word"))
-    index = keys.select("key", F.size(F.array_distinct("words")).alias("n_words"), F.explode(F.array_distinct("words")).alias("word")).join(frequency, "word")
-    pairs = words.join(index, "word").groupBy("label", "key").agg(F.count("*").alias("common"), F.sum(F.when(F.col("keys") <= MOST_KEYS, 1).otherwise(0)).alias("telling")).filter("telling > 0")
+    # Only telling words find candidates, at most MOST_KEYS keys each; frequent words are counted for these afterwards.
+    index = keys.select("key", F.explode(F.array_distinct("words")).alias("word")).join(frequency.filter(F.col("keys") <= MOST_KEYS), "word")
+    pairs = words.join(index, "word").groupBy("label", "key").agg(F.count("*").alias("telling"))
+    pairs = pairs.join(labels.select("label", F.col("words").alias("_l")), "label").join(keys.select("key", F.col("words").alias("_k")), "key")
+    pairs = pairs.select("label", "key", F.size(F.array_intersect("_l", "_k")).cast("long").alias("common"), "telling")
     w = Window.partitionBy("label")
     best = pairs.withColumn("top", F.max(F.struct("common", "telling")).over(w)).filter(F.struct("common", "telling") == F.col("top"))
     best = best.groupBy("label").agg(F.count("*").alias("ties"), F.min("key").alias("key"))
@@ -65,6 +68,6 @@ def compare_readers(first: DataFrame, second: DataFrame, key: str, value: str, s
 
 def reuse_plan(wanted: DataFrame, plans: DataFrame, identity: list[str], age: str) -> DataFrame:
     """The oldest plan whose whole identity equals the wanted one."""
-    w = Window.partitionBy(*identity).orderBy(age)
-    oldest = plans.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    others = [c for c in plans.columns if c not in (*identity, age)]
+    oldest = plans.groupBy(*identity).agg(F.min(F.struct(age, *others)).alias("_x")).select(*identity, f"_x.{age}", *[f"_x.{c}" for c in others])
     return wanted.join(oldest, identity)

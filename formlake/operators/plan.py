@@ -23,8 +23,8 @@ def executed(decisions: DataFrame, facts: DataFrame, removed: DataFrame | None =
 
 def answered(decisions: DataFrame, answers: DataFrame) -> DataFrame:
     """Decisions after the users' last answers: confirm, source, yes, no, text, not_applicable, manual. An answer that does not fit changes nothing."""
-    w = Window.partitionBy("id").orderBy(F.desc("at"))
-    last = answers.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "action", F.col("key").alias("new_key"), F.col("text").alias("new_text"))
+    # Of answers at one time the greatest holds, so the outcome is the same on every run.
+    last = answers.groupBy("id").agg(F.max(F.struct("at", "action", "key", "text")).alias("x")).select("id", "x.action", F.col("x.key").alias("new_key"), F.col("x.text").alias("new_text"))
     rows = decisions.join(last, "id", "left")
     act = F.coalesce("action", F.lit(""))
     fits = F.when(act == "conferma", (F.col("state") == "da_confermare") & ~F.col("failed")).when(act == "fonte", F.col("new_key").isNotNull()).when(act.isin("si", "no"), F.col("is_choice")).when(act == "testo", ~F.col("is_choice") & (F.trim(F.coalesce("new_text", F.lit(""))) != "")).when(act.isin("non_applicabile", "manuale"), F.lit(True)).otherwise(F.lit(False))
@@ -48,8 +48,9 @@ def repair_round(failed: DataFrame, pages: int = 3) -> DataFrame:
 
 def remembered(events: DataFrame) -> DataFrame:
     """What a form's memory holds for each place: the last action; of actions at one time, removal beats confirmation."""
-    w = Window.partitionBy("fingerprint", "id").orderBy(F.desc("at"), F.desc(F.col("action") == "tolto"))
-    return events.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "at")
+    others = [c for c in events.columns if c not in ("fingerprint", "id", "at", "action")]
+    last = F.max(F.struct(F.col("at"), (F.col("action") == "tolto").alias("removed"), F.col("action"), *others)).alias("x")
+    return events.groupBy("fingerprint", "id").agg(last).select("fingerprint", "id", "x.action", *[f"x.{c}" for c in others])
 
 
 def outcome(written: Column, check: Column, by_user: Column, state: Column, vetoed: Column) -> Column:

@@ -7,13 +7,50 @@ from pyspark.sql import functions as F
 
 from formlake.functions.formats import format_problem
 from formlake.functions.text import ascii_words, long_words, named, overlap, unmarked
-from formlake.operators.sequences import near_pairs
+from formlake.operators.sequences import first_formula, near_pairs, rolling_text
 
 #: Words that join data without being data.
 GLUE = tuple("a al alla allo ai agli alle il lo la i gli le di del dello della dei degli delle da dal dalla e ed in nel nella con presso per n nr num numero via viale piazza piazzale corso vicolo largo localita loc c f cf cod codice fiscale p iva piva partita nato nata nati residente residenti sede legale operativa prov provincia cap tel telefono cell cellulare fax email mail pec iban banca filiale agenzia conto corrente snc civico frazione fraz comune qualita quale sig sigra dott ing geom arch rag gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split())
+#: Fixed value: sections that this kind of applicant never fills in.
 EXCLUDED_SECTION = r"transfrontalier|non stabilit\w* in italia"
 
 
+#: What shows that a field is about somebody else, and who; the first that is found is reported.
+SUBJECT_FORMULAS = [
+    (r"cessat[oi] dalla carica", "soggetto cessato dalla carica"),
+    (r"impresa ausiliaria|avvalimento|ausiliari[ae]\b", "impresa ausiliaria"),
+    (r"subappaltator|subappalt", "subappaltatore"),
+    (r"mandante|mandatari[ao]|raggruppament|\br\.?t\.?i\.?\b|consorziat", "altro membro del raggruppamento"),
+    (r"incorporazione|a seguito di fusione|acquisizione, totale", "impresa incorporata o acquisita"),
+    (r"nuovo titolare|precedente titolare|subentrante", "altra parte della voltura"),
+    (r"responsabile dell.impianto|terzo responsabile", "responsabile dell'impianto"),
+    (r"coniuge|convivente|\berede\b|familiar", "familiare"),
+    (r"direttore tecnico", "direttore tecnico"),
+    (r"progettista|direttore dei lavori|collaudator", "progettista o direzione lavori"),
+    (r"proprietari[oa] dell|committente|amministratore di condominio", "proprietario o committente"),
+    (r"impresa esecutrice|impresa affidataria", "impresa esecutrice"),
+]
+#: Sections that hold only under a condition of the tender.
+CONDITIONS = {
+    "raggruppamento": r"raggruppament|\br\.?t\.?i\.?\b|consorz|mandant|mandatari|rete di imprese|aggregazion|\bg\.?e\.?i\.?e\.?\b|cooptat",
+    "avvalimento": r"avvaliment|ausiliari",
+    "subappalto": r"subappalt",
+}
+
+
+def subject_alerts(lines: DataFrame, parts: list[str], order: str, text: str, above: int = 6) -> DataFrame:
+    """lines with `reason`: whom a field on the line or in the lines above it speaks of, by SUBJECT_FORMULAS; null if nobody else."""
+    rows = rolling_text(lines, parts, order, text, above)
+    return rows.withColumn("reason", first_formula(F.col("window"), SUBJECT_FORMULAS)).drop("window")
+
+
+def skipped_sections(lines: DataFrame, parts: list[str], order: str, text: str, active: list[str] | None, above: int = 6) -> DataFrame:
+    """lines with `skipped`: whether they stand under a condition that is not active. No answer (None) skips nothing; none active ([]) skips all conditional ones."""
+    off = [] if active is None else [p for k, p in CONDITIONS.items() if k not in active]
+    rows = rolling_text(lines, parts, order, text, above)
+    return rows.withColumn("skipped", F.lower("window").rlike("|".join(off)) if off else F.lit(False)).drop("window")
+
+
 def provenance_problem(value: Column, sources: Column) -> Column:
     """The first word of a value that comes from no source (array of texts); null if all do."""
     known = F.flatten(F.transform(sources, ascii_words))
@@ -60,9 +97,9 @@ def contract_states(slots: DataFrame, answers: DataFrame, keys: DataFrame, key:
 
 def contradictions(lines: DataFrame, parts: list[str], order: str, text: str, declares: str | None = None, distance: int = 4, least_words: int = 8, least_overlap: float = 0.6) -> DataFrame:
     """Pairs of near lines that say nearly the same of the same parties: declarations of which one holds."""
-    rows = lines.select(*parts, order, F.col(text).alias("line"), long_words(F.col(text)).alias("words"), named(F.col(text)).alias("names")).filter(F.size("words") >= least_words)
     if declares:
-        rows = rows.filter(F.lower("line").rlike(declares))
+        lines = lines.filter(F.lower(text).rlike(declares))
+    rows = lines.select(*parts, order, long_words(F.col(text)).alias("words"), named(F.col(text)).alias("names")).filter(F.size("words") >= least_words)
     pairs = near_pairs(rows, parts, order, distance)
     share = overlap(F.col("a.words"), F.col("b.words"))
     same = (F.size(F.array_except("a.names", "b.names")) == 0) & (F.size(F.array_except("b.names", "a.names")) == 0)

@@ -6,17 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tolerances in a range of values.
+RANGE = 4096
+
+
 def _islands(rows: DataFrame, parts: list[str], order: list[str], new: Column) -> DataFrame:
     w = Window.partitionBy(*parts).orderBy(*order)
     return rows.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def gap_groups(rows: DataFrame, parts: list[str], value: str, tolerance: float = 0.8) -> DataFrame:
-    """Groups of values without a gap above the tolerance: their number, mean and ends."""
-    w = Window.partitionBy(*parts).orderBy(value)
-    marked = rows.withColumn("_gap", F.col(value) - F.lag(value).over(w))
-    found = _islands(marked, parts, [value], F.coalesce(F.col("_gap") > tolerance, F.lit(True)))
-    return found.groupBy(*parts, "island").agg(F.count("*").alias("n"), F.avg(value).alias("middle"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """Groups of values without a gap above the tolerance: their number, mean and ends.
+
+    Values are divided into ranges of RANGE tolerances, so no window holds all of a part; groups that go on in the next range are
+    joined over the ranges' ends, one row for each range.
+    """
+    marked = rows.withColumn("_range", F.floor(F.col(value) / (RANGE * tolerance)))
+    w = Window.partitionBy(*parts, "_range").orderBy(value)
+    marked = marked.withColumn("_gap", F.col(value) - F.lag(value).over(w))
+    own = _islands(marked, [*parts, "_range"], [value], F.coalesce(F.col("_gap") > tolerance, F.lit(True)))
+    own = own.groupBy(*parts, "_range", "island").agg(F.count("*").alias("n"), F.sum(value).alias("_sum"), F.min(value).alias("low"), F.max(value).alias("high"))
+    ends = own.groupBy(*parts, "_range").agg(F.max("island").alias("_islands"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+    along = Window.partitionBy(*parts).orderBy("_range")
+    ends = ends.withColumn("_joined", F.coalesce(F.col("_low") - F.lag("_high").over(along) <= tolerance, F.lit(False)).cast("int"))
+    ends = ends.withColumn("_before", F.sum(F.col("_islands") - F.col("_joined")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_islands"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*parts, "_range")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    joined = own.alias("a").join(ends.alias("b"), on).select("a.*", (F.col("a.island") + F.col("b._before")).alias("_island"))
+    return joined.groupBy(*parts, F.col("_island").alias("island")).agg(F.sum("n").alias("n"), (F.sum("_sum") / F.sum("n")).alias("middle"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def merged_intervals(rows: DataFrame, parts: list[str], start: str, end: str, slack: float = 1.0) -> DataFrame:
@@ -43,10 +62,10 @@ def first_formula(text: Column, formulas: list[tuple[str, str]]) -> Column:
 
 
 def near_pairs(rows: DataFrame, parts: list[str], order: str, distance: int) -> DataFrame:
-    """Pairs of rows a and b, b at most `distance` places after a. Every row goes to the places that may ask for it, so the join is on equal keys."""
-    a = rows.select(F.struct(*rows.columns).alias("a"), *parts, F.explode(F.transform(F.sequence(F.lit(1), F.lit(distance)), lambda d: F.col(order) + d)).alias("_at"))
-    b = rows.select(F.struct(*rows.columns).alias("b"), *parts, F.col(order).alias("_at"))
-    return a.join(b, [*parts, "_at"]).select("a", "b")
+    """Pairs of rows a and b, b at most `distance` places after a: one window by place, no join."""
+    w = Window.partitionBy(*parts).orderBy(order).rangeBetween(1, distance)
+    own = F.struct(*rows.columns)
+    return rows.select(own.alias("a"), F.collect_list(own).over(w).alias("_b")).select("a", F.explode("_b").alias("b"))
 
 
 def numbered(rows: DataFrame, parts: list[str], order: list[str], name: str = "number") -> DataFrame:
@@ -54,9 +73,9 @@ def numbered(rows: DataFrame, parts: list[str], order: list[str], name: str = "n
 
 
 def reading_order(rows: DataFrame, parts: list[str], x: str, y: str, band: float = 4.0) -> DataFrame:
-    """Rows in reading order, with their line: y in bands (half to even), then x."""
+    """Rows in reading order, with their line: y in bands (half to even), then x, then all other columns, so that ties have one order."""
     line = F.bround(F.col(y) / band, 0)
-    w = Window.partitionBy(*parts).orderBy(line, x)
+    w = Window.partitionBy(*parts).orderBy(line, x, y, *sorted(set(rows.columns) - {x, y, *parts}))
     return rows.withColumns({"place": F.row_number().over(w).cast("long"), "line_no": F.dense_rank().over(Window.partitionBy(*parts).orderBy(line)).cast("long")})
 
 
@@ -75,7 +94,7 @@ def filler_runs(text: Column, least: int = 4) -> Column:
 
 def phase_times(steps: DataFrame, parts: list[str], at: str, phase: str) -> DataFrame:
     """Time spent in each phase: from a step to the next of the same run."""
-    w = Window.partitionBy(*parts).orderBy(at)
+    w = Window.partitionBy(*parts).orderBy(at, *sorted(set(steps.columns) - {at, *parts}))
     spent = F.unix_micros(F.lead(F.col(at)).over(w)) - F.unix_micros(F.col(at))
     return steps.withColumn("_us", spent).groupBy(phase).agg(F.coalesce(F.sum("_us"), F.lit(0)).alias("micros"), F.count("*").alias("steps"))
 

@@ -120,7 +120,7 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("form"),
         (F.col("o_orderkey") % 9).alias("page"),
         F.expr(_STATE).alias("state"),
-        F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("key"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "utente").alias("origin"),
         (F.col("o_orderkey") % 7 == 0).alias("failed"),
         (F.col("o_orderkey") % 5 == 0).alias("is_choice"),
@@ -129,16 +129,16 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DECISIONS = f"""d as (select o_orderkey as id, o_custkey as form, o_orderkey % 9 as page, {_STATE} as state, 'c' || (o_custkey % 50)::varchar as key, case when o_orderpriority = '1-URGENT' then 'utente' end as origin, o_orderkey % 7 = 0 as failed, o_orderkey % 5 = 0 as is_choice, o_orderdate, o_totalprice from orders)"""
+_DECISIONS = f"""d as (select o_orderkey as id, o_custkey as form, o_orderkey % 9 as page, {_STATE} as state, 'c' || o_custkey::varchar as key, case when o_orderpriority = '1-URGENT' then 'utente' end as origin, o_orderkey % 7 = 0 as failed, o_orderkey % 5 = 0 as is_choice, o_orderdate, o_totalprice from orders)"""
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, value: every third is blank, every seventh missing."""
-    n = table(spark, sf_dir, "customer").filter("c_custkey < 50")
-    return n.filter("c_custkey % 7 <> 3").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_name")).alias("value"))
+    """key, value: every third is blank, those of a negative balance are missing."""
+    n = table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
+    return n.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_name")).alias("value"))
 
 
-_FACTS = "facts as (select 'c' || c_custkey::varchar as key, case when c_custkey % 3 = 0 then ' ' else c_name end as value from customer where c_custkey < 50 and c_custkey % 7 <> 3)"
+_FACTS = "facts as (select 'c' || c_custkey::varchar as key, case when c_custkey % 3 = 0 then ' ' else c_name end as value from customer where c_acctbal >= 0)"
 
 
 @query(f"with {_DECISIONS} select s.state, count(d.id) as n from (select unnest({_STATES}) as state) s left join d using (state) group by s.state")
@@ -282,16 +282,29 @@ def wn_rolling_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alerts(spark, sf_dir).filter("reason is not null")
 
 
-@query(f"with {_ROLLED} select doc_id, reason, count(*) as lines, min(n) as first from m where reason is not null group by doc_id, reason")
+#: Lines of forms that speak of the applicant and of others, with every formula once.
+_FORM_LINES = """(1, 0, 'Il sottoscritto dichiara'), (1, 1, 'nome ______'), (1, 2, 'Soggetti cessati dalla carica'), (1, 3, 'nome ______'), (1, 4, 'b'), (1, 5, 'c'), (1, 6, 'd'), (1, 7, 'e'), (1, 8, 'f ______'), (1, 9, 'g ______'),
+(2, 0, 'Impresa ausiliaria'), (2, 1, 'ragione sociale ____'), (3, 0, 'dati del subappaltatore ____'), (4, 0, 'in caso di R.T.I. la mandante ____'), (5, 0, 'a seguito di fusione ____'), (6, 0, 'NUOVO TITOLARE ____'),
+(7, 0, 'responsabile dell''impianto ____'), (8, 0, 'il coniuge ____'), (9, 0, 'Direttore tecnico ____'), (10, 0, 'il progettista ____'), (11, 0, 'il proprietario dell''immobile ____'), (12, 0, 'impresa affidataria ____'),
+(13, 0, 'nessuna formula'), (13, 1, null), (13, 2, 'rete di imprese'), (13, 3, 'ereditiera ____'), (14, 0, 'cooptata ____'), (14, 1, 'x')"""
+_FORM_WINDOWS = f"r as (select form, n, line, lower(string_agg(line, ' ') over (partition by form order by n rows between 6 preceding and current row)) as win from (values {_FORM_LINES}) t(form, n, line))"
+_SUBJECT_SQL = "case " + " ".join(f"when regexp_matches(win, '{p}') then '{r}'".replace("dell'impianto'", "dell''impianto'") for p, r in rules.SUBJECT_FORMULAS) + " end"
+
+
+def _form_lines(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"select * from values {_FORM_LINES} as t(form, n, line)".replace("l''i", "l\\'i"))
+
+
+@query(f"with {_FORM_WINDOWS} select form, n, {_SUBJECT_SQL} as reason from r")
 def vd_subject_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(spark, sf_dir).filter("reason is not null").groupBy("doc_id", "reason").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    return rules.subject_alerts(_form_lines(spark), ["form"], "n", "line").select("form", "n", "reason")
 
 
-@query(f"with {_ROLLED} select doc_id, count(*) as lines, count(*) filter (reason in ('insult', 'abuse')) as skipped from m group by doc_id")
+@query(f"with {_FORM_WINDOWS} select form, n, false as unknown, coalesce(regexp_matches(win, '{'|'.join(rules.CONDITIONS.values())}'), false) as alone, coalesce(regexp_matches(win, '{rules.CONDITIONS['avvalimento']}|{rules.CONDITIONS['subappalto']}'), false) as grouped from r")
 def wn_conditional_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in sections that a known answer rules out; without an answer none is."""
-    skipped = F.count(F.when(F.col("reason").isin("insult", "abuse"), 1))
-    return _alerts(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("lines"), skipped.alias("skipped"))
+    """Lines in sections that an answer rules out: none without an answer, all conditional ones for who applies alone, fewer for a group."""
+    skipped = lambda active, name: rules.skipped_sections(_form_lines(spark), ["form"], "n", "line", active).select("form", "n", F.coalesce("skipped", F.lit(False)).alias(name))
+    return skipped(None, "unknown").join(skipped([], "alone"), ["form", "n"]).join(skipped(["raggruppamento"], "grouped"), ["form", "n"])
 
 
 @query(f"with {ANCHORS_SQL} select form, n, kind, row_number() over (partition by form order by n, kind) as number from anchors")
@@ -437,16 +450,16 @@ def pj_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Plans
 
 
-@query(f"with {_DECISIONS}, {_FACTS}, c as (select *, case when coalesce(origin, '') <> 'utente' and state = 'da_confermare' then 'assegna' else state end as now from d where not (form % 11 = 0)) select id, now as state, case when now <> 'assegna' then 'open' when trim(coalesce(value, '')) = '' then 'unusable' else 'written' end as status, case when now = 'assegna' and trim(coalesce(value, '')) <> '' then value end as value from c left join facts using (key)")
+@query(f"with {_DECISIONS}, {_FACTS}, c as (select *, case when coalesce(origin, '') <> 'utente' and state = 'da_confermare' then 'assegna' else state end as now from d where not (o_totalprice > 300000)) select id, now as state, case when now <> 'assegna' then 'open' when trim(coalesce(value, '')) = '' then 'unusable' else 'written' end as status, case when now = 'assegna' and trim(coalesce(value, '')) <> '' then value end as value from c left join facts using (key)")
 def pl_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decisions(spark, sf_dir)
-    return plan.executed(plan.confirm_policy(d), _facts(spark, sf_dir), d.filter("form % 11 = 0")).select("id", "state", "status", "value")
+    return plan.executed(plan.confirm_policy(d), _facts(spark, sf_dir), d.filter("o_totalprice > 300000")).select("id", "state", "status", "value")
 
 
-@query(f"with {_DECISIONS} select id, state from d where form % 11 <> 0")
+@query(f"with {_DECISIONS} select id, state from d where o_totalprice <= 300000")
 def pl_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decisions(spark, sf_dir)
-    return d.select("id", "state").join(d.filter("form % 11 = 0").select("id"), "id", "left_anti")
+    return d.select("id", "state").join(d.filter("o_totalprice > 300000").select("id"), "id", "left_anti")
 
 
 @query(f"with {_DECISIONS}, {_FACTS} select id, state, value as proposal, value is not null and not failed as confirmable from d left join facts using (key) where not (state in ('assegna', 'non_campo') or (coalesce(origin, '') = 'utente' and state = 'manuale' and not failed))")
@@ -558,11 +571,13 @@ def vd_add_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.length(F.trim("line")).between(1, 60)).join(taken, ["doc_id", "n"], "left_anti").select("doc_id", "n")
 
 
-@query(f"with {LINES_SQL}, t as (select doc_id, n, line, regexp_extract_all(translate(lower(line), 'àáâãäåèéêëìíîïòóôõöùúûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[a-z0-9]+') as w from lines where n <= 1), p as (select b.doc_id, a.w as known, array_to_string(a.w, '') as packed, b.w as asked from t a join t b on a.doc_id = b.doc_id and a.n = 0 and b.n = 1 where trim(a.line) <> '') select doc_id, list_filter(asked, lambda x: not list_contains(known, x) and not list_contains({list(rules.GLUE)}, x) and not (length(x) >= 3 and contains(packed, x)))[1] as stranger from p")
+@query(f"with {LINES_SQL}, t as (select doc_id, n, line, regexp_extract_all(translate(lower(line), 'àáâãäåèéêëìíîïòóôõöùúûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[a-z0-9]+') as w from lines), p as (select b.doc_id, b.n, a.w as known, array_to_string(a.w, '') as packed, b.w as asked from t a join t b on a.doc_id = b.doc_id and a.n = 0 and b.n >= 1 where trim(a.line) <> '') select doc_id, n, list_filter(asked, lambda x: not list_contains(known, x) and not list_contains({list(rules.GLUE)}, x) and not (length(x) >= 3 and contains(packed, x)))[1] as stranger from p")
 def vd_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.lines(spark, sf_dir).filter("n <= 1").groupBy("doc_id").agg(F.max(F.when(F.col("n") == 0, F.col("line"))).alias("source"), F.max(F.when(F.col("n") == 1, F.col("line"))).alias("value"))
-    lines = lines.filter("value is not null").filter(F.trim("source") != "")
-    return lines.select("doc_id", rules.provenance_problem(F.col("value"), F.array("source")).alias("stranger"))
+    """Of every line, the first word that the document's first line does not hold."""
+    lines = views.lines(spark, sf_dir)
+    sources = lines.filter("n = 0").filter(F.trim("line") != "").select("doc_id", F.col("line").alias("source"))
+    found = lines.filter("n >= 1").join(sources, "doc_id")
+    return found.select("doc_id", "n", rules.provenance_problem(F.col("line"), F.array("source")).alias("stranger"))
 
 
 # Orders, sets, snapshots
@@ -605,10 +620,10 @@ def st_snapshot_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.snapshot_difference(count(d), count(d.filter("n_chars > 100")), ["k"], "v")
 
 
-@query(f"with {LINES_SQL} select doc_id, n, case when b.text is null then 'removed' else 'changed' end as change from lines left join benchmark b on b.item_id = lines.n where b.text is distinct from line and n < 40")
+@query(f"with {LINES_SQL} select doc_id, n, case when b.text is null then 'removed' else 'changed' end as change from lines left join benchmark b on b.item_id = lines.n where b.text is distinct from line")
 def au_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that differ from the expected ones, place by place."""
-    rows = views.lines(spark, sf_dir).filter("n < 40")
+    rows = views.lines(spark, sf_dir)
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("wanted"))
     out = rows.join(wanted, "n", "left").filter(~F.col("line").eqNullSafe(F.col("wanted")))
     return out.select("doc_id", "n", F.when(F.col("wanted").isNull(), "removed").otherwise("changed").alias("change"))

@@ -93,9 +93,9 @@ def io_profile_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.seeded(rows(spark, "('k1', 'old') as t(k, v)"), rows(spark, "('k1', 'new'), ('k2', 'new') as t(k, v)"), "k")
 
 
-@query("select * from (values ('a.json', 'profilo.ragione', 'Rossi'), ('a.json', 'profilo.piva', ''), ('a.json', 'profilo.sedi.0', 'Roma'), ('a.json', 'profilo.sedi.1', 'Pisa'), ('a.json', 'profilo.cap', '00100'), ('a.json', 'prova', 'false'), ('b.json', 'azienda.ragione', 'Verdi'), ('b.json', 'prova', 'true'), ('c.json', 'ragione', 'Bianchi'), ('c.json', 'n', '5')) t(file, path, value)")
+@query("select * from (values ('a.json', 'profilo.ragione', 'Rossi'), ('a.json', 'profilo.piva', ''), ('a.json', 'profilo.sedi.0', 'Roma'), ('a.json', 'profilo.sedi.1', 'Pisa'), ('a.json', 'profilo.cap', '00100'), ('a.json', 'prova', 'false'), ('b.json', 'azienda.ragione', 'Verdi'), ('b.json', 'prova', 'true'), ('c.json', 'ragione', 'Bianchi'), ('c.json', 'n', '5'), ('d.json', 'a.b.c.d.e.0.f', 'x'), ('d.json', 'a.b.t', 'x{y')) t(file, path, value)")
 def fm_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.flattened(rows(spark, _PROFILE + " as t(file, raw)")).select("file", "path", "value")
+    return profiles.flattened(rows(spark, _PROFILE + ", ('d.json', '" + '{"a": {"b": {"c": {"d": {"e": [{"f": "x"}]}}, "t": "x{y"}}}' + "') as t(file, raw)")).select("file", "path", "value")
 
 
 @query("select * from (values ('lavoro_corrente', 'Lavoro corrente'), ('scenari.gara_uno', 'Scenario: gara uno')) t(path, label)")
@@ -231,9 +231,45 @@ _SEGS = "(1, 10.0, 0.0, 40.0), (1, 20.0, 0.0, 40.0), (1, 30.0, 0.0, 20.0)"
 _UPS = "(1, 0.0, 10.0, 30.0), (1, 20.0, 10.0, 30.0), (1, 40.0, 10.0, 20.0)"
 
 
-@query("select * from (values (1, 0.0::double, 10.0::double, 20.0::double, 20.0::double), (1, 20.0, 10.0, 40.0, 20.0), (1, 0.0, 20.0, 20.0, 30.0)) t(page, x0, y0, x1, y1)")
+def _grid(page: int, xs: list, ys: list, skip_bars: tuple = (), skip_ups: tuple = ()) -> tuple[list, list]:
+    """Bars between columns and uprights between rows, piece by piece, without those named by (row, column)."""
+    bars = [(page, y, a, b) for r, y in enumerate(ys) for c, (a, b) in enumerate(zip(xs, xs[1:], strict=False)) if (r, c) not in skip_bars]
+    ups = [(page, x, a, b) for c, x in enumerate(xs) for r, (a, b) in enumerate(zip(ys, ys[1:], strict=False)) if (r, c) not in skip_ups]
+    return bars, ups
+
+
+def _grids() -> tuple[str, str]:
+    """A 5 x 5 grid, its half; cells over two rows and columns; tables of other heights side by side; an open side; lines that close nothing."""
+    five = [0.0, 20.0, 40.0, 60.0, 80.0]
+    parts = [
+        _grid(1, five, five),
+        _grid(2, [3 + x / 2 for x in five], [7 + y / 2 for y in five]),
+        ([(3, y, 0.0, 60.0) for y in (0.0, 30.0)] + [(3, 15.0, 20.0, 60.0)], [(3, x, 0.0, 30.0) for x in (0.0, 20.0, 40.0, 60.0)]),
+        _grid(4, [0.0, 20.0, 40.0], [0.0, 10.0, 20.0, 30.0]),
+        _grid(4, [60.0, 90.0], [0.0, 15.0, 30.0]),
+        _grid(5, five, [0.0, 10.0, 20.0], skip_ups=((0, 4), (1, 0))),
+        _grid(6, [0.0, 1.5, 30.0], [0.0, 3.0, 12.0]),
+        ([(7, 0.0, 0.0, 50.0), (7, 9.0, 0.3, 50.4), (7, 40.0, 0.0, 50.0)], [(7, 0.0, 0.4, 8.8), (7, 50.0, 0.0, 9.0), (7, 25.0, 20.0, 60.0)]),
+    ]
+    values = lambda k: ", ".join(f"({p}, {a}, {b}, {c})" for part in parts for p, a, b, c in part[k])
+    return values(0), values(1)
+
+
+_BARS, _UPRIGHTS = _grids()
+
+
+@query(
+    f"""with b as (select page, y::double as y, f::double as f, t::double as t from (values {_BARS}) b(page, y, f, t)), u as (select page, x::double as x, f::double as f, t::double as t from (values {_UPRIGHTS}) u(page, x, f, t)),
+p as (select distinct a.page, a.y as y0, c.y as y1 from b a join b c on a.page = c.page and c.y - a.y >= 3.5),
+m as (select distinct p.page, y0, y1, x from p join u on u.page = p.page and u.f <= y0 + 0.6 and u.t >= y1 - 0.6
+      where exists (select 1 from b where b.page = p.page and b.y = y0 and b.f <= x + 0.6 and b.t >= x - 0.6) and exists (select 1 from b where b.page = p.page and b.y = y1 and b.f <= x + 0.6 and b.t >= x - 0.6)),
+s as (select *, lead(x) over (partition by page, y0, y1 order by x) as x1 from m)
+select page, x as x0, y0, x1, y1 from s where x1 - x >= 2
+  and exists (select 1 from b where b.page = s.page and b.y = y0 and b.f <= x + 0.6 and b.t >= x1 - 0.6) and exists (select 1 from b where b.page = s.page and b.y = y1 and b.f <= x + 0.6 and b.t >= x1 - 0.6)
+  and not exists (select 1 from b where b.page = s.page and b.y > y0 and b.y < y1 and b.f <= x + 0.6 and b.t >= x1 - 0.6)"""
+)
 def wn_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.grid_cells(rows(spark, _SEGS + " as t(page, y, from, to)"), rows(spark, _UPS + " as t(page, x, from, to)"))
+    return geometry.grid_cells(rows(spark, _BARS + " as t(page, y, from, to)"), rows(spark, _UPRIGHTS + " as t(page, x, from, to)"))
 
 
 _GLYPHS = "(1, 10.0, 10.0, 'A'), (1, 12.0, 10.2, 'B'), (1, 60.0, 10.0, 'C'), (1, 11.0, 30.0, 'D'), (2, 10.0, 10.0, 'E')"
@@ -315,10 +351,24 @@ def wn_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.checkboxes(rows(spark, boxes)).select("id", F.col("label_until").alias("until"))
 
 
-@query("select * from (values (1, 10.0::double), (1, 80.0::double)) t(page, y)")
+#: Rules side by side and above each other, at cells' edges, under ink, without a label.
+_RULES = "(1, 10.0, 0.0, 50.0), (1, 10.0, 80.0, 130.0), (1, 40.0, 0.0, 50.0), (1, 50.0, 0.0, 50.0), (1, 50.0, 60.0, 99.0), (1, 80.0, 0.0, 50.0), (1, 95.0, 0.0, 10.0), (1, 130.0, 0.0, 60.0), (1, 152.0, 31.0, 90.0), (1, 175.0, 0.0, 60.0), (1, 220.0, 0.0, 60.0), (1, 260.0, 10.0, 60.0), (1, 300.0, 10.0, 60.0), (2, 10.0, 0.0, 50.0), (2, 32.0, 24.0, 60.0), (2, 54.1, 24.0, 60.0)"
+_RULE_CELLS = "(1, 0.0, 175.0, 55.0, 190.0), (1, 0.0, 60.0, 20.0, 80.0)"
+_RULE_INK = "(1, 5.0, 212.0, 20.0, 218.0), (1, 70.0, 250.0, 80.0, 258.0), (1, 20.0, 285.0, 30.0, 289.0), (2, 30.0, 31.5, 40.0, 33.0)"
+_RULE_LABELS = "(1, -20.0, -2.0, 10.0), (1, 60.0, 78.0, 11.0), (1, -9.0, -1.0, 38.0), (1, 62.0, 80.0, 33.0), (1, -20.0, -1.0, 83.0), (1, 5.0, 30.0, 115.0), (1, 40.0, 80.0, 140.0), (1, -9.0, -1.0, 175.0), (1, -9.0, -1.0, 220.0), (1, 20.0, 30.0, 245.0), (1, 0.0, 9.0, 302.0), (2, 5.0, 20.0, 5.0), (2, 30.0, 40.0, 14.0), (2, 0.0, 20.0, 54.0)"
+
+
+@query(
+    f"""with r as (select page, y::double as y, f::double as f, t::double as t from (values {_RULES}) r(page, y, f, t))
+select page, y, f as "from", t as "to" from r where t - f >= 24
+  and not exists (select 1 from r o where o.page = r.page and (o.y, o.f, o.t) <> (r.y, r.f, r.t) and abs(o.y - r.y) <= 22 and least(o.t, r.t) - greatest(o.f, r.f) > 0.5 * (r.t - r.f))
+  and not exists (select 1 from (values {_RULE_CELLS}) c(page, x0, y0, x1, y1) where c.page = r.page and (abs(y0 - r.y) <= 0.6 or abs(y1 - r.y) <= 0.6) and least(x1, r.t) - greatest(x0, r.f) > 0.8 * (r.t - r.f))
+  and not exists (select 1 from (values {_RULE_INK}) k(page, x0, y0, x1, y1) where k.page = r.page and y0 < r.y - 0.8 and y1 > r.y - 11 and least(x1, r.t - 0.5) - greatest(x0, r.f + 0.5) > 0)
+  and exists (select 1 from (values {_RULE_LABELS}) w(page, x0, x1, wy) where w.page = r.page and ((x1 <= r.f and abs(wy - r.y) <= 4) or (wy < r.y and r.y - wy <= 20 and least(x1, r.t) - greatest(x0, r.f) > 0)))"""
+)
 def wn_ruled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = "(1, 10.0, 0.0, 50.0), (1, 40.0, 0.0, 50.0), (1, 50.0, 0.0, 50.0), (1, 80.0, 0.0, 50.0), (1, 95.0, 0.0, 10.0) as t(page, y, from, to)"
-    return geometry.ruled_fields(rows(spark, lines)).select("page", "y")
+    box = " as t(page, x0, y0, x1, y1)"
+    return geometry.ruled_fields(rows(spark, _RULES + " as t(page, y, from, to)"), rows(spark, _RULE_CELLS + box), rows(spark, _RULE_INK + box), rows(spark, _RULE_LABELS + " as t(page, x0, x1, y)"))
 
 
 @query("select * from (values ('a', 1, 1), ('b', 2, 1), ('c', 3, 2)) t(id, place, line_no)")
@@ -405,13 +455,27 @@ def au_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.spill(rows(spark, "(1, 5, 2), (1, 0, 4), (2, 3, 3) as t(id, gain, neighbour_gain)"))
 
 
-@query("select c_custkey, case when c_acctbal > 5000 and c_mktsegment <> 'MACHINERY' then upper(c_name) || '!' else lower(c_mktsegment) end as v from customer")
+_PROGRAM = """
+'what a form writes for a customer'
+code, level = name[-4:], 'alto' if balance > 5000 and segment not in ['MACHINERY', 'BUILDING'] else 'basso' if 0 < balance else 'rosso'
+first = name[0] + name[1:3].upper() + {'AUTOMOBILE': 'a', 'HOUSEHOLD': 'h'}.get(segment, '-')
+digit = max(min(int(balance / 1000), 9), -1)
+note = segment and not balance == 0 and name.split('#')[-1].replace('0', '') or '?'
+return first + code + ':' + level + ':' + str(len(segment)) + ':' + str(digit) + ':' + note
+"""
+
+
+@query(
+    """select c_custkey, substr(c_name, 1, 1) || upper(substr(c_name, 2, 2)) || case c_mktsegment when 'AUTOMOBILE' then 'a' when 'HOUSEHOLD' then 'h' else '-' end || right(c_name, 4)
+  || ':' || case when c_acctbal > 5000 and c_mktsegment not in ('MACHINERY', 'BUILDING') then 'alto' when c_acctbal > 0 then 'basso' else 'rosso' end || ':' || length(c_mktsegment)
+  || ':' || greatest(least(trunc(c_acctbal / 1000)::bigint, 9), -1) || ':' || case when c_acctbal <> 0 and replace(split_part(c_name, '#', -1), '0', '') <> '' then replace(split_part(c_name, '#', -1), '0', '') else '?' end as v
+from customer"""
+)
 def ud_projection_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formlake.tables import table
 
-    out = projection.compiled("name.upper() + '!' if balance > 5000 and segment != 'MACHINERY' else segment.lower()", {"name", "balance", "segment"})
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    return c.select("c_custkey", out.alias("v"))
+    return c.select("c_custkey", projection.program(_PROGRAM, c.schema).alias("v"))
 
 
 # Places, writers and reports

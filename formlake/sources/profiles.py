@@ -36,8 +36,10 @@ def with_path(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(changes.select(*rows.columns))
 
 
-def flattened(values: DataFrame, raw: str = "raw", depth: int = 4) -> DataFrame:
-    """The input's other columns, path, value of every scalar below an object or list, list places included; `depth` levels."""
+def flattened(values: DataFrame, raw: str = "raw") -> DataFrame:
+    """The input's other columns, path, value of every scalar below an object or list, list places included. One round a level, as many as the deepest value has brackets opened at once."""
+    opened = F.aggregate(F.regexp_extract_all(F.regexp_replace(raw, r'"(\\.|[^"\\])*"', ""), F.lit(r"([\[\]{}])"), F.lit(1)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, c: F.struct((a.now + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a.most, a.now + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most")))
+    depth = values.agg(F.max(opened["most"])).first()[0] or 0
     others = [c for c in values.columns if c != raw]
     level = values.select(*others, F.lit("").alias("path"), F.col(raw).alias("value"))
     out = None

@@ -40,12 +40,64 @@ def test_profiles_from_files(spark, tmp_path):
     assert files.filter(documents.signed(F.col("content"))).count() == 0
 
 
-@pytest.mark.parametrize("text", ["__import__('os')", "name.format(1)", "[x for x in name]", "other", "lambda: 1", "name ** 2"])
-def test_projection_refuses(text):
+@pytest.mark.parametrize("text", ["__import__('os')", "name.format(1)", "[x for x in name]", "other", "lambda: 1", "name ** 2", "name.__class__", "f'{name}'", "name[::2]", "len(1)", "-'a'", "1 + 'a'", "print(name)", "{**name}", "'a' if name else 1", "+".join(["1"] * 400)])
+def test_projection_refuses(spark, text):
     with pytest.raises(projection.Refused):
         projection.compiled(text, {"name"})
 
 
+@pytest.mark.parametrize("text", ["x = 1", "import os\nreturn 1", "_x = 1\nreturn 1", "name[0] = 1\nreturn name", "for a in name:\n    pass\nreturn 1", "return"])
+def test_programs_refused(spark, text):
+    with pytest.raises(projection.Refused):
+        projection.program(text, {"name"})
+
+
+EXPRESSIONS = """name[0] | name[-1] | name[1:3] | name[:-2] | name[-3:] | name[2:] | name[5:2] | 'a' in name | 'zz' not in name | n in [1, 2, 7] | n not in [1, 2] | not name | not n | not empty | not words | n and name == 'x'
+empty or name | name and empty | empty and name | n or 5 | zero or 5 | words[0] | words[-1] | words[1:] | len(words) | len(name) | len(facts) | facts['a'] | facts.get('b') | facts.get('z', 'none') | 'a' in facts | n / 2 | n * 2 - 1 | -n | +n | 'ab' * 2 | name + '!' | [1, 2] + [3]
+1 < n < 9 | 1 < n < 3 | n == 7.0 | name == 7 | nothing == None | nothing is None | name is not None | str(n) | str(True) | str(nothing) | int('12') | int(2.9) | float('1.5') | bool(name) | bool(zero) | list('ab') | tuple([1]) | round(2.5) | round(3.5) | round(2.345, 1)
+min(n, 3) | max(1, n, 2) | min([3, 1, 2]) | max(words) | abs(-n) | name.strip() | ' a b '.strip() | 'xaxx'.strip('x') | name.split() | name.split('o') | name.upper() | name.lower() | name.replace('o', '0') | 'si' if words else 'no' | {'k': n}['k'] | {n: name}[7] | (1, 2)[1] | n > 3 or zero > 3 | n and zero == 0 and name or '?' | zero and name or '?'"""
+
+
+def test_projection_equals_python(spark):
+    data = {"name": "Rosso Mario", "n": 7, "zero": 0, "empty": "", "words": ["uno", "due", "tre"], "facts": {"a": "1", "b": "2"}, "nothing": None}
+    row = spark.createDataFrame([tuple(data.values())], "name string, n long, zero long, empty string, words array<string>, facts map<string,string>, nothing string")
+    texts = [t.strip() for line in EXPRESSIONS.split("\n") for t in line.split(" | ")]
+    got = row.select(*[projection.compiled(t, row.schema).alias(f"c{i}") for i, t in enumerate(texts)]).first()
+    for t, value in zip(texts, got, strict=True):
+        expected = eval(t, {}, dict(data))  # noqa: S307  expressions of this file
+        assert value == (list(expected) if isinstance(expected, tuple) else expected), t
+
+
+def test_projection_where_python_raises(spark):
+    row = spark.createDataFrame([("ab", 0, {"a": "1"})], "name string, n long, facts map<string,string>")
+    texts = ["name[5]", "1 / n", "facts['z']", "int('x')", "[1][3]", "'ab' * 100000"]
+    assert list(row.select(*[projection.compiled(t, row.schema).alias(f"c{i}") for i, t in enumerate(texts)]).first()) == [None] * len(texts)
+
+
+def test_gap_groups_over_ranges(spark, monkeypatch):
+    import random
+
+    from formlake.operators import sequences
+
+    r = random.Random(4)
+    rows = [(k, r.uniform(0, 60)) for k in ("a", "b", None) for _ in range(80)]
+    df = spark.createDataFrame(rows, "k string, v double")
+
+    def plain(k):
+        out, last = [], None
+        for v in sorted(v for x, v in rows if x == k):
+            if last is None or v - last > 0.8:
+                out.append([])
+            out[-1].append(v)
+            last = v
+        return {(k, i + 1, len(g), round(sum(g) / len(g), 9), g[0], g[-1]) for i, g in enumerate(out)}
+
+    for size in (2, 4096):
+        monkeypatch.setattr(sequences, "RANGE", size)
+        got = {(x.k, x.island, x.n, round(x.middle, 9), x.low, x.high) for x in sequences.gap_groups(df, ["k"], "v").collect()}
+        assert got == plain("a") | plain("b") | plain(None)
+
+
 def test_labels_without_words_and_ties(spark):
     keys = spark.createDataFrame([("via_sede", ["via", "sede"]), ("via_casa", ["via", "casa"]), ("cap", ["cap"])], "key string, words array<string>")
     labels = spark.createDataFrame([("Via", ["via"]), ("CAP", ["cap"]), ("", []), ("cap sede", ["cap", "sede"]), ("a b c d", ["aa", "bb", "cc", "dd"]), ("boh", ["boh"])], "label string, words array<string>")

@@ -213,7 +213,7 @@ def likely_pairs(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFr
     """The pairs (a, b) that sizes and sketches do not rule out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "sketch_a"):
             x, y = (batch.column(k).to_pylist() for k in ("sketch_a", "sketch_b"))
             sizes = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
             differ = np.zeros(len(x), np.int64)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake.functions import text as T
-from formlake.operators import archive, matching, plan, rules, sequences
+from formlake.operators import archive, matching, plan, projections, rules, sequences
 from formlake.plans import views
 from formlake.plans.registry import ORACLE, query
 from formlake.plans.views import ANCHORS_SQL, FORMS_SQL, LINES_SQL, OUTCOMES_SQL
@@ -431,9 +431,131 @@ def pj_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).filter(F.trim(F.coalesce("value", F.lit(""))) == "").select("key")
 
 
-@query(f"with {ANCHORS_SQL} select form, n, kind, kind = 'casella' as choice, kind <> 'casella' and kind <> 'area' as takes_text from anchors")
+_SOURCES = "src as (select 'c' || c_custkey::varchar as key, case c_mktsegment when 'AUTOMOBILE' then 'bool' when 'FURNITURE' then 'list' else 'text' end as kind, case when c_mktsegment = 'AUTOMOBILE' then case when c_acctbal > 4000 then 'true' else 'false' end when c_acctbal < 0 then ' ' else c_name end as value from customer where c_acctbal < 8000)"
+_CHOICES = """dec as (select o_orderkey as id, 'c' || o_custkey::varchar as field, 'c' || (o_custkey + 1)::varchar as next, o_orderpriority as how, case o_orderstatus when 'F' then '; ' when 'O' then ' - ' else '+' end as sep,
+  case when o_totalprice > 250000 then 'Customer' when o_totalprice > 100000 then 'nobody' end as fragment, case when o_totalprice > 200000 then 'bool' else 'text' end as kind2, case o_orderkey % 4 when 0 then 'casella' when 1 then 'widget' else 'area' end as anchor_kind, case o_orderstatus when 'F' then 'CheckBox' when 'O' then 'Text' else 'Signature' end as widget,
+  case when o_totalprice < 60000 then case when o_orderstatus = 'F' then 'bool' else 'text' end end as user_kind, case when o_totalprice < 30000 then 'true' else ' ' end as user_value, case when o_totalprice < 50000 then 'utente' end as origin from orders)"""
+_RESOLVED = f"""with {_SOURCES}, {_CHOICES},
+j as (select dec.*, a.key is not null as there, a.kind as k1, a.value as v1, b.key is not null as there2, b.kind as k2, b.value as v2 from dec left join src a on a.key = field left join src b on b.key = next),
+t as (select *, case when not there then 'no source' when k1 = 'bool' then 'yes or no' when k1 = 'list' or trim(v1) = '' then 'blank' end as r1, case when not there2 then 'no source' when k2 = 'bool' then 'yes or no' when k2 = 'list' or trim(v2) = '' then 'blank' end as r2 from j),
+r as (select *, case
+    when how = '1-URGENT' then case when not there then 'no source' when k1 <> kind2 or k1 = 'list' then 'kind' end
+    when how = '2-HIGH' then case when sep = '+' then 'separator' when r1 is not null then r1 when fragment is not null and not contains(v1, fragment) then 'fragment' else r2 end
+    when how = '3-MEDIUM' then 'parts'
+    when how = '4-NOT SPECIFIED' then 'no key'
+    when there and k1 = 'bool' then null else r1 end as reason0 from t),
+p as (select *, case when reason0 is null then case when how = '1-URGENT' or (how = '5-LOW' and k1 = 'bool') then 'bool' else 'text' end end as kind0,
+    case when reason0 is null then case when how = '1-URGENT' then (v1 = 'true')::varchar when how = '2-HIGH' then coalesce(fragment, v1) || sep || v2 else v1 end end as value0 from r)"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as facts of all kinds."""
+    kind = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "bool").when(F.col("c_mktsegment") == "FURNITURE", "list").otherwise("text")
+    value = F.when(kind == "bool", (F.col("c_acctbal") > 4000).cast("string")).when(F.col("c_acctbal") < 0, " ").otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").filter("c_acctbal < 8000").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), kind.alias("kind"), value.alias("value"))
+
+
+def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as decisions: comparisons, fragments, too many of them, none, whole sources."""
+    how, price = F.col("o_orderpriority"), F.col("o_totalprice")
+    key = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    fragment = F.when(price > 250000, "Customer").when(price > 100000, "nobody")
+    part = lambda k, f: F.struct(k.alias("field"), f.cast("string").alias("fragment"))
+    two = F.array(part(key, fragment), part(F.concat(F.lit("c"), (F.col("o_custkey") + 1).cast("string")), F.lit(None)))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(how == "5-LOW", key).alias("field"),
+        F.when(how == "2-HIGH", two).when(how == "3-MEDIUM", F.array_repeat(part(key, F.lit(None)), 13)).alias("parts"),
+        F.when(F.col("o_orderstatus") == "F", "; ").when(F.col("o_orderstatus") == "O", " - ").otherwise("+").alias("separator"),
+        F.when(how == "1-URGENT", F.struct(key.alias("field"), F.when(price > 200000, "bool").otherwise("text").alias("kind"), F.lit("true").alias("value"))).alias("compare"),
+        F.when(F.col("o_orderkey") % 4 == 0, "casella").when(F.col("o_orderkey") % 4 == 1, "widget").otherwise("area").alias("anchor_kind"),
+        F.when(F.col("o_orderstatus") == "F", "CheckBox").when(F.col("o_orderstatus") == "O", "Text").otherwise("Signature").alias("widget"),
+        F.when(price < 60000, F.when(F.col("o_orderstatus") == "F", "bool").otherwise("text")).alias("user_kind"),
+        F.when(price < 30000, "true").otherwise(" ").alias("user_value"),
+        F.when(price < 50000, "utente").alias("origin"),
+    )
+
+
+def _resolved(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    rows = _choices(spark, sf_dir).join(table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin(*how.split(","))).select(F.col("o_orderkey").alias("id")), "id", "left_semi")
+    return projections.resolved(rows, _sources(spark, sf_dir)).select("id", "kind", "value", "reason")
+
+
+@query(_RESOLVED + " select id, kind0 as kind, value0 as value, reason0 as reason from p where how in ('4-NOT SPECIFIED', '5-LOW')")
+def pj_resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, "4-NOT SPECIFIED,5-LOW")
+
+
+@query(_RESOLVED + " select id, kind0 as kind, value0 as value, reason0 as reason from p where how in ('2-HIGH', '3-MEDIUM')")
+def pj_resolve_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values put together from one to twelve literal fragments of sources."""
+    return _resolved(spark, sf_dir, "2-HIGH,3-MEDIUM")
+
+
+@query(_RESOLVED + " select id, kind0 as kind, value0 as value, reason0 as reason from p where how = '1-URGENT'")
+def pj_resolve_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, "1-URGENT")
+
+
+_CHOICE = "(anchor_kind = 'casella' or (anchor_kind = 'widget' and widget = 'CheckBox'))"
+_VALUED = f"""{_RESOLVED},
+v as (select *, case when anchor_kind = 'widget' and widget = 'Signature' then 'unsupported field'
+  when user_kind is not null then case when coalesce(origin, '') <> 'utente' then 'not the user' when {_CHOICE} and user_kind <> 'bool' then 'needs yes or no' when not {_CHOICE} and (user_kind <> 'text' or trim(user_value) = '') then 'blank' end
+  when reason0 is not null then reason0 when {_CHOICE} <> (kind0 = 'bool') then 'kind of field' end as reason from p)"""
+
+
+@query(_VALUED + " select id, case when reason is null then coalesce(user_kind, kind0) end as kind, case when reason is null then case when user_kind is not null then user_value else value0 end end as value, reason from v")
+def pj_user_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.valued(_choices(spark, sf_dir), _sources(spark, sf_dir)).select("id", "kind", "value", "reason")
+
+
+@query(_VALUED + " select id, case when user_kind is not null then user_value else value0 end as value from v where reason is null and coalesce(user_kind, kind0) = 'text'")
+def pj_values_from_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts to be written: what users wrote themselves, else what their sources give."""
+    return projections.valued(_choices(spark, sf_dir), _sources(spark, sf_dir)).filter("kind = 'text'").select("id", "value")
+
+
+@query(f"with {_CHOICES} select id, case when how in ('1-URGENT', '3-MEDIUM', '5-LOW') then field when how = '2-HIGH' then least(field, next) || ',' || greatest(field, next) else '' end as keys from dec")
+def pj_referenced_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _choices(spark, sf_dir).select("id", F.array_join(projections.referenced_keys(), ",").alias("keys"))
+
+
+@query(f"with {_CHOICES} select id, case how when '1-URGENT' then field || ' confrontato con true' when '5-LOW' then field when '2-HIGH' then field || coalesce(' → ' || fragment, '') || '; ' || next when '3-MEDIUM' then array_to_string(list_transform(range(13), lambda i: field), '; ') else '' end as shown from dec")
+def pj_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _choices(spark, sf_dir).select("id", projections.described_source().alias("shown"))
+
+
+@query("select l_orderkey * 10 + l_linenumber as id, case when reason is null then kind end as kind, case when reason is null then value end as value, reason from (select *, case when o_orderkey is null then 'unknown' when kind = 'list' then 'not a text' when kind <> 'bool' and length(value) > 2000 then 'too long' end as reason from (select l.*, o_orderkey, case when l_returnflag = 'R' then 'bool' when l_linenumber = 5 then 'list' else 'text' end as kind, case when l_returnflag = 'R' then case when l_tax > 0.04 then 'true' else 'false' end when l_discount = 0 then '' when l_quantity > 45 then repeat('x', 2001) else l_linestatus end as value from lineitem l left join (select o_orderkey from orders where o_orderstatus <> 'P') o on o_orderkey = l_orderkey) where l_orderkey * 10 + l_linenumber not in (select l_orderkey * 10 + l_linenumber from lineitem where l_tax = 0.01) and (o_orderkey is null or not (value = '' or (kind = 'bool' and value = 'false'))))")
+def pj_output_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a program's values are not taken."""
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", "bool").when(F.col("l_linenumber") == 5, "list").otherwise("text")
+    value = F.when(kind == "bool", (F.col("l_tax") > 0.04).cast("string")).when(F.col("l_discount") == 0, "").when(F.col("l_quantity") > 45, F.repeat(F.lit("x"), F.lit(2001))).otherwise(F.col("l_linestatus"))
+    place = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    slots = li.join(table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(place)
+    return projections.chosen_values(li.select(place, kind.alias("kind"), value.alias("value")), slots, li.filter("l_tax = 0.01").select(place))
+
+
+_STEPS = "case event_type when 'view' then 'mappa' when 'click' then 'valori' when 'purchase' then 'scrittura' when 'signup' then 'verdetto' when 'error' then 'rifiuto' else 'boh' end"
+
+
+@query(f"select event_id, case s when 'mappa' then 'lettura' when 'valori' then 'decisione' when 'scrittura' then 'scrittura' when 'verdetto' then 'verifica' end as phase, case s when 'mappa' then 1 when 'valori' then 3 when 'scrittura' then 4 when 'verdetto' then 5 else 0 end::bigint as place from (select event_id, {_STEPS} as s from events)")
+def pj_step_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.step_phases(table(spark, sf_dir, "events").select("event_id", F.expr(_STEPS).alias("step"))).select("event_id", "phase", F.col("place").cast("long").alias("place"))
+
+
+@query("select doc_id as form, case when n > 0 or y is null or y <> s then 'domanda_bloccante' when y then 'pertinenza_ok' else 'rifiuto' end as pertinence from documents left join (select doc_id, bool_and(p) as y, bool_or(p) as s, count(*) filter (p is null) as n from (select doc_id, quality = 1 as p from labels union all select doc_id, case when toxic = 1 then null else n_chars > 300 end from documents join labels using (doc_id) where n_chars % 2 = 0) group by doc_id) using (doc_id)")
+def vd_pertinence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a form is the company's own, by readers' answers; where none is known or they differ, a question blocks it."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    second = docs.filter("n_chars % 2 = 0").join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") != 1, F.col("n_chars") > 300).alias("pertinent"))
+    answers = labels.select("doc_id", (F.col("quality") == 1).alias("pertinent")).unionByName(second)
+    return projections.pertinence(docs.select(F.col("doc_id").alias("form")), answers.withColumnRenamed("doc_id", "form")).select("form", "pertinence")
+
+
+@query(f"with {_CHOICES} select id, {_CHOICE} as choice, anchor_kind <> 'widget' or widget in ('Text', 'CheckBox') as writable from dec")
 def pj_writable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.anchors(spark, sf_dir).select("form", "n", "kind", (F.col("kind") == "casella").alias("choice"), (~F.col("kind").isin("casella", "area")).alias("takes_text"))
+    return _choices(spark, sf_dir).select("id", projections.is_choice().alias("choice"), projections.is_writable().alias("writable"))
 
 
 @query(f"with {LINES_SQL} select doc_id, n from lines where regexp_matches(translate(lower(line), 'àáâãäåèéêëìíîïòóôõöùúûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), 'licensed under|worthless')")

@@ -123,75 +123,6 @@ def io_signed_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", documents.signed(F.col("content")).alias("signed"))
 
 
-# Projections of sources
-
-_FX = "('ragione', 'text', 'Rossi SRL'), ('attiva', 'bool', 'true'), ('vuoto', 'text', ' '), ('numero', 'int', '7')"
-
-
-@query("select * from (values (1, 'Rossi SRL', null), (2, 'true', null), (3, null, 'blank'), (4, null, 'no source')) t(id, value, reason)")
-def pj_resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, "(1, 'ragione'), (2, 'attiva'), (3, 'vuoto'), (4, 'manca') as t(id, key)").join(rows(spark, _FX + " as t(key, kind, value)"), "key", "left")
-    reason = F.when(F.col("kind").isNull(), "no source").when(F.trim("value") == "", "blank")
-    return d.select("id", F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason"))
-
-
-@query("select * from (values (1, 'Rossi, 7', null), (2, null, 'fragment'), (3, null, 'separator')) t(id, value, reason)")
-def pj_resolve_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values put together from literal fragments of sources."""
-    parts = rows(spark, "(1, 0, 'ragione', 'Rossi', ', '), (1, 1, 'numero', '7', ', '), (2, 0, 'ragione', 'Bianchi', ' '), (3, 0, 'ragione', 'Rossi', '+') as t(id, place, key, fragment, sep)").join(rows(spark, _FX + " as t(key, kind, value)"), "key", "left")
-    ok = F.contains("value", "fragment") & (F.trim("fragment") != "")
-    g = parts.groupBy("id").agg(F.min("sep").alias("sep"), F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"), F.array_sort(F.collect_list(F.struct("place", "fragment"))).alias("p"))
-    reason = F.when(~F.col("sep").isin(" ", ", ", "; ", "\n", "", " - "), "separator").when(~F.col("ok"), "fragment")
-    return g.select("id", F.when(reason.isNull(), F.expr("concat_ws(sep, transform(p, x -> x.fragment))")).alias("value"), reason.alias("reason"))
-
-
-@query("select * from (values (1, true, null), (2, false, null), (3, null, 'kind')) t(id, equal, reason)")
-def pj_resolve_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "(1, 'numero', 'int', '7'), (2, 'ragione', 'text', 'Verdi'), (3, 'attiva', 'int', '1') as t(id, key, k2, v2)").join(rows(spark, _FX + " as t(key, kind, value)"), "key")
-    same = F.col("kind") == F.col("k2")
-    return t.select("id", F.when(same, F.col("value") == F.col("v2")).alias("equal"), F.when(~same, "kind").alias("reason"))
-
-
-@query("select * from (values (1, 'ciao', null), (2, null, 'not the user'), (3, null, 'needs yes or no'), (4, null, 'blank')) t(id, value, reason)")
-def pj_user_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "(1, 'utente', false, 'text', 'ciao'), (2, 'lettore', false, 'text', 'ciao'), (3, 'utente', true, 'text', 'si'), (4, 'utente', false, 'text', ' ') as t(id, origin, choice, kind, v)")
-    reason = F.when(F.col("origin") != "utente", "not the user").when(F.col("choice") & (F.col("kind") != "bool"), "needs yes or no").when(~F.col("choice") & (F.trim("v") == ""), "blank")
-    return t.select("id", F.when(reason.isNull(), F.col("v")).alias("value"), reason.alias("reason"))
-
-
-@query("select * from (values (1, 'scritto'), (2, 'Rossi SRL')) t(id, value)")
-def pj_values_from_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "(1, 'scritto', 'ragione'), (2, null, 'ragione'), (3, null, 'vuoto') as t(id, own, key)").join(rows(spark, _FX + " as t(key, kind, value)"), "key", "left")
-    return t.select("id", F.coalesce("own", "value").alias("value")).filter(F.trim("value") != "")
-
-
-@query("select * from (values (1, 'a,b,c'), (2, 'z')) t(id, keys)")
-def pj_referenced_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "(1, 'a', array('b', 'a', null), 'c'), (2, null, array('z'), null) as t(id, field, parts, compared)")
-    keys = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("field"), F.col("parts"), F.array("compared")), lambda k: F.coalesce(k, F.lit("")) != "")))
-    return t.select("id", F.array_join(keys, ",").alias("keys"))
-
-
-@query("select * from (values (1, 'sede legale / via'), (2, 'a b; c')) t(id, shown)")
-def pj_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = lambda k: F.replace(F.replace(k, F.lit("_"), F.lit(" ")), F.lit("."), F.lit(" / "))
-    return rows(spark, "(1, array('sede_legale.via')), (2, array('a_b', 'c')) as t(id, keys)").select("id", F.array_join(F.transform("keys", name), "; ").alias("shown"))
-
-
-@query("select * from (values ('a', null), ('b', 'unknown'), ('c', 'blank'), ('d', 'too long')) t(id, reason)")
-def pj_output_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a program's value is not taken."""
-    t = rows(spark, "('a', 'x', 1), ('b', 'x', 1), ('c', '', 1), ('d', 'x', 2001) as t(id, v, times)").withColumn("v", F.expr("repeat(v, int(times))"))
-    known = rows(spark, "('a'), ('c'), ('d') as t(id)").withColumn("known", F.lit(True))
-    return t.join(known, "id", "left").select("id", F.when(F.col("known").isNull(), "unknown").when(F.trim("v") == "", "blank").when(F.length("v") > 2000, "too long").alias("reason"))
-
-
-@query("select * from (values ('geometria', 'lettura', 1), ('scrittura', 'scrittura', 4), ('rifiuto', null, 0), ('boh', null, 0)) t(step, phase, place)")
-def pj_step_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phases = rows(spark, "('geometria', 'lettura', 1), ('scrittura', 'scrittura', 4) as t(step, phase, place)")
-    return rows(spark, "('geometria'), ('scrittura'), ('rifiuto'), ('boh') as t(step)").join(phases, "step", "left").select("step", "phase", F.coalesce("place", F.lit(0)).alias("place"))
-
-
 # Text of forms
 
 
@@ -227,10 +158,6 @@ def sc_json_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Measured pages
 
-_SEGS = "(1, 10.0, 0.0, 40.0), (1, 20.0, 0.0, 40.0), (1, 30.0, 0.0, 20.0)"
-_UPS = "(1, 0.0, 10.0, 30.0), (1, 20.0, 10.0, 30.0), (1, 40.0, 10.0, 20.0)"
-
-
 def _grid(page: int, xs: list, ys: list, skip_bars: tuple = (), skip_ups: tuple = ()) -> tuple[list, list]:
     """Bars between columns and uprights between rows, piece by piece, without those named by (row, column)."""
     bars = [(page, y, a, b) for r, y in enumerate(ys) for c, (a, b) in enumerate(zip(xs, xs[1:], strict=False)) if (r, c) not in skip_bars]

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and the letters under them.
-MARKED = "àáâãäåèéêëìíîïòóôõöùúûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+def _marks() -> tuple[str, str]:
+    """Lower-case letters with marks and the letters under them: of every letter up to U+1EFF that takes apart into one letter and marks; combining marks alone go."""
+    marked, plain = "", ""
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(parts) == 1 and parts[0] != chr(code) and chr(code).lower() == chr(code):
+            marked, plain = marked + chr(code), plain + parts[0].lower()
+    return marked + "".join(map(chr, range(0x300, 0x370))), plain
+
+
+MARKED, PLAIN = _marks()
 #: Words that say nothing about a field.
 EMPTY_WORDS = tuple("il lo la i gli le un uno una di del della dello dei degli delle da dal dalla in nel nella con su per tra fra e ed o che chi al allo alla ai agli alle a n sottoscritto sottoscritta dichiara dichiaro presso seguente seguenti cui come anche non si se ovvero oppure quale qualita num numero".split())
 #: How forms write the same thing, applied in this order.
@@ -23,7 +33,7 @@ def unmarked(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case without accents; everything but words is one blank."""
-    return F.trim(F.regexp_replace(unmarked(text), r"[^a-z0-9_]+", " "))
+    return F.trim(F.regexp_replace(unmarked(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def content_words(text: Column) -> Column:
@@ -49,9 +59,7 @@ def long_words(text: Column, least: int = 4) -> Column:
 
 def named(text: Column) -> Column:
     """Acronyms (dots between their letters dropped) and capitalised words of four letters and more, in lower case."""
-    plain = text
-    for n in (7, 6, 5, 4, 3, 2):
-        plain = F.regexp_replace(plain, r"\b" + r"([A-Z])\." * n, "".join(f"${k + 1}" for k in range(n)))
+    plain = F.regexp_replace(text, r"(?<![A-Za-z])([A-Z])\.(?=[A-Z](?:\.|(?![A-Za-z])))", "$1")
     words = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     acronyms = F.filter(words, lambda w: w.rlike("^[A-Z]{3,}$"))
     names = F.transform(F.filter(words, lambda w: w.rlike("^[A-Z][a-zà-ù]{3,}$")), F.lower)

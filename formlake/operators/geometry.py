@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formlake.functions.text import clean_label
+
 CELL = 25.0
 
 
@@ -227,3 +229,96 @@ def fitting_size(text: Column, widths: Column, room: Column, size: float = 10.0,
     ems = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0.0), lambda acc, c: acc + F.coalesce(F.try_element_at(widths, c), F.lit(0.5)))
     sizes = F.transform(F.sequence(F.lit(0), F.lit(int((size - least) * 4))), lambda k: F.lit(size) - k * 0.25)
     return F.get(F.filter(sizes, lambda s: s * ems <= room), F.lit(0))
+
+
+def sides(rects: DataFrame) -> DataFrame:
+    """page, axis, at, from, to: the four sides of rectangles (page, x0, y0, x1, y1) as segments."""
+    side = lambda axis, at, a, b: F.struct(F.lit(axis).alias("axis"), F.col(at).alias("at"), F.col(a).alias("from"), F.col(b).alias("to"))
+    four = F.array(side("h", "y0", "x0", "x1"), side("h", "y1", "x0", "x1"), side("v", "x0", "y0", "y1"), side("v", "x1", "y0", "y1"))
+    return rects.select("page", F.explode(four).alias("s")).select("page", "s.*")
+
+
+def upright(turn: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """A place (x, y) on a page of a width and height that is turned by 0, 90, 180 or 270 degrees, as if it stood upright."""
+    place = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return F.when(turn == 90, place(height - y, x)).when(turn == 180, place(width - x, height - y)).when(turn == 270, place(y, width - x)).otherwise(place(x, y))
+
+
+def body_sizes(glyphs: DataFrame) -> DataFrame:
+    """page, body: the most frequent rounded size (half to even) of a page's glyphs, the smaller of equals."""
+    sizes = glyphs.groupBy("page", F.bround("size", 0).alias("body")).agg(F.count("*").alias("n"))
+    return sizes.groupBy("page").agg(F.min_by("body", F.struct(-F.col("n"), "body")).alias("body"))
+
+
+def row_steps(dots: DataFrame, spread: float = 0.25) -> DataFrame:
+    """page, y, n, step (the median distance of neighbours) and regular (how many distances are within `spread` of it, as a share)."""
+    w = Window.partitionBy("page", "y").orderBy("x")
+    steps = dots.withColumn("_step", F.col("x") - F.lag("x").over(w))
+    rows = steps.groupBy("page", "y").agg(F.count("*").alias("n"), F.median("_step").alias("step"), F.collect_list("_step").alias("_all"))
+    near = F.size(F.filter("_all", lambda s: F.abs(s - F.col("step")) <= spread * F.col("step"))) / F.size("_all")
+    return rows.select("page", "y", "n", "step", F.when(F.size("_all") > 0, near).alias("regular"))
+
+
+#: Glyphs that are boxes to be ticked, and the longest label.
+BOXES, LABEL_CHARS = ("□", "☐", "❏", "❑", "◻"), 90
+
+
+def line_labels(rects: DataFrame, glyphs: DataFrame, left: bool) -> DataFrame:
+    """page, rect, label: the text beside rectangles (page, rect, x0, y0, x1, y1) on their line, from glyphs (page, x, y, size, text).
+
+    Looking left it begins after the rectangle before on the line and after the last box glyph; looking right it ends at the next
+    rectangle. Filler runs bound it too. Glyphs meet the rectangles of their band of y.
+    """
+    base = F.col("y1") if left else (F.col("y0") + F.col("y1")) / 2
+    line = Window.partitionBy("page", F.bround(F.col("y0") / 4)).orderBy("x0", "rect")
+    edge = F.lag("x1").over(line) if left else F.lead("x0").over(line)
+    band = lambda y: F.floor(y / CELL)
+    r = rects.withColumns({"_base": base, "_edge": edge}).withColumn("_b", band(F.col("_base")))
+    g = glyphs.select("page", F.col("x").alias("gx"), F.col("y").alias("gy"), "size", "text", F.explode(F.array(band(F.col("y")) - 1, band(F.col("y")), band(F.col("y")) + 1)).alias("_b"))
+    near = F.abs(F.col("gy") - F.col("_base")) <= (F.greatest(F.lit(2.0), F.col("size") * 0.5) if left else F.greatest(F.lit(3.0), F.col("size") * 0.75))
+    if left:
+        inside = (F.col("gx") < F.col("x0") - 0.2) & F.coalesce(F.col("gx") >= F.col("_edge") - 0.2, F.lit(True))
+    else:
+        inside = (F.col("gx") >= F.col("x1") - 0.2) & F.coalesce(F.col("gx") < F.col("_edge") - 0.2, F.lit(True))
+    found = r.join(g, ["page", "_b"]).filter(near & inside).groupBy("page", "rect").agg(F.array_sort(F.collect_list(F.struct("gx", "text"))).alias("t"), F.max(F.when(F.col("text").isin(*BOXES), F.col("gx"))).alias("_box"))
+    own = F.filter("t", lambda z: F.coalesce(z.gx > F.col("_box"), F.lit(True))) if left else F.col("t")
+    label = clean_label(F.array_join(F.transform(own, lambda z: z.text), ""), left)
+    cut = F.when(F.length(label) > LABEL_CHARS, F.substr(label, F.length(label) - LABEL_CHARS + 1) if left else F.substring(label, 1, LABEL_CHARS)).otherwise(label)
+    return found.select("page", "rect", F.trim(cut).alias("label"))
+
+
+def verified_cells(cells: DataFrame) -> DataFrame:
+    """id, crossed, empty, stray, reason of values written into cells (id, value, place from 0, gain of ink in the cell, divider: gain on its left edge).
+
+    Every character expected left ink, no other cell did, no divider was crossed; null reason: all of it holds.
+    """
+    expected = (F.col("place") < F.length("value")) & (F.substr("value", F.col("place") + 1, F.lit(1)) != " ")
+    out = cells.groupBy("id").agg(
+        F.count_if((F.col("place") > 0) & (F.col("divider") > 2)).alias("crossed"),
+        F.count_if(expected & (F.col("gain") <= 0)).alias("empty"),
+        F.count_if(~expected & (F.col("gain") > 2)).alias("stray"),
+    )
+    return out.withColumn("reason", F.when(F.col("crossed") > 0, "dividers crossed").when(F.col("empty") > 0, "cells left empty").when(F.col("stray") > 0, "stray ink"))
+
+
+def box_problem(value: Column, gain: Column, outside: Column, area: Column) -> Column:
+    """Why a tick (value yes or no, null: neither) failed, from the ink gained inside and outside of a box of so many pixels; null if it did not."""
+    return (
+        F.when(value.isNull(), "needs yes or no")
+        .when(~value & ((gain > 2) | (outside > 2)), "should be empty")
+        .when(value & (gain < area * 0.02), "no mark inside")
+        .when(value & (outside > F.greatest(F.lit(6.0), area * 0.01)), "mark outside")
+    )
+
+
+def write_problem(kind: Column, value: Column, room: Column, ems: Column) -> Column:
+    """Why a value cannot be written into a place, null if it can: one character a cell; yes or no in a box; on a line or in an area within its width in ems at the least size. Nothing is cut."""
+    blank = F.trim(F.coalesce(value, F.lit(""))) == ""
+    return (
+        F.when((kind == "casella") & ~F.coalesce(value.isin("true", "false"), F.lit(False)), "needs yes or no")
+        .when((kind != "casella") & blank, "blank")
+        .when((kind == "celle") & (F.length(value) > room), "too many characters")
+        .when(kind.isin("riempimento", "tratto", "area") & (ems > room), "too wide")
+        .when(kind.isin("riempimento", "tratto") & F.contains(value, F.lit("\n")), "more than a line")
+        .when((kind == "widget") & (room > 0) & (F.length(value) > room), "beyond the field's limit")
+    )

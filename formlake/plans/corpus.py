@@ -354,7 +354,7 @@ def vd_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text
 
 
-@query("select doc_id, md5(trim(regexp_replace(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöùúûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[^a-z0-9_]+', ' ', 'g'))) as folded from documents")
+@query(r"select doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_]+', ' ', 'g'))) as folded from documents")
 def sc_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.folded(F.col("text")).cast("binary")).alias("folded"))
 

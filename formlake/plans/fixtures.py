@@ -212,9 +212,27 @@ _WORDS = "(1, 0.0, 8.0, 20.0, 'Nome'), (1, 10.0, 18.0, 20.5, 'completo'), (1, 50
 _FIELDS = "(1, 1, 20.0, 10.0, 40.0, 20.0), (1, 2, 50.0, 12.0, 70.0, 40.0)"
 
 
-@query("select * from (values (1, 1, 'completo')) t(page, rect, label)")
+#: Lines with a rule of dots, two fields, a box glyph before the second, and glyphs above and below.
+_LINE = "Il sottoscritto ______ nato a Roma    ☐ altro comune        provincia"
+_GLYPHS_ON = ", ".join(f"(1, {10 + 5 * i}.0, {y}, 10.0, '{c}')" for i, c in enumerate(_LINE) for y in ("100.0", "103.5")) + ", " + ", ".join(f"(2, {5 * i}.0, 50.0, 8.0, '{c}')" for i, c in enumerate("x" * 60 + " una etichetta molto lunga che passa i novanta caratteri ammessi per il nome di un campo"))
+_FIELDS_ON = "(1, 1, 180.0, 92.0, 200.0, 101.0), (1, 2, 300.0, 92.0, 330.0, 101.0), (1, 3, 300.0, 300.0, 330.0, 310.0), (2, 4, 800.0, 40.0, 900.0, 50.5)"
+_BESIDE = f"""with g as (select page, x::double as x, y::double as y, size::double as size, text from (values {_GLYPHS_ON}) g(page, x, y, size, text)), f as (select page, rect, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_FIELDS_ON}) f(page, rect, x0, y0, x1, y1)),
+e as (select *, lag(x1) over w as before, lead(x0) over w as after from f window w as (partition by page, round_even(y0 / 4, 0) order by x0, rect)),
+j as (select e.page, rect, x, text, max(case when text in ('{"', '".join(geometry.BOXES)}') then x end) over (partition by e.page, rect) as box from e join g on g.page = e.page and WHERE),
+s as (select page, rect, string_agg(text, '' order by x, text) as t from j where OWN group by page, rect)"""
+_FILLER = r"(?:_{3,}|\\.{3,}|-{3,}|…+)"
+_LEFT_SQL = _BESIDE.replace("WHERE", "abs(y - y1) <= greatest(2, size * 0.5) and x < x0 - 0.2 and (before is null or x >= before - 0.2)").replace("OWN", "box is null or x > box")
+_RIGHT_SQL = _BESIDE.replace("WHERE", "abs(y - (y0 + y1) / 2) <= greatest(3, size * 0.75) and x >= x1 - 0.2 and (after is null or x < after - 0.2)").replace("OWN", "true")
+
+
+@query(
+    _LEFT_SQL + f" select page, rect, 'left' as side, trim(right(trim(regexp_replace(t, '^.*{_FILLER}', '')), 90)) as label from s union all select * from ({_RIGHT_SQL} select page, rect, 'right', trim(left(trim(regexp_replace(t, '{_FILLER}.*$', '')), 90)) from s)"
+)
 def jn_left_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.left_texts(rows(spark, _FIELDS + " as t(page, rect, x0, y0, x1, y1)"), rows(spark, _WORDS + " as t(page, x0, x1, y, text)")).select("page", "rect", "label")
+    """The text beside a field, to the left and to the right, up to its neighbours and to boxes."""
+    fields, glyphs = rows(spark, _FIELDS_ON + " as t(page, rect, x0, y0, x1, y1)"), rows(spark, _GLYPHS_ON + " as t(page, x, y, size, text)")
+    side = lambda left: geometry.line_labels(fields, glyphs, left).withColumn("side", F.lit("left" if left else "right"))
+    return side(True).unionByName(side(False))
 
 
 @query(f"select page, rect, arg_min(text, (ry - y, x0, text)) as label from (select page, rect, x0 as rx0, x1 as rx1, y0 as ry from (values {_FIELDS}) f(page, rect, x0, y0, x1, y1)) join (values {_WORDS}) w(page, x0, x1, y, text) using (page) where y <= ry and ry - y <= 20 and x0 < rx1 and x1 > rx0 group by page, rect")
@@ -243,11 +261,12 @@ def jn_column_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.column_headers(rows(spark, cells)).select("page", F.col("column").alias("col"), F.col("row").alias("row_"), "header")
 
 
-@query("select page, round_even(size, 0) as body from (values (1, 9.1), (1, 8.9), (1, 12.0), (2, 11.2)) t(page, size) group by page, round_even(size, 0) qualify row_number() over (partition by page order by count(*) desc, round_even(size, 0)) = 1")
+@query("select page, round_even(size, 0) as body from (select l_orderkey as page, l_quantity / 4 as size from lineitem) group by page, round_even(size, 0) qualify row_number() over (partition by page order by count(*) desc, round_even(size, 0)) = 1")
 def ag_mode_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent rounded size of a page's glyphs, the smaller of equals."""
-    sizes = rows(spark, "(1, 9.1), (1, 8.9), (1, 12.0), (2, 11.2) as t(page, size)").groupBy("page", F.bround("size", 0).alias("body")).agg(F.count("*").alias("n"))
-    return sizes.groupBy("page").agg(F.min_by("body", F.struct(-F.col("n"), "body")).alias("body"))
+    from formlake.tables import table
+
+    return geometry.body_sizes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_quantity") / 4).alias("size")))
 
 
 _DOTS = ", ".join(f"(1, 5.0, {x}.0)" for x in range(0, 16, 2)) + ", " + ", ".join(f"(1, 9.0, {x}.0)" for x in (0, 1, 7, 8, 20, 21))
@@ -258,10 +277,13 @@ def wn_dotted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.dotted_borders(rows(spark, _DOTS + " as t(page, y, x)"))
 
 
-@query(f"with d as (select *, x - lag(x) over (partition by page, y order by x) as s from (values {_DOTS}) t(page, y, x)) select page, y::double as y, median(s)::double as step from d group by page, y")
+@query("with d as (select *, x - lag(x) over (partition by page, y order by x) as s from (select o_custkey as page, month(o_orderdate) as y, floor(o_totalprice / 1000) as x from orders)), m as (select page, y, count(*) as n, median(s) as step from d group by page, y) select m.page, m.y, n, step, round(avg(case when s is null then null when abs(s - step) <= 0.25 * step then 1.0 else 0.0 end), 6) as regular from m join d using (page, y) group by m.page, m.y, n, step")
 def ag_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = rows(spark, _DOTS + " as t(page, y, x)").withColumn("s", F.expr("x - lag(x) over (partition by page, y order by x)"))
-    return steps.groupBy("page", "y").agg(F.median("s").alias("step"))
+    """The step of rows of marks, and how regular it is."""
+    from formlake.tables import table
+
+    dots = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.month("o_orderdate").cast("long").alias("y"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("x"))
+    return geometry.row_steps(dots).withColumn("regular", F.round("regular", 6))
 
 
 _STRIP = "(1, 1, 0.0, 10.0, true), (1, 1, 10.0, 20.0, true), (1, 1, 20.0, 30.0, true), (1, 1, 30.0, 60.0, true), (1, 2, 0.0, 10.0, true), (1, 2, 40.0, 50.0, true)"
@@ -333,20 +355,22 @@ def jn_overlap_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.claim(rows(spark, "(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 5.0, 0.0, 12.0, 10.0), (1, 3, 9.0, 0.0, 29.0, 10.0) as t(page, rank, x0, y0, x1, y1)")).select("page", "rank")
 
 
-@query("select * from (values (1, 1), (1, 2), (1, 3), (1, 4)) t(page, side)")
+_BOXES = "(1, 0.0, 0.0, 4.0, 2.0), (1, 4.0, 0.0, 9.5, 2.0), (2, 1.5, 1.0, 30.0, 12.0), (3, 0.0, 0.0, 0.0, 5.0)"
+
+
+@query(f"select page, u.axis, u.at, u.f as \"from\", u.t as \"to\" from (select page, unnest([{{'axis': 'h', 'at': y0, 'f': x0, 't': x1}}, {{'axis': 'h', 'at': y1, 'f': x0, 't': x1}}, {{'axis': 'v', 'at': x0, 'f': y0, 't': y1}}, {{'axis': 'v', 'at': x1, 'f': y0, 't': y1}}]) as u from (select page, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_BOXES}) t(page, x0, y0, x1, y1)))")
 def io_pdf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four sides of a rectangle as segments."""
-    r = rows(spark, "(1, 0.0, 0.0, 4.0, 2.0) as t(page, x0, y0, x1, y1)")
-    sides = F.array(*[F.struct(F.lit(i).cast("long").alias("side")) for i in (1, 2, 3, 4)])
-    return r.select("page", F.explode(sides).alias("s")).select("page", "s.side")
+    """The sides of rectangles as segments."""
+    return geometry.sides(rows(spark, _BOXES + " as t(page, x0, y0, x1, y1)"))
 
 
-@query("select id, case turn when 90 then h - y else x end::double as x, case turn when 90 then x else y end::double as y from (values (1, 0, 600.0, 10.0, 20.0), (2, 90, 600.0, 10.0, 20.0)) t(id, turn, h, x, y)")
+@query("select doc_id, turn, case turn when 90 then 842 - y when 180 then 595 - x when 270 then y else x end as x, case turn when 90 then x when 180 then 842 - y when 270 then 595 - x else y end as y from (select doc_id, doc_id % 4 * 90 as turn, n_chars % 595 * 1.0::double as x, n_chars % 842 * 1.0::double as y from documents)")
 def io_pdf_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places on a turned page, as if it stood upright."""
-    t = rows(spark, "(1, 0, 600.0, 10.0, 20.0), (2, 90, 600.0, 10.0, 20.0) as t(id, turn, h, x, y)")
-    turned = F.col("turn") == 90
-    return t.select("id", F.when(turned, F.col("h") - F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
+    """Places on turned pages, as if they stood upright."""
+    from formlake.tables import table
+
+    t = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4 * 90).alias("turn"), (F.col("n_chars") % 595).cast("double").alias("x"), (F.col("n_chars") % 842).cast("double").alias("y"))
+    return t.withColumn("p", geometry.upright(F.col("turn"), F.col("x"), F.col("y"), F.lit(595.0), F.lit(842.0))).select("doc_id", "turn", "p.x", "p.y")
 
 
 # Rules and writers
@@ -463,19 +487,38 @@ def jn_best_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("id").agg(F.max_by("page", F.struct("r", -F.col("page"))).alias("page"))
 
 
-@query("select * from (values (1, 'written', null), (2, 'failed', 'too long'), (3, 'failed', 'needs yes or no'), (4, 'written', null)) t(id, status, reason)")
+_WRITES = "case l_linenumber when 1 then 'celle' when 2 then 'casella' when 3 then 'riempimento' when 4 then 'tratto' when 5 then 'area' else 'widget' end"
+
+
+@query(f"""select id, kind, case when kind = 'casella' and not coalesce(v in ('true', 'false'), false) then 'needs yes or no' when kind <> 'casella' and trim(coalesce(v, '')) = '' then 'blank' when kind = 'celle' and length(v) > room then 'too many characters'
+  when kind in ('riempimento', 'tratto', 'area') and length(v) * 0.5 > room then 'too wide' when kind in ('riempimento', 'tratto') and contains(v, chr(10)) then 'more than a line' when kind = 'widget' and room > 0 and length(v) > room then 'beyond the field''s limit' end as reason
+from (select l_orderkey as id, {_WRITES} as kind, case when l_tax = 0 then ' ' when l_tax = 0.08 then null when l_discount > 0.08 then 'a' || chr(10) || 'b' when l_quantity < 10 then 'true' else repeat('x', (l_quantity / 2)::int) end as v, l_linenumber * 2 - 4 as room from lineitem)""")
 def wr_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A write of each kind succeeds or says why not; nothing is cut."""
-    t = rows(spark, "(1, 'celle', 'abc', 3), (2, 'celle', 'abcd', 3), (3, 'casella', 'forse', 1), (4, 'casella', 'true', 1) as t(id, kind, v, room)")
-    reason = F.when((F.col("kind") == "casella") & ~F.col("v").isin("true", "false"), "needs yes or no").when((F.col("kind") != "casella") & (F.length("v") > F.col("room")), "too long")
-    return t.select("id", F.when(reason.isNull(), "written").otherwise("failed").alias("status"), reason.alias("reason"))
+    """A write into each kind of place succeeds or says why not; nothing is cut."""
+    from formlake.tables import table
 
+    value = F.when(F.col("l_tax") == 0, " ").when(F.col("l_tax") == 0.08, F.lit(None)).when(F.col("l_discount") > 0.08, "a\nb").when(F.col("l_quantity") < 10, "true").otherwise(F.expr("repeat('x', cast(bround(l_quantity / 2) as int))"))
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.expr(_WRITES).alias("kind"), value.alias("v"), (F.col("l_linenumber") * 2 - 4).alias("room"))
+    return t.select("id", "kind", geometry.write_problem(F.col("kind"), F.col("v"), F.col("room"), F.length("v") * 0.5).alias("reason"))
 
-@query("select * from (values (1, 'ok'), (2, 'no ink'), (3, 'not readable'), (4, 'spill')) t(id, result)")
+
+_CELL_INK = "select l_orderkey as id, substr('ab c d', 1, (1 + l_orderkey % 6)::int) as value, l_linenumber - 1 as place, floor(l_quantity) - 4 as gain, round(l_discount * 100) - 7 as divider from lineitem"
+
+
+@query(f"""with c as ({_CELL_INK}), e as (select *, place < length(value) and substr(value, (place + 1)::int, 1) <> ' ' as expected from c),
+t as (select id, count(*) filter (place > 0 and divider > 2) as crossed, count(*) filter (expected and gain <= 0) as empty, count(*) filter (not expected and gain > 2) as stray from e group by id)
+select id, 'celle' as kind, case when crossed > 0 then 'dividers crossed' when empty > 0 then 'cells left empty' when stray > 0 then 'stray ink' end as reason from t
+union all select event_id, 'casella', case when v is null then 'needs yes or no' when not v and (gain > 2 or outside > 2) then 'should be empty' when v and gain < 100 * 0.02 then 'no mark inside' when v and outside > 6 then 'mark outside' end
+from (select event_id, case event_type when 'error' then null else event_type = 'click' end as v, floor(value) as gain, user_id % 9 as outside from events)""")
 def au_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A written place gained ink, its text can be read again, and nothing ran over its edges."""
-    t = rows(spark, "(1, 0, 50, 'Rossi', 'a Rossi b', 0), (2, 5, 5, 'x', 'x', 0), (3, 0, 9, 'Rossi', 'Ros', 0), (4, 0, 9, 'x', 'x', 30) as t(id, before, after, v, seen, spill)")
-    return t.select("id", F.when(F.col("after") <= F.col("before"), "no ink").when(~F.contains("seen", "v"), "not readable").when(F.col("spill") > 8, "spill").otherwise("ok").alias("result"))
+    """What the ink gained by written cells and boxes says of the writing."""
+    from formlake.tables import table
+
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("formlake_cells")
+    cells = geometry.verified_cells(spark.sql(_CELL_INK.replace("from lineitem", "from formlake_cells").replace("l_linenumber - 1 as", "cast(l_linenumber - 1 as int) as")))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", F.col("event_type") == "click").alias("v"), F.floor("value").alias("gain"), (F.col("user_id") % 9).alias("outside"))
+    boxes = e.select("id", F.lit("casella").alias("kind"), geometry.box_problem(F.col("v"), F.col("gain"), F.col("outside"), F.lit(100.0)).alias("reason"))
+    return cells.select("id", F.lit("celle").alias("kind"), "reason").unionByName(boxes)
 
 
 @query("select * from (values (1, 0.5::double, true), (2, 0.1::double, false)) t(id, ratio, illegible)")

@@ -3,7 +3,8 @@
 Turns of a conversation are taken by (turn, role, text), nulls first; repeated rows are repeated turns. A null text is
 empty, a null role is the empty role. Roles that the template does not know are written with its generic marks, and the
 state machine reports them; every conversation is formatted. Other columns are ignored; an empty table gives no rows. A
-conversation becomes one row, as its output is one string; only its own turns meet in a task.
+conversation becomes one row, as its output is one string; only its own turns meet in a task. Very long texts are escaped and
+read back whole. Turns equal in turn, role and text are interchangeable, so ties have one result.
 """
 
 from __future__ import annotations

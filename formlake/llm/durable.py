@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _ensured(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. spark.checkpoint.dir holds; only where none is set, as in tests, a local folder is."""
+    """The checkpoint folder of the session. spark.checkpoint.dir holds; only where none is set in a session on one machine, as in tests, a local folder is."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

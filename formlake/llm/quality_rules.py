@@ -1,7 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection of Spark's own expressions.
 
 Empty and null texts have no words: every count is 0, and they fail the base rule. Repeated rows are judged alike, each
-on its own; an empty table gives an empty result; other columns pass through `apply_rules` untouched.
+on its own; very long texts are measured whole, within one row; a metric that equals a threshold passes; an empty table gives
+an empty result; other columns pass through `apply_rules` untouched, but for those that it makes.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ no pair is lost; within a bucket a search emits a least spanning forest of the l
 
 Null and empty texts have the fingerprint 0 and are linked like any other. Repeated rows are copies (a doc_id twice gives two
 rows; rows of one doc_id are one document and stay or go together). A document without a doc_id names no group: it takes its
-class's component, null if the class has no doc_id, and is never dropped. An empty table gives an empty result. Other columns of the input are ignored.
+class's component, null if the class has no doc_id, and is never dropped. Very long texts are fingerprinted whole. A bit that
+exactly half of the hashes have is 0; of equally near members any joins a forest first, which changes no component. An empty
+table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations

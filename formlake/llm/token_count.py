@@ -4,7 +4,10 @@ Every word (what stands between white space) is led by the word mark and cut int
 tokenizers library, of equal scores the piece that starts first wins, and a character without a piece of its own costs the
 least score less 10; with byte fallback it counts as its bytes, else a run of such characters counts as one piece.
 
-Null and empty texts have no tokens; repeated rows are counted alike; other columns are ignored; an empty table gives no rows.
+A text's white space is what stands between words; it has no tokens of its own, as in a Metaspace tokenizer that splits a text
+whose runs of white space are single blanks. Control pieces of the vocabulary (<s>, <0x41>) are matched where a text spells them,
+as the library's model does with a word. Null and empty texts have no tokens; very long texts are counted whole, long words
+without being remembered; repeated rows are counted alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from formlake.llm.kernels import chunks
 
 #: The mark that leads a word, and what an unknown character costs below the least score.
 WORD_MARK, UNKNOWN_PENALTY = "▁", 10.0
-#: Words whose counts a worker remembers.
-MEMORY_WORDS = 400_000
+#: Words whose counts a worker remembers, and bytes of the longest.
+MEMORY_WORDS, WORD_BYTES = 300_000, 64
 
 
 def zipf_lexicon(path: str) -> list[tuple[str, float]]:
@@ -84,12 +87,17 @@ class Counter:
         """(words, pieces) of each text."""
         if len(self.memory) > MEMORY_WORDS:
             self.before, self.memory = self.memory, {}
-        memory, before = self.memory, self.before
+        memory, before, long = self.memory, self.before, {}
         found = [t.split() for t in texts]
         for w in dict.fromkeys(w for ws in found for w in ws):
             if w not in memory:
-                memory[w] = before[w] if w in before else self.count(WORD_MARK + w.decode())
-        return [(len(ws), sum(map(memory.__getitem__, ws))) for ws in found]
+                n = before[w] if w in before else self.count(WORD_MARK + w.decode())
+                if len(w) <= WORD_BYTES:
+                    memory[w] = n
+                else:
+                    long[w] = n
+        known = memory if not long else {w: memory.get(w, 0) or long[w] for ws in found for w in ws}
+        return [(len(ws), sum(map(known.__getitem__, ws))) for ws in found]
 
 
 def default_lexicon() -> list[tuple[str, float]]:

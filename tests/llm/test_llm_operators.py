@@ -85,6 +85,41 @@ def test_line_quality_learns_and_scores_odd_rows(spark, odd, none):
     assert np.allclose([r.score for r in line_quality.score(odd, *line_quality.learn(odd, labels.filter("false"))).collect()], 0.5)
 
 
+def plain_features(lines, i, earlier):
+    """A line's own features, written out."""
+    b = lines[i].encode()
+    words = b.split()
+    n, per = len(lines[i]), max(len(words), 1)
+    count = lambda chars: sum(x in chars for x in b)
+    upper, lower = count(range(65, 91)), count(range(97, 123))
+    known = {*range(65, 91), *range(97, 123), *range(48, 58), *b" \t\n\x0b\x0c\r", *b"#*$%&|<>~^_=+\\@{}[]", *b"!?", *b".,;:", *range(128, 256)}
+    letters = max(upper + lower + count(range(192, 256)), 1)
+    distinct = len(set(words)) / len(words) if words else 1
+    return [
+        np.log1p(n) / 5, min(n / per, 40) / 10, upper / letters, min(count(range(48, 58)) / max(n, 1), 1), min(count(b"#*$%&|<>~^_=+\\@{}[]") / per, 4), min(count(b"!?") / per, 4), min(count(b".,;:") / per, 4),
+        min(sum(x not in known for x in b) / per, 4), 1 - distinct, (1 - distinct) ** 3, float(lines[i] in earlier and bool(words)), float(not words),
+    ]
+
+
+def test_quality_scores_equal_enumeration():
+    # Features written out, and every labelling of the lines summed over.
+    r = np.random.default_rng(7)
+    weights, move = r.normal(size=line_quality.N_FEATURES), r.normal(size=(2, 2))
+    texts = ["A line.\n\nA line.\nZZ 12 !!", "", "été ß 日本 @@\nb b b b", "x\ny\nx\n###", "\n", "a" * 500]
+    for t, got in zip(texts, line_quality.scores([t.encode() for t in texts], weights, move), strict=True):
+        lines = t.split("\n")
+        own = np.array([plain_features(lines, i, lines[:i]) for i in range(len(lines))])
+        near = [[own[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)] for i in range(len(lines))]
+        x = np.array([[*own[i], *(np.mean(near[i], axis=0) if near[i] else np.zeros(12)), 1.0] for i in range(len(lines))])
+        unary, good, total = x @ weights, np.zeros(len(lines)), 0.0
+        for k in range(2 ** len(lines)):
+            y = [(k >> i) & 1 for i in range(len(lines))]
+            w = np.exp(sum(unary[i] * y[i] for i in range(len(lines))) + sum(move[y[i], y[i + 1]] for i in range(len(lines) - 1)))
+            total, good = total + w, good + w * np.array(y)
+        sizes = np.array([len(x) + 1 for x in lines])
+        assert np.isclose(got, (good / total) @ sizes / sizes.sum(), atol=1e-5), t
+
+
 def test_lines_of_both_kinds_are_told_apart(spark):
     # Documents of both labels have lines of both kinds; only the mixture differs.
     r = random.Random(3)
@@ -138,6 +173,12 @@ def test_token_counts_with_bytes_and_odd_rows(odd, none):
     ours, theirs = token_count.Counter(lexicon), Unigram(lexicon, 0, True)
     for w in ["hello", "日本語", "ñandú", "😀😀a", "zzqq"]:
         assert ours.count("▁" + w) == len(theirs.tokenize("▁" + w))
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer(theirs)
+    whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace()])
+    texts = ["The  house\n\tis on\x0bfire ", "日本語 and <s> or <0x41>", "", " ", "a" * 300 + " b " + "z9" * 200]
+    assert [n for _, n in ours.totals([t.encode() for t in texts])] == [len(whole.encode(t).ids) for t in texts]
     got = sorted((r.doc_id, r.n_words) for r in token_count.count_tokens(odd).collect())
     assert got == sorted((i, len((t or "").encode().split())) for i, t, *_ in ODD)
     assert token_count.count_tokens(none).count() == 0
@@ -515,6 +556,13 @@ def test_chats_are_read_back(spark):
     assert chat_format.format_chats(df.filter("false")).count() == 0
 
 
+def test_chats_of_very_long_texts_and_other_columns(spark):
+    own = "a\\ </s> [/INST]\n" * 20_000
+    df = spark.createDataFrame([(1, 0, "user", own, "x", "y"), (1, 1, "assistant", own, "x", "z")], "conv_id long, turn long, role string, text string, formatted string, segments string")
+    r = chat_format.format_chats(df).select(chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss")).first()
+    assert [(x.role, x.text) for x in r.turns] == [("user", own), ("assistant", own)] and r.loss == own
+
+
 # 9
 
 

@@ -20,6 +20,7 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -335,7 +336,7 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
             for text in batch.column("text").to_pylist():
                 # What stands between blanks is counted, and only the frequent of these are split into words; what is long is split at once.
                 units = (text or "").split(" ")
-                if any(len(u) > WORD_CHARS for u in units):
+                if max(map(len, units)) > WORD_CHARS:
                     units = [u for x in units for u in ([x] if len(x) <= WORD_CHARS else (w for w in split(x) if len(w) <= WORD_CHARS))]
                 seen.update(units)
                 if len(seen) > 8 * SUMMARY_WORDS:
@@ -424,7 +425,7 @@ class Codec:
         if self.held > MEMORY_BYTES:
             self.before, self.memory, self.held = self.memory, {}, 0
         found = [self.units(t) for t in texts]
-        known = self.learn(dict.fromkeys(u for us in found for u in us))
+        known = self.learn(dict.fromkeys(chain.from_iterable(found)))
         for us in found:
             yield list(map(known.__getitem__, us))
 
@@ -498,9 +499,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in sliced(batches):
             counts, ids_sha, text_sha = [], [], []
             for got in codec.encode([t or "" for t in batch.column("text").to_pylist()]):
-                counts.append(sum(x[1] for x in got))
-                ids_sha.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join([x[2] for x in got]).decode("utf-8", "replace").encode()).hexdigest())
+                ids, numbers, raw = zip(*got, strict=True)
+                counts.append(sum(numbers))
+                ids_sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -6,9 +6,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def common_run_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common run over the shorter text; 0 where either is empty."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake.functions import text as T
-from formlake.operators import archive, matching, plan, projections, rules, sequences
+from formlake.operators import archive, evidence, matching, plan, projections, rules, sequences
 from formlake.plans import views
 from formlake.plans.registry import ORACLE, query
 from formlake.plans.views import ANCHORS_SQL, FORMS_SQL, LINES_SQL, OUTCOMES_SQL
@@ -665,10 +665,10 @@ def vd_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.contract_states(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot")), answers, keys)
 
 
-@query("with t as (select l_orderkey as slot, count(distinct l_returnflag) as fields, count(*) as n from lineitem group by 1) select slot, case when fields > 1 then 'conflict' when n > 1 then 'dubbio' else 'assegna' end as state from t")
+@query("with r as (select l_orderkey as slot, l_linenumber as round, count(distinct l_returnflag) as fields, count(*) as n, min(l_returnflag) as field from lineitem group by all), x as (select *, row_number() over (partition by slot order by round desc) as k, max(fields) over (partition by slot) as most from r) select slot, case when most = 1 then field end as field, case when most > 1 then 'conflict' when n > 1 then 'dubbio' else 'assegna' end as state from x where k = 1")
 def ag_conflict_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("slot")).agg(F.countDistinct("l_returnflag").alias("fields"), F.count("*").alias("n"))
-    return t.select("slot", F.when(F.col("fields") > 1, "conflict").when(F.col("n") > 1, "dubbio").otherwise("assegna").alias("state"))
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slot"), F.col("l_linenumber").alias("round"), F.col("l_returnflag").alias("field"))
+    return evidence.settled_proposals(t)
 
 
 @query("select doc_id, item_id, case when result = 'errore' and kind in ('soggetto', 'significato', 'fonte') and contains(text, evidence) and (kind <> 'significato' or contains(lower(label), lower(evidence))) then 'veto' else 'warning' end as verdict from (select d.doc_id, d.text, b.item_id, string_split(b.text, ' ')[1] as evidence, case when b.item_id % 3 = 0 then 'dubbio' else 'errore' end as result, case b.item_id % 4 when 0 then 'soggetto' when 1 then 'significato' when 2 then 'fonte' else 'altro' end as kind, string_split(d.text, chr(10))[1] as label from documents d join benchmark b on d.doc_id % 40 = b.item_id) where length(evidence) >= 2")
@@ -681,8 +681,7 @@ def vd_evidence_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_DECISIONS}, f as (select distinct form, page from d where failed and page % 3 = 0) select id, case when f.form is not null then 'sospesa' else state end as state from d left join f using (form, page)")
 def vd_page_suspend(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decisions(spark, sf_dir)
-    bad = d.filter("failed and page % 3 = 0").select("form", "page").distinct().withColumn("bad", F.lit(True))
-    return d.join(bad, ["form", "page"], "left").select("id", F.when(F.col("bad"), "sospesa").otherwise(F.col("state")).alias("state"))
+    return evidence.suspended(d.select("id", "form", "page", "state"), d.filter("failed and page % 3 = 0"), ["form", "page"]).select("id", "state")
 
 
 @query(f"with {LINES_SQL} select doc_id, n from lines where length(trim(line)) between 1 and 60 and not contains(line, '|') and not regexp_matches(line, '[#%*$&@]')")
@@ -690,7 +689,7 @@ def vd_add_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short lines without a place of their own: a value may be added there."""
     rows = views.lines(spark, sf_dir)
     taken = rows.filter(F.col("line").rlike(r"[#%*$&@|]")).select("doc_id", "n")
-    return rows.filter(F.length(F.trim("line")).between(1, 60)).join(taken, ["doc_id", "n"], "left_anti").select("doc_id", "n")
+    return evidence.implicit_slots(rows, taken, ["doc_id", "n"], "line")
 
 
 @query(f"with {LINES_SQL}, t as (select doc_id, n, line, regexp_extract_all(translate(lower(line), 'àáâãäåèéêëìíîïòóôõöùúûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[a-z0-9]+') as w from lines), p as (select b.doc_id, b.n, a.w as known, array_to_string(a.w, '') as packed, b.w as asked from t a join t b on a.doc_id = b.doc_id and a.n = 0 and b.n >= 1 where trim(a.line) <> '') select doc_id, n, list_filter(asked, lambda x: not list_contains(known, x) and not list_contains({list(rules.GLUE)}, x) and not (length(x) >= 3 and contains(packed, x)))[1] as stranger from p")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions import formats, projection
 from formlake.functions import text as T
-from formlake.operators import geometry, plan, rules, sequences
+from formlake.operators import evidence, geometry, plan, rules, sequences
 from formlake.plans.registry import query
 from formlake.sources import documents, profiles
 
@@ -294,10 +294,17 @@ def wn_cell_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.cell_strips(rows(spark, _STRIP + " as t(page, row, x0, x1, empty)")).select("page", F.col("row").alias("r"), "x0", "x1", "many")
 
 
-@query("select * from (values (1, 40.0::double), (3, null)) t(id, until)")
+_SQUARES = "(1, 1, 10.0, 20.0, 19.0, 29.0, 0.0), (1, 2, 100.0, 20.0, 109.0, 29.0, 0.5), (1, 3, 200.0, 20.0, 209.0, 29.0, 0.1), (1, 4, 300.0, 20.0, 330.0, 29.0, 0.0), (1, 5, 10.0, 60.0, 11.0, 61.0, 0.0), (1, 6, 10.0, 80.0, 18.0, 86.0, 0.0), (1, 7, 10.0, 90.0, 26.0, 105.0, 0.12), (2, 8, 10.0, 20.0, 19.0, 29.0, 0.0)"
+_BOX_GLYPHS = ", ".join(f"(1, {21 + 6 * i}.0, 26.0, 10.0, '{c}')" for i, c in enumerate("si, accetto ___ poi no, rifiuto tutto")) + ", " + ", ".join(f"(1, {30 + 6 * i}.0, 97.0, 10.0, '{c}')" for i, c in enumerate("forse"))
+
+
+@query(f"""with b as (select page, rect, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_SQUARES}) b(page, rect, x0, y0, x1, y1, ink) where x1 - x0 between 2 and 16 and y1 - y0 between 2 and 16 and abs((x1 - x0) - (y1 - y0)) <= 0.25 * greatest(x1 - x0, y1 - y0) and ink <= 0.12),
+e as (select *, lead(x0) over (partition by page, round_even(y0 / 4, 0) order by x0, rect) as after from b),
+t as (select e.page, e.rect, string_agg(text, '' order by x) as t from e join (values {_BOX_GLYPHS}) g(page, x, y, size, text) on g.page = e.page and abs(y - (y0 + y1) / 2) <= greatest(3, size * 0.75) and x >= x1 - 0.2 and (after is null or x < after - 0.2) group by e.page, e.rect)
+select b.page, b.rect, trim(left(trim(regexp_replace(t, '{_FILLER}.*$', '')), 90)) as label from b left join t using (page, rect)""")
 def wn_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = "(1, 1, 0.0, 0.0, 9.0, 9.0, 0.0), (1, 2, 20.0, 0.0, 29.0, 9.0, 0.5), (1, 3, 40.0, 0.0, 49.0, 9.0, 0.1), (1, 4, 60.0, 0.0, 90.0, 9.0, 0.0) as t(page, id, x0, y0, x1, y1, ink)"
-    return geometry.checkboxes(rows(spark, boxes)).select("id", F.col("label_until").alias("until"))
+    """Near-square hollow boxes and the text up to the next one."""
+    return evidence.boxes(rows(spark, _SQUARES + " as t(page, rect, x0, y0, x1, y1, ink)"), rows(spark, _BOX_GLYPHS + " as t(page, x, y, size, text)")).select("page", "rect", "label")
 
 
 #: Rules side by side and above each other, at cells' edges, under ink, without a label.
@@ -330,18 +337,28 @@ def wn_prev_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.labels_between(rows(spark, "(1, 1, 'nome ____ cognome ____', 5, 9), (1, 2, 'nome ____ cognome ____', 18, 22) as t(par, id, text, start, end)"), ["par"], "start", "end", "text").select("id", "label")
 
 
-@query("select * from (values (1, 'Nome stampato'), (2, 'campo_interno')) t(id, label)")
+@query("select o_orderkey as id, case when trim(a) <> '' then trim(a) when trim(b) <> '' then trim(b) else name end as label from (select *, case when o_orderstatus = 'F' then ' ' || o_orderpriority when o_orderstatus = 'P' then '  ' end as a, case when o_orderkey % 3 = 0 then 'sopra' end as b, 'w' || o_custkey as name from orders)")
 def wn_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A widget's printed label before its internal name."""
-    return rows(spark, "(1, 'Nome stampato', 'x1'), (2, ' ', 'campo_interno') as t(id, printed, name)").select("id", F.when(F.trim("printed") != "", F.col("printed")).otherwise(F.col("name")).alias("label"))
+    """A widget's printed labels, left then above, before its internal name."""
+    from formlake.tables import table
+
+    o = table(spark, sf_dir, "orders")
+    left = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" "), "o_orderpriority")).when(F.col("o_orderstatus") == "P", "  ")
+    return o.select(F.col("o_orderkey").alias("id"), evidence.widget_label(left, F.when(F.col("o_orderkey") % 3 == 0, "sopra"), name=F.concat(F.lit("w"), F.col("o_custkey").cast("string"))).alias("label"))
 
 
-@query("select * from (values (1, 'riga uno riga due')) t(id, context)")
+_NEAR_FIELDS = "(1, 1, 100.0, 100.0, 150.0, 110.0), (1, 2, 300.0, 300.0, 350.0, 310.0), (1, 3, 10.0, 700.0, 20.0, 705.0), (2, 4, 0.0, 0.0, 500.0, 900.0)"
+_NEAR_LINES = ", ".join(f"({1 + k % 2}, {(k * 37) % 400}.0, {(k * 29) % 720}.0, {(k * 37) % 400 + 60}.0, {(k * 29) % 720 + 9}.0, 'riga {k}{' ____ resto' * (k % 3 == 0)}')" for k in range(90))
+
+
+@query(f"""with f as (select page, id, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_NEAR_FIELDS}) f(page, id, x0, y0, x1, y1)), l as (select page, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1, trim(regexp_replace(text, '{_FILLER}.*$', '')) as t from (values {_NEAR_LINES}) l(page, x0, y0, x1, y1, text)),
+j as (select f.page, id, l.x0, l.y0, t, l.x0 < f.x1 and l.x1 > f.x0 and l.y0 < f.y1 and l.y1 > f.y0 as hit from f join l on l.page = f.page and l.x0 < f.x1 + 90 and l.x1 > f.x0 - 90 and l.y0 < f.y1 + 12 and l.y1 > f.y0 - 34),
+o as (select *, bool_or(hit) over (partition by page, id) as met from j)
+select page, id, left(string_agg(t, ' ' order by y0, x0, t), 200) as context from o where (hit or not met) and t <> '' group by page, id""")
 def wn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that cross a field's surroundings, in order, without filler runs."""
-    near = rows(spark, "(1, 10.0, 'riga uno ____'), (1, 14.0, 'riga due'), (1, 90.0, 'lontano') as t(id, y, text)").filter(F.col("y").between(0, 30))
-    g = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("y", T.clean_label(F.col("text"), False).alias("t")))).alias("p"))
-    return g.select("id", F.substring(F.array_join(F.transform("p", lambda x: x.t), " "), 1, 200).alias("context"))
+    """The lines that cross a field, else those around it, in order, without filler runs."""
+    box = "x0, y0, x1, y1"
+    return evidence.contexts(rows(spark, f"{_NEAR_FIELDS} as t(page, id, {box})"), rows(spark, f"{_NEAR_LINES} as t(page, {box}, text)"))
 
 
 @query("select id, case when kind = 'celle' then coalesce(many, greatest(1, floor(w / 4.2)))::bigint when kind = 'casella' then 1 else greatest(1, floor(w / 4.2))::bigint end as n from (values (1, 'celle', 16, 100.0), (2, 'celle', null, 42.0), (3, 'casella', null, 9.0), (4, 'area', null, 100.0), (5, 'area', null, 1.0)) t(id, kind, many, w)")
@@ -477,14 +494,10 @@ def sc_lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "(1, 'Roma', 'via Roma 1'), (2, 'abcd', 'abxx'), (3, '', 'x') as t(id, a, b)").select("id", common_run_ratio("a", "b").alias("ratio"))
 
 
-@query("select * from (values (1, 2)) t(id, page)")
+@query("select * from (values (1, 2), (3, 2)) t(id, page)")
 def jn_best_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page whose context is nearest to a value's own, if near enough."""
-    from formlake.functions.similarity import common_run_ratio
-
-    hits = rows(spark, "(1, 1, 'firma del cliente', 'nome e cognome'), (1, 2, 'nome e cogn.', 'nome e cognome'), (2, 1, 'xyz', 'altro') as t(id, page, context, wanted)")
-    scored = hits.withColumn("r", common_run_ratio("context", "wanted")).filter("r >= 0.35")
-    return scored.groupBy("id").agg(F.max_by("page", F.struct("r", -F.col("page"))).alias("page"))
+    return evidence.best_occurrences(rows(spark, "(1, 1, 'firma del cliente', 'nome e cognome'), (1, 2, 'nome e cogn.', 'nome e cognome'), (2, 1, 'xyz', 'altro'), (3, 4, 'data di nascita', 'data di nascita'), (3, 2, 'data di nascita', 'data di nascita') as t(id, page, context, wanted)"))
 
 
 _WRITES = "case l_linenumber when 1 then 'celle' when 2 then 'casella' when 3 then 'riempimento' when 4 then 'tratto' when 5 then 'area' else 'widget' end"
@@ -521,19 +534,23 @@ def au_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("id", F.lit("celle").alias("kind"), "reason").unionByName(boxes)
 
 
-@query("select * from (values (1, 0.5::double, true), (2, 0.1::double, false)) t(id, ratio, illegible)")
+@query("select l_orderkey as id, sum(old) / sum(now - old) as ratio, sum(old) / sum(now - old) > 0.12 as illegible from (select l_orderkey, floor(l_discount * 100) as old, floor(l_quantity / 3) as now from lineitem) where now > old group by l_orderkey")
 def wn_new_ink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old ink on the pixel rows that gained ink, over the new: beyond 12 % the text cannot be read."""
-    t = rows(spark, "(1, 0, 5, 15), (1, 1, 4, 4), (2, 0, 1, 11) as t(id, y, old, now)").filter("now > old")
-    g = t.groupBy("id").agg((F.sum("old") / F.sum(F.col("now") - F.col("old"))).alias("ratio"))
-    return g.select("id", "ratio", (F.col("ratio") > 0.12).alias("illegible"))
+    from formlake.tables import table
+
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("y"), F.floor(F.col("l_discount") * 100).cast("double").alias("old"), F.floor(F.col("l_quantity") / 3).cast("double").alias("now"))
+    return evidence.legibility(li)
+
+
+_ON_LINES = ", ".join(f"({1 + k % 2}, {k}, {(k * 53) % 300}.0, {(k * 53) % 300 + 40}.0, {40 + (k * 31) % 600}.0)" for k in range(40))
+_INK_AT = ", ".join(f"({1 + k % 2}, {(k * 41) % 320}.0, {(k * 41) % 320 + 15}.0, {(k * 23) % 640}.0)" for k in range(120))
 
 
-@query("select id, coalesce(min(y - b) filter (b < y), 40.0)::double as rise from (values (1, 50.0, 30.0), (1, 50.0, 45.0), (2, 50.0, 60.0)) t(id, y, b) group by id")
+@query(f"select f.page, id, coalesce(min(f.y - i.y), 40.0)::double as rise from (values {_ON_LINES}) f(page, id, x0, x1, y) left join (values {_INK_AT}) i(page, x0, x1, y) on i.page = f.page and i.y < f.y - 1 and f.y - i.y <= 40 and i.x0 < f.x1 and i.x1 > f.x0 group by f.page, id")
 def wn_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a line's field may rise before it meets ink."""
-    t = rows(spark, "(1, 50.0, 30.0), (1, 50.0, 45.0), (2, 50.0, 60.0) as t(id, y, b)")
-    return t.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("b") < F.col("y"), F.col("y") - F.col("b"))), F.lit(40.0)).alias("rise"))
+    return evidence.rises(rows(spark, _ON_LINES + " as t(page, id, x0, x1, y)"), rows(spark, _INK_AT + " as t(page, x0, x1, y)"))
 
 
 @query("select * from (values (1, 'spazio'), (2, 'casella'), (3, 'spazio_implicito'), (4, 'vuoto'), (5, null)) t(id, kind)")
@@ -544,20 +561,26 @@ def wn_word_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "(1, 'nome ____'), (2, '☐ si'), (3, 'Cognome:'), (4, ' '), (5, 'testo') as t(id, p)").select("id", kind.alias("kind"))
 
 
-@query("select * from (values (1, 'assegna', 'b'), (2, 'dubbio', 'x')) t(id, state, key)")
+@query("with b as (select *, dense_rank() over (partition by o_custkey order by month(o_orderdate)) as p from orders) select o_orderkey as id, s as state, k as key from (select *, case when o_totalprice > 200000 then 'dubbio' else o_orderstatus end as s, case when o_totalprice < 50000 then null else o_orderpriority end as k from b) where p <= 6 and o_orderkey % 3 = 0 and (s is distinct from o_orderstatus or k is distinct from o_orderpriority)")
 def pl_visual_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions that a reviewer of at most six pages changed."""
-    before = rows(spark, "(1, 1, 'assegna', 'a'), (2, 2, 'assegna', 'x'), (3, 3, 'assegna', 'c'), (4, 9, 'assegna', 'd') as t(id, page, state, key)")
-    after = rows(spark, "(1, 'assegna', 'b'), (2, 'dubbio', 'x'), (3, 'assegna', 'c'), (4, 'dubbio', 'd') as t(id, s2, k2)")
-    j = before.filter("page <= 6").join(after, "id")
-    return j.filter(~(F.col("state").eqNullSafe(F.col("s2")) & F.col("key").eqNullSafe(F.col("k2")))).select("id", F.col("s2").alias("state"), F.col("k2").alias("key"))
+    """Decisions that a reviewer of at most six pages of each form changed."""
+    from formlake.tables import table
+
+    o = table(spark, sf_dir, "orders")
+    before = o.select(F.col("o_custkey").alias("form"), F.month("o_orderdate").alias("page"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("key"))
+    seen = o.filter("o_orderkey % 3 = 0")
+    after = seen.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_totalprice") > 200000, "dubbio").otherwise(F.col("o_orderstatus")).alias("state"), F.when(F.col("o_totalprice") >= 50000, F.col("o_orderpriority")).alias("key"))
+    return evidence.reviewed(before, after)
 
 
-@query("select * from (values ('f', 'completo: 2 verificate; punti aperti: a, b')) t(form, report)")
+@query("with p as (select o_custkey as form, list_sort(list(distinct o_orderpriority || month(o_orderdate))) as p from orders where o_orderstatus <> 'F' group by 1) select c_custkey as form, c_mktsegment || ': ' || (c_custkey % 7) || ' verificate' || case when p is null then '' else '; punti aperti: ' || array_to_string(p[1:12], ', ') || case when len(p) > 12 then ' e altri ' || (len(p) - 12) else '' end end as report from customer left join p on p.form = c_custkey")
 def io_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A form's verdict as a line; twelve open points are named at most."""
-    t = rows(spark, "('f', 'completo', 2, array('b', 'a')) as t(form, state, ok, opened)")
-    return t.select("form", F.format_string("%s: %d verificate; punti aperti: %s", "state", "ok", F.array_join(F.slice(F.array_sort("opened"), 1, 12), ", ")).alias("report"))
+    from formlake.tables import table
+
+    forms = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("form"), F.col("c_mktsegment").alias("state"), (F.col("c_custkey") % 7).alias("verified"))
+    opened = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("form"), F.concat("o_orderpriority", F.month("o_orderdate").cast("string")).alias("point"))
+    return evidence.report_lines(forms, opened)
 
 
 @query("select * from (values ('p', 3)) t(doc, places)")

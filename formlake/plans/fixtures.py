@@ -12,7 +12,7 @@ from formlake.functions import formats, projection
 from formlake.functions import text as T
 from formlake.operators import evidence, geometry, plan, rules, sequences
 from formlake.plans.registry import query
-from formlake.sources import documents, profiles
+from formlake.sources import documents, profiles, word_writer
 
 
 def rows(spark: SparkSession, values: str) -> DataFrame:
@@ -47,15 +47,19 @@ def fm_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, DATES + " as t(v, p)").select("v", "p", formats.shown_date(day, F.col("p")).alias("shown"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("iso"))
 
 
-@query("select line, len(regexp_extract_all(line, '_{1,2} */ *_{1,2} */ *_{2,4}'))::bigint as masks from (values ('nato il __/__/____ a ___'), ('dal __/__/____ al __ / __ / ____'), ('niente')) t(line)")
+_MASKED = ", ".join(f"({k}, '{('nato il ' + '_' * (1 + k % 3) + ' ' * (k % 2) + '/' + '_' * (1 + k % 2) + '/ ' + '_' * (1 + k % 5) + ' a ___ ') * (k % 4)}')" for k in range(24))
+
+
+@query(f"select k, len(regexp_extract_all(line, '_{{1,2}} */ *_{{1,2}} */ *_{{2,4}}'))::bigint as masks from (values {_MASKED}) t(k, line)")
 def fm_date_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = F.regexp_extract_all("line", F.lit("(_{1,2} */ *_{1,2} */ *_{2,4})"), F.lit(1))
-    return rows(spark, "('nato il __/__/____ a ___'), ('dal __/__/____ al __ / __ / ____'), ('niente') as t(line)").select("line", F.size(mask).cast("long").alias("masks"))
+    return rows(spark, _MASKED + " as t(k, line)").select("k", F.size(formats.date_masks(F.col("line"))).cast("long").alias("masks"))
 
 
-@query("select v, round_even(v, 0) + 0.0 as r from (values (0.5), (1.5), (2.5), (2.51), (-0.5), (-1.5)) t(w), lateral (select w::double as v)")
+@query("select event_id, round_even(v, 0) + 0.0 as r from (select event_id, floor(value * 2) / 2 - 20 as v from events)")
 def fm_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "(0.5), (1.5), (2.5), (2.51), (-0.5), (-1.5) as t(v)").select("v", (F.bround("v", 0) + 0.0).alias("r"))
+    from formlake.tables import table
+
+    return table(spark, sf_dir, "events").select("event_id", formats.rounded(F.floor(F.col("value") * 2) / 2 - 20).alias("r"))
 
 
 _TWO = "(1, 0.0, 0.0, 10.0, 10.0, 5.0, 5.0, 20.0, 20.0), (2, 0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 6.0, 6.0), (3, 0.0, 0.0, 4.0, 4.0, 1.0, 1.0, 2.0, 2.0)"
@@ -78,7 +82,7 @@ def io_profile_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select * from (values ('a.json', 'Rossi'), ('c.json', null)) t(file, name)")
 def io_profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real = rows(spark, _PROFILE + " as t(file, raw)").filter(F.coalesce(F.get_json_object("raw", "$.prova"), F.lit("false")) != "true")
+    real = profiles.real_profiles(rows(spark, _PROFILE + " as t(file, raw)"))
     return real.select("file", profiles.path_value(F.col("raw"), "profilo.ragione").alias("name"))
 
 
@@ -98,23 +102,26 @@ def fm_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.flattened(rows(spark, _PROFILE + ", ('d.json', '" + '{"a": {"b": {"c": {"d": {"e": [{"f": "x"}]}}, "t": "x{y"}}}' + "') as t(file, raw)")).select("file", "path", "value")
 
 
-@query("select * from (values ('lavoro_corrente', 'Lavoro corrente'), ('scenari.gara_uno', 'Scenario: gara uno')) t(path, label)")
+_CASES = ", ".join(f"('{k}', '" + '{"lavoro_corrente": ' + ('{"a": 1}' if k % 3 else '{ }') + ', "scenari": {"gara_' + str(k) + '": {"b": 2}, "x.y": {"c": 3}, "vuoto": {}, "testo": "t"' + (', "altra_gara": {"d": {}}' if k % 2 else '') + "}}')" for k in range(12))
+
+
+@query("select k::varchar as file, unnest(list_concat(case when k % 3 <> 0 then ['lavoro_corrente'] else [] end, ['scenari.gara_' || k], case when k % 2 = 1 then ['scenari.altra_gara'] else [] end)) as path, unnest(list_concat(case when k % 3 <> 0 then ['Lavoro corrente'] else [] end, ['Scenario: gara ' || k], case when k % 2 = 1 then ['Scenario: altra gara'] else [] end)) as label from range(12) t(k)")
 def fm_path_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cases of a profile that can be chosen: neither empty ones nor names with a dot."""
-    t = rows(spark, """('{"lavoro_corrente": {"a": 1}, "scenari": {"gara_uno": {"b": 2}, "x.y": {"c": 3}, "vuoto": {}}}') as t(raw)""")
-    own = t.filter(F.get_json_object("raw", "$.lavoro_corrente") != "{}").select(F.lit("lavoro_corrente").alias("path"), F.lit("Lavoro corrente").alias("label"))
-    named = t.select(F.explode(F.from_json(F.get_json_object("raw", "$.scenari"), "map<string,string>")).alias("k", "v")).filter(~F.contains("k", F.lit(".")) & F.col("v").startswith("{") & (F.col("v") != "{}"))
-    return own.unionByName(named.select(F.concat(F.lit("scenari."), "k").alias("path"), F.concat(F.lit("Scenario: "), F.replace("k", F.lit("_"), F.lit(" "))).alias("label")))
+    return profiles.cases(rows(spark, _CASES + " as t(file, raw)")).select("file", "path", "label")
 
 
-_SCALARS = "(1, 'text', 'Rossi'), (2, 'text', '  '), (3, 'bool', 'true'), (4, 'int', '0'), (5, 'float', 'NaN')"
+_KIND_OF = "case l_linenumber when 1 then 'bool' when 2 then 'int' when 3 then 'float' else 'text' end as kind"
+_TEXT_OF = "case l_linenumber when 1 then 'true' when 2 then case when l_tax = 0 then '0' else '7' end when 3 then case when l_discount > 0.05 then 'NaN' when l_discount > 0.02 then 'inf' else '0.0' end else case when l_returnflag = 'R' then ' ' else l_linestatus end end as v"
 
 
-@query(f"select id, case when kind = 'bool' or trim(v) = '' or v = 'NaN' then null else v end as text from (values {_SCALARS}) t(id, kind, v)")
+@query(f"select id, kind, case when kind <> 'bool' and trim(v) <> '' and v not in ('NaN', 'inf') then v end as text from (select l_orderkey as id, {_KIND_OF}, {_TEXT_OF} from lineitem)")
 def fm_strip_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of a scalar: zero is one, a yes or no and a blank are none."""
-    t = rows(spark, _SCALARS + " as t(id, kind, v)")
-    return t.select("id", F.when((F.col("kind") != "bool") & (F.trim("v") != "") & (F.col("v") != "NaN"), F.col("v")).alias("text"))
+    from formlake.tables import table
+
+    t = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as id", _KIND_OF, _TEXT_OF)
+    return t.select("id", "kind", formats.scalar_text(F.col("kind"), F.col("v")).alias("text"))
 
 
 @query("select * from (values ('a.pdf', true), ('b.pdf', false)) t(path, signed)")
@@ -553,12 +560,77 @@ def wn_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.rises(rows(spark, _ON_LINES + " as t(page, id, x0, x1, y)"), rows(spark, _INK_AT + " as t(page, x0, x1, y)"))
 
 
-@query("select * from (values (1, 'spazio'), (2, 'casella'), (3, 'spazio_implicito'), (4, 'vuoto'), (5, null)) t(id, kind)")
+@query(
+    r"select doc_id, n, case when trim(line) = '' then 'paragrafo_vuoto' when regexp_matches(line, '[☐☑☒□]') then 'glifo_casella' when regexp_matches(line, '_{3,}|\.{5,}|…{2,}') then 'segnaposto_testuale' when regexp_matches(line, ':\s*$') then 'spazio_implicito' end as kind from (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as line from documents)"
+)
 def wn_word_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What kind of place a paragraph of a Word form offers."""
-    p = F.col("p")
-    kind = F.when(F.trim("p") == "", "vuoto").when(p.rlike("[☐☑□]"), "casella").when(p.rlike(r"_{3,}|\.{5,}|…{2,}"), "spazio").when(p.rlike(r":\s*$"), "spazio_implicito")
-    return rows(spark, "(1, 'nome ____'), (2, '☐ si'), (3, 'Cognome:'), (4, ' '), (5, 'testo') as t(id, p)").select("id", kind.alias("kind"))
+    """What kind of place each paragraph offers."""
+    from formlake.plans import views
+
+    return views.lines(spark, sf_dir).select("doc_id", "n", documents.point_kind(F.col("line")).alias("kind"))
+
+
+#: Paragraphs of a Word file, in two runs each.
+_PARAGRAPHS = [f"{'campo' if k % 3 else 'il & sottoscritto'} {k}: {'____' if k % 2 else 'testo'} {'fine ____' if k % 5 == 0 else ''}" for k in range(24)] + ["", "<a>", "è"]
+_PARAGRAPHS_SQL = "(values " + ", ".join(f"({n}, '{t}')" for n, t in enumerate(_PARAGRAPHS)) + ") p(n, text)"
+
+
+def _word_file(spark: SparkSession) -> DataFrame:
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
+    body = "".join(f"<w:p>{run(t[:9])}{run(t[9:])}</w:p>" for t in _PARAGRAPHS)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return spark.createDataFrame([("a.docx", bytearray(out.getvalue())), ("b.docx", bytearray(b"no"))], "path string, content binary")
+
+
+@query(f"select 'a.docx' as path, n, text, '' as warning from {_PARAGRAPHS_SQL} union all select 'b.docx', -1, '', 'not a Word file'")
+def io_docx_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.word_paragraphs(_word_file(spark)).select("path", "n", "text", "warning")
+
+
+@query(f"select n, unnest(list_filter(regexp_extract_all(text, '[_.…]{{2,}}'), lambda r: 2 * length(r) >= 5)) as run from {_PARAGRAPHS_SQL}")
+def io_docx_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filler runs of a Word file."""
+    return documents.word_places(documents.word_paragraphs(_word_file(spark))).select("n", "run")
+
+
+def _word_edits(paragraphs: DataFrame) -> DataFrame:
+    """The first four characters of each paragraph, where odd ones expect something else, and its first filler."""
+    head = paragraphs.select("path", "part", "n", F.lit(0).alias("start"), F.lit(4).alias("until"), F.when(F.col("n") % 2 == 0, F.substring("text", 1, 4)).otherwise("zzzz").alias("expected"), F.lit("X").alias("value"))
+    at = F.instr("text", "____") - 1
+    return head.unionByName(paragraphs.filter(at >= 0).select("path", "part", "n", at.alias("start"), (at + 4).alias("until"), F.lit("____").alias("expected"), F.concat(F.lit("V"), F.col("n").cast("string")).alias("value")))
+
+
+@query(
+    f"select n, 0 as start, case when length(text) < 4 then 'beyond the text' when n % 2 = 1 then 'text has changed' end as reason from {_PARAGRAPHS_SQL} union all select n, instr(text, '____') - 1, null from {_PARAGRAPHS_SQL} where contains(text, '____')"
+)
+def wr_docx_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits checked against the text they were planned for."""
+    paragraphs = documents.word_paragraphs(_word_file(spark)).filter("n >= 0")
+    return word_writer.planned_edits(paragraphs, _word_edits(paragraphs)).select("n", "start", "reason")
+
+
+def _saved(spark: SparkSession) -> DataFrame:
+    files = _word_file(spark).filter("path = 'a.docx'")
+    paragraphs = documents.word_paragraphs(files)
+    return word_writer.saved(files, word_writer.planned_edits(paragraphs, _word_edits(paragraphs)))
+
+
+@query(f"select n, case when n % 2 = 0 and length(text) >= 4 then 'X' || substr(t, 5) else t end as text from (select n, text, regexp_replace(text, '____', 'V' || n) as t from {_PARAGRAPHS_SQL})")
+def io_docx_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of a file that was written and read again."""
+    return documents.word_paragraphs(_saved(spark)).select("n", "text")
+
+
+@query(f"select 'a.docx' as path, (count(*) filter (n % 2 = 0 and length(text) >= 4) + count(*) filter (contains(text, '____')))::int as written, 0 as failed from {_PARAGRAPHS_SQL}")
+def wr_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paragraph is written by itself, so one that fails is named and takes no other with it."""
+    return _saved(spark).select("path", "written", F.size("failed").alias("failed"))
 
 
 @query("with b as (select *, dense_rank() over (partition by o_custkey order by month(o_orderdate)) as p from orders) select o_orderkey as id, s as state, k as key from (select *, case when o_totalprice > 200000 then 'dubbio' else o_orderstatus end as s, case when o_totalprice < 50000 then null else o_orderpriority end as k from b) where p <= 6 and o_orderkey % 3 = 0 and (s is distinct from o_orderstatus or k is distinct from o_orderpriority)")
@@ -589,3 +661,16 @@ def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows(spark, "('p', 0, 'nome ____ cognome ____'), ('p', 1, 'data ____') as t(doc, n, line)")
     places = lines.select("doc", "n", F.explode(sequences.filler_runs(F.col("line"))).alias("run"))
     return sequences.numbered(places, ["doc"], ["n", "run"]).groupBy("doc").agg(F.max("number").alias("places"))
+
+
+@query("select l_returnflag as k, count(*) as n from lineitem group by 1")
+def io_atomic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table published to a new folder, all of it or nothing, and read again."""
+    import uuid
+
+    from formlake.tables import table
+
+    counted = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n"))
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/published-{uuid.uuid4().hex}"
+    profiles.published(counted, path)
+    return spark.read.parquet(path)

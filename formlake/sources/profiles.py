@@ -12,7 +12,7 @@ SECTIONS = ("profilo", "anagrafica", "azienda", "impresa", "dati")
 def read_profiles(spark: SparkSession, path: str, real_only: bool = False) -> DataFrame:
     """file, raw of every JSON file; real_only: without those marked as tests."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
-    return rows.filter(F.coalesce(F.get_json_object("raw", "$.prova"), F.lit("false")) != "true") if real_only else rows
+    return real_profiles(rows) if real_only else rows
 
 
 def facts(profiles: DataFrame, raw: str = "raw") -> DataFrame:
@@ -61,3 +61,17 @@ def seeded(existing: DataFrame, offered: DataFrame, key: str) -> DataFrame:
 def published(df: DataFrame, path: str) -> None:
     """Writes to a new folder; readers see all of it or nothing, as Spark's committer renames at the end."""
     df.write.mode("errorifexists").parquet(path)
+
+
+def real_profiles(profiles: DataFrame, raw: str = "raw") -> DataFrame:
+    """The profiles not marked as tests."""
+    return profiles.filter(F.coalesce(F.get_json_object(raw, "$.prova"), F.lit("false")) != "true")
+
+
+def cases(profiles: DataFrame, raw: str = "raw") -> DataFrame:
+    """The input's other columns, path, label: the cases of a profile that can be chosen, neither empty ones nor names with a dot."""
+    others = [c for c in profiles.columns if c != raw]
+    filled = lambda v: v.startswith("{") & ~v.rlike(r"^\{\s*\}$")
+    own = profiles.filter(filled(F.coalesce(F.get_json_object(raw, "$.lavoro_corrente"), F.lit("")))).select(*others, F.lit("lavoro_corrente").alias("path"), F.lit("Lavoro corrente").alias("label"))
+    named = profiles.select(*others, F.explode(F.from_json(F.get_json_object(raw, "$.scenari"), "map<string,string>")).alias("k", "v")).filter(~F.contains("k", F.lit(".")) & filled(F.col("v")))
+    return own.unionByName(named.select(*others, F.concat(F.lit("scenari."), "k").alias("path"), F.concat(F.lit("Scenario: "), F.replace("k", F.lit("_"), F.lit(" "))).alias("label")))

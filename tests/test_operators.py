@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions import projection
 from formlake.operators import archive, matching
-from formlake.sources import documents, profiles
+from formlake.sources import documents, profiles, word_writer
 
 
 def word_file(*paragraphs, prefix=b""):
@@ -28,6 +28,30 @@ def test_word_paragraphs_and_places(spark):
     assert {(r.n, r.run) for r in documents.word_places(rows).collect()} == {(0, "___"), (1, "……")}
 
 
+def test_word_files_are_written(spark):
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = '<w:p><w:r><w:t>nome __</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">__ e &amp; città</w:t></w:r></w:p><w:p><w:r><w:t>due ....</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cella</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("word/document.xml", (2020, 1, 2, 3, 4, 6)), f'<?xml version="1.0"?><w:document xmlns:w="{space}" xmlns:x="urn:x" w:Ignorable="x"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/media/a.bin", b"\x00\x01same")
+    files = spark.createDataFrame([("a", bytearray(out.getvalue()))], "path string, content binary")
+    part = "word/document.xml"
+    edits = spark.createDataFrame(
+        [("a", part, 0, 5, 9, "____", "Rossi & <figli>"), ("a", part, 0, 10, 11, "e", "ed"), ("a", part, 1, 4, 8, "....", "3"), ("a", part, 1, 5, 7, "..", "x"), ("a", part, 2, 0, 0, "", "y"), ("a", part, 3, 5, 5, "", " 4"), ("a", part, 3, 0, 2, "zz", "q"), ("a", part, 9, 0, 1, "q", "q"), ("a", part, 3, 3, 99, "la", "q")],
+        "path string, part string, n int, start int, until int, expected string, value string",
+    )
+    planned = word_writer.planned_edits(documents.word_paragraphs(files), edits)
+    assert {(r.n, r.start): r.reason for r in planned.collect()} == {(0, 5): None, (0, 10): None, (1, 4): "overlaps another edit", (1, 5): "overlaps another edit", (2, 0): None, (3, 5): None, (3, 0): "text has changed", (9, 0): "no such paragraph", (3, 3): "beyond the text"}
+    new = word_writer.saved(files, planned)
+    r = new.first()
+    assert (r.written, list(r.failed)) == (3, [f"{part}:2: no text of its own"])
+    assert [x.text for x in documents.word_paragraphs(new).orderBy("n").collect()] == ["nome Rossi & <figli> ed & città", "due ....", "", "cella 4"]
+    with zipfile.ZipFile(io.BytesIO(bytes(r.content))) as z:
+        assert z.read("word/media/a.bin") == b"\x00\x01same" and z.getinfo(part).date_time == (2020, 1, 2, 3, 4, 6)
+        assert b'xmlns:x="urn:x" w:Ignorable="x"' in z.read(part) and b"<w:rPr><w:b/></w:rPr>" in z.read(part)
+
+
 def test_profiles_from_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"profilo": {"x": "1"}}')
     (tmp_path / "b.json").write_text('{"azienda": {"y": "2"}, "prova": true}')

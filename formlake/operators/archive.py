@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,21 @@ def snapshot_difference(before: DataFrame, after: DataFrame, key: list[str], val
     a, b = a.withColumn("_a", F.lit(True)), b.withColumn("_b", F.lit(True))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return a.join(b, key, "full").select(*key, "old", "new", change.alias("change")).filter("change is not null")
+
+
+#: The tables of an archive of measured forms.
+TABLES = {
+    "moduli": "id bigint, sha string, ente string, pagine int, caratteri bigint, scansione boolean",
+    "misure": "modulo bigint, quando timestamp, ancore int, scritte int, verificate int, errori int",
+    "ancore": "modulo bigint, id string, tipo string, pagina int, quante int, lato double",
+    "esiti": "modulo bigint, ancora string, stato string, motivo string",
+}
+
+
+def opened(spark: SparkSession, folder: str, tables: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The tables of an archive by name; those that are not there yet are made empty, those that are stay as they are."""
+    out = {}
+    for name, schema in (tables or TABLES).items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
+        out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return out

@@ -674,3 +674,22 @@ def io_atomic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/published-{uuid.uuid4().hex}"
     profiles.published(counted, path)
     return spark.read.parquet(path)
+
+
+@query("select * from (values ('ancore', 0), ('esiti', 0), ('misure', 0), ('moduli', 25)) t(name, n)")
+def io_archive_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new archive, opened twice: what was written in between stays."""
+    import uuid
+
+    from formlake.operators import archive
+    from formlake.tables import table
+
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/archive-{uuid.uuid4().hex}"
+    first = archive.opened(spark, folder)["moduli"]
+    forms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.sha2("n_name", 256).alias("sha"), F.col("n_name").alias("ente"), F.lit(1).alias("pagine"), F.length("n_name").cast("long").alias("caratteri"), F.lit(False).alias("scansione"))
+    forms.select(first.columns).write.mode("append").parquet(f"{folder}/moduli")
+    out = None
+    for name, rows_ in sorted(archive.opened(spark, folder).items()):
+        own = rows_.agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -44,8 +44,9 @@ def forms_without_places(forms: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def latest(measures: DataFrame, key: str, order: list[str], widths: dict[str, int]) -> DataFrame:
     """The last measure of each key; texts cut to their widths."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    rows = measures.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    others = [c for c in measures.columns if c not in (key, *order)]
+    last = measures.groupBy(key).agg(F.max(F.struct(*order, *others)).alias("_x"))
+    rows = last.select(*[F.col(key) if c == key else F.col(f"_x.{c}") for c in measures.columns])
     return rows.withColumns({c: F.substring(c, 1, n) for c, n in widths.items()})
 
 

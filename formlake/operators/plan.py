@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formlake.operators.projections import valued
+
 
 def confirm_policy(decisions: DataFrame, policy: str = "scrivi") -> DataFrame:
     """By default what waits for a confirmation is written and marked for checking; with `chiedi` it stays open. Users' own decisions do not change."""
@@ -21,6 +23,18 @@ def executed(decisions: DataFrame, facts: DataFrame, removed: DataFrame | None =
     return found.select("id", "state", F.when(status == "written", F.col("value")).alias("value"), status.alias("status"))
 
 
+def executed_typed(decisions: DataFrame, facts: DataFrame, slots: DataFrame, current: DataFrame, removed: DataFrame) -> DataFrame:
+    """id, status, kind, value, reason of a plan's decisions: nothing of a plan made for another document (form, fingerprint against `current`), no removed or unknown place (slots: id, anchor_kind, widget), values by `valued`, checked against what the place takes."""
+    rows = decisions.join(removed.select("id"), "id", "left_anti").join(current.select("form", F.col("fingerprint").alias("_now")), "form", "left")
+    same = F.col("fingerprint").eqNullSafe(F.col("_now"))
+    rows = rows.withColumn("_same", same).drop("_now", "fingerprint").join(slots.withColumn("_slot", F.lit(True)), "id", "left")
+    found = valued(rows.withColumn("anchor_kind", F.coalesce("anchor_kind", F.lit("area"))), facts)
+    stop = F.when(~F.col("_same"), "another document").when(F.col("_slot").isNull(), "unknown slot").when(F.col("state") != "assegna", "open").otherwise(F.col("reason"))
+    kept = stop.isNull()
+    status = F.when(kept, "written").when(stop == "open", "open").otherwise("unusable")
+    return found.select("id", status.alias("status"), F.when(kept, F.col("kind")).alias("kind"), F.when(kept, F.col("value")).alias("value"), F.when(~kept & (stop != "open"), stop).alias("reason"))
+
+
 def answered(decisions: DataFrame, answers: DataFrame) -> DataFrame:
     """Decisions after the users' last answers: confirm, source, yes, no, text, not_applicable, manual. An answer that does not fit changes nothing."""
     # Of answers at one time the greatest holds, so the outcome is the same on every run.
@@ -40,9 +54,11 @@ def questions(decisions: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.select("id", "state", F.col("value").alias("proposal"), (F.col("value").isNotNull() & ~F.col("failed")).alias("confirmable"))
 
 
-def repair_round(failed: DataFrame, pages: int = 3) -> DataFrame:
-    """Failed places that are not the user's own, on the first `pages` pages that have any."""
+def repair_round(failed: DataFrame, pages: int = 3, tried: DataFrame | None = None) -> DataFrame:
+    """Failed places that are not the user's own, on the first `pages` pages that have any. tried: form of the forms that had their one round."""
     rows = failed.filter(F.coalesce("origin", F.lit("")) != "utente")
+    if tried is not None:
+        rows = rows.join(tried.select("form").distinct(), "form", "left_anti")
     return rows.withColumn("_p", F.dense_rank().over(Window.partitionBy("form").orderBy("page"))).filter(F.col("_p") <= pages).drop("_p")
 
 

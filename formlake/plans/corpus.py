@@ -572,10 +572,20 @@ def pj_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Plans
 
 
-@query(f"with {_DECISIONS}, {_FACTS}, c as (select *, case when coalesce(origin, '') <> 'utente' and state = 'da_confermare' then 'assegna' else state end as now from d where not (o_totalprice > 300000)) select id, now as state, case when now <> 'assegna' then 'open' when trim(coalesce(value, '')) = '' then 'unusable' else 'written' end as status, case when now = 'assegna' and trim(coalesce(value, '')) <> '' then value end as value from c left join facts using (key)")
+_EXECUTED = f"""{_VALUED},
+x as (select v.*, o_custkey % 5 <> 0 as same, o_orderstatus <> 'P' or o_orderkey % 2 = 0 as slot, case when o_orderdate < timestamp '1995-01-01' then 'dubbio' else 'assegna' end as state, o_totalprice > 300000 as gone from v join orders on o_orderkey = id),
+y as (select *, case when not same then 'another document' when not slot then 'unknown slot' when state <> 'assegna' then 'open' else reason end as stop from x where not gone)"""
+
+
+@query(_EXECUTED + " select id, case when stop is null then 'written' when stop = 'open' then 'open' else 'unusable' end as status, case when stop is null then coalesce(user_kind, kind0) end as kind, case when stop is null then case when user_kind is not null then user_value else value0 end end as value, case when stop <> 'open' then stop end as reason from y")
 def pl_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _decisions(spark, sf_dir)
-    return plan.executed(plan.confirm_policy(d), _facts(spark, sf_dir), d.filter("o_totalprice > 300000")).select("id", "state", "status", "value")
+    """A plan carried out: of this document's version only, typed values, nothing removed or unknown."""
+    o = table(spark, sf_dir, "orders")
+    version = F.concat(F.lit("v"), F.col("o_custkey").cast("string"))
+    d = _choices(spark, sf_dir).drop("anchor_kind", "widget").join(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("form"), F.when(F.col("o_custkey") % 5 == 0, "old").otherwise(version).alias("fingerprint"), F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"), "dubbio").otherwise("assegna").alias("state")), "id")
+    slots = _choices(spark, sf_dir).join(o.filter("o_orderstatus <> 'P' or o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id")), "id", "left_semi").select("id", "anchor_kind", "widget")
+    current = o.select(F.col("o_custkey").alias("form"), version.alias("fingerprint")).distinct()
+    return plan.executed_typed(d, _sources(spark, sf_dir), slots, current, o.filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("id")))
 
 
 @query(f"with {_DECISIONS} select id, state from d where o_totalprice <= 300000")
@@ -606,9 +616,11 @@ def pl_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.answered(_decisions(spark, sf_dir), answers)
 
 
-@query(f"with {_DECISIONS}, f as (select *, dense_rank() over (partition by form order by page) as p from d where failed and coalesce(origin, '') <> 'utente') select id, form, page from f where p <= 3")
+@query(f"with {_DECISIONS}, f as (select *, dense_rank() over (partition by form order by page) as p from d where failed and coalesce(origin, '') <> 'utente' and form not in (select c_custkey from customer where c_acctbal < 0)) select id, form, page from f where p <= 3")
 def pl_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.repair_round(_decisions(spark, sf_dir).filter("failed")).select("id", "form", "page")
+    """Failed places on three pages at most, of forms that had no round yet."""
+    tried = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("form"))
+    return plan.repair_round(_decisions(spark, sf_dir).filter("failed"), tried=tried).select("id", "form", "page")
 
 
 @query("select l_suppkey as fingerprint, l_partkey as id, action from (select *, case when l_returnflag = 'R' then 'tolto' else 'confermato' end as action, row_number() over (partition by l_suppkey, l_partkey order by l_shipdate desc, l_returnflag = 'R' desc) as r from lineitem) where r = 1")

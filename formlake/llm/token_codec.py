@@ -429,6 +429,10 @@ class Codec:
         for us in found:
             yield list(map(known.__getitem__, us))
 
+    def rest(self) -> None:
+        """Gives up the older half of the memory: a worker that waits, or goes on with another job, holds no more than MEMORY_BYTES."""
+        self.before = {}
+
     def ids(self, text: str) -> list[int]:
         return [int(i) for x in next(self.encode([text])) for i in x[0].split(",")] if text else []
 
@@ -470,6 +474,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = [[int(i) for x in got if x[1] for i in x[0].split(",")] for got in codec.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        codec.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -505,6 +510,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_sha.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

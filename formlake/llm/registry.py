@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat_format, decontaminate, license_scan, line_quality, passage_dedup, quality_rules, secret_scan, simhash_dedup, token_codec, token_count
+from formlake.llm import chat_format, decontaminate, license_scan, line_quality, passage_dedup, periodic_runs, quality_rules, secret_scan, simhash_dedup, token_codec, token_count, token_output, whitening
+from formlake.llm.durable import stage_folder
 from formlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +186,76 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every license notice of every document, with coverage and spans."""
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("coverage", F.round("coverage", 6))
+
+
+#: What separates words, as Spark and DuckDB take it.
+_GAP = r"[\x20\x09-\x0D]+"
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document by crc32 repeats its words from a place on with a period (both from the crc32)."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), _GAP), lambda x: x != "")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g, n = F.floor(h / 10), F.size("words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    # Slices instead of a place-by-place lookup: no function of a word would see the whole array.
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    text = F.array_join(F.concat(F.slice("words", 1, a), again), " ")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    return chosen.select("doc_id", F.when(F.size("words") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of them with periods made as the contract says, and what is left without repetitions."""
+    return periodic_runs.summaries(_with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _op11_sql(levels: int = 14) -> str:
+    """levels: factors up to 2 ** (levels - 1) words, enough for periods of documents of 20,000 words."""
+    crc = "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, y: case when y >= 0 then xor(x, y) else xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end) end), 4294967295)"
+    level = lambda j, source: f"""
+f{j} as materialized (
+  select doc_id, i, nm, nx from (
+    select doc_id, i, dense_rank() over (order by doc_id, x, y) as nm, lead(i) over (partition by doc_id, x, y order by i) as nx, count(*) over (partition by doc_id, x, y) as c from ({source}))
+  where c > 1),"""
+    factors = level(0, "select doc_id, i, word as x, 0 as y from words") + "".join(level(j, f"select l.doc_id, l.i, l.nm as x, r.nm as y from f{j - 1} l join f{j - 1} r on r.doc_id = l.doc_id and r.i = l.i + {2 ** (j - 1)}") for j in range(1, levels))
+    steps = " union all ".join(f"select doc_id, i, nx - i as d, {2**j} as size from f{j} where nx - i <= {2**j} and 2 * (nx - i) > {2**j}" for j in range(levels))
+    return f"""
+with h as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_GAP}'), lambda x: x <> '') as w, {crc} as h from documents),
+ap as (select *, len(w) as n, (h // 10) % nullif(len(w), 0) as a, h // 10 as g from h),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from ap),
+texts as (
+  select doc_id, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: w[(case when i >= a then a + (i - a) % p else i end) + 1]) else w end as w from p),
+words as materialized (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as word from texts),
+{factors}
+steps as ({steps}),
+isles as (select *, i - row_number() over (partition by doc_id, size, d order by i) as g from steps),
+runs as materialized (
+  select * from (select doc_id, min(i) as s, max(i) - min(i) + d + size as l, d as q from isles group by doc_id, size, d, g) where l >= greatest(24, 3 * q)),
+best as (select * from (select *, row_number() over (partition by doc_id order by l / q desc, s, q) as k from runs) where k = 1),
+told as (select doc_id, count(*) as n, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as t from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t from words anti join gone using (doc_id, i) group by doc_id)
+select doc_id, coalesce(told.n, 0)::bigint as n_runs, s::bigint as start, l::bigint as length, q::bigint as period, (1000 * l // q)::bigint as exponent_milli,
+       sha256(coalesce(told.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
+from texts left join told using (doc_id) left join best using (doc_id) left join kept using (doc_id)
+"""
+
+
+ORACLE["op11_periodic_runs"] = _op11_sql()
+
+
+@_query
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text written as coded blocks, and what the files hold of each document."""
+    folder = f"{stage_folder(spark)}/ids"
+    token_output.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return token_output.checksums(spark, folder)
+
+
+@_query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite vector on the four leading components of all distinct ones."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -31,7 +31,7 @@ def test_query_runs(spark, name):
     n = df.count()
     # Queries of one row a document have one for each; the others find something in these tables.
     docs = spark.read.parquet(f"{DATA}/documents.parquet").count()
-    assert all("(" not in c for c in df.columns) and (n == docs if name.split("_")[0] in ("op1", "op2", "op3", "op4") else n > 0)
+    assert all("(" not in c for c in df.columns) and (n == docs if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op12") else n > 0)
 
 
 def test_held_out_accuracy(spark):

@@ -16,7 +16,7 @@ import numpy as np
 #: Ids of a block, at most: symbols fit in 12 bits.
 BLOCK_IDS = 4096
 #: Blocks coded side by side, at most.
-LANES = 2048
+LANES = 1024
 #: Places at which order 0 is brought up to date; later ones follow at this distance.
 _EARLY, _EVERY = (32, 64, 128, 256), 512
 #: Cells of the order-2 table of a block.

@@ -107,6 +107,18 @@ class LibraryIds:
         return np.insert(got, of_text, END_ID), np.diff(of_text, prepend=0) + 1
 
 
+#: The library of a worker that is used again, by the tokenizer file's checksum and size: what it remembers serves the next task too.
+_libraries: dict[tuple[int, int], LibraryIds] = {}
+
+
+def _library(blob: bytes) -> LibraryIds:
+    key = (zlib.crc32(blob), len(blob))
+    if key not in _libraries:
+        _libraries.clear()
+        _libraries[key] = LibraryIds(blob)
+    return _libraries[key]
+
+
 def _leb(numbers: np.ndarray) -> bytes:
     """Numbers below 2**35 in groups of seven bits, the lowest first; the top bit says that more follow."""
     groups = (numbers[:, None] >> np.arange(0, 35, 7)) & 127
@@ -132,7 +144,8 @@ def pack_blocks(ids: np.ndarray, segments: np.ndarray) -> list[bytes]:
     """Blocks of a stream of ids whose segments (doc_id, flags, n) say where documents begin and end; both flags of a segment that a block's border cuts are set anew."""
     cuts = list(range(0, len(ids), BLOCK_IDS)) + [len(ids)]
     parts = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    known = [np.unique(p, return_inverse=True) for p in parts]
+    names: list[bytes] = [b""] * len(parts)
+    distinct = [0] * len(parts)
     order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
     codes: list[bytes] = [b""] * len(parts)
     for k in range(0, len(order), LANES):
@@ -140,8 +153,10 @@ def pack_blocks(ids: np.ndarray, segments: np.ndarray) -> list[bytes]:
         sizes = np.array([len(parts[i]) for i in own], np.int64)
         symbols = np.zeros((int(sizes.max()), len(own)), np.int16)
         for j, i in enumerate(own):
-            symbols[: sizes[j], j] = known[i][1]
-        for i, code in zip(own, encode_blocks(symbols, sizes, np.array([len(known[i][0]) for i in own])), strict=True):
+            known, numbers = np.unique(parts[i], return_inverse=True)
+            symbols[: sizes[j], j] = numbers
+            names[i], distinct[i] = _leb(np.diff(known.astype(np.int64), prepend=0)), len(known)
+        for i, code in zip(own, encode_blocks(symbols, sizes, np.array([distinct[i] for i in own])), strict=True):
             codes[i] = code
     # The segments of each block: those of documents, cut at the borders.
     ends = np.cumsum(segments["n"].astype(np.int64))
@@ -152,8 +167,7 @@ def pack_blocks(ids: np.ndarray, segments: np.ndarray) -> list[bytes]:
         some = segments[own].copy()
         some["n"] = np.minimum(ends[own], b) - np.maximum(begins[own], a)
         some["flags"] &= ~(np.where(begins[own] < a, _BEGINS, 0) | np.where(ends[own] > b, _ENDS, 0)).astype(np.uint8)
-        names = _leb(np.diff(known[i][0].astype(np.int64), prepend=0))
-        body = MAGIC + _HEAD.pack(b - a, len(some), len(known[i][0]), len(names), _crc(parts[i])) + some.tobytes() + names + codes[i]
+        body = MAGIC + _HEAD.pack(b - a, len(some), distinct[i], len(names[i]), _crc(parts[i])) + some.tobytes() + names[i] + codes[i]
         blocks.append(body + struct.pack("<I", zlib.crc32(body)))
     return blocks
 
@@ -191,7 +205,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
     dealt = texts.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, part, first, document = LibraryIds(sent.value), TaskContext.get().partitionId(), 0, -1
+        library, part, first, document = _library(sent.value), TaskContext.get().partitionId(), 0, -1
         ids, segments, held = [], [], 0
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:

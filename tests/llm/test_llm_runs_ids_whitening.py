@@ -105,7 +105,7 @@ def test_token_output_equals_library(spark, tmp_path):
     assert token_output.checksums(spark, f"{tmp_path}/none").count() == 0
 
 
-@pytest.mark.parametrize("spectrum", [[5.0], [3, 1], [9, 7, 7, 7, 1, 0], [4] * 8, [1, 1e-9] + [0] * 8, [100, 50, 25, 12] + [1] * 30, list(np.linspace(10, 1, 40)), list(1 + 1e-6 * np.arange(20))])
+@pytest.mark.parametrize("spectrum", [[5.0], [3, 1], [9, 7, 7, 7, 1, 0], [4] * 8, [1, 1e-9] + [0] * 8, [100, 50, 25, 12] + [1] * 30, list(np.linspace(10, 1, 40)), list(1 + 1e-6 * np.arange(20)), list(1 + 5e-3 * np.random.default_rng(1).random(64)), list(1 + 1e-9 * np.random.default_rng(1).random(64))])
 def test_contour_equals_dense(spectrum):
     q, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((len(spectrum),) * 2))
     a = (q * np.array(spectrum, float)) @ q.T

@@ -278,20 +278,40 @@ def open_pairs(members: DataFrame, reps: DataFrame, found: DataFrame, similarity
     # A place of many rows is compared in blocks, two at a time, so that no task holds all its rows.
     blocks = F.ceil(F.col("rows") / block_rows)
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    buckets = rows.groupBy("place", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("rows")).filter(F.size("rows") > 1).select("rows")
+    order = ["place", "i", "j"]
+    rows = rows.select("place", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rep", "component", "n", "sketch").repartition(*order).sortWithinPartitions(*order)
+
+    def compared(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        """The pairs of buckets that begin at `starts`; the last start is the end."""
+        rep, component, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n"))
+        pairs = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(starts, starts[1:], strict=False):
+            if b - a > 1:
+                own = slice(a, b)
+                found_ = _bucket_pairs(component[own], n[own], rows.column("sketch").slice(a, b - a).to_pylist(), similarity)
+                pairs += [np.sort(rep[own][p], axis=1) for p in (_forest(found_, component[own]) if forest else found_)]
+        out = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come bucket after bucket; no more is held than a batch and the bucket that goes on in the next.
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            flat = batch.column("rows").flatten()
-            rep, component, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n"))
-            sketch = flat.field("sketch").to_pylist()
-            sizes = batch.column("rows").value_lengths().to_numpy(zero_copy_only=False)
-            pairs = [np.zeros((0, 2), np.int64)]
-            for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
-                own = slice(end - size, end)
-                found_ = _bucket_pairs(component[own], n[own], sketch[own], similarity)
-                pairs += [np.sort(rep[own][p], axis=1) for p in (_forest(found_, component[own]) if forest else found_)]
-            out = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-    return likely_pairs(buckets.mapInArrow(run, "a long, b long").filter("a <> b").distinct(), reps, similarity)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in order])
+            starts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in order):
+                starts = [0, *starts]
+            if not starts:
+                held.append(batch)
+                continue
+            before = pa.concat_batches([*held, batch.slice(0, starts[0])])
+            yield compared(before, [0, before.num_rows])
+            yield compared(batch, starts)
+            held = [batch.slice(starts[-1])]
+        if held:
+            rest = pa.concat_batches(held)
+            yield compared(rest, [0, rest.num_rows])
+
+    return likely_pairs(rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct(), reps, similarity)

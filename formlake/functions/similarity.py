@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+#: Characters of a run that is compared as it is (longer ones by 128 bits), and of a text's part at least.
+PLAIN, PART = 64, 64
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The runs of `size` characters of a text. It is cut into parts first, as finding a character takes the longer the further on it stands."""
+    step = F.greatest(F.lit(PART), size)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - size) / step).cast("int")), lambda k: F.substr(text, k * step + 1, step + size - 1))
+
+    def runs(part: Column) -> Column:
+        cut = lambda i: F.substr(part, i, size)
+        return F.transform(F.sequence(F.lit(1), F.length(part) - size + 1), lambda i: F.when(size <= PLAIN, cut(i)).otherwise(F.md5(cut(i))))
+
+    return F.flatten(F.transform(parts, runs))
+
+
+def common_run(a: Column, b: Column) -> Column:
+    """Characters of the longest run that two texts share; null where one is null.
+
+    A shared run of some length holds one of each smaller length. So lengths are doubled until the texts' sets of runs of that length no longer
+    meet, and then the gap is halved: work grows with the texts' lengths times the result, not with their product.
+    """
+    shorter = F.least(F.length(a), F.length(b))
+    state = lambda low, high, bound: F.struct(low.alias("low"), high.alias("high"), bound.alias("bound"))
+    yes, no = F.lit(True), F.lit(False)
+
+    def searched(s: Column, _: Column) -> Column:
+        middle = F.when(s["bound"], F.floor((s["low"] + s["high"] + 1) / 2).cast("int")).otherwise(F.least(s["high"], F.greatest(2 * s["low"], F.lit(1))))
+        shared = F.arrays_overlap(_grams(a, middle), _grams(b, middle))
+        return F.when(s["low"] >= s["high"], s).when(shared, state(middle, s["high"], s["bound"])).otherwise(state(s["low"], middle - 1, yes))
 
-@F.pandas_udf(DoubleType())
-def common_run_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common run over the shorter text; 0 where either is empty."""
+    # Steps that double and then halve the shorter text.
+    steps = F.sequence(F.lit(0), 2 * F.ceil(F.log2(shorter + 1)).cast("int") + 1)
+    within = F.contains(a, b) | F.contains(b, a)
+    return F.when(within, shorter).when(a.isNotNull() & b.isNotNull(), F.aggregate(steps, state(F.lit(0), shorter, no), searched)["low"])
 
-    def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        return SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size / min(len(x), len(y))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def common_run_ratio(a: Column, b: Column) -> Column:
+    """Length of the longest common run over the shorter text; 0 where either is empty or null."""
+    shorter = F.least(F.length(a), F.length(b))
+    return F.coalesce(F.when(shorter > 0, common_run(a, b) / shorter), F.lit(0.0))

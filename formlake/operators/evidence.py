@@ -58,7 +58,7 @@ def rises(fields: DataFrame, ink: DataFrame, most: float = 40.0, margin: float =
 
 def best_occurrences(hits: DataFrame, context: str = "context", wanted: str = "wanted") -> DataFrame:
     """id, page: of a value's occurrences the page whose context is most like the wanted one, if like enough; of equals the first page."""
-    scored = hits.withColumn("_r", common_run_ratio(context, wanted)).filter(F.col("_r") >= LIKE)
+    scored = hits.withColumn("_r", common_run_ratio(F.col(context), F.col(wanted))).filter(F.col("_r") >= LIKE)
     return scored.groupBy("id").agg(F.max_by("page", F.struct("_r", -F.col("page"))).alias("page"))
 
 

@@ -87,15 +87,20 @@ def grid_cells(bars: DataFrame, uprights: DataFrame, margin: float = 0.6, wide:
     a bar of each level covers the span between them, and no bar of a level between covers it (a cell may span rows).
     Uprights elsewhere on the page do not divide it. Levels meet through the uprights that reach both, never as all pairs of a page.
     """
-    bar = bars.select("page", "y", F.col("from").alias("bf"), F.col("to").alias("bt"))
+    # Bars stand in the cells of the grid that they cross, a little wider, and are asked from one cell: that of an upright's place.
+    bar = bars.select("page", "y", F.col("from").alias("bf"), F.col("to").alias("bt")).distinct()
+    row = F.floor(F.col("y") / CELL)
+    laid = bar.select("*", row.alias("_cy"), F.explode(_cells(F.col("bf") - margin, F.col("bt") + margin)).alias("_cx"))
     reach = lambda b0, b1, at: (b0 <= at + margin) & (b1 >= at - margin)
     # The levels that an upright stands on.
-    on = uprights.select("page", "x", "from", "to").distinct().join(bar, "page").filter((F.col("y") >= F.col("from") - margin) & (F.col("y") <= F.col("to") + margin) & reach(F.col("bf"), F.col("bt"), F.col("x")))
+    standing = uprights.select("page", "x", "from", "to").distinct().withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.explode(_cells(F.col("from") - margin, F.col("to") + margin))})
+    on = standing.join(laid, ["page", "_cx", "_cy"]).filter((F.col("y") >= F.col("from") - margin) & (F.col("y") <= F.col("to") + margin) & reach(F.col("bf"), F.col("bt"), F.col("x")))
     on = on.groupBy("page", "x", "from", "to").agg(F.array_sort(F.collect_set("y")).alias("ys"))
     tops = on.select("page", "x", F.explode(F.transform("ys", lambda t: F.struct(t.alias("y0"), F.filter("ys", lambda b: b - t >= high).alias("lows")))).alias("p")).select("page", "x", "p.y0", F.explode("p.lows").alias("y1")).distinct()
     sides = tops.withColumn("x1", F.lead("x").over(Window.partitionBy("page", "y0", "y1").orderBy("x"))).filter(F.col("x1") - F.col("x") >= wide).withColumnRenamed("x", "x0")
     covers = (F.col("bf") <= F.col("x0") + margin) & (F.col("bt") >= F.col("x1") - margin)
-    near = sides.join(bar, "page").filter(covers & F.col("y").between(F.col("y0"), F.col("y1")))
+    asked = sides.withColumns({"_cx": F.floor(F.col("x0") / CELL), "_cy": F.explode(_cells(F.col("y0"), F.col("y1")))})
+    near = asked.join(laid, ["page", "_cx", "_cy"]).filter(covers & F.col("y").between(F.col("y0"), F.col("y1")))
     found = near.groupBy("page", "x0", "y0", "x1", "y1").agg(F.max((F.col("y") == F.col("y0")).cast("int")).alias("top"), F.max((F.col("y") == F.col("y1")).cast("int")).alias("low"), F.max(((F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1"))).cast("int")).alias("inner"))
     return found.filter("top = 1 and low = 1 and inner = 0").select("page", "x0", "y0", "x1", "y1")
 
@@ -168,24 +173,6 @@ def anchor_id(page: Column, kind: Column, x: Column, y: Column) -> Column:
     return F.format_string("p%d.%s.%03d-%03d", page, kind, F.bround(x, 0).cast("int"), F.bround(y, 0).cast("int"))
 
 
-def claim(rects: DataFrame, share: float = 0.35) -> DataFrame:
-    """Places in order of claim (page, rank, x0..y1): each is free unless an accepted one covers more than `share` of it. Order decides, so a page is one group."""
-    schema = rects.schema
-
-    def run(page):
-        taken: list = []
-        keep = []
-        for r in page.sort_values("rank").itertuples():
-            area = max((r.x1 - r.x0) * (r.y1 - r.y0), 1e-9)
-            hit = any(max(0.0, min(r.x1, t.x1) - max(r.x0, t.x0)) * max(0.0, min(r.y1, t.y1) - max(r.y0, t.y0)) > share * area for t in taken)
-            keep.append(not hit)
-            if not hit:
-                taken.append(r)
-        return page.sort_values("rank")[keep]
-
-    return rects.groupBy("page").applyInPandas(run, schema)
-
-
 def spill(cells: DataFrame) -> DataFrame:
     """Ink gained around a written place (id, gain, neighbour_gain of each side of its ring), neighbours' own gains taken off."""
     return cells.groupBy("id").agg(F.sum(F.greatest(F.col("gain") - F.col("neighbour_gain"), F.lit(0))).alias("spill"))
@@ -201,24 +188,6 @@ def completed_grid(bars: DataFrame, uprights: DataFrame, least: int = 3, share:
     return edges.withColumn("_x", F.explode(F.array(F.bround("x") - 1, F.bround("x"), F.bround("x") + 1))).join(near, ["page", "_x"], "left").groupBy("page", "x", "from", "to").agg(F.min(F.abs(F.col("ux") - F.col("x"))).alias("d")).filter(F.coalesce(F.col("d") > margin, F.lit(True))).select("page", "x", "from", "to")
 
 
-def empty_areas(rects: DataFrame, wide: float = 18.0, high: float = 6.0) -> DataFrame:
-    """Blank boxes large enough, the largest first, none covered by half by an accepted one."""
-    fit = rects.filter((F.col("x1") - F.col("x0") >= wide) & (F.col("y1") - F.col("y0") >= high) & ~F.col("marked"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    ranked = fit.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(area.desc(), "id")).cast("long"))
-    return claim(ranked, 0.5)
-
-
-#: The order in which kinds of places claim space.
-CASCADE = ("widget", "celle", "casella", "riempimento", "tratto", "area")
-
-
-def cascade(candidates: DataFrame) -> DataFrame:
-    """Candidates of all kinds, each free of what kinds before it, and earlier ones of its own, have claimed."""
-    order = F.array_position(F.array(*map(F.lit, CASCADE)), F.col("kind"))
-    return claim(candidates.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(order, "y0", "x0", "x1", "y1")).cast("long")))
-
-
 def ink(pixels: DataFrame, dark: int = 160) -> DataFrame:
     """Box and number of the dark pixels of each clip (clip, x, y, value)."""
     return pixels.filter(F.col("value") < dark).groupBy("clip").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
@@ -322,3 +291,23 @@ def write_problem(kind: Column, value: Column, room: Column, ems: Column) -> Col
         .when(kind.isin("riempimento", "tratto") & F.contains(value, F.lit("\n")), "more than a line")
         .when((kind == "widget") & (room > 0) & (F.length(value) > room), "beyond the field's limit")
     )
+
+
+def text_lines(glyphs: DataFrame, tolerance: float = 3.0, gap: float = 0.3) -> DataFrame:
+    """page, line (from 1, from above), text, base, size, x0, x1, words of glyphs (page, x, y, size, text; without blanks).
+
+    Baselines are put together along y: a line ends where the next glyph's base is more than `tolerance` lower. Within a line glyphs stand by x, and
+    a word ends where the next glyph begins more than `gap` of the size behind a glyph's advance (half its size). base and size are the
+    medians of the line's glyphs.
+    """
+    from formlake.operators.sequences import gap_cells
+
+    cells = gap_cells(glyphs, ["page"], "y", tolerance)
+    rows = glyphs.withColumn("cell", F.floor(F.col("y") / tolerance)).join(cells, ["page", "cell"])
+    w = Window.partitionBy("page", "island").orderBy("x", "y", "text")
+    behind = F.col("x") - (F.lag("x").over(w) + F.lag("size").over(w) / 2)
+    rows = rows.withColumn("_new", F.coalesce(behind > gap * F.col("size"), F.lit(False)))
+    shown = F.array_sort(F.collect_list(F.struct("x", "y", "text", "_new")))
+    found = rows.groupBy("page", F.col("island").alias("line")).agg(shown.alias("g"), F.median("y").alias("base"), F.median("size").alias("size"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("size") / 2).alias("x1"), (1 + F.count_if("_new")).alias("words"))
+    text = F.array_join(F.transform("g", lambda z: F.concat(F.when(z["_new"], F.lit(" ")).otherwise(F.lit("")), z["text"])), "")
+    return found.select("page", "line", text.alias("text"), "base", "size", "x0", "x1", "words")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Tolerances in a range of values.
+#: Cells in a range of values.
 RANGE = 4096
 
 
@@ -15,17 +15,12 @@ def _islands(rows: DataFrame, parts: list[str], order: list[str], new: Column) -
     return rows.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def gap_groups(rows: DataFrame, parts: list[str], value: str, tolerance: float = 0.8) -> DataFrame:
-    """Groups of values without a gap above the tolerance: their number, mean and ends.
-
-    Values are divided into ranges of RANGE tolerances, so no window holds all of a part; groups that go on in the next range are
-    joined over the ranges' ends, one row for each range.
-    """
-    marked = rows.withColumn("_range", F.floor(F.col(value) / (RANGE * tolerance)))
-    w = Window.partitionBy(*parts, "_range").orderBy(value)
-    marked = marked.withColumn("_gap", F.col(value) - F.lag(value).over(w))
-    own = _islands(marked, [*parts, "_range"], [value], F.coalesce(F.col("_gap") > tolerance, F.lit(True)))
-    own = own.groupBy(*parts, "_range", "island").agg(F.count("*").alias("n"), F.sum(value).alias("_sum"), F.min(value).alias("low"), F.max(value).alias("high"))
+def _cell_islands(rows: DataFrame, parts: list[str], value: str, tolerance: float) -> DataFrame:
+    """Cells of `tolerance` width (parts, cell, n, _sum, low, high) with the number of their island. Values of one cell are always together, so windows see one row for each cell; cells are divided into ranges, and ranges are joined over their ends."""
+    cells = rows.groupBy(*parts, F.floor(F.col(value) / tolerance).alias("cell")).agg(F.count("*").alias("n"), F.sum(value).alias("_sum"), F.min(value).alias("low"), F.max(value).alias("high"))
+    marked = cells.withColumn("_range", F.floor(F.col("cell") / RANGE))
+    w = Window.partitionBy(*parts, "_range").orderBy("cell")
+    own = _islands(marked, [*parts, "_range"], ["cell"], F.coalesce(F.col("low") - F.lag("high").over(w) > tolerance, F.lit(True)))
     ends = own.groupBy(*parts, "_range").agg(F.max("island").alias("_islands"), F.min("low").alias("_low"), F.max("high").alias("_high"))
     along = Window.partitionBy(*parts).orderBy("_range")
     ends = ends.withColumn("_joined", F.coalesce(F.col("_low") - F.lag("_high").over(along) <= tolerance, F.lit(False)).cast("int"))
@@ -34,8 +29,18 @@ def gap_groups(rows: DataFrame, parts: list[str], value: str, tolerance: float =
     on = same[0]
     for c in same[1:]:
         on = on & c
-    joined = own.alias("a").join(ends.alias("b"), on).select("a.*", (F.col("a.island") + F.col("b._before")).alias("_island"))
-    return joined.groupBy(*parts, F.col("_island").alias("island")).agg(F.sum("n").alias("n"), (F.sum("_sum") / F.sum("n")).alias("middle"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return own.alias("a").join(ends.alias("b"), on).select(*(f"a.{c}" for c in (*parts, "cell", "n", "_sum", "low", "high")), (F.col("a.island") + F.col("b._before")).alias("island"))
+
+
+def gap_groups(rows: DataFrame, parts: list[str], value: str, tolerance: float = 0.8) -> DataFrame:
+    """Groups of values without a gap above the tolerance: their number, mean and ends."""
+    cells = _cell_islands(rows, parts, value, tolerance)
+    return cells.groupBy(*parts, "island").agg(F.sum("n").alias("n"), (F.sum("_sum") / F.sum("n")).alias("middle"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def gap_cells(rows: DataFrame, parts: list[str], value: str, tolerance: float) -> DataFrame:
+    """parts, cell (floor of value over tolerance), island: the group of each cell's values."""
+    return _cell_islands(rows, parts, value, tolerance).select(*parts, "cell", "island")
 
 
 def merged_intervals(rows: DataFrame, parts: list[str], start: str, end: str, slack: float = 1.0) -> DataFrame:

@@ -97,11 +97,6 @@ def io_profile_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.seeded(rows(spark, "('k1', 'old') as t(k, v)"), rows(spark, "('k1', 'new'), ('k2', 'new') as t(k, v)"), "k")
 
 
-@query("select * from (values ('a.json', 'profilo.ragione', 'Rossi'), ('a.json', 'profilo.piva', ''), ('a.json', 'profilo.sedi.0', 'Roma'), ('a.json', 'profilo.sedi.1', 'Pisa'), ('a.json', 'profilo.cap', '00100'), ('a.json', 'prova', 'false'), ('b.json', 'azienda.ragione', 'Verdi'), ('b.json', 'prova', 'true'), ('c.json', 'ragione', 'Bianchi'), ('c.json', 'n', '5'), ('d.json', 'a.b.c.d.e.0.f', 'x'), ('d.json', 'a.b.t', 'x{y')) t(file, path, value)")
-def fm_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.flattened(rows(spark, _PROFILE + ", ('d.json', '" + '{"a": {"b": {"c": {"d": {"e": [{"f": "x"}]}}, "t": "x{y"}}}' + "') as t(file, raw)")).select("file", "path", "value")
-
-
 _CASES = ", ".join(f"('{k}', '" + '{"lavoro_corrente": ' + ('{"a": 1}' if k % 3 else '{ }') + ', "scenari": {"gara_' + str(k) + '": {"b": 2}, "x.y": {"c": 3}, "vuoto": {}, "testo": "t"' + (', "altra_gara": {"d": {}}' if k % 2 else '') + "}}')" for k in range(12))
 
 
@@ -374,11 +369,6 @@ def wn_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", geometry.capacity(F.col("kind"), F.col("many"), F.col("w")).cast("long").alias("n"))
 
 
-@query("select * from (values (1, 1), (1, 3)) t(page, rank)")
-def jn_overlap_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.claim(rows(spark, "(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 5.0, 0.0, 12.0, 10.0), (1, 3, 9.0, 0.0, 29.0, 10.0) as t(page, rank, x0, y0, x1, y1)")).select("page", "rank")
-
-
 _BOXES = "(1, 0.0, 0.0, 4.0, 2.0), (1, 4.0, 0.0, 9.5, 2.0), (2, 1.5, 1.0, 30.0, 12.0), (3, 0.0, 0.0, 0.0, 5.0)"
 
 
@@ -463,30 +453,11 @@ def wn_grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "x", F.col("from").alias("top"), F.col("to").alias("low"))
 
 
-@query("select * from (values (1, 2), (1, 3)) t(page, id)")
-def wn_empty_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = "(1, 1, 0.0, 0.0, 30.0, 10.0, false), (1, 2, 0.0, 0.0, 50.0, 10.0, false), (1, 3, 60.0, 0.0, 90.0, 10.0, false), (1, 4, 0.0, 50.0, 90.0, 90.0, true), (1, 5, 0.0, 99.0, 9.0, 100.0, false) as t(page, id, x0, y0, x1, y1, marked)"
-    return geometry.empty_areas(rows(spark, boxes)).select("page", "id")
-
-
-@query("select * from (values (1, 'celle'), (1, 'area')) t(page, kind)")
-def wn_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = "(1, 'area', 0.0, 0.0, 20.0, 10.0), (1, 'celle', 0.0, 0.0, 20.0, 10.0), (1, 'tratto', 1.0, 1.0, 19.0, 9.0), (1, 'area', 50.0, 0.0, 70.0, 10.0) as t(page, kind, x0, y0, x1, y1)"
-    return geometry.cascade(rows(spark, c)).select("page", "kind")
-
-
 @query("select clip, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as n from (values (1, 3, 4, 10), (1, 5, 9, 159), (1, 0, 0, 255), (2, 1, 1, 160)) t(clip, x, y, value) where value < 160 group by clip")
 def io_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.ink(rows(spark, "(1, 3, 4, 10), (1, 5, 9, 159), (1, 0, 0, 255), (2, 1, 1, 160) as t(clip, x, y, value)"))
 
 
-@query("select * from (values (1, 1, 'ab'), (1, 2, 'c')) t(page, line, text)")
-def io_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of text from measured glyphs."""
-    g = rows(spark, "(1, 1, 5.0, 'b'), (1, 1, 1.0, 'a'), (1, 2, 0.0, 'c') as t(page, line, x, glyph)")
-    return g.groupBy("page", "line").agg(F.array_sort(F.collect_list(F.struct("x", "glyph"))).alias("p")).select("page", "line", F.array_join(F.transform("p", lambda z: z.glyph), "").alias("text"))
-
-
 @query("select * from (values (1, 10.0::double), (2, 8.0::double), (3, null)) t(id, size)")
 def fm_text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rows(spark, "(1, 'iii', 20.0), (2, 'mmmm', 32.0), (3, 'mmmm', 2.0) as t(id, s, room)")
@@ -494,19 +465,6 @@ def fm_text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", geometry.fitting_size(F.col("s"), widths, F.col("room")).alias("size"))
 
 
-@query("select * from (values (1, 1.0::double), (2, 0.5::double), (3, 0.0::double)) t(id, ratio)")
-def sc_lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from formlake.functions.similarity import common_run_ratio
-
-    return rows(spark, "(1, 'Roma', 'via Roma 1'), (2, 'abcd', 'abxx'), (3, '', 'x') as t(id, a, b)").select("id", common_run_ratio("a", "b").alias("ratio"))
-
-
-@query("select * from (values (1, 2), (3, 2)) t(id, page)")
-def jn_best_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page whose context is nearest to a value's own, if near enough."""
-    return evidence.best_occurrences(rows(spark, "(1, 1, 'firma del cliente', 'nome e cognome'), (1, 2, 'nome e cogn.', 'nome e cognome'), (2, 1, 'xyz', 'altro'), (3, 4, 'data di nascita', 'data di nascita'), (3, 2, 'data di nascita', 'data di nascita') as t(id, page, context, wanted)"))
-
-
 _WRITES = "case l_linenumber when 1 then 'celle' when 2 then 'casella' when 3 then 'riempimento' when 4 then 'tratto' when 5 then 'area' else 'widget' end"
 
 
@@ -627,12 +585,6 @@ def io_docx_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.word_paragraphs(_saved(spark)).select("n", "text")
 
 
-@query(f"select 'a.docx' as path, (count(*) filter (n % 2 = 0 and length(text) >= 4) + count(*) filter (contains(text, '____')))::int as written, 0 as failed from {_PARAGRAPHS_SQL}")
-def wr_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each paragraph is written by itself, so one that fails is named and takes no other with it."""
-    return _saved(spark).select("path", "written", F.size("failed").alias("failed"))
-
-
 @query("with b as (select *, dense_rank() over (partition by o_custkey order by month(o_orderdate)) as p from orders) select o_orderkey as id, s as state, k as key from (select *, case when o_totalprice > 200000 then 'dubbio' else o_orderstatus end as s, case when o_totalprice < 50000 then null else o_orderpriority end as k from b) where p <= 6 and o_orderkey % 3 = 0 and (s is distinct from o_orderstatus or k is distinct from o_orderpriority)")
 def pl_visual_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions that a reviewer of at most six pages of each form changed."""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Where a profile's data may stand, the first that is there wins.
 SECTIONS = ("profilo", "anagrafica", "azienda", "impresa", "dati")
@@ -36,21 +41,42 @@ def with_path(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(changes.select(*rows.columns))
 
 
+def _leaves(text: str | None) -> list[tuple[str, str]]:
+    """Paths and texts of a JSON value's scalars, in order; numbers as they are written. Nulls have none, nor has a text that is no JSON."""
+    try:
+        value = json.loads(text or "null", parse_int=str, parse_float=str, parse_constant=str, object_pairs_hook=lambda pairs: pairs)
+    except (ValueError, RecursionError):
+        return []
+    out, todo = [], [("", value, False)]
+    while todo:
+        path, node, pair = todo.pop()
+        if isinstance(node, list):
+            # An object came as a list of tuples; names within names are joined by dots, places of a list are numbers.
+            items = node if node and isinstance(node[0], tuple) else [(str(k), x) for k, x in enumerate(node)]
+            todo += [(f"{path}.{k}" if pair else k, x, True) for k, x in reversed(items)]
+        elif node is not None and pair:
+            out.append((path, str(node).lower() if isinstance(node, bool) else node))
+    return out
+
+
 def flattened(values: DataFrame, raw: str = "raw") -> DataFrame:
-    """The input's other columns, path, value of every scalar below an object or list, list places included. One round a level, as many as the deepest value has brackets opened at once."""
-    opened = F.aggregate(F.regexp_extract_all(F.regexp_replace(raw, r'"(\\.|[^"\\])*"', ""), F.lit(r"([\[\]{}])"), F.lit(1)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, c: F.struct((a.now + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a.most, a.now + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most")))
-    depth = values.agg(F.max(opened["most"])).first()[0] or 0
+    """The input's other columns, path, value of every scalar below an object or list, list places included.
+
+    One pass with one plan for values of any depth (up to 1,000 levels, as Spark's JSON functions); the other columns go along as they are.
+    """
     others = [c for c in values.columns if c != raw]
-    level = values.select(*others, F.lit("").alias("path"), F.col(raw).alias("value"))
-    out = None
-    for _ in range(depth + 1):
-        node = F.col("value")
-        objects = level.filter(node.rlike(r"^\s*\{")).select(*others, "path", F.explode(F.from_json(node, "map<string,string>")).alias("k", "value"))
-        lists = level.filter(node.rlike(r"^\s*\[")).select(*others, "path", F.posexplode(F.from_json(node, "array<string>")).alias("k", "value")).withColumn("k", F.col("k").cast("string"))
-        leaves = level.filter(node.isNotNull() & ~node.rlike(r"^\s*[\[{]")).filter("path <> ''")
-        out = leaves if out is None else out.unionByName(leaves)
-        level = objects.unionByName(lists).select(*others, F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), "value")
-    return out
+    place = values.columns.index(raw)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_leaves(x) for x in batch.column(place).to_pylist()]
+            own = batch.select(others).take(pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())) if others else None
+            flat = [x for rows in found for x in rows]
+            columns = [*(own.columns if own is not None else []), pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "path", "value"])
+
+    schema = StructType([*(values.schema[c] for c in others), StructField("path", StringType()), StructField("value", StringType())])
+    return values.mapInArrow(run, schema)
 
 
 def seeded(existing: DataFrame, offered: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that SQL over the tables cannot check."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -135,3 +136,96 @@ def test_rejected_notes(spark):
     opened, rejected = archive.open_points(anchors, spark.createDataFrame([(2,)], "id int"), notes, ["id"])
     assert [tuple(r) for r in opened.collect()] == [(1, "manca")]
     assert {tuple(r) for r in rejected.collect()} == {(9, "ancora sconosciuta"), (2, "campo gia scritto")}
+
+
+def test_common_runs_equal_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from formlake.functions.similarity import common_run, common_run_ratio
+
+    rng = random.Random(2)
+    pairs = [("", ""), ("", "a"), ("abc", "xabcx"), ("a" * 300, "a" * 299 + "b"), ("è€漢" * 40, "漢è" * 50), ("x" * 70 + "y" * 70, "y" * 70 + "x" * 70)]
+    pairs += [("".join(rng.choices("abè ", k=rng.randint(0, 200))), "".join(rng.choices("abè ", k=rng.randint(0, 200)))) for _ in range(40)]
+    rows = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select("a", "b", common_run(F.col("a"), F.col("b")).alias("n"), common_run_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in rows:
+        n = SequenceMatcher(None, r.a, r.b, autojunk=False).find_longest_match().size if r.a is not None else None
+        assert r.n == n and r.r == (n / min(len(r.a), len(r.b)) if n else 0)
+
+
+def test_flattened_at_any_depth(spark):
+    deep = '{"k": [' * 30 + '"x"' + "]}" * 30
+    rows = spark.createDataFrame([(1, deep), (2, '{"a": {"b": 1.50, "c": [], "d": {}, "e": "q\\"\\u00e8", "f": [true, null, 1e5]}}'), (3, "no"), (4, None), (5, "7"), (6, '{"a' )], "id int, raw string")
+    found = profiles.flattened(rows)
+    assert {(r.id, r.path, r.value) for r in found.collect()} == {(1, ".".join(["k.0"] * 30), "x"), (2, "a.b", "1.50"), (2, "a.e", 'q"è'), (2, "a.f.0", "true"), (2, "a.f.2", "1e5")}
+    assert profiles.flattened(rows.limit(0)).count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\n") < 5
+
+
+def greedy(rects, share):
+    taken = []
+    for r, x0, y0, x1, y1 in sorted(rects):
+        area = max((x1 - x0) * (y1 - y0), 1e-9)
+        if not any(max(0, min(x1, t[3]) - max(x0, t[1])) * max(0, min(y1, t[4]) - max(y0, t[2])) > share * area for t in taken):
+            taken.append((r, x0, y0, x1, y1))
+    return {t[0] for t in taken}
+
+
+def test_claims_equal_the_loop(spark):
+    from formlake.operators import claims
+
+    rng = random.Random(3)
+    pages = {}
+    for page in range(4):
+        some = []
+        for k in range(150):
+            x, y = rng.uniform(-20, 150), rng.uniform(-20, 150)
+            some.append((k, x, y, x + rng.choice([0, 5, 30, 90]), y + rng.choice([4, 25, 60])))
+        # Copies of one rectangle, and a chain in which each waits for the one before.
+        some += [(200 + k, 1.0, 1.0, 9.0, 9.0) for k in range(20)] + [(300 + k, 500.0 + 5 * k, 0.0, 510.0 + 5 * k, 8.0) for k in range(9)]
+        pages[page] = some
+    df = spark.createDataFrame([(p, *r) for p, rs in pages.items() for r in rs], "page int, rank int, x0 double, y0 double, x1 double, y1 double")
+    for share in (0.35, 0.5, 0.0):
+        got = {(r.page, r["rank"]) for r in claims.claim(df, share).collect()}
+        assert got == {(p, k) for p, rs in pages.items() for k in greedy(rs, share)}
+    assert claims.claim(df.limit(0)).count() == 0
+
+
+def test_lines_from_shuffled_glyphs(spark):
+    from formlake.operators import geometry
+
+    rng = random.Random(4)
+    texts = ["Nome e cognome", "x", "", "nato a Roma il 3/4/1990", "fine"]
+    glyphs = [(1, 5.0 * k, 20.0 * n + rng.uniform(-1, 1), 10.0, c) for n, t in enumerate(texts) for k, c in enumerate(t) if c != " "]
+    rng.shuffle(glyphs)
+    rows = geometry.text_lines(spark.createDataFrame(glyphs, "page int, x double, y double, size double, text string")).orderBy("line").collect()
+    assert [r.text for r in rows] == [t for t in texts if t] and [r.words for r in rows] == [len(t.split()) for t in texts if t]
+    assert rows[0].x0 == 0 and rows[0].x1 == 5.0 * len(texts[0]) and abs(rows[0].base) <= 1
+
+
+def test_gap_groups_over_ranges(spark):
+    from formlake.operators import sequences
+
+    rng = random.Random(5)
+    values = [rng.choice([0, 5000, 9000]) + rng.uniform(0, 400) for _ in range(600)] + [0.5 * k for k in range(20_000)]
+    got = sorted((r.n, r.low, r.high) for r in sequences.gap_groups(spark.createDataFrame([("a", v) for v in values], "t string, v double"), ["t"], "v", 0.8).collect())
+    expected, own = [], []
+    for v in sorted(values):
+        if own and v - own[-1] > 0.8:
+            expected.append((len(own), own[0], own[-1]))
+            own = []
+        own.append(v)
+    assert got == sorted([*expected, (len(own), own[0], own[-1])])
+
+
+def test_culprits_by_halves(spark):
+    from formlake.operators import culprits
+
+    bad = {("a", 0), ("a", 6), ("c", 12), ("c", 11)}
+    items = spark.createDataFrame([(d, n, (d, n) in bad) for d, size in (("a", 7), ("b", 5), ("c", 13), ("d", 1)) for n in range(size)], "doc string, n int, bad boolean")
+    found, tests = culprits.find_culprits(items, lambda rows: rows.groupBy("doc", "grp").agg(F.bool_or("bad").alias("f")).filter("f"))
+    assert {(r.doc, r.n) for r in found.collect()} == bad
+    counts = {r.doc: (r.tests, r.rounds) for r in tests.collect()}
+    assert counts["b"] == (1, 1) and counts["a"][1] == 5 and counts["d"] == (1, 1) and sum(t for t, _ in counts.values()) < 26
+    found, tests = culprits.find_culprits(items.limit(0), lambda rows: rows)
+    assert found.count() == 0 and tests.count() == 0

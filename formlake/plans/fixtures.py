@@ -62,16 +62,6 @@ def fm_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", formats.rounded(F.floor(F.col("value") * 2) / 2 - 20).alias("r"))
 
 
-_TWO = "(1, 0.0, 0.0, 10.0, 10.0, 5.0, 5.0, 20.0, 20.0), (2, 0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 6.0, 6.0), (3, 0.0, 0.0, 4.0, 4.0, 1.0, 1.0, 2.0, 2.0)"
-
-
-@query(f"select id, (greatest(least(x1, u1) - greatest(x0, u0), 0) * greatest(least(y1, v1) - greatest(y0, v0), 0))::double as area from (values {_TWO}) t(id, x0, y0, x1, y1, u0, v0, u1, v1)")
-def fm_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, _TWO + " as t(id, x0, y0, x1, y1, u0, v0, u1, v1)")
-    r = lambda a, b, c, d: F.struct(F.col(a).alias("x0"), F.col(b).alias("y0"), F.col(c).alias("x1"), F.col(d).alias("y1"))
-    return t.select("id", geometry.overlap_area(r("x0", "y0", "x1", "y1"), r("u0", "v0", "u1", "v1")).alias("area"))
-
-
 _PROFILE = """('a.json', '{"profilo": {"ragione": "Rossi", "piva": "", "sedi": ["Roma", "Pisa"], "cap": "00100"}, "prova": false}'), ('b.json', '{"azienda": {"ragione": "Verdi", "x": null}, "prova": true}'), ('c.json', '{"ragione": "Bianchi", "n": 5}')"""
 
 
@@ -119,12 +109,6 @@ def fm_strip_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", "kind", formats.scalar_text(F.col("kind"), F.col("v")).alias("text"))
 
 
-@query("select * from (values ('a.pdf', true), ('b.pdf', false)) t(path, signed)")
-def io_signed_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = rows(spark, "('a.pdf', 'x/ByteRange [0 1]'), ('b.pdf', 'x /Byte') as t(path, c)").withColumn("content", F.col("c").cast("binary"))
-    return files.select("path", documents.signed(F.col("content")).alias("signed"))
-
-
 # Text of forms
 
 
@@ -148,11 +132,6 @@ def sc_label_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "(1, 'nato a ____ il .... prov'), (2, 'solo') as t(id, s)").select("id", T.clean_label(F.col("s"), True).alias("left_"), T.clean_label(F.col("s"), False).alias("right_"))
 
 
-@query("select 'p' || page || '.' || kind || '.' || lpad(round_even(x, 0)::int::varchar, 3, '0') || '-' || lpad(round_even(y, 0)::int::varchar, 3, '0') as id from (values (1, 'area', 12.5, 7.5), (2, 'celle', 100.4, 99.6)) t(page, kind, x, y)")
-def sc_anchor_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "(1, 'area', 12.5, 7.5), (2, 'celle', 100.4, 99.6) as t(page, kind, x, y)").select(geometry.anchor_id(F.col("page"), F.col("kind"), F.col("x"), F.col("y")).alias("id"))
-
-
 @query("""select * from (values (1, '{"b": 2}'), (2, '{"a": 1}'), (3, 'niente')) t(id, block)""")
 def sc_json_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, """(1, 'x ```json {"a": 1}``` y ```{"b": 2}```'), (2, 'ecco {"a": 1} fine'), (3, 'niente') as t(id, s)""").select("id", T.last_fenced_block(F.col("s")).alias("block"))
@@ -160,109 +139,6 @@ def sc_json_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Measured pages
 
-def _grid(page: int, xs: list, ys: list, skip_bars: tuple = (), skip_ups: tuple = ()) -> tuple[list, list]:
-    """Bars between columns and uprights between rows, piece by piece, without those named by (row, column)."""
-    bars = [(page, y, a, b) for r, y in enumerate(ys) for c, (a, b) in enumerate(zip(xs, xs[1:], strict=False)) if (r, c) not in skip_bars]
-    ups = [(page, x, a, b) for c, x in enumerate(xs) for r, (a, b) in enumerate(zip(ys, ys[1:], strict=False)) if (r, c) not in skip_ups]
-    return bars, ups
-
-
-def _grids() -> tuple[str, str]:
-    """A 5 x 5 grid, its half; cells over two rows and columns; tables of other heights side by side; an open side; lines that close nothing."""
-    five = [0.0, 20.0, 40.0, 60.0, 80.0]
-    parts = [
-        _grid(1, five, five),
-        _grid(2, [3 + x / 2 for x in five], [7 + y / 2 for y in five]),
-        ([(3, y, 0.0, 60.0) for y in (0.0, 30.0)] + [(3, 15.0, 20.0, 60.0)], [(3, x, 0.0, 30.0) for x in (0.0, 20.0, 40.0, 60.0)]),
-        _grid(4, [0.0, 20.0, 40.0], [0.0, 10.0, 20.0, 30.0]),
-        _grid(4, [60.0, 90.0], [0.0, 15.0, 30.0]),
-        _grid(5, five, [0.0, 10.0, 20.0], skip_ups=((0, 4), (1, 0))),
-        _grid(6, [0.0, 1.5, 30.0], [0.0, 3.0, 12.0]),
-        ([(7, 0.0, 0.0, 50.0), (7, 9.0, 0.3, 50.4), (7, 40.0, 0.0, 50.0)], [(7, 0.0, 0.4, 8.8), (7, 50.0, 0.0, 9.0), (7, 25.0, 20.0, 60.0)]),
-    ]
-    values = lambda k: ", ".join(f"({p}, {a}, {b}, {c})" for part in parts for p, a, b, c in part[k])
-    return values(0), values(1)
-
-
-_BARS, _UPRIGHTS = _grids()
-
-
-@query(
-    f"""with b as (select page, y::double as y, f::double as f, t::double as t from (values {_BARS}) b(page, y, f, t)), u as (select page, x::double as x, f::double as f, t::double as t from (values {_UPRIGHTS}) u(page, x, f, t)),
-p as (select distinct a.page, a.y as y0, c.y as y1 from b a join b c on a.page = c.page and c.y - a.y >= 3.5),
-m as (select distinct p.page, y0, y1, x from p join u on u.page = p.page and u.f <= y0 + 0.6 and u.t >= y1 - 0.6
-      where exists (select 1 from b where b.page = p.page and b.y = y0 and b.f <= x + 0.6 and b.t >= x - 0.6) and exists (select 1 from b where b.page = p.page and b.y = y1 and b.f <= x + 0.6 and b.t >= x - 0.6)),
-s as (select *, lead(x) over (partition by page, y0, y1 order by x) as x1 from m)
-select page, x as x0, y0, x1, y1 from s where x1 - x >= 2
-  and exists (select 1 from b where b.page = s.page and b.y = y0 and b.f <= x + 0.6 and b.t >= x1 - 0.6) and exists (select 1 from b where b.page = s.page and b.y = y1 and b.f <= x + 0.6 and b.t >= x1 - 0.6)
-  and not exists (select 1 from b where b.page = s.page and b.y > y0 and b.y < y1 and b.f <= x + 0.6 and b.t >= x1 - 0.6)"""
-)
-def wn_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.grid_cells(rows(spark, _BARS + " as t(page, y, from, to)"), rows(spark, _UPRIGHTS + " as t(page, x, from, to)"))
-
-
-_GLYPHS = "(1, 10.0, 10.0, 'A'), (1, 12.0, 10.2, 'B'), (1, 60.0, 10.0, 'C'), (1, 11.0, 30.0, 'D'), (2, 10.0, 10.0, 'E')"
-_RECTS = "(1, 1, 9.0, 8.0, 20.0, 12.0), (1, 2, 50.0, 0.0, 70.0, 40.0)"
-
-
-@query(f"select page, rect, string_agg(text, '' order by round_even(y / 4, 0), x, text) as text from (values {_GLYPHS}) g(page, x, y, text) join (values {_RECTS}) r(page, rect, x0, y0, x1, y1) using (page) where x between x0 - 0.6 and x1 + 0.6 and y between y0 - 0.6 and y1 + 0.6 group by page, rect")
-def jn_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.contained(rows(spark, _GLYPHS + " as t(page, x, y, text)"), rows(spark, _RECTS + " as t(page, rect, x0, y0, x1, y1)"))
-
-
-_WORDS = "(1, 0.0, 8.0, 20.0, 'Nome'), (1, 10.0, 18.0, 20.5, 'completo'), (1, 50.0, 60.0, 8.0, 'Data'), (1, 0.0, 9.0, 60.0, 'lontano')"
-_FIELDS = "(1, 1, 20.0, 10.0, 40.0, 20.0), (1, 2, 50.0, 12.0, 70.0, 40.0)"
-
-
-#: Lines with a rule of dots, two fields, a box glyph before the second, and glyphs above and below.
-_LINE = "Il sottoscritto ______ nato a Roma    ☐ altro comune        provincia"
-_GLYPHS_ON = ", ".join(f"(1, {10 + 5 * i}.0, {y}, 10.0, '{c}')" for i, c in enumerate(_LINE) for y in ("100.0", "103.5")) + ", " + ", ".join(f"(2, {5 * i}.0, 50.0, 8.0, '{c}')" for i, c in enumerate("x" * 60 + " una etichetta molto lunga che passa i novanta caratteri ammessi per il nome di un campo"))
-_FIELDS_ON = "(1, 1, 180.0, 92.0, 200.0, 101.0), (1, 2, 300.0, 92.0, 330.0, 101.0), (1, 3, 300.0, 300.0, 330.0, 310.0), (2, 4, 800.0, 40.0, 900.0, 50.5)"
-_BESIDE = f"""with g as (select page, x::double as x, y::double as y, size::double as size, text from (values {_GLYPHS_ON}) g(page, x, y, size, text)), f as (select page, rect, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_FIELDS_ON}) f(page, rect, x0, y0, x1, y1)),
-e as (select *, lag(x1) over w as before, lead(x0) over w as after from f window w as (partition by page, round_even(y0 / 4, 0) order by x0, rect)),
-j as (select e.page, rect, x, text, max(case when text in ('{"', '".join(geometry.BOXES)}') then x end) over (partition by e.page, rect) as box from e join g on g.page = e.page and WHERE),
-s as (select page, rect, string_agg(text, '' order by x, text) as t from j where OWN group by page, rect)"""
-_FILLER = r"(?:_{3,}|\\.{3,}|-{3,}|…+)"
-_LEFT_SQL = _BESIDE.replace("WHERE", "abs(y - y1) <= greatest(2, size * 0.5) and x < x0 - 0.2 and (before is null or x >= before - 0.2)").replace("OWN", "box is null or x > box")
-_RIGHT_SQL = _BESIDE.replace("WHERE", "abs(y - (y0 + y1) / 2) <= greatest(3, size * 0.75) and x >= x1 - 0.2 and (after is null or x < after - 0.2)").replace("OWN", "true")
-
-
-@query(
-    _LEFT_SQL + f" select page, rect, 'left' as side, trim(right(trim(regexp_replace(t, '^.*{_FILLER}', '')), 90)) as label from s union all select * from ({_RIGHT_SQL} select page, rect, 'right', trim(left(trim(regexp_replace(t, '{_FILLER}.*$', '')), 90)) from s)"
-)
-def jn_left_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text beside a field, to the left and to the right, up to its neighbours and to boxes."""
-    fields, glyphs = rows(spark, _FIELDS_ON + " as t(page, rect, x0, y0, x1, y1)"), rows(spark, _GLYPHS_ON + " as t(page, x, y, size, text)")
-    side = lambda left: geometry.line_labels(fields, glyphs, left).withColumn("side", F.lit("left" if left else "right"))
-    return side(True).unionByName(side(False))
-
-
-@query(f"select page, rect, arg_min(text, (ry - y, x0, text)) as label from (select page, rect, x0 as rx0, x1 as rx1, y0 as ry from (values {_FIELDS}) f(page, rect, x0, y0, x1, y1)) join (values {_WORDS}) w(page, x0, x1, y, text) using (page) where y <= ry and ry - y <= 20 and x0 < rx1 and x1 > rx0 group by page, rect")
-def jn_above_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.above_texts(rows(spark, _FIELDS + " as t(page, rect, x0, y0, x1, y1)"), rows(spark, _WORDS + " as t(page, x0, x1, y, text)"))
-
-
-_BASES = "(1, 1, 10.0), (1, 2, 20.0), (1, 3, 60.0)"
-_PLACES = "(1, 7, 14.0), (1, 8, 26.0), (1, 9, 40.0)"
-
-
-@query(f"select page, field, arg_min(line, (abs(base - y), base)) as line from (values {_PLACES}) f(page, field, y) join (values {_BASES}) l(page, line, base) using (page) where abs(base - y) <= 8 group by page, field")
-def jn_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.nearest_lines(rows(spark, _PLACES + " as t(page, field, y)"), rows(spark, _BASES + " as t(page, line, base)"))
-
-
-@query("select * from (values (1, 1, 1, 'Cognome'), (1, 1, 2, 'Cognome'), (1, 2, 1, 'altra')) t(page, row, column, label)".replace("row, column", '"row", "column"'))
-def jn_table_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = "(1, 0, 0, 1, 'N'), (1, 0, 1, 2, 'Cognome'), (1, 1, 0, 1, ''), (1, 1, 1, 1, ''), (1, 1, 2, 1, ''), (1, 2, 0, 1, 'altra'), (1, 2, 1, 1, '') as t(page, row, place, span, text)"
-    return geometry.table_headers(rows(spark, cells)).filter("column > 0").select("page", "row", "column", "label")
-
-
-@query("select * from (values (1, 1, 0, null), (1, 1, 1, 'Cognome'), (1, 1, 2, 'Cognome'), (1, 1, 3, 'Cognome')) t(page, col, row_, header)")
-def jn_column_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = "(1, 1, 0, 'Cognome'), (1, 1, 1, ''), (1, 1, 2, null), (1, 1, 3, 'x') as t(page, column, row, text)"
-    return geometry.column_headers(rows(spark, cells)).select("page", F.col("column").alias("col"), F.col("row").alias("row_"), "header")
-
-
 @query("select page, round_even(size, 0) as body from (select l_orderkey as page, l_quantity / 4 as size from lineitem) group by page, round_even(size, 0) qualify row_number() over (partition by page order by count(*) desc, round_even(size, 0)) = 1")
 def ag_mode_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent rounded size of a page's glyphs, the smaller of equals."""
@@ -271,14 +147,6 @@ def ag_mode_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.body_sizes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_quantity") / 4).alias("size")))
 
 
-_DOTS = ", ".join(f"(1, 5.0, {x}.0)" for x in range(0, 16, 2)) + ", " + ", ".join(f"(1, 9.0, {x}.0)" for x in (0, 1, 7, 8, 20, 21))
-
-
-@query(f"with d as (select *, x - lag(x) over (partition by page, y order by x) as s from (values {_DOTS}) t(page, y, x)) select page, y::double as y, (min(x) - median(s) / 2)::double as \"from\", (max(x) + median(s) / 2)::double as \"to\" from d group by page, y having count(*) >= 6 and max(s) = min(s)")
-def wn_dotted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.dotted_borders(rows(spark, _DOTS + " as t(page, y, x)"))
-
-
 @query("with d as (select *, x - lag(x) over (partition by page, y order by x) as s from (select o_custkey as page, month(o_orderdate) as y, floor(o_totalprice / 1000) as x from orders)), m as (select page, y, count(*) as n, median(s) as step from d group by page, y) select m.page, m.y, n, step, round(avg(case when s is null then null when abs(s - step) <= 0.25 * step then 1.0 else 0.0 end), 6) as regular from m join d using (page, y) group by m.page, m.y, n, step")
 def ag_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step of rows of marks, and how regular it is."""
@@ -288,52 +156,6 @@ def ag_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.row_steps(dots).withColumn("regular", F.round("regular", 6))
 
 
-_STRIP = "(1, 1, 0.0, 10.0, true), (1, 1, 10.0, 20.0, true), (1, 1, 20.0, 30.0, true), (1, 1, 30.0, 60.0, true), (1, 2, 0.0, 10.0, true), (1, 2, 40.0, 50.0, true)"
-
-
-@query("select * from (values (1, 1, 0.0::double, 30.0::double, 3)) t(page, r, x0, x1, many)")
-def wn_cell_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.cell_strips(rows(spark, _STRIP + " as t(page, row, x0, x1, empty)")).select("page", F.col("row").alias("r"), "x0", "x1", "many")
-
-
-_SQUARES = "(1, 1, 10.0, 20.0, 19.0, 29.0, 0.0), (1, 2, 100.0, 20.0, 109.0, 29.0, 0.5), (1, 3, 200.0, 20.0, 209.0, 29.0, 0.1), (1, 4, 300.0, 20.0, 330.0, 29.0, 0.0), (1, 5, 10.0, 60.0, 11.0, 61.0, 0.0), (1, 6, 10.0, 80.0, 18.0, 86.0, 0.0), (1, 7, 10.0, 90.0, 26.0, 105.0, 0.12), (2, 8, 10.0, 20.0, 19.0, 29.0, 0.0)"
-_BOX_GLYPHS = ", ".join(f"(1, {21 + 6 * i}.0, 26.0, 10.0, '{c}')" for i, c in enumerate("si, accetto ___ poi no, rifiuto tutto")) + ", " + ", ".join(f"(1, {30 + 6 * i}.0, 97.0, 10.0, '{c}')" for i, c in enumerate("forse"))
-
-
-@query(f"""with b as (select page, rect, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_SQUARES}) b(page, rect, x0, y0, x1, y1, ink) where x1 - x0 between 2 and 16 and y1 - y0 between 2 and 16 and abs((x1 - x0) - (y1 - y0)) <= 0.25 * greatest(x1 - x0, y1 - y0) and ink <= 0.12),
-e as (select *, lead(x0) over (partition by page, round_even(y0 / 4, 0) order by x0, rect) as after from b),
-t as (select e.page, e.rect, string_agg(text, '' order by x) as t from e join (values {_BOX_GLYPHS}) g(page, x, y, size, text) on g.page = e.page and abs(y - (y0 + y1) / 2) <= greatest(3, size * 0.75) and x >= x1 - 0.2 and (after is null or x < after - 0.2) group by e.page, e.rect)
-select b.page, b.rect, trim(left(trim(regexp_replace(t, '{_FILLER}.*$', '')), 90)) as label from b left join t using (page, rect)""")
-def wn_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-square hollow boxes and the text up to the next one."""
-    return evidence.boxes(rows(spark, _SQUARES + " as t(page, rect, x0, y0, x1, y1, ink)"), rows(spark, _BOX_GLYPHS + " as t(page, x, y, size, text)")).select("page", "rect", "label")
-
-
-#: Rules side by side and above each other, at cells' edges, under ink, without a label.
-_RULES = "(1, 10.0, 0.0, 50.0), (1, 10.0, 80.0, 130.0), (1, 40.0, 0.0, 50.0), (1, 50.0, 0.0, 50.0), (1, 50.0, 60.0, 99.0), (1, 80.0, 0.0, 50.0), (1, 95.0, 0.0, 10.0), (1, 130.0, 0.0, 60.0), (1, 152.0, 31.0, 90.0), (1, 175.0, 0.0, 60.0), (1, 220.0, 0.0, 60.0), (1, 260.0, 10.0, 60.0), (1, 300.0, 10.0, 60.0), (2, 10.0, 0.0, 50.0), (2, 32.0, 24.0, 60.0), (2, 54.1, 24.0, 60.0)"
-_RULE_CELLS = "(1, 0.0, 175.0, 55.0, 190.0), (1, 0.0, 60.0, 20.0, 80.0)"
-_RULE_INK = "(1, 5.0, 212.0, 20.0, 218.0), (1, 70.0, 250.0, 80.0, 258.0), (1, 20.0, 285.0, 30.0, 289.0), (2, 30.0, 31.5, 40.0, 33.0)"
-_RULE_LABELS = "(1, -20.0, -2.0, 10.0), (1, 60.0, 78.0, 11.0), (1, -9.0, -1.0, 38.0), (1, 62.0, 80.0, 33.0), (1, -20.0, -1.0, 83.0), (1, 5.0, 30.0, 115.0), (1, 40.0, 80.0, 140.0), (1, -9.0, -1.0, 175.0), (1, -9.0, -1.0, 220.0), (1, 20.0, 30.0, 245.0), (1, 0.0, 9.0, 302.0), (2, 5.0, 20.0, 5.0), (2, 30.0, 40.0, 14.0), (2, 0.0, 20.0, 54.0)"
-
-
-@query(
-    f"""with r as (select page, y::double as y, f::double as f, t::double as t from (values {_RULES}) r(page, y, f, t))
-select page, y, f as "from", t as "to" from r where t - f >= 24
-  and not exists (select 1 from r o where o.page = r.page and (o.y, o.f, o.t) <> (r.y, r.f, r.t) and abs(o.y - r.y) <= 22 and least(o.t, r.t) - greatest(o.f, r.f) > 0.5 * (r.t - r.f))
-  and not exists (select 1 from (values {_RULE_CELLS}) c(page, x0, y0, x1, y1) where c.page = r.page and (abs(y0 - r.y) <= 0.6 or abs(y1 - r.y) <= 0.6) and least(x1, r.t) - greatest(x0, r.f) > 0.8 * (r.t - r.f))
-  and not exists (select 1 from (values {_RULE_INK}) k(page, x0, y0, x1, y1) where k.page = r.page and y0 < r.y - 0.8 and y1 > r.y - 11 and least(x1, r.t - 0.5) - greatest(x0, r.f + 0.5) > 0)
-  and exists (select 1 from (values {_RULE_LABELS}) w(page, x0, x1, wy) where w.page = r.page and ((x1 <= r.f and abs(wy - r.y) <= 4) or (wy < r.y and r.y - wy <= 20 and least(x1, r.t) - greatest(x0, r.f) > 0)))"""
-)
-def wn_ruled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = " as t(page, x0, y0, x1, y1)"
-    return geometry.ruled_fields(rows(spark, _RULES + " as t(page, y, from, to)"), rows(spark, _RULE_CELLS + box), rows(spark, _RULE_INK + box), rows(spark, _RULE_LABELS + " as t(page, x0, x1, y)"))
-
-
-@query("select * from (values ('a', 1, 1), ('b', 2, 1), ('c', 3, 2)) t(id, place, line_no)")
-def wn_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.reading_order(rows(spark, "(1, 'a', 0.0, 10.0), (1, 'b', 50.0, 9.0), (1, 'c', 0.0, 20.0) as t(page, id, x, y)"), ["page"], "x", "y").select("id", "place", "line_no")
-
-
 @query("select * from (values (1, 'nome'), (2, 'cognome')) t(id, label)")
 def wn_prev_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.labels_between(rows(spark, "(1, 1, 'nome ____ cognome ____', 5, 9), (1, 2, 'nome ____ cognome ____', 18, 22) as t(par, id, text, start, end)"), ["par"], "start", "end", "text").select("id", "label")
@@ -349,35 +171,6 @@ def wn_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), evidence.widget_label(left, F.when(F.col("o_orderkey") % 3 == 0, "sopra"), name=F.concat(F.lit("w"), F.col("o_custkey").cast("string"))).alias("label"))
 
 
-_NEAR_FIELDS = "(1, 1, 100.0, 100.0, 150.0, 110.0), (1, 2, 300.0, 300.0, 350.0, 310.0), (1, 3, 10.0, 700.0, 20.0, 705.0), (2, 4, 0.0, 0.0, 500.0, 900.0)"
-_NEAR_LINES = ", ".join(f"({1 + k % 2}, {(k * 37) % 400}.0, {(k * 29) % 720}.0, {(k * 37) % 400 + 60}.0, {(k * 29) % 720 + 9}.0, 'riga {k}{' ____ resto' * (k % 3 == 0)}')" for k in range(90))
-
-
-@query(f"""with f as (select page, id, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_NEAR_FIELDS}) f(page, id, x0, y0, x1, y1)), l as (select page, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1, trim(regexp_replace(text, '{_FILLER}.*$', '')) as t from (values {_NEAR_LINES}) l(page, x0, y0, x1, y1, text)),
-j as (select f.page, id, l.x0, l.y0, t, l.x0 < f.x1 and l.x1 > f.x0 and l.y0 < f.y1 and l.y1 > f.y0 as hit from f join l on l.page = f.page and l.x0 < f.x1 + 90 and l.x1 > f.x0 - 90 and l.y0 < f.y1 + 12 and l.y1 > f.y0 - 34),
-o as (select *, bool_or(hit) over (partition by page, id) as met from j)
-select page, id, left(string_agg(t, ' ' order by y0, x0, t), 200) as context from o where (hit or not met) and t <> '' group by page, id""")
-def wn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that cross a field, else those around it, in order, without filler runs."""
-    box = "x0, y0, x1, y1"
-    return evidence.contexts(rows(spark, f"{_NEAR_FIELDS} as t(page, id, {box})"), rows(spark, f"{_NEAR_LINES} as t(page, {box}, text)"))
-
-
-@query("select id, case when kind = 'celle' then coalesce(many, greatest(1, floor(w / 4.2)))::bigint when kind = 'casella' then 1 else greatest(1, floor(w / 4.2))::bigint end as n from (values (1, 'celle', 16, 100.0), (2, 'celle', null, 42.0), (3, 'casella', null, 9.0), (4, 'area', null, 100.0), (5, 'area', null, 1.0)) t(id, kind, many, w)")
-def wn_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "(1, 'celle', 16, 100.0), (2, 'celle', null, 42.0), (3, 'casella', null, 9.0), (4, 'area', null, 100.0), (5, 'area', null, 1.0) as t(id, kind, many, w)")
-    return t.select("id", geometry.capacity(F.col("kind"), F.col("many"), F.col("w")).cast("long").alias("n"))
-
-
-_BOXES = "(1, 0.0, 0.0, 4.0, 2.0), (1, 4.0, 0.0, 9.5, 2.0), (2, 1.5, 1.0, 30.0, 12.0), (3, 0.0, 0.0, 0.0, 5.0)"
-
-
-@query(f"select page, u.axis, u.at, u.f as \"from\", u.t as \"to\" from (select page, unnest([{{'axis': 'h', 'at': y0, 'f': x0, 't': x1}}, {{'axis': 'h', 'at': y1, 'f': x0, 't': x1}}, {{'axis': 'v', 'at': x0, 'f': y0, 't': y1}}, {{'axis': 'v', 'at': x1, 'f': y0, 't': y1}}]) as u from (select page, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values {_BOXES}) t(page, x0, y0, x1, y1)))")
-def io_pdf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sides of rectangles as segments."""
-    return geometry.sides(rows(spark, _BOXES + " as t(page, x0, y0, x1, y1)"))
-
-
 @query("select doc_id, turn, case turn when 90 then 842 - y when 180 then 595 - x when 270 then y else x end as x, case turn when 90 then x when 180 then 842 - y when 270 then 595 - x else y end as y from (select doc_id, doc_id % 4 * 90 as turn, n_chars % 595 * 1.0::double as x, n_chars % 842 * 1.0::double as y from documents)")
 def io_pdf_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places on turned pages, as if they stood upright."""
@@ -415,11 +208,6 @@ def wr_docx_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "(1, 'nome ____ cognome ____') as t(par, text)").join(edits, "par").select("par", sequences.spliced(F.col("text"), F.col("edits")).alias("text"))
 
 
-@query("select id, sum(greatest(g - n, 0))::bigint as spill from (values (1, 5, 2), (1, 0, 4), (2, 3, 3)) t(id, g, n) group by id")
-def au_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.spill(rows(spark, "(1, 5, 2), (1, 0, 4), (2, 3, 3) as t(id, gain, neighbour_gain)"))
-
-
 _PROGRAM = """
 'what a form writes for a customer'
 code, level = name[-4:], 'alto' if balance > 5000 and segment not in ['MACHINERY', 'BUILDING'] else 'basso' if 0 < balance else 'rosso'
@@ -508,16 +296,6 @@ def wn_new_ink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.legibility(li)
 
 
-_ON_LINES = ", ".join(f"({1 + k % 2}, {k}, {(k * 53) % 300}.0, {(k * 53) % 300 + 40}.0, {40 + (k * 31) % 600}.0)" for k in range(40))
-_INK_AT = ", ".join(f"({1 + k % 2}, {(k * 41) % 320}.0, {(k * 41) % 320 + 15}.0, {(k * 23) % 640}.0)" for k in range(120))
-
-
-@query(f"select f.page, id, coalesce(min(f.y - i.y), 40.0)::double as rise from (values {_ON_LINES}) f(page, id, x0, x1, y) left join (values {_INK_AT}) i(page, x0, x1, y) on i.page = f.page and i.y < f.y - 1 and f.y - i.y <= 40 and i.x0 < f.x1 and i.x1 > f.x0 group by f.page, id")
-def wn_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a line's field may rise before it meets ink."""
-    return evidence.rises(rows(spark, _ON_LINES + " as t(page, id, x0, x1, y)"), rows(spark, _INK_AT + " as t(page, x0, x1, y)"))
-
-
 @query(
     r"select doc_id, n, case when trim(line) = '' then 'paragrafo_vuoto' when regexp_matches(line, '[☐☑☒□]') then 'glifo_casella' when regexp_matches(line, '_{3,}|\.{5,}|…{2,}') then 'segnaposto_testuale' when regexp_matches(line, ':\s*$') then 'spazio_implicito' end as kind from (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as line from documents)"
 )

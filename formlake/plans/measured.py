@@ -158,3 +158,224 @@ _JSON = """select event_id, concat('{{"evento": [', props, ', {{"tipo": "', even
 def fm_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scalar of every event's properties, set into a deeper value."""
     return profiles.flattened(derived(spark, sf_dir, _JSON)).select("event_id", "path", "value")
+
+
+# Fields, labels and rules of measured pages
+
+
+@query(f"with g as ({duck(MARKS)}), r as ({duck(BOXES)}) select page, r.id as rect, string_agg(text, '' order by round_even(g.y / 4, 0), g.x, text) as text from g join r using (page) where g.x between x0 - 0.6 and x1 + 0.6 and g.y between y0 - 0.6 and y1 + 0.6 group by page, r.id")
+def jn_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The glyphs whose origin lies in each box, in reading order."""
+    rects = derived(spark, sf_dir, BOXES).select("page", F.col("id").alias("rect"), "x0", "y0", "x1", "y1")
+    return geometry.contained(derived(spark, sf_dir, MARKS).select("page", "x", "y", "text"), rects)
+
+
+def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, BOXES).select("page", F.col("id").alias("rect"), "x0", "y0", "x1", "y1")
+
+
+@query(f"with f as ({duck(BOXES)}), w as ({duck(WORDS)}) select page, f.id as rect, arg_min(text, (f.y0 - w.y, w.x0, text)) as label from f join w using (page) where w.y <= f.y0 and f.y0 - w.y <= 20 and w.x0 < f.x1 and w.x1 > f.x0 group by page, f.id")
+def jn_above_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest word above each box."""
+    return geometry.above_texts(_rects(spark, sf_dir), derived(spark, sf_dir, WORDS))
+
+
+_BASES = "select cast(floor(o_orderkey / 16) as bigint) as page, cast(o_custkey % 208 as double) as base, min(o_orderkey) as line from {orders} group by 1, 2"
+
+
+@query(f"with f as ({duck(BOXES)}), l as ({duck(_BASES)}) select page, id as field, arg_min(line, (abs(base - y1), base)) as line from f join l using (page) where abs(base - y1) <= 8 group by page, id")
+def jn_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text line nearest to each box's base, of equals the upper."""
+    fields = derived(spark, sf_dir, BOXES).select("page", F.col("id").alias("field"), F.col("y1").alias("y"))
+    return geometry.nearest_lines(fields, derived(spark, sf_dir, _BASES))
+
+
+def _beside(where: str, own: str) -> str:
+    return f"""with g as ({duck(MARKS)}), f as (select page, id as rect, x0, y0, x1, y1 from ({duck(BOXES)})),
+e as (select *, lag(x1) over w as before, lead(x0) over w as after from f window w as (partition by page, round_even(y0 / 4, 0) order by x0, rect)),
+j as (select e.page, rect, x, text, max(case when text in ('{"', '".join(geometry.BOXES)}') then x end) over (partition by e.page, rect) as box from e join g on g.page = e.page and {where}),
+s as (select page, rect, string_agg(text, '' order by x, text) as t from j where {own} group by page, rect)"""
+
+
+_FILLER = r"(?:_{3,}|\.{3,}|-{3,}|…+)"
+_LEFT = _beside("abs(y - y1) <= greatest(2, size * 0.5) and x < x0 - 0.2 and (before is null or x >= before - 0.2)", "box is null or x > box")
+_RIGHT = _beside("abs(y - (y0 + y1) / 2) <= greatest(3, size * 0.75) and x >= x1 - 0.2 and (after is null or x < after - 0.2)", "true")
+
+
+@query(f"{_LEFT} select page, rect, 'left' as side, trim(right(trim(regexp_replace(t, '^.*{_FILLER}', '')), 90)) as label from s union all select * from ({_RIGHT} select page, rect, 'right', trim(left(trim(regexp_replace(t, '{_FILLER}.*$', '')), 90)) from s)")
+def jn_left_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text beside each box, to the left and to the right, up to its neighbours."""
+    fields, glyphs = _rects(spark, sf_dir), derived(spark, sf_dir, MARKS).select("page", "x", "y", "size", "text")
+    side = lambda left: geometry.line_labels(fields, glyphs, left).withColumn("side", F.lit("left" if left else "right"))
+    return side(True).unionByName(side(False))
+
+
+@query(f"select page, u.axis, u.at, u.f as \"from\", u.t as \"to\" from (select page, unnest([{{'axis': 'h', 'at': y0, 'f': x0, 't': x1}}, {{'axis': 'h', 'at': y1, 'f': x0, 't': x1}}, {{'axis': 'v', 'at': x0, 'f': y0, 't': y1}}, {{'axis': 'v', 'at': x1, 'f': y0, 't': y1}}]) as u from ({duck(BOXES)}))")
+def io_pdf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sides of boxes as segments."""
+    return geometry.sides(derived(spark, sf_dir, BOXES).select("page", "x0", "y0", "x1", "y1"))
+
+
+#: Rules under boxes of two kinds, three boxes long; boxes of one kind are cells, and marks leave ink.
+_RULES = f"select distinct page, y1 as y, x0 as f, x0 + 3 * (x1 - x0) as t from ({BOXES}) b where n in (2, 3)"
+_RULE_CELLS = f"select page, x0, y0, x1, y1 from ({BOXES}) c where n = 1"
+_RULE_INK = f"select page, x as x0, y as y0, x + 6 as x1, y + 5 as y1 from ({MARKS}) k"
+
+
+@query(
+    f"""with r as ({duck(_RULES)}), cells as ({duck(_RULE_CELLS)}), ink as ({duck(_RULE_INK)}), words as ({duck(WORDS)})
+select page, y, f as "from", t as "to" from r where t - f >= 24
+  and not exists (select 1 from r o where o.page = r.page and (o.y, o.f, o.t) <> (r.y, r.f, r.t) and abs(o.y - r.y) <= 22 and least(o.t, r.t) - greatest(o.f, r.f) > 0.5 * (r.t - r.f))
+  and not exists (select 1 from cells c where c.page = r.page and (abs(y0 - r.y) <= 0.6 or abs(y1 - r.y) <= 0.6) and least(x1, r.t) - greatest(x0, r.f) > 0.8 * (r.t - r.f))
+  and not exists (select 1 from ink k where k.page = r.page and y0 < r.y - 0.8 and y1 > r.y - 11 and least(x1, r.t - 0.5) - greatest(x0, r.f + 0.5) > 0)
+  and exists (select 1 from words w where w.page = r.page and ((x1 <= r.f and abs(w.y - r.y) <= 4) or (w.y < r.y and r.y - w.y <= 20 and least(x1, r.t) - greatest(x0, r.f) > 0)))"""
+)
+def wn_ruled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that are there to be written on."""
+    rules_ = derived(spark, sf_dir, _RULES).withColumnsRenamed({"f": "from", "t": "to"})
+    return geometry.ruled_fields(rules_, derived(spark, sf_dir, _RULE_CELLS), derived(spark, sf_dir, _RULE_INK), derived(spark, sf_dir, WORDS).select("page", "x0", "x1", "y"))
+
+
+#: Small boxes, near squares among them, some with ink.
+_SQUARES = f"select page, id as rect, x0, y0, x0 + (x1 - x0) / 2 as x1, y0 + (y1 - y0) / 1.5 as y1, (p % 20) / 100.0 as ink from ({BOXES}) b"
+
+
+@query(f"""with b as (select * from ({duck(_SQUARES)}) where x1 - x0 between 2 and 16 and y1 - y0 between 2 and 16 and abs((x1 - x0) - (y1 - y0)) <= 0.25 * greatest(x1 - x0, y1 - y0) and ink <= 0.12), g as ({duck(MARKS)}),
+e as (select *, lead(x0) over (partition by page, round_even(y0 / 4, 0) order by x0, rect) as after from b),
+t as (select e.page, e.rect, string_agg(text, '' order by x, text) as t from e join g on g.page = e.page and abs(y - (y0 + y1) / 2) <= greatest(3, size * 0.75) and x >= x1 - 0.2 and (after is null or x < after - 0.2) group by e.page, e.rect)
+select b.page, b.rect, trim(left(trim(regexp_replace(t, '{_FILLER}.*$', '')), 90)) as label from b left join t using (page, rect)""")
+def wn_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-square hollow boxes and the text up to the next one."""
+    return evidence.boxes(derived(spark, sf_dir, _SQUARES).withColumn("ink", F.col("ink").cast("double")), derived(spark, sf_dir, MARKS).select("page", "x", "y", "size", "text")).select("page", "rect", "label")
+
+
+_NEAR = f"select page, x0, y - 9 as y0, x1, y as y1, concat(text, case when x0 > 200 then ' ____ resto' else '' end) as text from ({WORDS}) w"
+
+
+@query(f"""with f as ({duck(BOXES)}), l as (select page, x0, y0, x1, y1, trim(regexp_replace(text, '{_FILLER}.*$', '')) as t from ({duck(_NEAR)})),
+j as (select distinct f.page, id, l.x0, l.y0, t, l.x0 < f.x1 and l.x1 > f.x0 and l.y0 < f.y1 and l.y1 > f.y0 as hit from f join l on l.page = f.page and l.x0 < f.x1 + 90 and l.x1 > f.x0 - 90 and l.y0 < f.y1 + 12 and l.y1 > f.y0 - 34),
+o as (select *, bool_or(hit) over (partition by page, id) as met from j)
+select page, id, left(string_agg(t, ' ' order by y0, x0, t), 200) as context from o where (hit or not met) and t <> '' group by page, id""")
+def wn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that cross a box, else those around it, in order, without filler runs."""
+    return evidence.contexts(derived(spark, sf_dir, BOXES).select("page", "id", "x0", "y0", "x1", "y1"), derived(spark, sf_dir, _NEAR))
+
+
+@query(f"with f as ({duck(BOXES)}), i as ({duck(WORDS)}) select f.page, id, coalesce(min(f.y1 - i.y), 40.0)::double as rise from f left join i on i.page = f.page and i.y < f.y1 - 1 and f.y1 - i.y <= 40 and i.x0 < f.x1 and i.x1 > f.x0 group by f.page, id")
+def wn_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a field on a box's base may rise before it meets a word."""
+    fields = derived(spark, sf_dir, BOXES).select("page", "id", "x0", "x1", F.col("y1").alias("y"))
+    return evidence.rises(fields, derived(spark, sf_dir, WORDS).select("page", "x0", "x1", "y"))
+
+
+#: Bars and uprights on a lattice of ten points, and of some length.
+_BARS = "select distinct cast(floor(l_orderkey / 16) as bigint) as page, cast((l_partkey % 9) * 10 as double) as y, cast((l_suppkey % 5) * 20 as double) as f, cast((l_suppkey % 5) * 20 + 20 * l_linenumber as double) as t from {lineitem}"
+_UPRIGHTS = "select distinct cast(floor(l_orderkey / 16) as bigint) as page, cast((l_partkey % 7) * 20 as double) as x, cast(l_quantity % 8 as double) * 10 as f, cast(l_quantity % 8 as double) * 10 + 10 * l_linenumber as t from {lineitem}"
+
+
+@query(
+    f"""with b as materialized ({duck(_BARS)}), u as materialized ({duck(_UPRIGHTS)}),
+p as (select distinct a.page, a.y as y0, c.y as y1 from b a join b c on a.page = c.page and c.y - a.y >= 3.5),
+m as (select distinct p.page, y0, y1, x from p join u on u.page = p.page and u.f <= y0 + 0.6 and u.t >= y1 - 0.6
+      where exists (select 1 from b where b.page = p.page and b.y = y0 and b.f <= x + 0.6 and b.t >= x - 0.6) and exists (select 1 from b where b.page = p.page and b.y = y1 and b.f <= x + 0.6 and b.t >= x - 0.6)),
+s as (select *, lead(x) over (partition by page, y0, y1 order by x) as x1 from m)
+select page, x as x0, y0, x1, y1 from s where x1 - x >= 2
+  and exists (select 1 from b where b.page = s.page and b.y = y0 and b.f <= x + 0.6 and b.t >= x1 - 0.6) and exists (select 1 from b where b.page = s.page and b.y = y1 and b.f <= x + 0.6 and b.t >= x1 - 0.6)
+  and not exists (select 1 from b where b.page = s.page and b.y > y0 and b.y < y1 and b.f <= x + 0.6 and b.t >= x1 - 0.6)"""
+)
+def wn_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells closed on four sides by bars and uprights."""
+    return geometry.grid_cells(derived(spark, sf_dir, _BARS).withColumnsRenamed({"f": "from", "t": "to"}), derived(spark, sf_dir, _UPRIGHTS).withColumnsRenamed({"f": "from", "t": "to"}))
+
+
+@query(f"select page, id, place, line_no from (select page, id, row_number() over (partition by page order by round_even(y0 / 4, 0), x0, y0, id) as place, dense_rank() over (partition by page order by round_even(y0 / 4, 0)) as line_no from ({duck(BOXES)}))")
+def wn_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in reading order, and their line."""
+    boxes = derived(spark, sf_dir, BOXES).select("page", "id", "x0", "y0")
+    return sequences.reading_order(boxes, ["page"], "x0", "y0").select("page", "id", "place", "line_no")
+
+
+@query(f"select page, id, (greatest(least(x1, u1) - greatest(x0, u0), 0) * greatest(least(y1, v1) - greatest(y0, v0), 0))::double as area from (select *, lead(x0) over w as u0, lead(y0) over w as v0, lead(x1) over w as u1, lead(y1) over w as v1 from ({duck(BOXES)}) window w as (partition by page order by y0, x0, id)) where u0 is not null")
+def fm_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area that each box shares with the next one of its page."""
+    own = F.struct("x0", "y0", "x1", "y1")
+    pairs = derived(spark, sf_dir, BOXES).withColumns({"_a": own, "_b": F.lead(own).over(Window.partitionBy("page").orderBy("y0", "x0", "id"))}).filter("_b is not null")
+    return pairs.select("page", "id", geometry.overlap_area(F.col("_a"), F.col("_b")).alias("area"))
+
+
+@query(f"select 'p' || page || '.' || kind || '.' || lpad(round_even(x0 + 0.5, 0)::int::varchar, 3, '0') || '-' || lpad(round_even(y0 + 0.5, 0)::int::varchar, 3, '0') as id from (select *, {_KIND} as kind from ({duck(BOXES)}))")
+def sc_anchor_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each place: page, kind and rounded origin."""
+    boxes = derived(spark, sf_dir, BOXES).withColumn("kind", F.expr(_KIND))
+    return boxes.select(geometry.anchor_id(F.col("page"), F.col("kind"), F.col("x0") + 0.5, F.col("y0") + 0.5).alias("id"))
+
+
+@query(f"select page, id, case when kind = 'celle' then coalesce(many, greatest(1, floor(w / 4.2)))::bigint when kind = 'casella' then 1 else greatest(1, floor(w / 4.2))::bigint end as n from (select page, id, {_KIND} as kind, case when p % 3 > 0 then p % 40 end as many, x1 - x0 as w from ({duck(BOXES)}))")
+def wn_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that each place holds."""
+    boxes = derived(spark, sf_dir, BOXES).withColumns({"kind": F.expr(_KIND), "many": F.when(F.col("p") % 3 > 0, F.col("p") % 40)})
+    return boxes.select("page", "id", geometry.capacity(F.col("kind"), F.col("many"), F.col("x1") - F.col("x0")).cast("long").alias("n"))
+
+
+#: Dots in rows: the marks of a customer's orders of one month, and rows of even steps.
+_DOTS = "select cast(o_custkey as bigint) as page, cast(o_orderkey % 3 as double) as y, case when o_orderstatus = 'P' then o_orderkey * 1.5 else (o_orderkey - o_orderkey % 8) * 2.0 + (o_orderkey % 8) * 4.0 end as x from {orders} union all select floor(l_orderkey / 16), 100.0, cast(l_linenumber * 6 as double) + floor(l_orderkey / 160) from {lineitem} group by 1, 2, 3"
+
+
+@query(f"with t as (select page::bigint as page, y::double as y, x::double as x from ({duck(_DOTS)})), d as (select *, x - lag(x) over (partition by page, y order by x) as s from t), m as (select page, y, count(*) as n, median(s) as step, min(x) as a, max(x) as b, list(s) filter (s is not null) as steps from d group by page, y) select page, y, a - step / 2 as \"from\", b + step / 2 as \"to\" from m where n >= 6 and len(list_filter(steps, lambda q: abs(q - step) <= 0.25 * step)) >= 0.8 * len(steps)")
+def wn_dotted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regular rows of dots as lines."""
+    dots = derived(spark, sf_dir, _DOTS)
+    return geometry.dotted_borders(dots.select(F.col("page").cast("long").alias("page"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")))
+
+
+#: Cells side by side: each as wide as its kind says, some filled.
+_STRIPS = "select page, r, cast(sum(w) over (partition by page, r order by k, id) - w as double) as x0, cast(sum(w) over (partition by page, r order by k, id) as double) as x1, e as empty from (select o_custkey as page, o_orderkey % 2 as r, o_orderkey as k, o_orderkey as id, 10 + 5 * floor((o_orderkey % 1000) / 300) as w, o_orderstatus <> 'F' as e from {orders}) t"
+
+
+@query(f"""with c as (select * from ({duck(_STRIPS)}) where empty), m as (select *, case when x0 - lag(x1) over w > 1 or abs((x1 - x0) / lag(x1 - x0) over w - 1) > 0.1 or lag(x1) over w is null then 1 else 0 end as new from c window w as (partition by page, r order by x0)),
+i as (select *, sum(new) over (partition by page, r order by x0 rows unbounded preceding) as island from m) select page, r, min(x0) as x0, max(x1) as x1, count(*) as many from i group by page, r, island having count(*) >= 3""")
+def wn_cell_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbouring empty cells of one width."""
+    cells = derived(spark, sf_dir, _STRIPS).withColumnRenamed("r", "row")
+    return geometry.cell_strips(cells).select("page", F.col("row").alias("r"), "x0", "x1", "many")
+
+
+_CELLS = "select cast(l_orderkey as bigint) as page, l_suppkey % 4 as c, row_number() over (partition by l_orderkey, l_suppkey % 4 order by l_linenumber, l_partkey, l_extendedprice) as r, case when l_returnflag = 'A' then concat('t', cast(l_partkey as varchar(20))) when l_returnflag = 'N' then ' ' end as text from {lineitem}"
+
+
+@query(f"select page, c as col, r as row_, last_value(case when trim(coalesce(text, '')) <> '' then text end ignore nulls) over (partition by page, c order by r rows between unbounded preceding and 1 preceding) as header from ({duck(_CELLS)})")
+def jn_column_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell with the last text above it in its column."""
+    cells = derived(spark, sf_dir, _CELLS).withColumnsRenamed({"c": "column", "r": "row"})
+    return geometry.column_headers(cells).select("page", F.col("column").alias("col"), F.col("row").alias("row_"), "header")
+
+
+_ROWS = "select cast(floor(l_orderkey / 4) as bigint) as page, l_orderkey % 4 as r, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) - 1 as place, 1 + l_suppkey % 2 as span, case when l_returnflag <> 'R' then concat('t', cast(l_partkey as varchar(20))) else '' end as text from {lineitem}"
+
+
+@query(f"""with p as (select *, coalesce(sum(span) over (partition by page, r order by place rows between unbounded preceding and 1 preceding), 0)::bigint as col from ({duck(_ROWS)})),
+h as (select page, unnest(range(col, col + span)) as col, text as head from p where r = 0 and text <> ''), f as (select page, r, text as first from p where place = 0 and text <> '')
+select p.page, p.r as row_, p.col, coalesce(first, head) as label from p left join f on f.page = p.page and f.r = p.r left join h on h.page = p.page and h.col = p.col where p.text = ''""")
+def jn_table_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every empty cell's label: its row's first cell, else the header above it."""
+    cells = derived(spark, sf_dir, _ROWS).withColumnRenamed("r", "row")
+    return geometry.table_headers(cells).select("page", F.col("row").alias("row_"), F.col("column").cast("long").alias("col"), "label")
+
+
+@query("select l_orderkey as id, sum(greatest(g - n, 0))::bigint as spill from (select l_orderkey, l_quantity::bigint as g, l_linenumber * 5 as n from lineitem) group by 1")
+def au_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink gained around written places, neighbours' own gains taken off."""
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("long").alias("gain"), (F.col("l_linenumber") * 5).alias("neighbour_gain"))
+    return geometry.spill(cells).select("id", F.col("spill").cast("long").alias("spill"))
+
+
+_FILES = "select page_id as id, case when page_id % 3 = 0 then concat(html, '/ByteRange [0 1]') when page_id % 3 = 1 then concat(html, '/ Byte') else html end as c from {pages}"
+
+
+@query(f"select id, regexp_matches(c, '/ByteRange') as signed from ({duck(_FILES)})")
+def io_signed_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that an issuer has signed."""
+    from formlake.sources import documents
+
+    files = derived(spark, sf_dir, _FILES)
+    return files.select("id", documents.signed(F.col("c").cast("binary")).alias("signed"))

@@ -283,27 +283,27 @@ def wn_rolling_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of forms that speak of the applicant and of others, with every formula once.
-_FORM_LINES = """(1, 0, 'Il sottoscritto dichiara'), (1, 1, 'nome ______'), (1, 2, 'Soggetti cessati dalla carica'), (1, 3, 'nome ______'), (1, 4, 'b'), (1, 5, 'c'), (1, 6, 'd'), (1, 7, 'e'), (1, 8, 'f ______'), (1, 9, 'g ______'),
-(2, 0, 'Impresa ausiliaria'), (2, 1, 'ragione sociale ____'), (3, 0, 'dati del subappaltatore ____'), (4, 0, 'in caso di R.T.I. la mandante ____'), (5, 0, 'a seguito di fusione ____'), (6, 0, 'NUOVO TITOLARE ____'),
-(7, 0, 'responsabile dell''impianto ____'), (8, 0, 'il coniuge ____'), (9, 0, 'Direttore tecnico ____'), (10, 0, 'il progettista ____'), (11, 0, 'il proprietario dell''immobile ____'), (12, 0, 'impresa affidataria ____'),
-(13, 0, 'nessuna formula'), (13, 1, null), (13, 2, 'rete di imprese'), (13, 3, 'ereditiera ____'), (14, 0, 'cooptata ____'), (14, 1, 'x')"""
-_FORM_WINDOWS = f"r as (select form, n, line, lower(string_agg(line, ' ') over (partition by form order by n rows between 6 preceding and current row)) as win from (values {_FORM_LINES}) t(form, n, line))"
+#: Headings of forms that stand on some lines of the documents, by place.
+_HEADINGS = ("Soggetti cessati dalla carica", "Impresa ausiliaria", "dati del subappaltatore", "in caso di R.T.I. la mandante", "a seguito di fusione", "NUOVO TITOLARE", "responsabile dell impianto", "il coniuge", "Direttore tecnico", "il progettista", "il proprietario dell immobile", "impresa affidataria", "rete di imprese", "ereditiera", "cooptata")
+_FORM_LINE = "case (doc_id * 7 + n * 3) % 60 " + " ".join(f"when {k} then '{v}'" for k, v in enumerate(_HEADINGS)) + " end"
+_FORM_WINDOWS = f"{LINES_SQL}, f as (select doc_id as form, n, concat_ws(' ', line, {_FORM_LINE}) as line from lines), r as (select form, n, line, regexp_replace(lower(string_agg(line, ' ') over (partition by form order by n rows between 6 preceding and current row)), '[^\\x00-\\x7F]', 'x', 'g') as win from f)"
+#: DuckDB takes only ASCII letters for letters at a word's edge, so the others stand as x there.
 _SUBJECT_SQL = "case " + " ".join(f"when regexp_matches(win, '{p}') then '{r}'".replace("dell'impianto'", "dell''impianto'") for p, r in rules.SUBJECT_FORMULAS) + " end"
 
 
-def _form_lines(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"select * from values {_FORM_LINES} as t(form, n, line)".replace("l''i", "l\\'i"))
+def _form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.lines(spark, sf_dir).select(F.col("doc_id").alias("form"), "n", F.concat_ws(" ", "line", F.expr(_FORM_LINE)).alias("line"))
 
 
 @query(f"with {_FORM_WINDOWS} select form, n, {_SUBJECT_SQL} as reason from r")
 def vd_subject_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.subject_alerts(_form_lines(spark), ["form"], "n", "line").select("form", "n", "reason")
+    return rules.subject_alerts(_form_lines(spark, sf_dir), ["form"], "n", "line").select("form", "n", "reason")
 
 
 @query(f"with {_FORM_WINDOWS} select form, n, false as unknown, coalesce(regexp_matches(win, '{'|'.join(rules.CONDITIONS.values())}'), false) as alone, coalesce(regexp_matches(win, '{rules.CONDITIONS['avvalimento']}|{rules.CONDITIONS['subappalto']}'), false) as grouped from r")
 def wn_conditional_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in sections that an answer rules out: none without an answer, all conditional ones for who applies alone, fewer for a group."""
-    skipped = lambda active, name: rules.skipped_sections(_form_lines(spark), ["form"], "n", "line", active).select("form", "n", F.coalesce("skipped", F.lit(False)).alias(name))
+    skipped = lambda active, name: rules.skipped_sections(_form_lines(spark, sf_dir), ["form"], "n", "line", active).select("form", "n", F.coalesce("skipped", F.lit(False)).alias(name))
     return skipped(None, "unknown").join(skipped([], "alone"), ["form", "n"]).join(skipped(["raggruppamento"], "grouped"), ["form", "n"])
 
 

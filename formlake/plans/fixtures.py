@@ -23,37 +23,6 @@ def rows(spark: SparkSession, values: str) -> DataFrame:
 
 # Formats
 
-IBANS = "('IT60X0542811101000000123456'), ('IT60X0542811101000000123457'), ('DE89370400440532013000'), ('GB82WEST12345698765432'), ('XX00'), ('') as t(v)"
-_IBAN_SQL = "regexp_full_match(upper(v), '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') and list_reduce(list_prepend(0, list_transform(string_split(substring(upper(v), 5) || substring(upper(v), 1, 4), ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda a, d: case when d < 10 then (a * 10 + d) % 97 else (a * 100 + d) % 97 end) = 1"
-
-
-@query(f"select v, coalesce({_IBAN_SQL}, false) as valid from (values {IBANS.replace(' as t(v)', '')}) t(v)")
-def fm_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, IBANS).select("v", formats.iban_valid(F.col("v")).alias("valid"))
-
-
-@query("select * from (values ('C.A.P.', '00100', null), ('CAP', '001', 'cap: 5 digits'), ('PEC', 'a@b.it', null), ('indirizzo e-mail', 'ab.it', 'mail: no @'), ('codice fiscale', '12345678901', null), ('C.F.', 'ABC', 'tax code: 16 characters or 11 digits'), ('P. IVA', 'IT12345678901', null), ('partita IVA', '123', 'vat: 11 digits'), ('tel.', '06 123', 'phone: digits'), ('telefono', '06 1234567', null), ('IBAN', 'IT60X0542811101000000123456', null), ('conto', 'IT60X0542811101000000123457', 'looks like an iban'), ('nome', 'Rossi', null)) t(label, value, reason)")
-def fm_format_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = "('C.A.P.', '00100'), ('CAP', '001'), ('PEC', 'a@b.it'), ('indirizzo e-mail', 'ab.it'), ('codice fiscale', '12345678901'), ('C.F.', 'ABC'), ('P. IVA', 'IT12345678901'), ('partita IVA', '123'), ('tel.', '06 123'), ('telefono', '06 1234567'), ('IBAN', 'IT60X0542811101000000123456'), ('conto', 'IT60X0542811101000000123457'), ('nome', 'Rossi') as t(label, value)"
-    return rows(spark, given).select("label", "value", formats.format_problem(F.col("label"), F.col("value")).alias("reason"))
-
-
-DATES = "('2024-02-29', 'dd/MM/yyyy'), ('29/02/2023', 'dd/MM/yyyy'), ('1/2/2024', 'd.M.yyyy'), ('01-12-2024', 'yyyy-MM-dd'), ('3.4.2024', 'dd-MM-yyyy'), ('02/03/24', 'dd/MM/yyyy'), ('31/12/2024', 'dd/MM-yyyy'), ('domani', 'dd/MM/yyyy')"
-
-
-@query("select * from (values ('2024-02-29', 'dd/MM/yyyy', '29/02/2024', '2024-02-29T00:00:00Z'), ('29/02/2023', 'dd/MM/yyyy', null, null), ('1/2/2024', 'd.M.yyyy', '1.2.2024', '2024-02-01T00:00:00Z'), ('01-12-2024', 'yyyy-MM-dd', '2024-12-01', '2024-12-01T00:00:00Z'), ('3.4.2024', 'dd-MM-yyyy', '03-04-2024', '2024-04-03T00:00:00Z'), ('02/03/24', 'dd/MM/yyyy', null, null), ('31/12/2024', 'dd/MM-yyyy', null, '2024-12-31T00:00:00Z'), ('domani', 'dd/MM/yyyy', null, null)) t(v, p, shown, iso)")
-def fm_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = formats.strict_date(F.col("v"))
-    return rows(spark, DATES + " as t(v, p)").select("v", "p", formats.shown_date(day, F.col("p")).alias("shown"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("iso"))
-
-
-_MASKED = ", ".join(f"({k}, '{('nato il ' + '_' * (1 + k % 3) + ' ' * (k % 2) + '/' + '_' * (1 + k % 2) + '/ ' + '_' * (1 + k % 5) + ' a ___ ') * (k % 4)}')" for k in range(24))
-
-
-@query(f"select k, len(regexp_extract_all(line, '_{{1,2}} */ *_{{1,2}} */ *_{{2,4}}'))::bigint as masks from (values {_MASKED}) t(k, line)")
-def fm_date_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, _MASKED + " as t(k, line)").select("k", F.size(formats.date_masks(F.col("line"))).cast("long").alias("masks"))
-
 
 @query("select event_id, round_even(v, 0) + 0.0 as r from (select event_id, floor(value * 2) / 2 - 20 as v from events)")
 def fm_round(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,40 +31,6 @@ def fm_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", formats.rounded(F.floor(F.col("value") * 2) / 2 - 20).alias("r"))
 
 
-_PROFILE = """('a.json', '{"profilo": {"ragione": "Rossi", "piva": "", "sedi": ["Roma", "Pisa"], "cap": "00100"}, "prova": false}'), ('b.json', '{"azienda": {"ragione": "Verdi", "x": null}, "prova": true}'), ('c.json', '{"ragione": "Bianchi", "n": 5}')"""
-
-
-@query("select * from (values ('a.json', 'profilo', 'ragione', 'Rossi', 'ok'), ('a.json', 'profilo', 'piva', null, 'empty'), ('a.json', 'profilo', 'sedi', null, 'nested'), ('a.json', 'profilo', 'cap', '00100', 'ok'), ('b.json', 'azienda', 'ragione', 'Verdi', 'ok'), ('b.json', 'azienda', 'x', null, 'empty'), ('c.json', '', 'ragione', 'Bianchi', 'ok'), ('c.json', '', 'n', '5', 'ok')) t(file, section, key, value, status)")
-def io_profile_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.facts(rows(spark, _PROFILE + " as t(file, raw)")).select("file", "section", "key", "value", "status")
-
-
-@query("select * from (values ('a.json', 'Rossi'), ('c.json', null)) t(file, name)")
-def io_profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real = profiles.real_profiles(rows(spark, _PROFILE + " as t(file, raw)"))
-    return real.select("file", profiles.path_value(F.col("raw"), "profilo.ragione").alias("name"))
-
-
-@query("select * from (values ('f', 'a.b', '2'), ('f', 'a.c', '3'), ('f', 'z', '9')) t(file, path, value)")
-def io_path_get_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = rows(spark, "('f', 'a.b', '1'), ('f', 'a.c', '3') as t(file, path, value)")
-    return profiles.with_path(facts, rows(spark, "('f', 'a.b', '2'), ('f', 'z', '9') as t(file, path, value)"), ["file"])
-
-
-@query("select * from (values ('k1', 'old'), ('k2', 'new')) t(k, v)")
-def io_profile_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.seeded(rows(spark, "('k1', 'old') as t(k, v)"), rows(spark, "('k1', 'new'), ('k2', 'new') as t(k, v)"), "k")
-
-
-_CASES = ", ".join(f"('{k}', '" + '{"lavoro_corrente": ' + ('{"a": 1}' if k % 3 else '{ }') + ', "scenari": {"gara_' + str(k) + '": {"b": 2}, "x.y": {"c": 3}, "vuoto": {}, "testo": "t"' + (', "altra_gara": {"d": {}}' if k % 2 else '') + "}}')" for k in range(12))
-
-
-@query("select k::varchar as file, unnest(list_concat(case when k % 3 <> 0 then ['lavoro_corrente'] else [] end, ['scenari.gara_' || k], case when k % 2 = 1 then ['scenari.altra_gara'] else [] end)) as path, unnest(list_concat(case when k % 3 <> 0 then ['Lavoro corrente'] else [] end, ['Scenario: gara ' || k], case when k % 2 = 1 then ['Scenario: altra gara'] else [] end)) as label from range(12) t(k)")
-def fm_path_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cases of a profile that can be chosen: neither empty ones nor names with a dot."""
-    return profiles.cases(rows(spark, _CASES + " as t(file, raw)")).select("file", "path", "label")
-
-
 _KIND_OF = "case l_linenumber when 1 then 'bool' when 2 then 'int' when 3 then 'float' else 'text' end as kind"
 _TEXT_OF = "case l_linenumber when 1 then 'true' when 2 then case when l_tax = 0 then '0' else '7' end when 3 then case when l_discount > 0.05 then 'NaN' when l_discount > 0.02 then 'inf' else '0.0' end else case when l_returnflag = 'R' then ' ' else l_linestatus end end as v"
 
@@ -112,31 +47,6 @@ def fm_strip_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text of forms
 
 
-@query("select * from (values ('via', 'Via Roma 1', 'Roma 1'), ('via', 'Viale Roma', 'Viale Roma'), ('Roma', 'Roma', 'Roma'), ('', 'x', 'x')) t(label, value, out)")
-def sc_strip_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "('via', 'Via Roma 1'), ('via', 'Viale Roma'), ('Roma', 'Roma'), ('', 'x') as t(label, value)").select("label", "value", T.without_echo(F.col("label"), F.col("value")).alias("out"))
-
-
-@query("select * from (values ('sede in via', 'Via Roma', 1), ('nato a Roma il', 'Roma il 3', 2), ('x', 'y', 0)) t(before, value, n)")
-def sc_echo_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "('sede in via', 'Via Roma'), ('nato a Roma il', 'Roma il 3'), ('x', 'y') as t(before, value)").select("before", "value", T.echo_length(F.col("before"), F.col("value")).cast("long").alias("n"))
-
-
-@query("select * from (values (1, 'nato a [ Roma ] il ___ prov ___'), (2, 'firma ___')) t(id, line)")
-def sc_fill_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "(1, 'nato a «QUI» il «12:4» prov ____', 'Roma'), (2, 'firma ......', 'x') as t(id, line, v)").select("id", T.filled_sentence(F.col("line"), F.col("v")).alias("line"))
-
-
-@query("select * from (values (1, 'prov', 'nato a'), (2, 'solo', 'solo')) t(id, left_, right_)")
-def sc_label_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "(1, 'nato a ____ il .... prov'), (2, 'solo') as t(id, s)").select("id", T.clean_label(F.col("s"), True).alias("left_"), T.clean_label(F.col("s"), False).alias("right_"))
-
-
-@query("""select * from (values (1, '{"b": 2}'), (2, '{"a": 1}'), (3, 'niente')) t(id, block)""")
-def sc_json_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, """(1, 'x ```json {"a": 1}``` y ```{"b": 2}```'), (2, 'ecco {"a": 1} fine'), (3, 'niente') as t(id, s)""").select("id", T.last_fenced_block(F.col("s")).alias("block"))
-
-
 # Measured pages
 
 @query("select page, round_even(size, 0) as body from (select l_orderkey as page, l_quantity / 4 as size from lineitem) group by page, round_even(size, 0) qualify row_number() over (partition by page order by count(*) desc, round_even(size, 0)) = 1")
@@ -156,11 +66,6 @@ def ag_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.row_steps(dots).withColumn("regular", F.round("regular", 6))
 
 
-@query("select * from (values (1, 'nome'), (2, 'cognome')) t(id, label)")
-def wn_prev_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.labels_between(rows(spark, "(1, 1, 'nome ____ cognome ____', 5, 9), (1, 2, 'nome ____ cognome ____', 18, 22) as t(par, id, text, start, end)"), ["par"], "start", "end", "text").select("id", "label")
-
-
 @query("select o_orderkey as id, case when trim(a) <> '' then trim(a) when trim(b) <> '' then trim(b) else name end as label from (select *, case when o_orderstatus = 'F' then ' ' || o_orderpriority when o_orderstatus = 'P' then '  ' end as a, case when o_orderkey % 3 = 0 then 'sopra' end as b, 'w' || o_custkey as name from orders)")
 def wn_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A widget's printed labels, left then above, before its internal name."""
@@ -183,23 +88,6 @@ def io_pdf_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rules and writers
 
 
-@query("select * from (values ('a', 2), ('b', 2)) t(id, n)")
-def ag_repeated_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = rows(spark, "('a', 1, 'cognome', 10.0, 50.0, 100.0), ('b', 1, 'cognome', 10.2, 50.1, 120.0), ('c', 1, 'nome', 60.0, 90.0, 100.0), ('d', 1, 'cap', 0.0, 9.0, 1.0), ('e', 1, 'cap', 0.0, 9.0, 1.2) as t(id, page, key, x0, x1, y0)")
-    return rules.repeated_columns(f).select("id", F.col("rows").alias("n"))
-
-
-@query("select * from (values (1, 'unknown slot'), (2, 'checkbox'), (3, 'blank'), (4, 'excluded section'), (5, 'provenance'), (6, 'cap: 5 digits'), (7, null)) t(id, reason)")
-def vd_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = "(1, null, 'x', 'x', 'v', array('v')), (2, 'casella', 'x', 'x', 'v', array('v')), (3, 'area', 'x', 'x', ' ', array('v')), (4, 'area', 'lavoratori transfrontalieri', 'x', 'v', array('v')), (5, 'area', 'x', 'x', 'Bianchi', array('Rossi')), (6, 'area', 'x', 'CAP', '001', array('001')), (7, 'area', 'x', 'nome', 'Rossi', array('Rossi SRL')) as t(id, kind, line, before, value, sources)"
-    return rules.gate(rows(spark, p)).select("id", "reason")
-
-
-@query("select * from (values ('f', 1, 'corto', null), ('f', 2, 'v. all. 1', 'molto lungo'), ('f', 3, 'v. all. 2', 'anche questo')) t(form, id, shown, appendix)")
-def wr_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.overflow(rows(spark, "('f', 1, 'corto', 10), ('f', 2, 'molto lungo', 5), ('f', 3, 'anche questo', 5) as t(form, id, value, room)"))
-
-
 @query("select * from (values (1, 'nome Rossi cognome Verdi')) t(par, text)")
 def wr_docx_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of a paragraph, those that overlap left out, spliced from right to left."""
@@ -234,25 +122,6 @@ def ud_projection_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Places, writers and reports
 
 
-@query("select * from (values (1, 40.0::double, 0.0::double, 20.0::double)) t(page, x, top, low)")
-def wn_grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = rows(spark, "(1, 0.0, 0.0, 40.0), (1, 10.0, 0.0, 40.0), (1, 20.0, 0.0, 40.0) as t(page, y, from, to)")
-    found = geometry.completed_grid(bars, rows(spark, "(1, 0.2, 0.0, 20.0), (1, 20.0, 0.0, 20.0) as t(page, x, from, to)"))
-    return found.select("page", "x", F.col("from").alias("top"), F.col("to").alias("low"))
-
-
-@query("select clip, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as n from (values (1, 3, 4, 10), (1, 5, 9, 159), (1, 0, 0, 255), (2, 1, 1, 160)) t(clip, x, y, value) where value < 160 group by clip")
-def io_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.ink(rows(spark, "(1, 3, 4, 10), (1, 5, 9, 159), (1, 0, 0, 255), (2, 1, 1, 160) as t(clip, x, y, value)"))
-
-
-@query("select * from (values (1, 10.0::double), (2, 8.0::double), (3, null)) t(id, size)")
-def fm_text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "(1, 'iii', 20.0), (2, 'mmmm', 32.0), (3, 'mmmm', 2.0) as t(id, s, room)")
-    widths = F.create_map(F.lit("i"), F.lit(0.25), F.lit("m"), F.lit(1.0))
-    return t.select("id", geometry.fitting_size(F.col("s"), widths, F.col("room")).alias("size"))
-
-
 _WRITES = "case l_linenumber when 1 then 'celle' when 2 then 'casella' when 3 then 'riempimento' when 4 then 'tratto' when 5 then 'area' else 'widget' end"
 
 
@@ -385,14 +254,6 @@ def io_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.report_lines(forms, opened)
 
 
-@query("select * from (values ('p', 3)) t(doc, places)")
-def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map of a document: pages, numbered lines and places, bound to its hash."""
-    lines = rows(spark, "('p', 0, 'nome ____ cognome ____'), ('p', 1, 'data ____') as t(doc, n, line)")
-    places = lines.select("doc", "n", F.explode(sequences.filler_runs(F.col("line"))).alias("run"))
-    return sequences.numbered(places, ["doc"], ["n", "run"]).groupBy("doc").agg(F.max("number").alias("places"))
-
-
 @query("select l_returnflag as k, count(*) as n from lineitem group by 1")
 def io_atomic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table published to a new folder, all of it or nothing, and read again."""

@@ -379,3 +379,239 @@ def io_signed_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = derived(spark, sf_dir, _FILES)
     return files.select("id", documents.signed(F.col("c").cast("binary")).alias("signed"))
+
+
+# Formats of values
+
+
+_IBANS = "select c_custkey as id, concat(case when c_custkey % 5 = 0 then 'de' when c_custkey % 50 = 1 then '' else 'IT' end, lpad(cast(c_custkey % 97 + 2 as varchar(20)), 2, '0'), 'X', lpad(cast(c_custkey * 7919 as varchar(20)), 22, '0')) as v from {customer}"
+
+
+def _iban_sql(v: str) -> str:
+    """SQL for the remainder of 97 over the letters as numbers."""
+    return f"coalesce(regexp_full_match(upper({v}), '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') and list_reduce(list_prepend(0, list_transform(string_split(substring(upper({v}), 5) || substring(upper({v}), 1, 4), ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda a, d: case when d < 10 then (a * 10 + d) % 97 else (a * 100 + d) % 97 end) = 1, false)"
+
+
+@query(f"select id, {_iban_sql('v')} as valid from ({duck(_IBANS)})")
+def fm_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _IBANS).select("id", formats.iban_valid(F.col("v")).alias("valid"))
+
+
+_LABELS = ("C.A.P.", "CAP", "PEC", "indirizzo e-mail", "codice fiscale", "C.F.", "P. IVA", "partita IVA", "tel.", "telefono", "IBAN", "conto", "nome")
+_ASKED = f"select c_custkey as id, case c_custkey % 13 {' '.join(f'when {k} then {v!r}' for k, v in enumerate(_LABELS))} end as label, case floor(c_custkey / 13) % 8 when 0 then lpad(cast(c_custkey as varchar(20)), 5, '0') when 1 then c_name when 2 then concat(c_name, '@b.it') when 3 then lpad(cast(c_custkey as varchar(20)), 11, '0') when 4 then concat('IT', lpad(cast(c_custkey as varchar(20)), 11, '0')) when 5 then 'IT60X0542811101000000123456' when 6 then 'IT60 X054-28111.01000000123457' else concat('06 ', cast(c_custkey as varchar(20)), '0000') end as value from {{customer}}"
+
+
+@query(f"""with a as (select *, regexp_replace(value, '[-/.\\s]', '', 'g') as bare from ({duck(_ASKED)}))
+select id, coalesce(case when label in ('C.A.P.', 'CAP') then case when not regexp_full_match(bare, '[0-9]{{5}}') then 'cap: 5 digits' end when label = 'IBAN' then case when not {_iban_sql('bare')} then 'iban: not valid' end
+  when label in ('PEC', 'indirizzo e-mail') then case when not contains(value, '@') then 'mail: no @' end when label in ('codice fiscale', 'C.F.') then case when not regexp_full_match(bare, '[A-Za-z0-9]{{16}}|[0-9]{{11}}') then 'tax code: 16 characters or 11 digits' end
+  when label in ('P. IVA', 'partita IVA') then case when not regexp_full_match(bare, '([iI][tT])?[0-9]{{11}}') then 'vat: 11 digits' end
+  when label in ('tel.', 'telefono') then case when regexp_matches(value, '[A-Za-z]') or length(regexp_replace(value, '[^0-9]', '', 'g')) < 6 then 'phone: digits' end end,
+  case when regexp_full_match(bare, '[A-Za-z]{{2}}[0-9]{{2}}[A-Za-z0-9]{{11,30}}') and not {_iban_sql('bare')} then 'looks like an iban' end) as reason from a""")
+def fm_format_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format that each value breaks under its label."""
+    return derived(spark, sf_dir, _ASKED).select("id", formats.format_problem(F.col("label"), F.col("value")).alias("reason"))
+
+
+_DAYS = "select o_orderkey as id, o_orderdate as d, o_orderkey % 6 as form, case floor(o_orderkey / 6) % 5 when 0 then 'dd/MM/yyyy' when 1 then 'd.M.yyyy' when 2 then 'yyyy-MM-dd' when 3 then 'dd/MM-yyyy' else 'yyyy/M/d' end as p from {orders}"
+
+
+@query(f"""with v as (select *, form not in (4, 5) as ok from ({duck(_DAYS)}))
+select id, case when ok then case p when 'dd/MM/yyyy' then strftime(d, '%d/%m/%Y') when 'd.M.yyyy' then strftime(d, '%-d.%-m.%Y') when 'yyyy-MM-dd' then strftime(d, '%Y-%m-%d') when 'yyyy/M/d' then strftime(d, '%Y/%-m/%-d') end end as shown, case when ok then strftime(d, '%Y-%m-%d') || 'T00:00:00Z' end as iso from v""")
+def fm_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in four forms, and two that are none, shown by a pattern and in full."""
+    d = F.col("d")
+    forms = ["yyyy-MM-dd", "d/M/yyyy", "dd-MM-yyyy", "d.M.yyyy", "dd/MM/yy"]
+    text = F.coalesce(*[F.when(F.col("form") == k, F.date_format(d, f)) for k, f in enumerate(forms)], F.concat(F.lit("32/"), F.date_format(d, "MM/yyyy")))
+    day = formats.strict_date(F.col("v"))
+    rows = derived(spark, sf_dir, _DAYS).withColumn("v", text)
+    return rows.select("id", formats.shown_date(day, F.col("p")).alias("shown"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("iso"))
+
+
+_MASKS = "select o_orderkey as id, repeat(concat('nato il ', repeat('_', cast(1 + o_orderkey % 3 as int)), repeat(' ', cast(o_orderkey % 2 as int)), '/', repeat('_', cast(1 + o_custkey % 2 as int)), '/ ', repeat('_', cast(1 + o_custkey % 5 as int)), ' a ___ '), cast(o_orderkey % 4 as int)) as line from {orders}"
+
+
+@query(f"select id, len(regexp_extract_all(line, '_{{1,2}} */ *_{{1,2}} */ *_{{2,4}}'))::bigint as masks from ({duck(_MASKS)})")
+def fm_date_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _MASKS).select("id", F.size(formats.date_masks(F.col("line"))).cast("long").alias("masks"))
+
+
+_WIDTHS = {"i": 0.25, "l": 0.25, "m": 1.0, "w": 0.75, "t": 0.375}
+
+
+@query(f"with p as (select p_partkey as id, list_sum(list_transform(string_split(p_name, ''), lambda c: case c {' '.join(f'when {k!r} then {v}' for k, v in _WIDTHS.items())} else 0.5 end))::double as ems, (10 + p_size)::double as room from part) select id, list_filter(list_transform(range(0, 23), lambda k: 10.0::double - k * 0.25::double), lambda s: s * ems <= room)[1] as size from p")
+def fm_text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest size at which each name fits its place."""
+    widths = F.create_map(*[F.lit(x) for kv in _WIDTHS.items() for x in kv])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), geometry.fitting_size(F.col("p_name"), widths, (F.col("p_size") + 10).cast("double")).alias("size"))
+
+
+# Profiles
+
+
+_PROFILES = """select c_custkey as file, case c_custkey % 3 when 0 then concat('{{"profilo": {{"ragione": "', c_name, '", "piva": "", "sedi": ["Roma", "', c_mktsegment, '"], "cap": "', lpad(cast(c_custkey as varchar(20)), 5, '0'), '"}}, "prova": false}}')
+  when 1 then concat('{{"azienda": {{"ragione": "', c_name, '", "x": null}}, "prova": true}}') else concat('{{"ragione": "', c_name, '", "n": ', cast(c_nationkey as varchar(20)), '}}') end as raw from {customer}"""
+
+
+@query(
+    """select c_custkey as file, u.section, u.key, u.value, u.status from (select c_custkey, unnest(case c_custkey % 3
+  when 0 then [{'section': 'profilo', 'key': 'ragione', 'value': c_name, 'status': 'ok'}, {'section': 'profilo', 'key': 'piva', 'value': null, 'status': 'empty'}, {'section': 'profilo', 'key': 'sedi', 'value': null, 'status': 'nested'}, {'section': 'profilo', 'key': 'cap', 'value': lpad(c_custkey::varchar, 5, '0'), 'status': 'ok'}]
+  when 1 then [{'section': 'azienda', 'key': 'ragione', 'value': c_name, 'status': 'ok'}, {'section': 'azienda', 'key': 'x', 'value': null, 'status': 'empty'}]
+  else [{'section': '', 'key': 'ragione', 'value': c_name, 'status': 'ok'}, {'section': '', 'key': 'n', 'value': c_nationkey::varchar, 'status': 'ok'}] end) as u from customer)"""
+)
+def io_profile_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each profile's section, and which of them are facts."""
+    return profiles.facts(derived(spark, sf_dir, _PROFILES)).select("file", "section", "key", "value", "status")
+
+
+@query("select c_custkey as file, case when c_custkey % 3 = 0 then c_name end as name from customer where c_custkey % 3 <> 1")
+def io_profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles that are not marked as tests, and the value at a path."""
+    real = profiles.real_profiles(derived(spark, sf_dir, _PROFILES))
+    return real.select("file", profiles.path_value(F.col("raw"), "profilo.ragione").alias("name"))
+
+
+@query("select c_custkey as file, 'a.b' as path, case when c_acctbal < 0 then 'rosso' else c_mktsegment end as value from customer union all select c_custkey, 'a.c', c_name from customer union all select c_custkey, 'z', c_nationkey::varchar from customer where c_acctbal < 0")
+def io_path_get_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of all customers after setting two paths of those in debt: one replaces, one is new."""
+    facts = derived(spark, sf_dir, "select c_custkey as file, 'a.b' as path, c_mktsegment as value from {customer} union all select c_custkey, 'a.c', c_name from {customer}")
+    changes = derived(spark, sf_dir, "select c_custkey as file, 'a.b' as path, 'rosso' as value from {customer} where c_acctbal < 0 union all select c_custkey, 'z', cast(c_nationkey as string) from {customer} where c_acctbal < 0")
+    return profiles.with_path(facts, changes, ["file"])
+
+
+@query("with s as (select c_custkey % 100000 as k, c_name as v from customer where c_acctbal > 0) select k, v from s union all select o_custkey, 'new' from (select distinct o_custkey from orders) where o_custkey not in (select k from s)")
+def io_profile_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are there stay; of those offered only the missing ones come in."""
+    existing = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select((F.col("c_custkey") % 100000).alias("k"), F.col("c_name").alias("v"))
+    offered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct().withColumn("v", F.lit("new"))
+    return profiles.seeded(existing, offered, "k")
+
+
+_CASES = """select c_custkey as file, concat('{{"lavoro_corrente": ', case when c_custkey % 3 = 0 then '{{ }}' else '{{"a": 1}}' end, ', "scenari": {{"gara_', cast(c_custkey as varchar(20)), '": {{"b": 2}}, "x.y": {{"c": 3}}, "vuoto": {{}}, "testo": "t"', case when c_acctbal < 0 then ', "altra_gara": {{"d": {{}}}}' else '' end, '}}}}') as raw from {customer}"""
+
+
+@query("select c_custkey as file, unnest(list_concat(case when c_custkey % 3 <> 0 then ['lavoro_corrente'] else [] end, ['scenari.gara_' || c_custkey], case when c_acctbal < 0 then ['scenari.altra_gara'] else [] end)) as path, unnest(list_concat(case when c_custkey % 3 <> 0 then ['Lavoro corrente'] else [] end, ['Scenario: gara ' || c_custkey], case when c_acctbal < 0 then ['Scenario: altra gara'] else [] end)) as label from customer")
+def fm_path_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of each profile that can be chosen: neither empty ones nor names with a dot."""
+    return profiles.cases(derived(spark, sf_dir, _CASES)).select("file", "path", "label")
+
+
+# Texts of forms
+
+
+@query(f"with {views.LINES_SQL}, v as (select doc_id, n, line, string_split(line, ' ')[1] as label from lines) select doc_id, n, case when length(label) > 0 and starts_with(lower(line), lower(label) || ' ') and ltrim(substr(line, length(label) + 2), ' ') <> '' then ltrim(substr(line, length(label) + 1), ' ') else line end as out from v")
+def sc_strip_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line without the first word, as if that were its label."""
+    return views.lines(spark, sf_dir).select("doc_id", "n", T.without_echo(F.substring_index("line", " ", 1), F.col("line")).alias("out"))
+
+
+_ECHOES = "select o_orderkey as id, concat('sede in via ', o_orderstatus, ' numero ', cast(o_custkey % 7 as varchar(20))) as a, concat(case when o_custkey % 4 > 0 then concat(case when o_custkey % 4 > 1 then concat(case when o_custkey % 4 > 2 then 'P ' else '' end, 'Numero ') else '' end, cast(o_orderkey % 7 as varchar(20))) else 'altro' end, ' resto') as b from {orders}"
+
+
+@query(f"with w as (select id, string_split(lower(a), ' ') as a, string_split(lower(b), ' ') as b from ({duck(_ECHOES)})) select id, coalesce(list_max(list_filter([1, 2, 3, 4], lambda k: len(a) >= k and len(b) >= k and a[len(a) - k + 1 : len(a)] = b[1 : k])), 0)::bigint as n from w")
+def sc_echo_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a value's head repeats of the text before it."""
+    return derived(spark, sf_dir, _ECHOES).select("id", T.echo_length(F.col("a"), F.col("b")).cast("long").alias("n"))
+
+
+@query(f"with {views.LINES_SQL}, v as (select doc_id, n, translate(line, '#%', '_.') as s from lines) select doc_id, n, trim(regexp_replace(s, '^.*{_FILLER}', '')) as left_, trim(regexp_replace(s, '{_FILLER}.*$', '')) as right_ from v")
+def sc_label_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands after the last and before the first filler run of each line."""
+    s = F.translate("line", "#%", "_.")
+    return views.lines(spark, sf_dir).select("doc_id", "n", T.clean_label(s, True).alias("left_"), T.clean_label(s, False).alias("right_"))
+
+
+_SENTENCES = "select c_custkey as id, concat(c_mktsegment, ' «QUI»  il «', cast(c_nationkey as varchar(20)), ':4» prov ____ ', case when c_acctbal < 0 then '......' else '- - - -' end, ' fine') as line, c_name as v from {customer}"
+
+
+@query(f"select id, left(trim(c_mktsegment || ' [ ' || v || ' ] il ___ prov ___ ' || '___ ' || 'fine'), 130) as line from ({duck(_SENTENCES)}) join customer on c_custkey = id")
+def sc_fill_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each form line as one reads it, its own mark filled in."""
+    return derived(spark, sf_dir, _SENTENCES).select("id", T.filled_sentence(F.col("line"), F.col("v")).alias("line"))
+
+
+_ANSWERS = """select event_id as id, case event_id % 4 when 0 then concat('x ```json ', props, '``` y ```{{"b": ', cast(user_id as varchar(20)), '}}```') when 1 then concat('ecco ', props, ' fine') when 2 then concat('```', chr(10), props, ' ``` e poi') else event_type end as s from {events}"""
+
+
+@query("""select event_id as id, case event_id % 4 when 0 then '{"b": ' || user_id || '}' when 1 then props when 2 then props else event_type end as block from events""")
+def sc_json_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fenced block of each answer, else its braces, else all of it."""
+    return derived(spark, sf_dir, _ANSWERS).select("id", T.last_fenced_block(F.col("s")).alias("block"))
+
+
+# Places in paragraphs, proposals and overflow
+
+
+@query("select o_orderkey as par, k as id, case k when 1 then o_orderpriority when 2 then 'stato ' || o_orderstatus else 'numero' end as label from orders, (select unnest([1, 2, 3]) as k)")
+def wn_prev_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text before each of the three places of each order's paragraph."""
+    text = F.concat("o_orderpriority", F.lit(" ____ stato "), "o_orderstatus", F.lit(" ____ numero ____"))
+    first = F.length("o_orderpriority") + 1
+    starts = F.array(first, first + 12 + F.length("o_orderstatus"), first + 24 + F.length("o_orderstatus"))
+    slots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("par"), text.alias("text"), F.posexplode(starts).alias("k", "start"))
+    slots = slots.select("par", (F.col("k") + 1).alias("id"), "text", "start", (F.col("start") + 4).alias("end"))
+    return sequences.labels_between(slots, ["par"], "start", "end", "text").select("par", "id", "label")
+
+
+_COLUMNS = f"select page, id, concat('k', cast(p % 3 as varchar(20))) as key, cast(floor(x0 / 40) * 40 as double) as x0, cast(floor(x0 / 40) * 40 + 30 as double) as x1, y0 from ({BOXES}) b"
+
+
+@query(f"with f as (select *, round_even(y0, 0) as y from ({duck(_COLUMNS)})), m as (select page, key, x0, x1, count(*) as n from f group by all having count(distinct y) >= 2) select page, id, n from f join m using (page, key, x0, x1)")
+def ag_repeated_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a column that repeats on several rows, and how many there are."""
+    return rules.repeated_columns(derived(spark, sf_dir, _COLUMNS)).select("page", "id", F.col("rows").alias("n"))
+
+
+_PROPOSALS = "select c_custkey as id, case c_custkey % 7 when 0 then null when 1 then 'casella' else 'area' end as kind, case when c_custkey % 7 = 2 then 'lavoratori transfrontalieri' else 'dati' end as line, case when c_custkey % 2 = 0 then 'CAP' else 'nome' end as before, case when c_acctbal < 0 then ' ' when c_acctbal < 2000 then 'Bianchi' else c_name end as value, c_name as own from {customer}"
+
+
+@query(f"select id, case when kind is null then 'unknown slot' when kind = 'casella' then 'checkbox' when trim(value) = '' then 'blank' when line <> 'dati' then 'excluded section' when value <> own then 'provenance' when before = 'CAP' then 'cap: 5 digits' end as reason from ({duck(_PROPOSALS)})")
+def vd_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stops each proposal, in the gates' order."""
+    return rules.gate(derived(spark, sf_dir, _PROPOSALS).withColumn("sources", F.array("own"))).select("id", "reason")
+
+
+@query("with w as (select o_custkey as form, o_orderkey as id, o_orderpriority || ' ' || o_orderkey as value, 8 + o_orderkey % 9 as room from orders) select form, id, case when length(value) > room then 'v. all. ' || row_number() over (partition by form, length(value) > room order by id) else value end as shown, case when length(value) > room then value end as appendix from w")
+def wr_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values too long for their place, in a numbered appendix of their form."""
+    from formlake.operators import plan
+
+    o = table(spark, sf_dir, "orders")
+    return plan.overflow(o.select(F.col("o_custkey").alias("form"), F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string")).alias("value"), (F.col("o_orderkey") % 9 + 8).alias("room")))
+
+
+_PIXELS = "select cast(floor(l_orderkey / 16) as bigint) as clip, l_suppkey % 64 as x, l_partkey % 64 as y, cast(floor(l_extendedprice) as bigint) % 256 as value from {lineitem}"
+
+
+@query(f"select clip, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as n from ({duck(_PIXELS)}) where value < 160 group by clip")
+def io_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box and number of the dark pixels of each clip."""
+    return geometry.ink(derived(spark, sf_dir, _PIXELS))
+
+
+#: Tables of bars: those of one customer, most of one width; uprights stand at some ends.
+_OPEN_BARS = "select o_custkey as page, cast(row_number() over (partition by o_custkey order by o_orderkey) * 10 as double) as y, 0.0 as f, case when o_orderkey % 11 = 0 then 70.0 else 40.0 end as t from {orders}"
+_OPEN_UPRIGHTS = "select c_custkey as page, case when c_acctbal < 0 then 0.25 when c_acctbal < 5000 then 40.25 else 20.0 end as x, 0.0 as f, 90.0 as t from {customer}"
+
+
+@query(f"""with b as (select page, y, f::double as f, t::double as t from ({duck(_OPEN_BARS)})), u as (select page, x::double as x from ({duck(_OPEN_UPRIGHTS)})),
+s as (select page, round_even(f, 0) as a, round_even(t, 0) as z, count(*) as n, min(y) as top, max(y) as low, min(f) as x0, max(t) as x1 from b group by 1, 2, 3), n as (select page, count(*) as bars from b group by 1),
+e as (select page, unnest([x0, x1]) as x, top, low from s join n using (page) where s.n >= 3 and s.n >= 0.75 * bars)
+select page, x, top, low from e where not exists (select 1 from u where u.page = e.page and abs(u.x - e.x) <= 0.6)""")
+def wn_grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outer uprights that open tables lack."""
+    as_doubles = lambda df, *cs: df.withColumns({c: F.col(c).cast("double") for c in cs}).withColumnsRenamed({"f": "from", "t": "to"})
+    found = geometry.completed_grid(as_doubles(derived(spark, sf_dir, _OPEN_BARS), "y", "f", "t"), as_doubles(derived(spark, sf_dir, _OPEN_UPRIGHTS), "x", "f", "t"))
+    return found.select("page", "x", F.col("from").alias("top"), F.col("to").alias("low"))
+
+
+_FILL_SQL = "(" + "|".join(f"{m}(?: *{m}){{3,}}" for m in ("_", r"\.", "-", "#", "%", r"\*", r"\$", "&")) + ")"
+
+
+@query(f"with {views.LINES_SQL}, r as (select doc_id, n, unnest(regexp_extract_all(replace(line, '#', '__'), '{_FILL_SQL}')) as run, generate_subscripts(regexp_extract_all(replace(line, '#', '__'), '{_FILL_SQL}'), 1) as k from lines) select doc_id as doc, count(*) as places, sha256(string_agg(n || ':' || run, chr(10) order by n, k)) as digest from r group by doc_id")
+def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of each document: its numbered places, bound to a digest of all of them in order."""
+    lines = views.lines(spark, sf_dir)
+    places = lines.select("doc_id", "n", F.posexplode(sequences.filler_runs(F.replace("line", F.lit("#"), F.lit("__")))).alias("k", "run"))
+    found = F.array_sort(F.collect_list(F.struct("n", "k", "run")))
+    maps = places.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("places"), found.alias("p"))
+    return maps.select("doc", "places", F.sha2(F.array_join(F.transform("p", lambda z: F.concat(z["n"].cast("string"), F.lit(":"), z["run"])), "\n"), 256).alias("digest"))

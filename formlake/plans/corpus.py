@@ -753,15 +753,6 @@ def st_snapshot_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.snapshot_difference(count(d), count(d.filter("n_chars > 100")), ["k"], "v")
 
 
-@query(f"with {LINES_SQL} select doc_id, n, case when b.text is null then 'removed' else 'changed' end as change from lines left join benchmark b on b.item_id = lines.n where b.text is distinct from line")
-def au_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that differ from the expected ones, place by place."""
-    rows = views.lines(spark, sf_dir)
-    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("wanted"))
-    out = rows.join(wanted, "n", "left").filter(~F.col("line").eqNullSafe(F.col("wanted")))
-    return out.select("doc_id", "n", F.when(F.col("wanted").isNull(), "removed").otherwise("changed").alias("change"))
-
-
 @query("with c as (select doc_id as form, sum((quality = 1)::int) as v, max(toxic) as d from labels group by 1) select form, case when v = 0 then 'non_compilato' when d = 1 then 'da_verificare' else 'compilato' end as verdict from c")
 def au_word_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.word_verdict(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("form"), (F.col("quality") == 1).alias("verified"), (F.col("toxic") == 1).alias("doubtful")))

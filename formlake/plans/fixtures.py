@@ -88,14 +88,6 @@ def io_pdf_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rules and writers
 
 
-@query("select * from (values (1, 'nome Rossi cognome Verdi')) t(par, text)")
-def wr_docx_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of a paragraph, those that overlap left out, spliced from right to left."""
-    e = sequences.overlapping_edits(rows(spark, "(1, 5, 9, 'Rossi'), (1, 18, 22, 'Verdi'), (1, 30, 36, 'x'), (1, 34, 38, 'y') as t(par, start, end, value)"), ["par"], "start", "end").filter("not clash")
-    edits = e.groupBy("par").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("from"), F.col("end").cast("int").alias("until"), "value")).alias("edits"))
-    return rows(spark, "(1, 'nome ____ cognome ____') as t(par, text)").join(edits, "par").select("par", sequences.spliced(F.col("text"), F.col("edits")).alias("text"))
-
-
 _PROGRAM = """
 'what a form writes for a customer'
 code, level = name[-4:], 'alto' if balance > 5000 and segment not in ['MACHINERY', 'BUILDING'] else 'basso' if 0 < balance else 'rosso'
@@ -175,61 +167,56 @@ def wn_word_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.lines(spark, sf_dir).select("doc_id", "n", documents.point_kind(F.col("line")).alias("kind"))
 
 
-#: Paragraphs of a Word file, in two runs each.
-_PARAGRAPHS = [f"{'campo' if k % 3 else 'il & sottoscritto'} {k}: {'____' if k % 2 else 'testo'} {'fine ____' if k % 5 == 0 else ''}" for k in range(24)] + ["", "<a>", "è"]
-_PARAGRAPHS_SQL = "(values " + ", ".join(f"({n}, '{t}')" for n, t in enumerate(_PARAGRAPHS)) + ") p(n, text)"
+#: The paragraphs of the documents' Word files.
+_PARAGRAPHS_SQL = "(select doc_id::varchar as path, unnest(range(0, len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as text from documents) p"
 
 
-def _word_file(spark: SparkSession) -> DataFrame:
-    import io
-    import zipfile
-    from xml.sax.saxutils import escape
+def _word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: every document as a Word file, its lines as paragraphs in runs of nine characters."""
+    from formlake.tables import table
 
-    run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
-    body = "".join(f"<w:p>{run(t[:9])}{run(t[9:])}</w:p>" for t in _PARAGRAPHS)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
-    return spark.createDataFrame([("a.docx", bytearray(out.getvalue())), ("b.docx", bytearray(b"no"))], "path string, content binary")
+    return documents.new_word_files(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("texts")))
 
 
-@query(f"select 'a.docx' as path, n, text, '' as warning from {_PARAGRAPHS_SQL} union all select 'b.docx', -1, '', 'not a Word file'")
+@query(f"select path, n, text, '' as warning from {_PARAGRAPHS_SQL} union all select 'page' || page_id, -1, '', 'not a Word file' from pages")
 def io_docx_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.word_paragraphs(_word_file(spark)).select("path", "n", "text", "warning")
+    """The paragraphs of every document's Word file; web pages among the files are none."""
+    from formlake.tables import table
+
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return documents.word_paragraphs(_word_files(spark, sf_dir).unionByName(pages)).select("path", "n", "text", "warning")
 
 
-@query(f"select n, unnest(list_filter(regexp_extract_all(text, '[_.…]{{2,}}'), lambda r: 2 * length(r) >= 5)) as run from {_PARAGRAPHS_SQL}")
+@query(f"select path, n, unnest(list_filter(regexp_extract_all(replace(replace(text, '#', '_'), '*', '.'), '[_.…]{{2,}}'), lambda r: length(r) + length(regexp_replace(r, '[^_]', '', 'g')) >= 5)) as run from {_PARAGRAPHS_SQL}")
 def io_docx_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filler runs of a Word file."""
-    return documents.word_places(documents.word_paragraphs(_word_file(spark))).select("n", "run")
+    """The filler runs of every document's Word file, symbols taken as fillers."""
+    paragraphs = documents.word_paragraphs(_word_files(spark, sf_dir))
+    return documents.word_places(paragraphs.withColumn("text", F.translate("text", "#*", "_."))).select("path", "n", "run")
 
 
 def _word_edits(paragraphs: DataFrame) -> DataFrame:
-    """The first four characters of each paragraph, where odd ones expect something else, and its first filler."""
+    """The first four characters of each paragraph, where odd ones expect something else, and its first filler behind them."""
     head = paragraphs.select("path", "part", "n", F.lit(0).alias("start"), F.lit(4).alias("until"), F.when(F.col("n") % 2 == 0, F.substring("text", 1, 4)).otherwise("zzzz").alias("expected"), F.lit("X").alias("value"))
-    at = F.instr("text", "____") - 1
-    return head.unionByName(paragraphs.filter(at >= 0).select("path", "part", "n", at.alias("start"), (at + 4).alias("until"), F.lit("____").alias("expected"), F.concat(F.lit("V"), F.col("n").cast("string")).alias("value")))
+    at = F.instr("text", "###") - 1
+    return head.unionByName(paragraphs.filter(at >= 4).select("path", "part", "n", at.alias("start"), (at + 3).alias("until"), F.lit("###").alias("expected"), F.concat(F.lit("V"), F.col("n").cast("string")).alias("value")))
 
 
-@query(
-    f"select n, 0 as start, case when length(text) < 4 then 'beyond the text' when n % 2 = 1 then 'text has changed' end as reason from {_PARAGRAPHS_SQL} union all select n, instr(text, '____') - 1, null from {_PARAGRAPHS_SQL} where contains(text, '____')"
-)
-def wr_docx_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits checked against the text they were planned for."""
-    paragraphs = documents.word_paragraphs(_word_file(spark)).filter("n >= 0")
-    return word_writer.planned_edits(paragraphs, _word_edits(paragraphs)).select("n", "start", "reason")
+_AT = "instr(text, '###') - 1"
 
 
-def _saved(spark: SparkSession) -> DataFrame:
-    files = _word_file(spark).filter("path = 'a.docx'")
-    paragraphs = documents.word_paragraphs(files)
-    return word_writer.saved(files, word_writer.planned_edits(paragraphs, _word_edits(paragraphs)))
+@query(f"select path, n, 0 as start, case when length(text) < 4 then 'beyond the text' when n % 2 = 1 then 'text has changed' end as reason from {_PARAGRAPHS_SQL} union all select path, n, {_AT}, null from {_PARAGRAPHS_SQL} where {_AT} >= 4")
+def wr_docx_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of every document's paragraphs, checked against the text they were planned for."""
+    paragraphs = documents.word_paragraphs(_word_files(spark, sf_dir)).filter("n >= 0")
+    return word_writer.planned_edits(paragraphs, _word_edits(paragraphs)).select("path", "n", "start", "reason")
 
 
-@query(f"select n, case when n % 2 = 0 and length(text) >= 4 then 'X' || substr(t, 5) else t end as text from (select n, text, regexp_replace(text, '____', 'V' || n) as t from {_PARAGRAPHS_SQL})")
+@query(f"select path, n, case when n % 2 = 0 and length(text) >= 4 then 'X' || substr(t, 5) else t end as text from (select path, n, text, case when {_AT} >= 4 then substr(text, 1, {_AT}) || 'V' || n || substr(text, {_AT} + 4) else text end as t from {_PARAGRAPHS_SQL})")
 def io_docx_save(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paragraphs of a file that was written and read again."""
-    return documents.word_paragraphs(_saved(spark)).select("n", "text")
+    """The paragraphs of every document's Word file, written and read again."""
+    files = _word_files(spark, sf_dir)
+    paragraphs = documents.word_paragraphs(files)
+    return documents.word_paragraphs(word_writer.saved(files, word_writer.planned_edits(paragraphs, _word_edits(paragraphs)))).select("path", "n", "text")
 
 
 @query("with b as (select *, dense_rank() over (partition by o_custkey order by month(o_orderdate)) as p from orders) select o_orderkey as id, s as state, k as key from (select *, case when o_totalprice > 200000 then 'dubbio' else o_orderstatus end as s, case when o_totalprice < 50000 then null else o_orderpriority end as k from b) where p <= 6 and o_orderkey % 3 = 0 and (s is distinct from o_orderstatus or k is distinct from o_orderpriority)")

@@ -615,3 +615,56 @@ def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.array_sort(F.collect_list(F.struct("n", "k", "run")))
     maps = places.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("places"), found.alias("p"))
     return maps.select("doc", "places", F.sha2(F.array_join(F.transform("p", lambda z: F.concat(z["n"].cast("string"), F.lit(":"), z["run"])), "\n"), 256).alias("digest"))
+
+
+# Edits over runs
+
+
+@query(
+    f"""with {views.LINES_SQL}, runs as (select doc_id, n, k, w || case when k < m then ' ' else '' end as t, w, 'abc'[1 + k % 3] as style from (select doc_id, n, unnest(range(0, len(string_split(line, ' ')))) as k, len(string_split(line, ' ')) - 1 as m, unnest(string_split(line, ' ')) as w from lines)),
+placed as (select *, sum(length(t)) over (partition by doc_id, n order by k) - length(t) as b, lead(w) over (partition by doc_id, n order by k) as nxt from runs),
+edits as (select doc_id, n, b + 1 as s, b + length(t) + 1 as u, 'V' || k as v, style from placed where k % 5 = 2 and w <> '' and coalesce(nxt, '') <> ''),
+chars as (select doc_id, n, b + unnest(range(0, length(t))) as i, unnest(string_split(t, '')) as c, style from placed where t <> ''),
+kept as (select c.* from chars c where not exists (select 1 from edits e where e.doc_id = c.doc_id and e.n = c.n and c.i >= e.s and c.i < e.u)),
+parts as (select doc_id, n, i as pos, 1 as kept, c as t, style as s from kept union all select doc_id, n, s, 0, v, repeat(case when length(t2) > 1 then style else nst end, length(v)) from (select e.*, p.t as t2, chr(97 + ((ascii(e.style) - 97 + 1) % 3)) as nst from edits e join placed p on p.doc_id = e.doc_id and p.n = e.n and p.b = e.s - 1 and p.t <> ''))
+select doc_id, n, sha256(string_agg(t, '' order by pos, kept)) as text_sha, sha256(string_agg(s, '' order by pos, kept)) as style_sha, sum(length(t))::bigint as chars from parts group by doc_id, n"""
+)
+def wr_docx_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that begin in one run and end in the next, over every line of every document; digests of the new text and of each character's format."""
+    from formlake.operators import edits as E
+
+    words = views.lines(spark, sf_dir).select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("run", "w"))
+    w = Window.partitionBy("doc_id", "n").orderBy("run")
+    next_ = F.lead("w").over(w)
+    runs = words.select("doc_id", "n", "run", "w", next_.alias("nxt"), F.concat("w", F.when(next_.isNull(), "").otherwise(" ")).alias("text"), F.substring(F.lit("abc"), (F.col("run") % 3 + 1), F.lit(1)).alias("style"))
+    placed = E.placed_runs(runs, ["doc_id", "n"]).filter((F.col("run") % 5 == 2) & (F.col("w") != "") & (F.coalesce("nxt", F.lit("")) != ""))
+    edits = placed.select("doc_id", "n", (F.col("begin") + 1).alias("start"), (F.col("end") + 1).alias("until"), F.concat(F.lit("V"), F.col("run").cast("string")).alias("value"))
+    pieces = E.edited_runs(runs.select("doc_id", "n", "run", "text", "style"), edits, ["doc_id", "n"])
+    found = pieces.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("run", "piece", "text", "style"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    style = F.array_join(F.transform("p", lambda x: F.repeat(x["style"], F.length(x["text"]))), "")
+    return found.select("doc_id", "n", F.sha2(text, 256).alias("text_sha"), F.sha2(style, 256).alias("style_sha"), F.length(text).cast("long").alias("chars"))
+
+
+# Versions of marked-up texts
+
+
+_WRITTEN = "case pos % 23 when 5 then 'V' || pos when 11 then 'X' || pos when 17 then 'W' || pos end"
+_WHY = "case pos % 23 when 11 then 'change that nobody planned' when 17 then 'not what was planned' end"
+
+
+@query(
+    rf"with t as (select page_id, unnest(regexp_extract_all(html, '(?s)(<!--.*?-->|<[^>]*>|[^<]+|<)')) as tok, generate_subscripts(regexp_extract_all(html, '(?s)(<!--.*?-->|<[^>]*>|[^<]+|<)'), 1) - 1 as pos from pages), w as (select page_id as page, pos, tok as old, {_WRITTEN} as new, {_WHY} as reason from t where not starts_with(tok, '<')) select * from w where new is not null and new <> old"
+)
+def au_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that changed in every page's tree, told by digests of subtrees: those that were planned, those that were not, and those written otherwise."""
+    from formlake.operators import trees
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    parts = F.regexp_extract_all("html", F.lit(r"(?s)(<!--.*?-->|<[^>]*>|[^<]+|<)"), F.lit(1))
+    new = lambda i: F.when(i % 23 == 5, F.concat(F.lit("V"), i.cast("string"))).when(i % 23 == 11, F.concat(F.lit("X"), i.cast("string"))).when(i % 23 == 17, F.concat(F.lit("W"), i.cast("string")))
+    written = pages.select("page_id", F.array_join(F.transform(parts, lambda t, i: F.when(~t.startswith("<"), F.coalesce(new(i), t)).otherwise(t)), "").alias("html"))
+    before = trees.nodes(pages, "page_id", "html")
+    plan = before.filter(~F.col("label").startswith("<") & (F.col("pos") % 23).isin(5, 17)).select("page_id", "pos", F.concat(F.lit("V"), F.col("pos").cast("string")).alias("new"))
+    changed = trees.changes(trees.digests(before, "page_id"), trees.digests(trees.nodes(written, "page_id", "html"), "page_id"), "page_id")
+    return trees.placement_problems(changed, plan, "page_id").select(F.col("page_id").alias("page"), "pos", "old", "new", "reason")

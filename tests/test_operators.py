@@ -229,3 +229,30 @@ def test_culprits_by_halves(spark):
     assert counts["b"] == (1, 1) and counts["a"][1] == 5 and counts["d"] == (1, 1) and sum(t for t, _ in counts.values()) < 26
     found, tests = culprits.find_culprits(items.limit(0), lambda rows: rows)
     assert found.count() == 0 and tests.count() == 0
+
+
+def test_trees_tell_what_changed(spark):
+    from formlake.operators import trees
+
+    old = spark.createDataFrame([(1, "<a><b>x</b><br>y</a>"), (2, "<p>one<i>two</i></p>tail"), (3, "</z>q<u>"), (4, ""), (5, "<p>same</p>")], "id int, t string")
+    new = spark.createDataFrame([(1, "<a><b>x2</b><br>y</a>"), (2, "<p>one<i>two</i><b>new</b></p>"), (3, "</z>q<u>"), (5, "<p>same</p>")], "id int, t string")
+    tree = trees.nodes(old, "id", "t")
+    assert {(r.id, r.pos, r.depth, r.parent, r.label) for r in tree.filter("id in (1, 3)").collect()} == {(1, 0, 0, None, "<a>"), (1, 1, 1, 0, "<b>"), (1, 2, 2, 1, "x"), (1, 4, 1, 0, "<br>"), (1, 5, 1, 0, "y"), (3, 1, 0, None, "q"), (3, 2, 0, None, "<u>")}
+    changed = trees.changes(trees.digests(tree, "id"), trees.digests(trees.nodes(new, "id", "t"), "id"), "id")
+    assert {(r.id, r.path, r.old, r.new) for r in changed.collect()} == {(1, "1/1/1", "x", "x2"), (2, "4", "tail", "<b>"), (2, "4/1", None, "new")}
+    allowed = spark.createDataFrame([(1, 2, "x2"), (2, 6, "other")], "id int, pos int, new string")
+    assert {(r.id, r.path, r.reason) for r in trees.placement_problems(changed, allowed, "id").collect()} == {(1, "1/1/1", None), (2, "4/1", "change that nobody planned"), (2, "4", "not what was planned")}
+    same = trees.digests(tree, "id")
+    assert trees.changes(same, same, "id").count() == 0 and trees.digests(trees.nodes(old.limit(0), "id", "t"), "id").count() == 0
+
+
+def test_edits_cross_runs(spark):
+    from formlake.operators import edits
+
+    runs = spark.createDataFrame([(1, 0, "nome ", "a"), (1, 1, "___", "b"), (1, 2, "", "c"), (1, 3, "__ fine", "d"), (2, 0, "x" * 700, "a"), (2, 1, "y", "b"), (3, 0, "intatto", "a")], "par int, run int, text string, style string")
+    some = spark.createDataFrame([(1, 5, 10, "Rossi"), (1, 0, 0, "> "), (1, 15, 15, "!"), (2, 10, 690, "-"), (2, 701, 701, "z")], "par int, start int, until int, value string")
+    got = edits.edited_runs(runs, some, ["par"]).orderBy("par", "run", "piece").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.par, []).append((r.style, r.text))
+    assert by == {1: [("a", "> "), ("a", "nome "), ("b", "Rossi"), ("d", " fine"), ("d", "!")], 2: [("a", "x" * 10), ("a", "-"), ("a", "x" * 10), ("b", "y"), ("b", "z")], 3: [("a", "intatto")]}

@@ -1,7 +1,4 @@
-"""Queries over small inline tables, for what the driver tables do not hold: measured pages, formats, profiles, plans.
-
-The same VALUES stand in both engines' SQL.
-"""
+"""Queries of projections, Word files, writers and reports over the driver tables."""
 
 from __future__ import annotations
 
@@ -9,18 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.functions import formats, projection
-from formlake.functions import text as T
-from formlake.operators import evidence, geometry, plan, rules, sequences
+from formlake.operators import evidence, geometry
 from formlake.plans.registry import query
 from formlake.sources import documents, profiles, word_writer
 
 
-def rows(spark: SparkSession, values: str) -> DataFrame:
-    """A table of VALUES text, doubles for decimals."""
-    df = spark.sql(f"select * from values {values}")
-    return df.select([F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
-
-
 # Formats
 
 
@@ -141,8 +131,8 @@ def au_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the ink gained by written cells and boxes says of the writing."""
     from formlake.tables import table
 
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("formlake_cells")
-    cells = geometry.verified_cells(spark.sql(_CELL_INK.replace("from lineitem", "from formlake_cells").replace("l_linenumber - 1 as", "cast(l_linenumber - 1 as int) as")))
+    text = _CELL_INK.replace("from lineitem", "from {lineitem}").replace("l_linenumber - 1 as", "cast(l_linenumber - 1 as int) as")
+    cells = geometry.verified_cells(spark.sql(text, lineitem=table(spark, sf_dir, "lineitem")))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", F.col("event_type") == "click").alias("v"), F.floor("value").alias("gain"), (F.col("user_id") % 9).alias("outside"))
     boxes = e.select("id", F.lit("casella").alias("kind"), geometry.box_problem(F.col("v"), F.col("gain"), F.col("outside"), F.lit(100.0)).alias("reason"))
     return cells.select("id", F.lit("celle").alias("kind"), "reason").unionByName(boxes)

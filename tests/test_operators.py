@@ -256,3 +256,31 @@ def test_edits_cross_runs(spark):
     for r in got:
         by.setdefault(r.par, []).append((r.style, r.text))
     assert by == {1: [("a", "> "), ("a", "nome "), ("b", "Rossi"), ("d", " fine"), ("d", "!")], 2: [("a", "x" * 10), ("a", "-"), ("a", "x" * 10), ("b", "y"), ("b", "z")], 3: [("a", "intatto")]}
+
+
+def test_grids_at_any_scale_and_place(spark):
+    from formlake.operators import geometry
+
+    bars, uprights, expected = [], [], set()
+
+    def grid(page, xs, ys, skip=()):
+        bars.extend((page, y, a, b) for y in ys for a, b in zip(xs, xs[1:], strict=False))
+        uprights.extend((page, x, a, b) for c, x in enumerate(xs) for r, (a, b) in enumerate(zip(ys, ys[1:], strict=False)) if (r, c) not in skip)
+
+    five = [0.0, 20.0, 40.0, 60.0, 80.0]
+    for page, (scale, shift) in enumerate([(1, 0), (0.5, 3), (2, 17), (1, 7000)]):
+        own = [shift + scale * v for v in five]
+        grid(page, own, own)
+        expected |= {(page, a, c, b, d) for a, b in zip(own, own[1:], strict=False) for c, d in zip(own, own[1:], strict=False)}
+    # Two tables of other heights side by side, and one that lacks its right side.
+    grid(10, [0.0, 20.0, 40.0], [0.0, 10.0, 20.0, 30.0])
+    grid(10, [60.0, 90.0], [0.0, 15.0, 30.0])
+    expected |= {(10, x, y, x + 20, y + 10) for x in (0.0, 20.0) for y in (0.0, 10.0, 20.0)} | {(10, 60.0, y, 90.0, y + 15) for y in (0.0, 15.0)}
+    grid(11, [0.0, 20.0, 40.0], [0.0, 10.0], skip=((0, 2),))
+    expected.add((11, 0.0, 0.0, 20.0, 10.0))
+    # A bar that closes two columns at once makes a cell over two rows beside it.
+    bars.extend([(12, 0.0, 0.0, 60.0), (12, 30.0, 0.0, 60.0), (12, 15.0, 20.0, 60.0)])
+    uprights.extend((12, x, 0.0, 30.0) for x in (0.0, 20.0, 60.0))
+    expected |= {(12, 0.0, 0.0, 20.0, 30.0), (12, 20.0, 0.0, 60.0, 15.0), (12, 20.0, 15.0, 60.0, 30.0)}
+    found = geometry.grid_cells(spark.createDataFrame(bars, "page int, y double, `from` double, `to` double"), spark.createDataFrame(uprights, "page int, x double, `from` double, `to` double"))
+    assert {tuple(r) for r in found.select("page", "x0", "y0", "x1", "y1").collect()} == expected

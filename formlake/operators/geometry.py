@@ -311,3 +311,24 @@ def text_lines(glyphs: DataFrame, tolerance: float = 3.0, gap: float = 0.3) -> D
     found = rows.groupBy("page", F.col("island").alias("line")).agg(shown.alias("g"), F.median("y").alias("base"), F.median("size").alias("size"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("size") / 2).alias("x1"), (1 + F.count_if("_new")).alias("words"))
     text = F.array_join(F.transform("g", lambda z: F.concat(F.when(z["_new"], F.lit(" ")).otherwise(F.lit("")), z["text"])), "")
     return found.select("page", "line", text.alias("text"), "base", "size", "x0", "x1", "words")
+
+
+#: The height of a line in sizes, and the width of a blank in ems.
+LEADING, BLANK = 1.2, 0.25
+
+
+def wrapped_lines(words: Column, room: Column) -> Column:
+    """Lines that words (array of their widths in ems) take in a room of so many ems, each line filled as far as it goes; null if a word is wider than the room."""
+    start = F.struct(F.lit(0).alias("lines"), F.lit(0.0).alias("used"))
+
+    def put(s: Column, w: Column) -> Column:
+        fits = (s["lines"] > 0) & (s["used"] + BLANK + w <= room)
+        return F.when(fits, F.struct(s["lines"].alias("lines"), (s["used"] + BLANK + w).alias("used"))).otherwise(F.struct((s["lines"] + 1).alias("lines"), w.alias("used")))
+
+    return F.when(~F.exists(words, lambda w: w > room), F.aggregate(words, start, put)["lines"])
+
+
+def fitting_area_size(words: Column, width: Column, height: Column, size: float = 10.0, least: float = 4.5) -> Column:
+    """The largest size, by quarter points, at which words (array of their widths in ems) fit an area, broken into lines; null if none does."""
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(int((size - least) * 4))), lambda k: F.lit(size) - k * 0.25)
+    return F.get(F.filter(sizes, lambda s: F.coalesce(wrapped_lines(words, width / s) * LEADING * s <= height, F.lit(False))), F.lit(0))

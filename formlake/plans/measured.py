@@ -445,6 +445,20 @@ def fm_text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), geometry.fitting_size(F.col("p_name"), widths, (F.col("p_size") + 10).cast("double")).alias("size"))
 
 
+@query(
+    f"""with {views.LINES_SQL}, v as (select doc_id, n, list_transform(list_filter(string_split(line, ' '), lambda x: x <> ''), lambda x: length(x) * 0.5::double) as w, (80 + doc_id % 5 * 40)::double as width, (30 + n % 4 * 30)::double as height from lines),
+z as (select *, unnest(list_transform(range(0, 23), lambda k: 10.0::double - k * 0.25::double)) as s from v),
+l as (select doc_id, n, s, height, case when len(list_filter(w, lambda x: x > width / s)) > 0 then null when len(w) = 0 then 0 else list_reduce(list_transform(w, lambda x: {{'lines': 1, 'used': x, 'room': width / s}}), lambda a, b: case when a.used + 0.25::double + b.used <= a.room then {{'lines': a.lines, 'used': a.used + 0.25::double + b.used, 'room': a.room}} else {{'lines': a.lines + 1, 'used': b.used, 'room': a.room}} end).lines end as lines from z)
+select doc_id, n, max(s) filter (lines * 1.2::double * s <= height) as size from l group by doc_id, n"""
+)
+def fm_text_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest size at which each line of a document, broken into lines, fits its area."""
+    lines = views.lines(spark, sf_dir)
+    words = F.transform(F.filter(F.split("line", " "), lambda x: x != ""), lambda x: F.length(x) * F.lit(0.5))
+    rows = lines.select("doc_id", "n", words.alias("w"), (F.col("doc_id") % 5 * 40 + 80).cast("double").alias("width"), (F.col("n") % 4 * 30 + 30).cast("double").alias("height"))
+    return rows.select("doc_id", "n", geometry.fitting_area_size(F.col("w"), F.col("width"), F.col("height")).alias("size"))
+
+
 # Profiles
 
 

@@ -284,3 +284,25 @@ def test_grids_at_any_scale_and_place(spark):
     expected |= {(12, 0.0, 0.0, 20.0, 30.0), (12, 20.0, 0.0, 60.0, 15.0), (12, 20.0, 15.0, 60.0, 30.0)}
     found = geometry.grid_cells(spark.createDataFrame(bars, "page int, y double, `from` double, `to` double"), spark.createDataFrame(uprights, "page int, x double, `from` double, `to` double"))
     assert {tuple(r) for r in found.select("page", "x0", "y0", "x1", "y1").collect()} == expected
+
+
+def test_text_fits_an_area(spark):
+    from formlake.operators import geometry
+
+    def lines(words, room):
+        n, used = 0, 0.0
+        for w in words:
+            if w > room:
+                return None
+            n, used = (n, used + 0.25 + w) if n and used + 0.25 + w <= room else (n + 1, w)
+        return n
+
+    rng = random.Random(6)
+    rows = [(k, [rng.randint(1, 12) * 0.5 for _ in range(rng.randint(0, 30))], rng.uniform(20, 200), rng.uniform(5, 80)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, w array<double>, width double, height double")
+    got = {r.id: r.s for r in df.select("id", geometry.fitting_area_size(F.col("w"), F.col("width"), F.col("height")).alias("s")).collect()}
+    for k, w, width, height in rows:
+        sizes = [10.0 - q * 0.25 for q in range(23)]
+        fits = [s for s in sizes if lines(w, width / s) is not None and lines(w, width / s) * 1.2 * s <= height]
+        assert got[k] == (fits[0] if fits else None)
+    assert len(set(got.values())) > 5

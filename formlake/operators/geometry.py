@@ -332,3 +332,19 @@ def fitting_area_size(words: Column, width: Column, height: Column, size: float
     """The largest size, by quarter points, at which words (array of their widths in ems) fit an area, broken into lines; null if none does."""
     sizes = F.transform(F.sequence(F.lit(0), F.lit(int((size - least) * 4))), lambda k: F.lit(size) - k * 0.25)
     return F.get(F.filter(sizes, lambda s: F.coalesce(wrapped_lines(words, width / s) * LEADING * s <= height, F.lit(False))), F.lit(0))
+
+
+def ink_sums(pixels: DataFrame, wide: int, high: int, dark: int = 160) -> DataFrame:
+    """page, x, y, s of every place of a page's picture (0 to wide, 0 to high): dark pixels (page, x, y, value) left of x and above y. Sums along rows, then along columns; no window holds more than one row or column."""
+    counts = pixels.filter(F.col("value") < dark).groupBy("page", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y")).agg(F.count("*").alias("n"))
+    places = pixels.select("page").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(wide)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(high))))
+    full = places.join(counts, ["page", "x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    so_far = lambda part, order, c: F.sum(c).over(Window.partitionBy("page", part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return full.withColumn("_r", so_far("y", "x", "n")).withColumn("s", so_far("x", "y", "_r")).select("page", "x", "y", "s")
+
+
+def ink_within(rects: DataFrame, sums: DataFrame) -> DataFrame:
+    """page, id, ink: dark pixels in each rectangle (page, id, x0, y0, x1, y1 in whole pixels, ends not included): four lookups of sums, whatever its size."""
+    corner = lambda x, y, sign: F.struct(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"), F.lit(sign).alias("sign"))
+    four = rects.select("page", "id", F.explode(F.array(corner("x1", "y1", 1), corner("x0", "y0", 1), corner("x0", "y1", -1), corner("x1", "y0", -1))).alias("c")).select("page", "id", "c.*")
+    return four.join(sums, ["page", "x", "y"], "left").groupBy("page", "id").agg(F.sum(F.col("sign") * F.coalesce("s", F.lit(0))).alias("ink"))

@@ -602,6 +602,16 @@ def io_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.ink(derived(spark, sf_dir, _PIXELS))
 
 
+_CLIPS = f"select page, id, cast(floor(x0 / 8) as int) as x0, cast(floor(y0 / 4) as int) as y0, cast(floor(x0 / 8) + 3 + n as int) as x1, cast(floor(y0 / 4) + 2 + n as int) as y1 from ({BOXES}) b"
+
+
+@query(f"with c as ({duck(_CLIPS)}), p as ({duck(_PIXELS)}) select page, id, count(p.x) as ink from c left join p on p.clip = c.page and p.value < 160 and p.x >= c.x0 and p.x < c.x1 and p.y >= c.y0 and p.y < c.y1 group by page, id")
+def au_clip_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dark pixels in each clip of each page, by sums over the page's picture."""
+    sums = geometry.ink_sums(derived(spark, sf_dir, _PIXELS).withColumnRenamed("clip", "page"), 64, 64)
+    return geometry.ink_within(derived(spark, sf_dir, _CLIPS), sums).select("page", "id", "ink")
+
+
 #: Tables of bars: those of one customer, most of one width; uprights stand at some ends.
 _OPEN_BARS = "select o_custkey as page, cast(row_number() over (partition by o_custkey order by o_orderkey) * 10 as double) as y, 0.0 as f, case when o_orderkey % 11 = 0 then 70.0 else 40.0 end as t from {orders}"
 _OPEN_UPRIGHTS = "select c_custkey as page, case when c_acctbal < 0 then 0.25 when c_acctbal < 5000 then 40.25 else 20.0 end as x, 0.0 as f, 90.0 as t from {customer}"

@@ -150,8 +150,8 @@ def wn_new_ink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"select doc_id, n, case when trim(line) = '' then 'paragrafo_vuoto' when regexp_matches(line, '[☐☑☒□]') then 'glifo_casella' when regexp_matches(line, '_{3,}|\.{5,}|…{2,}') then 'segnaposto_testuale' when regexp_matches(line, ':\s*$') then 'spazio_implicito' end as kind from (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as line from documents)"
 )
-def wn_word_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What kind of place each paragraph offers."""
+def wn_paragraph_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of place each paragraph offers by its text alone."""
     from formlake.plans import views
 
     return views.lines(spark, sf_dir).select("doc_id", "n", documents.point_kind(F.col("line")).alias("kind"))

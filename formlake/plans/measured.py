@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake.functions import formats
 from formlake.functions import text as T
 from formlake.functions.similarity import common_run_ratio
-from formlake.operators import claims, culprits, evidence, geometry, rules, sequences
+from formlake.operators import claims, culprits, evidence, geometry, rules, sequences, word_points
 from formlake.plans import views
 from formlake.plans.registry import query
 from formlake.sources import profiles
@@ -692,3 +692,64 @@ def au_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = before.filter(~F.col("label").startswith("<") & (F.col("pos") % 23).isin(5, 17)).select("page_id", "pos", F.concat(F.lit("V"), F.col("pos").cast("string")).alias("new"))
     changed = trees.changes(trees.digests(before, "page_id"), trees.digests(trees.nodes(written, "page_id", "html"), "page_id"), "page_id")
     return trees.placement_problems(changed, plan, "page_id").select(F.col("page_id").alias("page"), "pos", "old", "new", "reason")
+
+
+# Points of Word parts
+
+#: A document's line as Word XML, by its shape m; others show the line's text. What each shape's point is stands in the SQL.
+_SHAPES = {
+    5: "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>Only {n}</w:t></w:r></w:p></w:tc></w:tr></w:tbl>",
+    6: "<mc:AlternateContent><mc:Choice><w:p><w:r><w:t>{t}</w:t></w:r></w:p></mc:Choice></mc:AlternateContent>",
+    7: '<w:p><w:sdt><w:sdtPr><w:text/><w:dataBinding w:xpath="/a"/></w:sdtPr><w:sdtContent><w:r><w:t>____</w:t></w:r></w:sdtContent></w:sdt></w:p>',
+    8: '<w:p><w:sdt><w:sdtPr><w14:checkbox><w14:checked w14:val="1"/></w14:checkbox></w:sdtPr><w:sdtContent><w:r><w:t>☒</w:t></w:r></w:sdtContent></w:sdt></w:p>',
+    9: "<w:p><w:sdt><w:sdtPr><w:text/><w:showingPlcHdr/></w:sdtPr><w:sdtContent><w:r><w:t>Type ____ here</w:t></w:r></w:sdtContent></w:sdt></w:p>",
+    10: "<w:p><w:sdt><w:sdtPr/><w:sdtContent><w:r><w:t>R {n}</w:t></w:r></w:sdtContent></w:sdt></w:p>",
+    11: '<w:p><w:r><w:fldChar w:fldCharType="begin"/><w:instrText> FORMTEXT </w:instrText><w:fldChar w:fldCharType="separate"/><w:t>_____</w:t><w:fldChar w:fldCharType="end"/></w:r></w:p>',
+    12: '<w:p><w:r><w:fldChar w:fldCharType="begin"><w:ffData><w:checkBox><w:default w:val="1"/></w:checkBox></w:ffData></w:fldChar><w:fldChar w:fldCharType="end"/></w:r></w:p>',
+    13: '<w:p><w:fldSimple w:instr=" FORMTEXT "><w:r><w:t>_____</w:t></w:r></w:fldSimple></w:p>',
+    14: '<w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr></w:pPr><w:r><w:t>item {n}</w:t></w:r></w:p>',
+    15: '<w:p><w:r><w:fldChar w:fldCharType="begin"/><w:instrText> IF </w:instrText><w:fldChar w:fldCharType="begin"/><w:instrText> FORMTEXT </w:instrText><w:fldChar w:fldCharType="separate"/><w:t>_____</w:t><w:fldChar w:fldCharType="end"/><w:fldChar w:fldCharType="end"/></w:r></w:p>',
+    16: "<w:p/>",
+    17: "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>Name {n}</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>",
+    18: "<w:ins><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:ins>",
+    19: "<w:p><w:r><w:t>Label {n}:</w:t></w:r></w:p>",
+}
+_POINT_SQL = rf"""with {views.LINES_SQL}, c as (select doc_id, n, (doc_id + n) % 20 as m, replace(regexp_replace(line, '[.…·_]+', '.', 'g'), '#', '_____') as t from lines),
+p as (select doc_id, m, t, n as line, (sum(case when m = 17 then 2 else 1 end) over (partition by doc_id order by n) - case when m = 17 then 2 else 1 end)::int as n from c),
+plain as (select doc_id, n, t, case m when 6 then 'other representations' when 18 then 'open revisions' end as reason,
+  regexp_replace(regexp_replace(t, '{word_points.FILLER}|{word_points.BOX}', chr(3), 'g'), '\[[^\[\]\r\n\x03]+\]', chr(3), 'g') as masked from p where m < 5 or m in (6, 18)),
+words as (select *, unnest(regexp_extract_all(masked, '[ \t]+|[^ \t]+')) as w, generate_subscripts(regexp_extract_all(masked, '[ \t]+|[^ \t]+'), 1) as k from plain),
+near as (select *, lag(w) over (partition by doc_id, n order by k) as b, lead(w) over (partition by doc_id, n order by k) as a from words),
+shown as (select doc_id, n, 'testo' as kind, unnest(regexp_extract_all(t, '{word_points.FILLER}')) as text, null::boolean as checked, false as candidate, reason from plain
+  union all select doc_id, n, 'glifo_casella', x, regexp_matches(x, '{word_points.TICKED}'), false, reason from (select *, unnest(regexp_extract_all(t, '{word_points.BOX}')) as x from plain)
+  union all select doc_id, n, 'segnaposto_testuale', unnest(list_filter(regexp_extract_all(t, '{word_points.PLACEHOLDER}'), lambda x: not regexp_matches(x, '{word_points.FILLER}|{word_points.BOX}'))), null, true, reason from plain
+  union all select doc_id, n, 'spazio_implicito', w, null, true, reason from near where regexp_full_match(w, '{word_points.BLANKS}') and k > 1 and not ends_with(b, chr(3)) and not starts_with(coalesce(a, ''), chr(3)))
+select * from shown
+union all select doc_id, n, 'paragrafo_vuoto', '', null, true, reason from plain where not regexp_matches(t, '\S')
+union all select doc_id, n, 'inserimento_testo', '', null, true, reason from plain where regexp_matches(t, '^[^:\n]{{2,100}}:\s*$') and not exists (select 1 from shown s where s.doc_id = plain.doc_id and s.n = plain.n)
+union all select doc_id, case when m = 17 then n + 1 else n end,
+  case m when 5 then 'inserimento_testo' when 7 then 'sdt_testo' when 8 then 'sdt_casella' when 9 then 'sdt_testo' when 10 then 'sdt_rich_text' when 11 then 'form_testo' when 12 then 'form_casella' when 13 then 'form_semplice_testo' when 14 then 'elenco_casella' when 15 then 'form_testo' when 16 then 'paragrafo_vuoto' when 17 then 'cella_vuota' else 'inserimento_testo' end,
+  case m when 7 then '____' when 8 then '☒' when 9 then 'Type ____ here' when 10 then 'R ' || line when 11 then '_____' when 13 then null when 14 then 'item ' || line when 15 then '_____' else '' end,
+  case m when 8 then true when 12 then true when 14 then false end, m in (5, 16, 17, 19),
+  case m when 7 then 'bound, locked or of several paragraphs' when 10 then 'already filled' when 12 then 'field without a plain result' when 13 then 'simple field' when 15 then 'field without a plain result' end
+  from p where m not in (0, 1, 2, 3, 4, 6, 18)"""
+
+
+@query(_POINT_SQL)
+def wn_word_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of every document's Word part: controls, form fields, lists, texts, cells and empty paragraphs, and why some are not written."""
+
+    def shape(line: Column, n: Column) -> Column:
+        text = F.replace(F.regexp_replace(line, "[.…·_]+", "."), F.lit("#"), F.lit("_____"))
+        for char, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(char), F.lit(mark))
+        filled = lambda s: F.concat(*[text if piece == "{t}" else n.cast("string") if piece == "{n}" else F.lit(piece) for piece in re.split(r"(\{[tn]\})", s)])
+        out, kind = F, (F.col("doc_id") + n) % 20
+        for m, s in _SHAPES.items():
+            out = out.when(kind == m, filled(s))
+        return out.otherwise(filled("<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"))
+
+    body = F.array_join(F.transform(F.split("text", "\n"), shape), "")
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<w:document><w:body>"), body, F.lit("</w:body></w:document>")).alias("xml"))
+    levels = spark.sql("select '3' as num, '0' as level, '☐' as glyph")
+    return word_points.points(parts, ["doc_id"], "xml", levels).select("doc_id", "n", "kind", "text", "checked", "candidate", "reason")

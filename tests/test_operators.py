@@ -306,3 +306,37 @@ def test_text_fits_an_area(spark):
         fits = [s for s in sizes if lines(w, width / s) is not None and lines(w, width / s) * 1.2 * s <= height]
         assert got[k] == (fits[0] if fits else None)
     assert len(set(got.values())) > 5
+
+
+def test_points_of_word_parts(spark):
+    from formlake.operators import word_points
+
+    run = "<w:r><w:t>{}</w:t></w:r>"
+    control = "<w:sdt><w:sdtPr>{}</w:sdtPr><w:sdtContent>{}</w:sdtContent></w:sdt>"
+    field = '<w:fldChar w:fldCharType="{}"/>'
+    typed = f"<w:r>{field.format('begin')}<w:instrText> FORMTEXT </w:instrText>{field.format('separate')}<w:t>____</w:t>{field.format('end')}</w:r>"
+    inside = f"<w:r>{field.format('begin')}<w:instrText>IF</w:instrText></w:r>{typed}<w:r>{field.format('end')}</w:r>"
+    paragraphs = [
+        run.format("Name _____ [x y] [ ] a&amp;b  end"),
+        control.format('<w14:checkbox><w14:checked w14:val="1"/></w14:checkbox>', run.format("☒")),
+        inside,
+        run.format("Born ") + run.format("   ") + run.format("in"),
+        f"<w:r>{field.format('begin')}<w:t>_______</w:t></w:r>",
+        "<w:r><w:t>out</w:t><w:pict><w:txbxContent><w:p>" + run.format("in _____") + "</w:p></w:txbxContent></w:pict></w:r>",
+        control.format('<w:lock w:val="contentLocked"/>', control.format("<w:text/>", run.format("____"))),
+        run.format("who?  ") + typed,
+        run.format("odd " + field.format("end")) + run.format("fine: "),
+    ]
+    xml = "<w:document>" + "".join(f"<w:p>{p}</w:p>" for p in paragraphs) + "</w:document>"
+    parts = spark.createDataFrame([(1, xml), (2, None), (3, "")], "id int, xml string")
+    got = {(r.n, r.kind, r.start, r.end, r.checked, r.reason) for r in word_points.points(parts, ["id"], "xml").collect()}
+    assert got == {
+        (0, "testo", 5, 10, None, None), (0, "segnaposto_testuale", 11, 16, None, None), (0, "glifo_casella", 17, 20, False, None), (0, "spazio_implicito", 24, 26, None, None),
+        (1, "sdt_casella", None, None, True, None),
+        (2, "form_testo", None, None, None, "field without a plain result"),
+        (3, "spazio_implicito", 5, 8, None, None),
+        (6, "testo", 3, 8, None, None),
+        (7, "sdt_rich_text", None, None, None, "bound, locked or of several paragraphs"), (7, "sdt_testo", None, None, None, "inside a guarded control"),
+        (8, "form_testo", None, None, None, None), (8, "spazio_implicito", 4, 6, None, None),
+        (9, "inserimento_testo", 10, 10, None, None),
+    }

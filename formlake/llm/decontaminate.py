@@ -12,8 +12,9 @@ deviation 2.9), so RADIUS lies 4.6 deviations above the farthest kind of match.
 
 Null and empty texts and items match nothing. Very long texts are worked through in stretches. Repeated rows are judged alike,
 those without a doc_id too. Items with equal text are reported each; of equally similar windows the first is. An empty
-benchmark leaves every document clean. Other columns are ignored. The benchmark is gathered for the index only below
-MAX_BENCHMARK_BYTES; a larger one is worked through in parts of that size, each over all documents.
+benchmark leaves every document clean. Other columns are ignored. Only a benchmark of at most
+MAX_BENCHMARK_BYTES is gathered and sent to all tasks. A larger one stays a table: documents are joined with its parts by shingles, and read
+as often as there are such parts for them, not once for each part.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlake.llm.kernels import WordTable, chunks
+from formlake.llm.durable import checkpointed
+from formlake.llm.kernels import WordTable, chunks, sliced
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, PROBE = 23, 8, 2
-MAX_BENCHMARK_BYTES = 32 << 20
+#: A larger benchmark is not sent to all tasks; then documents go to its parts, about so many bytes of them to a task.
+MAX_BENCHMARK_BYTES, ROUTED_BYTES = 32 << 20, 256 << 20
 _FILTER_BITS = 22
 #: A column's name that no caller has.
 FREE = "__leaked_text_key__"
@@ -178,31 +181,96 @@ def _index(sent) -> Items:
     return _built[key]
 
 
+_FOUND = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+
+
+def _matches(batches: Iterable[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+    """The leaks of documents (doc_id, text), one batch for each stretch of texts."""
+    for ids, texts in chunks(batches):
+        table = WordTable(texts, lower=True)
+        h, at = table.grams(SHINGLE, short=True)
+        doc = table.doc_of()[at]
+        hit = items.hits(h)
+        out: list[tuple] = []
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+        hits = np.searchsorted(doc[hit], np.arange(len(texts) + 1))
+        for k in np.unique(doc[hit]).tolist():
+            a, b = ends[k], ends[k + 1]
+            words = int(table.counts[k])
+            found = scan_text(texts[k], words, h[a:b], hit[hits[k] : hits[k + 1]] - a, items)
+            out += [(ids[k], items.ids[i], s, start, min(words, int(items.words[i]))) for i, (s, start) in found.items()]
+        if items.only:
+            out += _short_items(ids, texts, table, items)
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+
+
 def _scan(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+    """Leaks of a benchmark of proven size: every task has its index."""
     sent = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(rows).encode()).hexdigest(), rows))
+    return docs.mapInArrow(lambda batches: _matches(batches, _index(sent)), _FOUND)
+
+
+def _keys(rows: DataFrame, short: list[int]) -> DataFrame:
+    """doc_id, h: the distinct shingles of each row (doc_id, text), and the runs of as many words as short items have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _index(sent)
         for ids, texts in chunks(batches):
             table = WordTable(texts, lower=True)
-            h, at = table.grams(SHINGLE, short=True)
-            doc = table.doc_of()[at]
-            hit = items.hits(h)
-            out: list[tuple] = []
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            hits = np.searchsorted(doc[hit], np.arange(len(texts) + 1))
-            for k in np.unique(doc[hit]).tolist():
-                a, b = ends[k], ends[k + 1]
-                words = int(table.counts[k])
-                found = scan_text(texts[k], words, h[a:b], hit[hits[k] : hits[k + 1]] - a, items)
-                out += [(ids[k], items.ids[i], s, start, min(words, int(items.words[i]))) for i, (s, start) in found.items()]
-            if items.only:
-                out += _short_items(ids, texts, table, items)
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
-
-    return docs.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+            found = [table.grams(SHINGLE, short=True), *(table.grams(n) for n in short)]
+            h, doc = np.concatenate([x for x, _ in found]), np.concatenate([table.doc_of()[at] for _, at in found])
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            own = np.array(ids, np.int64)[doc[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h[new].view(np.int64))], ["doc_id", "h"])
+
+    return rows.mapInArrow(run, "doc_id long, h long")
+
+
+def _scan_parts(docs: DataFrame, items: DataFrame, parts: int) -> DataFrame:
+    """Leaks of a benchmark too large to be sent: it stays a table in so many parts, and a document meets the parts that it shares a shingle with.
+
+    Documents and items are joined by shingles, so documents are read once however many parts there are. Each part is then copied to as many tasks as
+    its documents need (about ROUTED_BYTES each); a task has one part's index at a time and takes its documents as a stream.
+    """
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    short = [r[0] for r in items.select(words.alias("n")).filter(F.col("n") < SHINGLE).distinct().collect()]
+    known = _keys(items.select(F.col("part").cast("long").alias("doc_id"), "text"), []).select(F.col("doc_id").cast("int").alias("part"), "h").distinct()
+    # Equal keys of unlike documents would only bring one of them to more parts.
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    routes = checkpointed(_keys(docs.select(F.col("key").alias("doc_id"), "text"), sorted(short)).join(known, "h").select(F.col("doc_id").alias("key"), "part").distinct())
+    routed = docs.join(routes, "key")
+    size = routes.join(docs.groupBy("key").agg(F.sum(F.octet_length("text")).alias("size")), "key").groupBy("part").agg(F.ceil(F.sum("size") / ROUTED_BYTES).cast("int").alias("tasks"))
+    size = checkpointed(size.withColumn("tasks", F.greatest("tasks", F.lit(1))))
+    tasks = size.agg(F.coalesce(F.sum("tasks"), F.lit(1))).first()[0]
+    # Copies of a text have other numbers, so a text that holds a third of all rows is no hot key; a task that runs again deals alike.
+    sent = routed.join(F.broadcast(size), "part").select("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("kind"), "doc_id", "text")
+    own = items.join(F.broadcast(size), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), F.col("item_id").alias("doc_id"), "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, items = None, None
+        rows: list[tuple[int | None, str]] = []
+        for batch in sliced(batches):
+            part, task, kind = (batch.column(c).to_numpy() for c in ("part", "task", "kind"))
+            cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(task) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+                piece, at = batch.slice(a, b - a), (int(part[a]), int(task[a]))
+                if at != held:
+                    held, items, rows = at, None, []
+                if kind[a] == 0:
+                    rows += zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True)
+                    continue
+                if items is None:
+                    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+                    items = Items([i for i, _ in rows], [x.encode() for _, x in rows])
+                yield from _matches([piece], items)
+
+    together = sent.unionByName(own).repartition(max(1, tasks), "part", "task").sortWithinPartitions("part", "task", "kind")
+    return together.mapInArrow(run, _FOUND)
 
 
 def _short_items(ids: list, texts: list[bytes], table: WordTable, items: Items) -> list[tuple]:
@@ -231,14 +299,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    parts = -(-total // MAX_BENCHMARK_BYTES) or 1
-    out = None
-    for k in range(parts):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        rows = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()]
-        own = _scan(docs, rows)
-        out = own if out is None else out.unionByName(own)
-    return out
+    if total > MAX_BENCHMARK_BYTES:
+        return _scan_parts(docs, items, -(-total // MAX_BENCHMARK_BYTES))
+    return _scan(docs, [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

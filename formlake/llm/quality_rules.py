@@ -59,25 +59,29 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts and ratios of every whole text."""
     body = F.coalesce(F.col(text), F.lit(""))
     n = F.col("n_words")
-    out = docs.withColumn("_words", F.filter(F.split(_without(body, GAP_CHARS[1:], " "), " "), lambda w: w != ""))
-    out = out.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(A_WORD)))
+    # Names for what is between: free ones, so that no column of the caller's is lost.
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in taken else free(f"_{name}")
+    words, lines, keys, grams, places = between = [free(name) for name in ("_words", "_lines", "_keys", "_sorted", "_at")]
+    out = docs.withColumn(words, F.filter(F.split(_without(body, GAP_CHARS[1:], " "), " "), lambda w: w != ""))
+    out = out.withColumn(lines, F.filter(F.split(body, "\n"), lambda x: x.rlike(A_WORD)))
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size(words).cast("long"),
             "word_chars": F.length(_without(body, GAP_CHARS)).cast("long"),
             "n_symbols": _count_of(body, SYMBOLS).cast("long"),
             "n_marks": _count_of(body, "!?").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-            "_keys": F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))), 1, F.greatest(F.size("_words") - 2, F.lit(0))),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
+            keys: F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(F.size(words) - 2, F.lit(0))),
         }
     )
     # Equal windows have equal keys, so texts without equal keys, the most, need no more; the others compare the words themselves, sorted.
-    gram = lambda w, i: F.struct(F.concat(w, F.lit(" "), F.get("_words", i + 1), F.lit(" "), F.get("_words", i + 2)).alias("g"), i.alias("i"))
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), F.array_sort(F.slice(F.transform("_words", gram), 1, F.size("_words") - 2))))
-    out = out.withColumn("_at", F.filter(F.transform("_sorted", lambda x, j: F.when((x.g == F.get("_sorted", j - 1).g) | (x.g == F.get("_sorted", j + 1).g), x.i)), lambda i: i.isNotNull()))
-    out = out.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_at").isNotNull(), F.size(F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2)))))), F.lit(0)).cast("long"))
+    gram = lambda w, i: F.struct(F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)).alias("g"), i.alias("i"))
+    out = out.withColumn(grams, F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.array_sort(F.slice(F.transform(words, gram), 1, F.size(words) - 2))))
+    out = out.withColumn(places, F.filter(F.transform(grams, lambda x, j: F.when((x.g == F.get(grams, j - 1).g) | (x.g == F.get(grams, j + 1).g), x.i)), lambda i: i.isNotNull()))
+    out = out.withColumn("n_repeat_words", F.coalesce(F.when(F.col(places).isNotNull(), F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))), F.lit(0)).cast("long"))
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return out.withColumns(
         {
@@ -88,7 +92,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "stop_ratio": part("n_stop_words", "n_words"),
             "base_failed": (n < 50) | (100 * F.col("n_repeat_words") > 50 * n),
         }
-    ).drop("_words", "_lines", "_keys", "_sorted", "_at")
+    ).drop(*between)
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -603,6 +603,23 @@ def test_leaks_equal_brute_force(spark, odd, none):
     assert decontaminate.clean_documents(odd, bench.filter("false")).count() == len(ODD)
 
 
+def test_a_large_benchmark_stays_a_table(spark, odd, monkeypatch):
+    r = random.Random(12)
+    items = [(i, " ".join(f"v{r.randint(0, 300)}" for _ in range(r.randint(3, 40)))) for i in range(60)] + [(90, "two words"), (91, "one"), (92, None), (None, "an item without a number has these words")]
+    docs = [(i, " ".join([f"v{r.randint(0, 300)}" for _ in range(r.randint(0, 30))] + (items[i % 60][1].split() if i % 2 else []) + ["Two", "words"][: i % 3])) for i in range(120)]
+    docs += [(5, docs[5][1])] * 40 + [(None, docs[7][1]), (200, None), (201, ""), (202, "one"), (203, "no an item without a number has these words")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda d, b: sorted(map(repr, decontaminate.leaks(d, b).collect()))
+    kept = lambda: sorted(x.doc_id for x in decontaminate.clean_documents(odd, bench).collect())
+    whole, clean = rows(df, bench), kept()
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 900)
+    monkeypatch.setattr(decontaminate, "ROUTED_BYTES", 3000)
+    assert rows(df, bench) == whole and len(whole) > 150
+    assert decontaminate.leaks(df.filter("false"), bench).count() == 0
+    # The item "one" stands in one of the odd texts.
+    assert kept() == clean and len(clean) == len(ODD) - 1
+
+
 def test_documents_shorter_than_an_item_are_one_window(spark):
     items = [(1, " ".join(f"a{i}" for i in range(59))), (2, " ".join(f"b{i}" for i in range(36))), (3, " ".join(f"c{i}" for i in range(14))), (4, " ".join(["d e f g h"] * 6))]
     docs, expected = [], {}
@@ -719,3 +736,9 @@ def test_alignment_equals_longest_common_subsequence():
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         n, first, last = license_scan.align(np.array(a), np.array(b), -len(a), len(b))
         assert n == table[-1][-1] and (n == 0 or b[first] in a and b[last] in a)
+
+
+def test_quality_measures_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "some words stand here", 2, 3, 4)], "doc_id long, text string, _words int, _AT int, __words int")
+    row = quality_rules.apply_rules(df).first()
+    assert (row["_words"], row["_AT"], row["__words"], row.n_words) == (2, 3, 4, 4)

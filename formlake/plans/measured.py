@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from formlake.functions import formats
 from formlake.functions import text as T
 from formlake.functions.similarity import common_run_ratio
-from formlake.operators import claims, culprits, evidence, geometry, rules, sequences, word_points
+from formlake.operators import claims, culprits, evidence, geometry, open_grids, rules, sequences, word_points
 from formlake.plans import views
 from formlake.plans.registry import query
 from formlake.sources import profiles
@@ -621,13 +621,56 @@ _OPEN_UPRIGHTS = "select c_custkey as page, case when c_acctbal < 0 then 0.25 wh
 s as (select page, round_even(f, 0) as a, round_even(t, 0) as z, count(*) as n, min(y) as top, max(y) as low, min(f) as x0, max(t) as x1 from b group by 1, 2, 3), n as (select page, count(*) as bars from b group by 1),
 e as (select page, unnest([x0, x1]) as x, top, low from s join n using (page) where s.n >= 3 and s.n >= 0.75 * bars)
 select page, x, top, low from e where not exists (select 1 from u where u.page = e.page and abs(u.x - e.x) <= 0.6)""")
-def wn_grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wn_outer_uprights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outer uprights that open tables lack."""
     as_doubles = lambda df, *cs: df.withColumns({c: F.col(c).cast("double") for c in cs}).withColumnsRenamed({"f": "from", "t": "to"})
     found = geometry.completed_grid(as_doubles(derived(spark, sf_dir, _OPEN_BARS), "y", "f", "t"), as_doubles(derived(spark, sf_dir, _OPEN_UPRIGHTS), "x", "f", "t"))
     return found.select("page", "x", F.col("from").alias("top"), F.col("to").alias("low"))
 
 
+#: Open tables: dividers and some edges of each customer's page, bars and labels of their orders.
+_DIVIDERS = """
+select c_custkey as page, cast(20 * (n_nationkey + 1) as double) as x, case when n_nationkey = 1 then 0.25 else 0.0 end as f, case when c_custkey % 3 = 0 then 45.0 else 90.0 end as t from {customer} join {nation} on n_nationkey <= c_custkey % 4
+union all select c_custkey, case when c_acctbal < 0 then 0.5 when c_acctbal < 3000 then 100.25 else 99.0 end, 0.0, case when c_acctbal < 0 then 90.0 else 80.0 end from {customer} where c_acctbal < 5000"""
+_NTH = "cast(row_number() over (partition by o_custkey order by o_orderkey) as double)"
+_CROSSBARS = f"select o_custkey as page, {_NTH} * 10 as y, 0.0 as f, case when o_orderkey % 13 = 0 then 70.0 when o_orderkey % 11 = 0 then 120.0 else 100.0 end as t from {{orders}}"
+_LABELS = f"""
+select o_custkey as page, 2.0 as x0, cast(6 + (o_orderkey % 5) * 6 as double) as x1, {_NTH} * 10 - case when o_orderkey % 4 = 0 then 10 else 4 end as base, 6.0 as size, case when o_orderkey % 6 = 0 then '---' else o_orderpriority end as text from {{orders}}
+union all select c_custkey, 30.0, 40.0, 5.0, 6.0, c_mktsegment from {{customer}} where c_custkey % 2 = 0"""
+
+
+_NEW = "case when {0} - lag({0}) over (partition by {1} order by {0}) > 0.6 then 1 else 0 end"
+
+
+@query(
+    f"""with u0 as (select page, x::double as x, f::double as f, t::double as t from ({duck(_DIVIDERS)})), b as (select page, y::double as y, f::double as f, t::double as t from ({duck(_CROSSBARS)})),
+l as (select page, x0::double as x0, x1::double as x1, base::double as base, size::double as size, text from ({duck(_LABELS)})),
+u1 as (select *, {_NEW.format('f', 'page')} as s from u0), u2 as (select *, sum(s) over (partition by page order by f) as g from u1), u3 as (select *, {_NEW.format('t', 'page, g')} as s2 from u2), u as (select page, x, f, t, g * 1000 + sum(s2) over (partition by page, g order by t) as g from u3),
+ux as (select *, {_NEW.format('x', 'page, g')} as s from u), fr as (select page, g, min(f) as y0, max(t) as y1, min(x) as lo, max(x) as hi, sum(s) + 1 as dividers from ux group by page, g),
+c as (select fr.page, g, y, f, t, round(f, 1) as a, round(t, 1) as z from fr join b on b.page = fr.page and y >= y0 - 0.6 and y <= y1 + 0.6 and f <= lo + 0.6 and t >= hi - 0.6),
+cs as (select *, {_NEW.format('y', 'page, g')} as s from c), st as (select page, g, count(*) as n, sum(s) + 1 as levels, min(y) as first, min(f) as x0, max(t) as x1 from cs group by page, g),
+v as (select page, g, a, z, count(*) as votes from c group by page, g, a, z qualify row_number() over (partition by page, g order by votes desc, a, z) = 1),
+h as (select st.page, st.g, count(*) as heads from st join fr using (page, g) join l on l.page = st.page and base >= y0 and base <= first and base <= y1 and l.x0 >= st.x0 and l.x0 <= st.x1 and trim(text) <> '' group by all),
+tb as (select *, case when dividers >= 3 and levels = 2 and coalesce(heads, 0) >= 2 then 2 else 3 end as need from fr join st using (page, g) join v using (page, g) left join h using (page, g)),
+ok as (select * from tb where levels >= need and votes >= need and votes >= 0.75 * n and a <= lo + 0.6 and z >= hi - 0.6),
+dv as (select ok.page, ok.g, min(u.x) as divider from ok join u on u.page = ok.page and u.g = ok.g where u.x > a + 1.2 and u.x < z - 1.2 group by all),
+lv as (select distinct page, g, unnest([y0, y1]) as y from ok union select page, g, y from c where exists (select 1 from ok where ok.page = c.page and ok.g = c.g)), bd as (select page, g, y as d, lead(y) over (partition by page, g order by y) as e from lv),
+lb as (select ok.page, ok.g, (select count(*) from bd where bd.page = ok.page and bd.g = ok.g and exists (select 1 from l where l.page = ok.page and l.x0 >= a and l.x0 < divider and l.x1 <= divider + greatest(1.0, size) and base between bd.d and bd.e and base between y0 and y1 and regexp_matches(text, '[\\p{{L}}\\p{{N}}]'))) as labelled from ok left join dv using (page, g)),
+good as (select ok.* from ok join lb using (page, g) where dividers >= 3 or labelled >= 3),
+e as (select distinct page, 'vertical' as axis, unnest([a, z]) as position, y0 as f, y1 as t from good union select page, 'horizontal', unnest([y0, y1]), a, z from good),
+dr as (select page, 'vertical' as axis, x as q, f, t from u0 union all select page, 'horizontal', y, f, t from b)
+select page, axis, coalesce((select q from dr where dr.page = e.page and dr.axis = e.axis and abs(q - position) <= 0.6 and least(dr.t, e.t) - greatest(dr.f, e.f) >= 0.8 * (e.t - e.f) order by abs(q - position), q limit 1), position) as position, f as low, t as high from e
+where not exists (select 1 from dr where dr.page = e.page and dr.axis = e.axis and abs(q - position) <= 0.6 and dr.f <= e.f + 0.6 and dr.t >= e.t - 0.6)"""
+)
+def wn_grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outer edges that open tables lack, by their dividers, crossbars and labelled bands."""
+    segments = lambda df, at: df.select("page", F.col(at).cast("double").alias(at), F.col("f").cast("double").alias("from"), F.col("t").cast("double").alias("to"))
+    labels = derived(spark, sf_dir, _LABELS)
+    labels = labels.withColumns({c: F.col(c).cast("double") for c in ("x0", "x1", "base", "size")})
+    found = open_grids.outer_edges(segments(derived(spark, sf_dir, _CROSSBARS), "y"), segments(derived(spark, sf_dir, _DIVIDERS), "x"), labels)
+    return found.select("page", "axis", "position", F.col("from").alias("low"), F.col("to").alias("high"))
+
+
 _FILL_SQL = "(" + "|".join(f"{m}(?: *{m}){{3,}}" for m in ("_", r"\.", "-", "#", "%", r"\*", r"\$", "&")) + ")"
 
 

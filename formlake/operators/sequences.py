@@ -91,10 +91,17 @@ def labels_between(slots: DataFrame, parts: list[str], start: str, end: str, tex
     return slots.withColumn("label", F.when(F.length(between) > most, F.substr(between, F.length(between) - most + 1)).otherwise(between))
 
 
+def _fillers(least: int) -> str:
+    return "|".join(f"{m}(?: *{m}){{{least - 1},}}" for m in ("_", "\\.", "-", "#", "%", "\\*", "\\$", "&"))
+
+
+#: Runs of one filler character, with blanks in between allowed.
+FILLERS = _fillers(4)
+
+
 def filler_runs(text: Column, least: int = 4) -> Column:
     """Runs of one filler character, with blanks in between allowed."""
-    marks = ["_", "\\.", "-", "#", "%", "\\*", "\\$", "&"]
-    return F.regexp_extract_all(text, F.lit("(" + "|".join(f"{m}(?: *{m}){{{least - 1},}}" for m in marks) + ")"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({_fillers(least)})"), F.lit(1))
 
 
 def phase_times(steps: DataFrame, parts: list[str], at: str, phase: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from formlake.functions import formats
 from formlake.functions import text as T
 from formlake.functions.similarity import common_run_ratio
-from formlake.operators import claims, culprits, evidence, geometry, open_grids, rules, sequences, word_points
+from formlake.operators import claims, culprits, evidence, geometry, maps, open_grids, rules, sequences, word_points
 from formlake.plans import views
 from formlake.plans.registry import query
 from formlake.sources import profiles
@@ -675,8 +675,8 @@ _FILL_SQL = "(" + "|".join(f"{m}(?: *{m}){{3,}}" for m in ("_", r"\.", "-", "#",
 
 
 @query(f"with {views.LINES_SQL}, r as (select doc_id, n, unnest(regexp_extract_all(replace(line, '#', '__'), '{_FILL_SQL}')) as run, generate_subscripts(regexp_extract_all(replace(line, '#', '__'), '{_FILL_SQL}'), 1) as k from lines) select doc_id as doc, count(*) as places, sha256(string_agg(n || ':' || run, chr(10) order by n, k)) as digest from r group by doc_id")
-def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map of each document: its numbered places, bound to a digest of all of them in order."""
+def pj_place_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of each document, with a digest of all of them in order."""
     lines = views.lines(spark, sf_dir)
     places = lines.select("doc_id", "n", F.posexplode(sequences.filler_runs(F.replace("line", F.lit("#"), F.lit("__")))).alias("k", "run"))
     found = F.array_sort(F.collect_list(F.struct("n", "k", "run")))
@@ -684,6 +684,22 @@ def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("doc", "places", F.sha2(F.array_join(F.transform("p", lambda z: F.concat(z["n"].cast("string"), F.lit(":"), z["run"])), "\n"), 256).alias("digest"))
 
 
+@query(
+    f"""with {views.LINES_SQL}, p as (select doc_id as doc, n, n // 40 as page, string_split_regex(regexp_replace(replace(line, '#', '__'), '{_FILL_SQL}', chr(1) || '\\1' || chr(2), 'g'), '[\\x01\\x02]') as p from lines),
+b as (select *, coalesce(sum(len(p) // 2) over (partition by doc, page order by n rows between unbounded preceding and 1 preceding), 0)::int as base from p),
+s as (select doc, page, n, len(p) // 2 as places, array_to_string(list_transform(p, lambda x, i: case when i % 2 = 0 then '[' || (base + i // 2) || ']' else x end), '') as shown,
+  array_to_string(list_transform(range(1, len(p) // 2 + 1), lambda k: n || ':' || coalesce(list_sum(list_transform(p[1:(2 * k - 1)::int], lambda y: length(y))), 0)::int || ':' || length(p[(2 * k)::int])), ',') as places_at from b),
+g as (select doc, page, sum(places)::bigint as places, sha256(string_agg(sha256(shown || chr(10) || places_at), chr(10) order by n)) as digest from s group by doc, page),
+o as (select *, min(doc) over (partition by digest) as owner from g)
+select doc, count(*) as pages, sum(places)::bigint as places, count_if(owner <> doc)::bigint as reused, sha256((select sha256(text) from documents d where d.doc_id = doc) || chr(10) || string_agg(digest, chr(10) order by page)) as digest from o group by doc"""
+)
+def pj_build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of each document: pages of forty lines with numbered places, bound to the document's digest; equal pages are measured once."""
+    lines = views.lines(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.floor(F.col("n") / 40).alias("page"), "n", F.replace("line", F.lit("#"), F.lit("__")).alias("text"))
+    found = maps.with_owner(maps.pages(maps.rendered_lines(lines, sequences.FILLERS)))
+    return maps.maps(found, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("sha")))
+
+
 # Edits over runs
 
 

@@ -340,3 +340,19 @@ def test_points_of_word_parts(spark):
         (8, "form_testo", None, None, None, None), (8, "spazio_implicito", 4, 6, None, None),
         (9, "inserimento_testo", 10, 10, None, None),
     }
+
+
+def test_maps_do_not_depend_on_partitions(spark):
+    from formlake.operators import maps, sequences
+
+    rows = [(d, n // 3, n, f"name ____ line {n % 4} .... {'-----' if n % 5 == 0 else ''}") for d in (1, 2) for n in range(10)] + [(3, 0, 0, None), (4, 0, 0, "a\x01b ____")]
+    df = spark.createDataFrame(rows, "doc int, page int, n int, text string")
+    found = [maps.rendered_lines(df.repartition(k, "n"), sequences.FILLERS) for k in (1, 7)]
+    one, two = ({(r.doc, r.n): (r.shown, r.places, r.digest) for r in f.collect()} for f in found)
+    assert one == two and len(one) == 22
+    assert one[1, 0][0] == "name [1] line 0 [2] [3]" and one[1, 1][0] == "name [4] line 1 [5] " and one[1, 3][0] == "name [1] line 3 [2] "
+    assert [tuple(p) for p in one[1, 1][1]] == [(4, 5, 4), (5, 17, 4)] and one[3, 0][:2] == ("", []) and one[4, 0][0] == "ab [1]"
+    pages = maps.with_owner(maps.pages(found[1]))
+    sources = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z")], "doc int, sha string")
+    got = {r.doc: r for r in maps.maps(pages, sources).collect()}
+    assert got[1].digest == got[2].digest and (got[1].reused, got[2].reused, got[2].pages) == (0, 4, 4) and len({r.digest for r in got.values()}) == 3

@@ -76,6 +76,15 @@ def tags(parts: DataFrame, key: list[str], xml: str) -> DataFrame:
     return rows.withColumn("n", F.when(F.col("in_p").isNotNull(), number).cast("int")).drop("_sum", "_level", "_end")
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows, checkpointed without what only led to them; what elements hold is kept for the few that are asked."""
+    held = [c for c in rows.columns if c.startswith("h_")]
+    asked = (F.col("step") == 1) & F.col("name").isin("p", "tc", "sdt")
+    spent = [c for c in rows.columns if c.startswith("c_") or c in ("d_p", "d_r", "d_tc", "d_tr", "d_fs", "d_fc")]
+    packed = settled(rows.withColumn("_h", F.when(asked, F.struct(*held))).drop(*held, *spent))
+    return packed.withColumns({c: F.col(f"_h.{c}") for c in held}).drop("_h")
+
+
 def _joined(when: Column, what: Column) -> Column:
     """Texts of a group in their order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("pos", what.alias("x"))))), lambda s: s["x"]), "")
@@ -209,7 +218,7 @@ def points(parts: DataFrame, key: list[str], xml: str, levels: DataFrame | None
     candidate (only evidence: whoever reads decides), reason (why nothing is written; null: writable). Of several reasons the outermost is told.
     A paragraph in a text box is one by itself. Entities other than the five of XML stay as they are, and styles hand no numbering down.
     """
-    rows = settled(tags(parts, key, xml))
+    rows = _settled(tags(parts, key, xml))
     controls = _controls(rows, key)
     plain = controls.filter("plain").select(*key, F.col("pos").alias("in_sdt"), F.lit(True).alias("_c"))
     rows = rows.join(plain, [*key, "in_sdt"], "left")
@@ -219,7 +228,7 @@ def points(parts: DataFrame, key: list[str], xml: str, levels: DataFrame | None
     forms = _form_fields(inside, key)
     held = forms.filter("kind is not null or not ended").select(*key, F.col("pos").alias("field"), F.lit(True).alias("_f"))
     inside = inside.join(held, [*key, "field"], "left").withColumn("taken", F.coalesce((F.col("_c") & (F.col("d_pr") == 0)) | F.col("_s") | F.col("_f"), F.lit(False)))
-    inside = settled(inside)
+    inside = _settled(inside)
     shown, paragraph = _text_points(inside, key)
     none, no = F.lit(None), F.lit(False)
     out = lambda df, kind, text, checked, candidate, reason, start=none, end=none: df.select(*key, "n", kind.alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), text.cast("string").alias("text"), checked.cast("boolean").alias("checked"), candidate.alias("candidate"), reason.cast("string").alias("reason"))

@@ -2,26 +2,35 @@
 
 Every block starts from nothing: its own ids in ascending order are numbered (symbols), and the models know no more than what
 the block has shown so far. Order 2 and order 1 each predict the symbol that last came after the last two symbols or the last
-one; order 0 is the distribution of the symbols so far, brought up to date at set places. The probability of a symbol is the
-mixture of the three, with weights learnt for each state of the two predictions (how often each was right in a row, and whether
-they agree). A range coder of 64 bits with words of 32 bits writes the symbols; a carry is added to the words before at the end.
+one; order 0 is the distribution of the symbols so far. The probability of a symbol is the mixture of the three, with weights
+learnt for each state of the two predictions (how often each was right in a row, and whether they agree). Predictions follow
+every symbol; order 0 and the weights are brought up to date at set places. A range coder of 48 bits with words of 16 bits
+writes the symbols; a carry is added to the words before at the end.
 
-All numbers are integers, so every machine codes alike. One step codes the next symbol of all blocks at once (lanes of arrays).
+All numbers are integers, so every machine codes alike (quotients are below 2**16 of numbers below 2**49, which doubles hold).
+One step codes the next symbol of all blocks at once (lanes of arrays); what the coder knows ahead is computed for many steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Ids of a block, at most: symbols fit in 12 bits.
 BLOCK_IDS = 4096
 #: Blocks coded side by side, at most.
 LANES = 1024
-#: Places at which order 0 is brought up to date; later ones follow at this distance.
-_EARLY, _EVERY = (32, 64, 128, 256), 512
-#: Cells of the order-2 table of a block.
-_CELLS = 4096
-_U32, _U16 = np.uint64(32), np.uint64(16)
+#: Places at which order 0 and the weights are brought up to date; later ones follow at this distance.
+_PLAN = (0, 32, 64, 128, 256, *range(512, BLOCK_IDS, 512))
+#: Cells of the order-2 table of a block, and steps that are computed ahead.
+_CELLS, _AHEAD = 4096, 64
+#: By the exclusive or of a prediction (a symbol, and in two bits how often it was right in a row) and a symbol: the new two bits.
+_ROW = np.zeros(4 * BLOCK_IDS, np.int16)
+_ROW[:4] = 1, 2, 3, 3
+#: A span under the first bound gives up a word, under the second two; what stays of the low end by the number of words.
+_LEAST, _LESS = np.int64(1 << 32), np.int64(1 << 16)
+_STAY = np.array([(1 << 49) - 1, (1 << 32) - 1, (1 << 16) - 1], np.int64)
 
 
 class _Lanes:
@@ -31,160 +40,192 @@ class _Lanes:
         self.sizes, self.d = sizes, alphabets.astype(np.int64)
         n, self.wide = len(sizes), int(alphabets.max())
         # Order 0 has four cells for each symbol, 4,096 at least.
-        self.bits = np.maximum(12, 2 + np.ceil(np.log2(np.maximum(self.d, 2))).astype(np.int64)).astype(np.uint64)
-        self.seen = np.zeros((n, self.wide), np.int64)
-        self.before = np.zeros((n, self.wide + 1), np.uint64)
+        self.bits = np.maximum(12, 2 + np.ceil(np.log2(np.maximum(self.d, 2))).astype(np.int64))
+        self.seen = np.zeros((n, self.wide), np.int32)
+        self.before = np.zeros((n, self.wide + 1), np.int32)
         self.t1, self.t2 = np.zeros(n * self.wide, np.int16), np.zeros(n * _CELLS, np.int16)
-        self.w2, self.w1 = np.full(n * 32, 16384, np.int32), np.full(n * 32, 16384, np.int32)
         self.base = np.arange(n, dtype=np.int64)
         self.last, self.second = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.plan = {*_EARLY, *range(_EVERY, BLOCK_IDS, _EVERY)}
-        self.news: list[np.ndarray] = []
-        self.refresh()
+        # Of each lane and state: how often order 2, order 1 and neither was right; where their parts of 65,536 start, and how large they are.
+        self.right = np.zeros((n * 32, 4), np.int64)
+        self.start, self.part = np.zeros((n * 32, 4), np.int64), np.zeros((n * 32, 4), np.int64)
+        self.news: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def steps(self) -> Iterator[tuple[int, int, int]]:
+        """Runs of steps (first, end) within which no model is brought up to date and the same lanes have a symbol, and how many lanes these are."""
+        end = int(self.sizes.max())
+        cuts = sorted({*(t for t in _PLAN if t < end), *np.unique(self.sizes).tolist()})
+        for a, b in zip([t for t in cuts if t < end], cuts[1:], strict=True):
+            if a in _PLAN:
+                self.refresh()
+            yield a, b, int(np.searchsorted(-self.sizes, -a, side="left"))
 
     def refresh(self) -> None:
-        """Order 0 as of now: each symbol has one cell, and the others by its number so far."""
-        if self.news:
-            some = np.concatenate(self.news)
-            self.seen += np.bincount(some, minlength=self.seen.size).reshape(self.seen.shape)
-            self.news = []
-        total = np.cumsum(self.seen, axis=1)
-        cells = (np.int64(1) << self.bits.astype(np.int64)) - self.d
-        k = np.minimum(np.arange(1, self.wide + 1), self.d[:, None])
-        whole = total[:, -1:]
+        """Order 0 and the weights as of now: each symbol has one cell, and the others by its number so far."""
+        for x, told in self.news:
+            live = x.shape[1]
+            self.seen[:live] += np.bincount((self.base[:live] * self.wide + x).reshape(-1), minlength=live * self.wide).reshape(live, -1)
+            self.right += np.bincount(told.reshape(-1), minlength=self.right.size).reshape(-1, 4)
+        self.news = []
         # Before any symbol was seen all have the same share.
-        share = np.where(whole > 0, total * cells[:, None] // np.maximum(whole, 1), k * cells[:, None] // self.d[:, None])
-        self.before[:, 1:] = (share + k).astype(np.uint64)
-
-    def predict(self, live: int):
-        """Of the first `live` lanes: the predictions of order 2 and 1, their shares of 65,536, and where their state lies."""
-        base = self.base[:live]
-        self.at1 = base * self.wide + self.last[:live]
-        self.at2 = base * _CELLS + ((self.second[:live] * 167 + self.last[:live]) & (_CELLS - 1))
-        self.v1, self.v2 = self.t1.take(self.at1), self.t2.take(self.at2)
-        s1, s2 = self.v1 >> 2, self.v2 >> 2
-        self.same = s1 == s2
-        self.state = base * 32 + ((self.v2 & 3) * 8 + (self.v1 & 3) * 2 + self.same)
-        self.p2, self.p1 = self.w2.take(self.state), self.w1.take(self.state)
-        m1 = np.where(self.same, 0, ((65536 - self.p2) * self.p1.astype(np.int64)) >> 16)
-        return s2, s1, self.p2.astype(np.uint64), m1.astype(np.uint64)
-
-    def update(self, live: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """What the symbols x change."""
-        p2, p1 = self.p2, self.p1
-        self.w2[self.state] = np.clip(p2 + ((hit2 * np.int32(65536) - p2) >> 5), 64, 63000)
-        self.w1[self.state] = np.where(hit2 | self.same, p1, np.clip(p1 + ((hit1 * np.int32(65536) - p1) >> 5), 2048, 61440))
-        small = x.astype(np.int16)
-        fresh = small << 2
-        self.t1[self.at1] = np.where((self.v1 >> 2) == small, np.minimum(self.v1 + 1, fresh | 3), fresh)
-        self.t2[self.at2] = np.where(hit2, np.minimum(self.v2 + 1, fresh | 3), fresh)
-        self.news.append(self.base[:live] * self.wide + x)
-        self.second[:live] = self.last[:live]
-        self.last[:live] = x
-
-
-def _live(sizes: np.ndarray) -> np.ndarray:
-    """Lanes that still have a symbol, for each step; sizes fall."""
-    return np.searchsorted(-sizes, -np.arange(int(sizes.max())), side="left")
+        k = np.minimum(np.arange(1, self.wide + 1, dtype=np.int32), self.d[:, None].astype(np.int32))
+        total = np.cumsum(self.seen, axis=1, dtype=np.int32)
+        if not total[:, -1].all():
+            total = k
+        # A quarter more, so that all of the symbols have all of the cells.
+        scale = ((np.int64(1) << self.bits) - self.d + 0.25) / total[:, -1]
+        np.add((total * scale[:, None]).astype(np.int32), k, out=self.before[:, 1:])
+        two, one, none, _ = self.right.T
+        p2 = np.clip((2 * two + 1) * 32768 // (two + one + none + 2), 64, 63000)
+        p1 = np.clip((2 * one + 1) * 32768 // (one + none + 2), 2048, 61440)
+        # Where both predict one symbol order 1 has no part.
+        m1 = np.where(np.arange(len(p2)) & 1, 0, ((65536 - p2) * p1) >> 16)
+        self.start[:, 1], self.start[:, 2] = p2, p2 + m1
+        self.part[:, 0], self.part[:, 1], self.part[:, 2] = p2, m1, 65536 - p2 - m1
 
 
 def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, alphabets: np.ndarray) -> list[bytes]:
     """The code of each block. symbols: step by lane; lanes in order of falling size."""
     lanes = _Lanes(sizes, alphabets)
-    n, steps = len(sizes), int(sizes.max())
-    low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    # A step writes one word at most, and at the end two follow.
-    out, pos = np.zeros((n, steps + 2), np.uint64), np.zeros(n, np.int64)
-    least, half, one = np.uint64(1 << 32), np.uint64(65536), np.uint64(0)
-    flat, wide = lanes.before.reshape(-1), lanes.wide + 1
-    for t, live in enumerate(_live(sizes).tolist()):
-        if t in lanes.plan:
-            lanes.refresh()
-        x = symbols[t, :live].astype(np.int64)
-        s2, s1, m2, m1 = lanes.predict(live)
-        hit2 = s2 == x
-        hit1 = (s1 == x) & ~hit2
-        r = span[:live] >> _U16
-        both = m2 + m1
-        literal = ~(hit2 | hit1)
-        add = r * np.where(hit2, one, np.where(hit1, m2, both))
-        r *= np.where(hit2, m2, np.where(hit1, m1, half - both))
-        cell = lanes.base[:live] * wide + x
-        c = flat.take(cell)
-        cells = r >> lanes.bits[:live]
-        add += np.where(literal, cells * c, one)
-        r = np.where(literal, cells * (flat.take(cell + 1) - c), r)
-        new = low[:live] + add
-        if len(over := np.flatnonzero(new < add)):
-            out[over, pos[over] - 1] += np.uint64(1)
-        low[:live], span[:live] = new, r
-        if len(few := np.flatnonzero(r < least)):
-            out[few, pos[few]] = low[few] >> _U32
-            low[few] <<= _U32
-            span[few] <<= _U32
-            pos[few] += 1
-        lanes.update(live, x, hit2, hit1)
-    every = np.arange(n)
-    out[every, pos], out[every, pos + 1] = low >> _U32, low & np.uint64(0xFFFFFFFF)
-    while (carry := out >> _U32).any():
-        out &= np.uint64(0xFFFFFFFF)
+    n, wide, steps = len(sizes), lanes.wide, int(sizes.max())
+    # A step writes two words at most, and at the end three follow.
+    row = 2 * steps + 4
+    words = np.zeros(n * row, np.int32)
+    all_low, all_span, all_at = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64), lanes.base * row
+    before, t1, t2 = lanes.before.reshape(-1), lanes.t1, lanes.t2
+    start, part = lanes.start.reshape(-1), lanes.part.reshape(-1)
+    for first, end, live in lanes.steps():
+        base, bits = lanes.base[:live], lanes.bits[:live]
+        low, span, at = all_low[:live].copy(), all_span[:live].copy(), all_at[:live].copy()
+        one = np.int64(1) << bits
+        run, run_told = symbols[first:end, :live].astype(np.int64), np.empty((end - first, live), np.int64)
+        lanes.news.append((run, run_told))
+        for a in range(0, end - first, _AHEAD):
+            x = run[a : a + _AHEAD]
+            seq = np.concatenate([lanes.second[None, :live], lanes.last[None, :live], x])
+            lanes.second[:live], lanes.last[:live] = seq[-2], seq[-1]
+            c1 = seq[1:-1] + base * wide
+            c2 = ((seq[:-2] * 167 + seq[1:-1]) & (_CELLS - 1)) + base * _CELLS
+            fresh = x.astype(np.int16) << np.int16(2)
+            v1, v2 = np.empty_like(fresh), np.empty_like(fresh)
+            for f, i, j, v, w in zip(fresh, c1, c2, v1, v2, strict=True):
+                t1.take(i, out=v, mode="clip")
+                t1[i] = f | _ROW.take(v ^ f)
+                t2.take(j, out=w, mode="clip")
+                t2[j] = f | _ROW.take(w ^ f)
+            hit2, hit1 = (v2 ^ fresh) < 4, (v1 ^ fresh) < 4
+            state = (((v2 & 3) << 3) | ((v1 & 3) << 1) | ((v1 ^ v2) < 4)).astype(np.int64) + base * 32
+            kind = np.where(hit2, 0, np.where(hit1, 1, 2))
+            told = state * 4 + kind
+            run_told[a : a + _AHEAD] = told
+            s, p = start.take(told), part.take(told)
+            cell = x + base * (wide + 1)
+            literal = kind == 2
+            c = before.take(cell)
+            f0 = np.where(literal, before.take(cell + 1) - c, one)
+            c = np.where(literal, c, 0).astype(np.int64)
+            for si, pi, ci, fi in zip(s, p, c, f0, strict=True):
+                r = span >> 16
+                q = (r * pi) >> bits
+                low += r * si
+                low += q * ci
+                span = q * fi
+                m = ((span < _LEAST).view(np.int8) + (span < _LESS).view(np.int8)).astype(np.int64)
+                words[at] = low >> 32
+                words[at + 1] = (low >> 16) & 0xFFFF
+                at += m
+                low &= _STAY.take(m)
+                m <<= 4
+                low <<= m
+                span <<= m
+        all_low[:live], all_span[:live], all_at[:live] = low, span, at
+    for k, shift in enumerate((32, 16, 0)):
+        words[all_at + k] = all_low >> shift if shift == 32 else (all_low >> shift) & 0xFFFF
+    many = all_at - lanes.base * row + 3
+    out = words.reshape(n, row)[:, : int(many.max())]
+    while (carry := out >> 16).any():
+        out &= 0xFFFF
         out[:, :-1] += carry[:, 1:]
-    words = out.astype("<u4")
-    return [words[i, : pos[i] + 2].tobytes() for i in range(n)]
+    short = out.astype("<u2")
+    return [short[i, : many[i]].tobytes() for i in range(n)]
 
 
 def decode_blocks(codes: list[bytes], sizes: np.ndarray, alphabets: np.ndarray) -> np.ndarray:
     """The symbols, step by lane, of blocks in order of falling size."""
     lanes = _Lanes(sizes, alphabets)
-    n, steps = len(sizes), int(sizes.max())
-    words = np.zeros((n, max(map(len, codes)) // 4 + 2), np.uint64)
+    n, wide, steps = len(sizes), lanes.wide, int(sizes.max())
+    words = np.zeros((n, max(map(len, codes)) // 2 + 4), np.int64)
     for i, c in enumerate(codes):
-        words[i, : len(c) // 4] = np.frombuffer(c, "<u4")
-    code, pos = words[:, 0] << _U32 | words[:, 1], np.full(n, 2, np.int64)
-    span = np.full(n, 2**64 - 1, np.uint64)
+        words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
+    all_code = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2]
+    row = words.shape[1] - 1
+    pairs = (words[:, :-1] << 16 | words[:, 1:]).reshape(-1)
+    all_at, all_span = lanes.base * row + 3, np.full(n, 1 << 48, np.int64)
     out = np.zeros((steps, n), np.int16)
-    least, half, zero, top = np.uint64(1 << 32), np.uint64(65536), np.uint64(0), np.uint64(65535)
-    flat, wide = lanes.before.reshape(-1), lanes.wide + 1
-    row = int(1 << int(lanes.bits.max()))
-    of_cell = np.zeros((n, row), np.int16)
-    size = np.int64(1) << lanes.bits.astype(np.int64)
-
-    def cells() -> None:
-        counts = np.diff(lanes.before.astype(np.int64), axis=1)
-        flat_ = np.repeat(np.tile(np.arange(lanes.wide, dtype=np.int16), n), counts.reshape(-1))
-        if (size == row).all():
-            of_cell[:] = flat_.reshape(n, row)
-        else:
-            of_cell[np.arange(row) < size[:, None]] = flat_
-
-    cells()
-    last_cell = (size - 1).astype(np.uint64)
-    for t, live in enumerate(_live(sizes).tolist()):
-        if t in lanes.plan:
-            lanes.refresh()
-            cells()
-        s2, s1, m2, m1 = lanes.predict(live)
-        r, c = span[:live] >> _U16, code[:live]
-        v = np.minimum(c // r, top)
-        both = m2 + m1
-        hit2 = v < m2
-        hit1 = (v < both) & ~hit2
-        literal = v >= both
-        c = c - r * np.where(hit2, zero, np.where(hit1, m2, both))
-        r = r * np.where(hit2, m2, np.where(hit1, m1, half - both))
-        small = r >> lanes.bits[:live]
-        u = np.minimum(c // small, last_cell[:live]).astype(np.int64)
-        x0 = of_cell.reshape(-1).take(lanes.base[:live] * row + u)
-        cell = lanes.base[:live] * wide + x0
-        before = flat.take(cell)
-        c = c - np.where(literal, small * before, zero)
-        r = np.where(literal, small * (flat.take(cell + 1) - before), r)
-        x = np.where(hit2, s2, np.where(hit1, s1, x0))
-        out[t, :live] = x
-        code[:live], span[:live] = c, r
-        if len(few := np.flatnonzero(r < least)):
-            code[few] = code[few] << _U32 | words[few, pos[few]]
-            span[few] <<= _U32
-            pos[few] += 1
-        lanes.update(live, x.astype(np.int64), hit2, hit1)
+    before, t1, t2 = lanes.before.reshape(-1), lanes.t1, lanes.t2
+    start, part = lanes.start.reshape(-1), lanes.part.reshape(-1)
+    second_starts, third_starts = start[1:], start[2:]
+    # The symbol of each cell of order 0.
+    size = np.int64(1) << lanes.bits
+    cells = int(size.max())
+    of_cell = np.zeros((n, cells), np.int16)
+    within = None if (size == cells).all() else np.arange(cells) < size[:, None]
+    symbol_of = of_cell.reshape(-1)
+    numbers = np.tile(np.arange(wide, dtype=np.int16), n)
+    for first, end, live in lanes.steps():
+        if first in _PLAN:
+            run = np.repeat(numbers, np.diff(lanes.before, axis=1).reshape(-1))
+            if within is None:
+                symbol_of[:] = run
+            else:
+                of_cell[within] = run
+        base, bits = lanes.base[:live], lanes.bits[:live]
+        code, span, at = all_code[:live].copy(), all_span[:live].copy(), all_at[:live].copy()
+        one, last_cell = size[:live], size[:live] - 1
+        row1, row2, row0, row_c, row_s = base * wide, base * _CELLS, base * (wide + 1), base * cells, base * 128
+        last, second = lanes.last[:live].copy(), lanes.second[:live].copy()
+        told = np.empty((end - first, live), np.int64)
+        for k in range(end - first):
+            c1 = row1 + last
+            second *= 167
+            second += last
+            second &= _CELLS - 1
+            second += row2
+            c2, second = second, last
+            v1, v2 = t1.take(c1), t2.take(c2)
+            state = ((v2 & 3) << 3) | ((v1 & 3) << 1)
+            state |= (v1 ^ v2) < 4
+            four = (state.astype(np.int64) << 2) + row_s
+            r = span >> 16
+            miss2, literal = code >= r * second_starts.take(four), code >= r * third_starts.take(four)
+            four += miss2.view(np.int8) + literal.view(np.int8)
+            told[k] = four
+            code -= r * start.take(four)
+            q = (r * part.take(four)) >> bits
+            # Of a literal its cell, and the symbol's share of order 0; the others have all of their part.
+            u = (code / q).astype(np.int64)
+            np.minimum(u, last_cell, out=u)
+            u += row_c
+            x0 = symbol_of.take(u)
+            cell = row0 + x0
+            c = before.take(cell)
+            f = np.where(literal, before.take(cell + 1) - c, one)
+            code -= q * (c * literal)
+            span = q * f
+            x = np.where(literal, x0, np.where(miss2, v1, v2) >> np.int16(2))
+            out[first + k, :live] = x
+            m = ((span < _LEAST).view(np.int8) + (span < _LESS).view(np.int8)).astype(np.int64)
+            more = pairs.take(at, mode="clip")
+            at += m
+            m <<= 4
+            span <<= m
+            code <<= m
+            code |= more >> (32 - m)
+            fresh = x << np.int16(2)
+            t1[c1] = fresh | _ROW.take(v1 ^ fresh)
+            t2[c2] = fresh | _ROW.take(v2 ^ fresh)
+            last = x.astype(np.int64)
+        lanes.news.append((out[first:end, :live].astype(np.int64), told))
+        lanes.last[:live], lanes.second[:live] = last, second
+        all_code[:live], all_span[:live], all_at[:live] = code, span, at
     return out

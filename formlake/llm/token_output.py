@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id (nulls first; rows of one doc_id by a ha
 names hold the ids of all documents in ascending order of doc_id, each followed by an end id. The stream of a task is cut into blocks of
 4,096 ids (the last has fewer), which are coded by `id_coder` each from nothing. A block is a string of bytes that can be read by itself:
 
-    "FLT1", then as unsigned 32-bit integers (little-endian): ids, segments, distinct ids, bytes of the list of these, crc32 of the ids;
+    "FLT2", then as unsigned 32-bit integers (little-endian): ids, segments, distinct ids, bytes of the list of these, crc32 of the ids;
     for each segment of a document: doc_id (64 bits), flags (8 bits; 1: begins here, 2: ends here, 4: no doc_id), ids (32 bits);
     the distinct ids in ascending order, each as the difference from the one before in groups of seven bits;
     the code; the crc32 of all this.
@@ -19,7 +19,6 @@ documents of their own, as often as they come; an empty table gives files withou
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -27,84 +26,71 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.llm.id_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from formlake.llm.kernels import sliced
-from formlake.llm.token_codec import PATTERN, default_path
+from formlake.llm.token_codec import Vocabulary, default_path
+from formlake.llm.units import BATCH_BYTES, UnitMemory, joined, runs, stand_apart
 
 #: What follows the ids of each document.
 END_ID = 2
-#: Bytes of the units that a worker remembers, by estimate.
-MEMORY_BYTES = 96 << 20
-MAGIC, _HEAD, _BEGINS, _ENDS, _UNNAMED = b"FLT1", struct.Struct("<5I"), 1, 2, 4
+#: Bytes of the units that a worker remembers.
+MEMORY_BYTES = 64 << 20
+MAGIC, _HEAD, _BEGINS, _ENDS, _UNNAMED = b"FLT2", struct.Struct("<5I"), 1, 2, 4
 _SEGMENT = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("n", "<u4")])
 
 
-#: White space beside a blank, or at an end of the text.
-_IRREGULAR = re.compile(r" \s|\s |\A\s|\s\Z").search
+#: New units that go through the library as one text, in bytes.
+JOINED_BYTES = 4096
 
 
 class LibraryIds:
-    """Ids by the tokenizers library. What stands between single blanks is encoded once and remembered, as its ids do not depend on its neighbours."""
+    """Ids by the tokenizers library. Each unit is encoded once by a worker and remembered, as its ids do not depend on its neighbours."""
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(blob.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict = {}
-        self.flat, self.begin, self.held = np.zeros(1 << 16, np.uint32), [0], 0
-
-    def units(self, text: str) -> list:
-        """Parts that are encoded one by one, as a blank between two other characters always starts a word: a string stands for a blank and itself, a tuple for what it holds. A text with a special string is one part, one with other white space beside a blank is split into its words."""
-        if any(s in text for s in self.special):
-            return [(text,)]
-        if _IRREGULAR(text):
-            return [(w,) for w in self.split(text)]
-        out: list = text.split(" ")
-        out[0] = (out[0],)
-        return out
-
-    def _learn(self, units: list) -> None:
-        texts = [u[0] if isinstance(u, tuple) else " " + u for u in units]
-        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            ids = e.ids
-            at, to = self.begin[-1], self.begin[-1] + len(ids)
-            if to > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[at:to] = ids
-            self.begin.append(to)
-        for u, t in zip(units, texts, strict=True):
-            self.place[u] = len(self.place)
-            self.held += 4 * len(t) + 200
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        vocabulary = Vocabulary(blob)
+        self.sizes = np.array(list(map(len, vocabulary.tokens)), np.int64)
+        self.special = [s.encode() for s in vocabulary.special]
+        self.memory = UnitMemory(self._encoded, 1, self.special, MEMORY_BYTES)
+
+    def _encoded(self, units: pa.Array) -> list[pa.Array]:
+        """The ids of each unit as bytes. Units that stay apart in one text are encoded many together, and told by the sizes of the tokens."""
+        apart = stand_apart(units)
+        for s in self.special:
+            apart &= ~pc.match_substring(units, s).to_numpy(zero_copy_only=False)
+        order = np.argsort(~apart, kind="stable")
+        raw, at = runs(units.take(pa.array(order)))
+        many = int(apart.sum())
+        # Of the first `many` units some thousand bytes make a text, each of the others is one.
+        cuts = [*(np.flatnonzero(np.diff(at[:many] // JOINED_BYTES, prepend=-1)).tolist()), *range(many, len(order) + 1)]
+        texts = [str(raw[a:b], "utf-8") for a, b in zip(at[cuts[:-1]].tolist(), at[cuts[1:]].tolist(), strict=True)]
+        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in encoded)]).astype("<u4")
+        ends = np.cumsum(self.sizes[ids])
+        found = np.searchsorted(ends, at[1:])
+        if len(at) > 1 and (found[-1] != len(ids) - 1 or (ends[found] != at[1:]).any()):
+            raise ValueError("a token goes over the border of two units")
+        got = joined(np.concatenate([[0], 4 * (found + 1)]), ids.tobytes())
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return [got.take(pa.array(back))]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts one after another, an end id after each, and how many each has with it."""
-        if self.held > MEMORY_BYTES:
-            self.forget()
-        units = list(map(self.units, texts))
-        flat = [u for us in units for u in us]
-        if new := list(dict.fromkeys(u for u in flat if u not in self.place)):
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        begin = np.array(self.begin, np.int64)
-        sizes = (begin[1:] - begin[:-1])[at]
-        ends = np.cumsum(sizes)
-        got = self.flat[np.repeat(begin[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        last = np.cumsum([len(us) for us in units])
-        of_text = np.concatenate([[0], ends])[last] if len(texts) else np.zeros(0, np.int64)
-        return np.insert(got, of_text, END_ID), np.diff(of_text, prepend=0) + 1
+        (found,), first = self.memory.find(texts)
+        raw, at = runs(found)
+        of_text = at[first] // 4
+        return np.insert(np.frombuffer(raw, "<u4"), of_text[1:], END_ID), np.diff(of_text) + 1
 
 
 #: The library of a worker that is used again, by the tokenizer file's checksum and size: what it remembers serves the next task too.
@@ -121,12 +107,13 @@ def _library(blob: bytes) -> LibraryIds:
 
 def _leb(numbers: np.ndarray) -> bytes:
     """Numbers below 2**35 in groups of seven bits, the lowest first; the top bit says that more follow."""
-    groups = (numbers[:, None] >> np.arange(0, 35, 7)) & 127
-    many = np.maximum(1, 5 - np.argmax(groups[:, ::-1] > 0, axis=1))
-    many[~groups.any(axis=1)] = 1
-    k = np.arange(5)
-    groups |= np.where(k < many[:, None] - 1, 128, 0)
-    return groups[k < many[:, None]].astype(np.uint8).tobytes()
+    many = 1 + sum((numbers >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+    begin = np.cumsum(many) - many
+    out = np.zeros(int(many.sum()), np.uint8)
+    for k in range(int(many.max(initial=0))):
+        some = many > k
+        out[begin[some] + k] = (numbers[some] >> (7 * k)) & 127 | np.where(many[some] > k + 1, 128, 0)
+    return out.tobytes()
 
 
 def _unleb(raw: bytes) -> np.ndarray:
@@ -140,6 +127,19 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in ascending order, and the number of each id among them."""
+    top = int(ids.max(initial=0)) + 1
+    if top > 1 << 20:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(top, bool)
+    there[ids] = True
+    known = np.flatnonzero(there)
+    number = np.zeros(top, np.int16)
+    number[known] = np.arange(len(known))
+    return known, number[ids]
+
+
 def pack_blocks(ids: np.ndarray, segments: np.ndarray) -> list[bytes]:
     """Blocks of a stream of ids whose segments (doc_id, flags, n) say where documents begin and end; both flags of a segment that a block's border cuts are set anew."""
     cuts = list(range(0, len(ids), BLOCK_IDS)) + [len(ids)]
@@ -151,12 +151,12 @@ def pack_blocks(ids: np.ndarray, segments: np.ndarray) -> list[bytes]:
     for k in range(0, len(order), LANES):
         own = order[k : k + LANES]
         sizes = np.array([len(parts[i]) for i in own], np.int64)
-        symbols = np.zeros((int(sizes.max()), len(own)), np.int16)
+        symbols = np.zeros((len(own), int(sizes.max())), np.int16)
         for j, i in enumerate(own):
-            known, numbers = np.unique(parts[i], return_inverse=True)
-            symbols[: sizes[j], j] = numbers
+            known, numbers = _numbered(parts[i])
+            symbols[j, : sizes[j]] = numbers
             names[i], distinct[i] = _leb(np.diff(known.astype(np.int64), prepend=0)), len(known)
-        for i, code in zip(own, encode_blocks(symbols, sizes, np.array([distinct[i] for i in own])), strict=True):
+        for i, code in zip(own, encode_blocks(symbols.T, sizes, np.array([distinct[i] for i in own])), strict=True):
             codes[i] = code
     # The segments of each block: those of documents, cut at the borders.
     ends = np.cumsum(segments["n"].astype(np.int64))
@@ -188,9 +188,9 @@ def unpack_blocks(blocks: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarra
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])
     for k in range(0, len(order), LANES):
         own = order[k : k + LANES]
-        symbols = decode_blocks([codes[i] for i in own], np.array([heads[i][0] for i in own]), np.array([heads[i][1] for i in own]))
+        symbols = np.ascontiguousarray(decode_blocks([codes[i] for i in own], np.array([heads[i][0] for i in own]), np.array([heads[i][1] for i in own])).T)
         for j, i in enumerate(own):
-            out[i] = names[i][symbols[: heads[i][0], j]]
+            out[i] = names[i][symbols[j, : heads[i][0]]]
             if _crc(out[i]) != heads[i][2]:
                 raise ValueError("the ids of a block differ from its checksum")
     return out, segments
@@ -232,8 +232,8 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
             document, first = document + int(began[-1]), first + cut
             ids, segments, held = [stream[cut:]], [rest], len(stream) - cut
 
-        for batch in sliced(batches):
-            got, counts = library.ids([t or "" for t in batch.column("text").to_pylist()])
+        for batch in sliced(batches, limit=BATCH_BYTES):
+            got, counts = library.ids(batch.column("text"))
             names = batch.column("doc_id")
             marks = np.zeros(len(counts), _SEGMENT)
             marks["doc_id"], marks["n"] = names.fill_null(0).to_numpy(zero_copy_only=False), counts

@@ -16,11 +16,10 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +30,15 @@ from pyspark.sql import functions as F
 from formlake.llm.durable import checkpointed
 from formlake.llm.frequent import most_frequent
 from formlake.llm.kernels import sliced
+from formlake.llm.units import BATCH_BYTES, UnitMemory, joined, runs, units
 
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the lexicon, and words that a summary of frequent words holds, at most.
 LEXICON_WORDS, SUMMARY_WORDS = 30_000, 30_000
-#: Characters of a word in the lexicon or its summaries, and of a unit that a worker remembers, at most.
-WORD_CHARS, UNIT_CHARS = 64, 256
-#: Bytes of the units that a worker remembers, by estimate: as many again may be kept from before.
+#: Characters of a word in the lexicon or its summaries, at most.
+WORD_CHARS = 64
+#: Bytes of the units that a worker remembers.
 MEMORY_BYTES = 96 << 20
 #: Longer words are merged one by one by a heap instead of all together in a matrix.
 MATRIX_BYTES = 64
@@ -194,8 +194,6 @@ class Vocabulary:
                 step[ok, a] = new
 
 
-#: White space beside a blank, or at an end of the text.
-_IRREGULAR = re.compile(r" \s|\s |\A\s|\s\Z").search
 _NONE = np.int64(2**62)
 _SPREAD = 0x9E3779B97F4A7C15
 
@@ -332,21 +330,25 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
     def summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(PATTERN).findall
         seen: Counter = Counter()
-        for batch in sliced(batches):
-            for text in batch.column("text").to_pylist():
-                # What stands between blanks is counted, and only the frequent of these are split into words; what is long is split at once.
-                units = (text or "").split(" ")
-                if max(map(len, units)) > WORD_CHARS:
-                    units = [u for x in units for u in ([x] if len(x) <= WORD_CHARS else (w for w in split(x) if len(w) <= WORD_CHARS))]
-                seen.update(units)
-                if len(seen) > 8 * SUMMARY_WORDS:
-                    # As in summaries of heavy hitters: what is left gives up what the first word below the bound has.
-                    top = seen.most_common(SUMMARY_WORDS + 1)
-                    floor = top[-1][1]
-                    seen = Counter({w: n - floor for w, n in top[:-1] if n > floor})
+        for batch in sliced(batches, limit=BATCH_BYTES):
+            # Units are counted, and only the frequent of these are split into words; what is long is split at once.
+            named = units(batch.column("text"))[0].dictionary_encode()
+            many = np.bincount(named.indices.to_numpy(), minlength=len(named.dictionary)).tolist()
+            for unit, n in zip(named.dictionary.cast(pa.string()).to_pylist(), many, strict=True):
+                if len(unit) <= WORD_CHARS:
+                    seen[unit] += n
+                else:
+                    for word in split(unit):
+                        if len(word) <= WORD_CHARS:
+                            seen[word] += n
+            if len(seen) > 8 * SUMMARY_WORDS:
+                # As in summaries of heavy hitters: what is left gives up what the first word below the bound has.
+                top = seen.most_common(SUMMARY_WORDS + 1)
+                floor = top[-1][1]
+                seen = Counter({w: n - floor for w, n in top[:-1] if n > floor})
         words: Counter = Counter()
         for unit, n in seen.most_common(SUMMARY_WORDS):
-            for word in split(" " + unit):
+            for word in split(unit):
                 words[word] += n
         top = words.most_common(SUMMARY_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
@@ -357,16 +359,16 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
 
 
 class Codec:
-    """A worker's encoder. It remembers what stands between single blanks (units: their ids as text, their number, what they decode to); a new unit is split into words, and their ids come from the transducer or from exact merges."""
+    """A worker's encoder. It remembers what units become: their ids (as numbers of 32 bits, and as decimals with a comma after each) and what these decode to. A new unit is split into words, and their ids come from the transducer or from exact merges."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.split = regex.compile(PATTERN).findall
         cut = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, cut)) + ")").split if cut else None
-        self.memory: dict = {}
-        self.before: dict = {}
-        self.held = 0
+        self.decimals = pa.array([b"%d," % i for i in range(len(vocabulary.tokens))], pa.binary())
+        self.tokens = pa.array(vocabulary.tokens, pa.binary())
+        self.memory = UnitMemory(self.learn, 3, [s.encode() for s in vocabulary.special], MEMORY_BYTES)
 
     def pieces(self, text: str) -> list[str]:
         """Words and special strings of a text, in order."""
@@ -377,64 +379,30 @@ class Codec:
             out += [part] if i % 2 else self.split(part)
         return out
 
-    def units(self, text: str) -> list:
-        """Keys of parts whose words can be found part by part, as a blank between two other characters always starts a word: a string stands for a blank and itself, a tuple for what it holds. A text with a special string is one part, one with other white space beside a blank is split into its words."""
-        if any(s in text for s in self.vocabulary.special):
-            return [(text,)]
-        if _IRREGULAR(text):
-            return [(w,) for w in self.split(text)]
-        out: list = text.split(" ")
-        out[0] = (out[0],)
-        return out
-
-    def learn(self, units: Iterable) -> dict:
-        """What the units become. Short ones are remembered; when the memory is full, the units not met since it was last full are forgotten."""
-        memory, before, new, out = self.memory, self.before, [], {}
-        for u in units:
-            got = memory.get(u)
-            if got is None:
-                got = before.get(u)
-                if got is None:
-                    new.append(u)
-                    continue
-                self._remember(u, got)
-            out[u] = got
-        found = [self.pieces(u[0] if isinstance(u, tuple) else " " + u) for u in new]
-        words = list(dict.fromkeys(w for ws in found for w in ws))
+    def learn(self, units: pa.Array) -> list[pa.Array]:
+        """What the units become."""
+        found = [self.pieces(u) for u in units.cast(pa.string()).to_pylist()]
+        words = list(dict.fromkeys(chain.from_iterable(found)))
         raw = [w.encode() for w in words]
-        runs = self.lexicon.find(raw)
-        lost = [i for i, r in enumerate(runs) if r is None]
+        runs_ = self.lexicon.find(raw)
+        lost = [i for i, r in enumerate(runs_) if r is None]
         for i, ids in zip(lost, self.vocabulary.merge_many([raw[i] for i in lost]), strict=True):
-            runs[i] = ids
-        of = dict(zip(words, runs, strict=True))
+            runs_[i] = ids
+        of = dict(zip(words, runs_, strict=True))
         of |= {w: [i] for w, i in self.vocabulary.special.items() if w in of}
-        for u, ws in zip(new, found, strict=True):
-            ids = [i for w in ws for i in of[w]]
-            out[u] = (",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.tokens.__getitem__, ids)))
-            if len(u[0] if isinstance(u, tuple) else u) <= UNIT_CHARS:
-                self._remember(u, out[u])
+        lists = [of[w] for ws in found for w in ws]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])[np.concatenate([[0], np.cumsum([len(ws) for ws in found])])]
+        ids = np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1]))
+        out = [joined(4 * ends, ids.astype("<u4").tobytes())]
+        for table in (self.decimals, self.tokens):
+            data, at = runs(table.take(pa.array(ids)))
+            out.append(joined(at[ends], data))
         return out
 
-    def _remember(self, unit, got: tuple[str, int, bytes]) -> None:
-        self.memory[unit] = got
-        # Besides the characters: the objects' own headers and the place in the dictionary.
-        self.held += 4 * len(got[2]) + len(got[0]) + 400
-
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
-        """What each text's units become, in order."""
-        if self.held > MEMORY_BYTES:
-            self.before, self.memory, self.held = self.memory, {}, 0
-        found = [self.units(t) for t in texts]
-        known = self.learn(dict.fromkeys(chain.from_iterable(found)))
-        for us in found:
-            yield list(map(known.__getitem__, us))
-
-    def rest(self) -> None:
-        """Gives up the older half of the memory: a worker that waits, or goes on with another job, holds no more than MEMORY_BYTES."""
-        self.before = {}
-
-    def ids(self, text: str) -> list[int]:
-        return [int(i) for x in next(self.encode([text])) for i in x[0].split(",")] if text else []
+    def encode(self, texts: pa.Array) -> list[tuple[memoryview, np.ndarray]]:
+        """The ids, decimals and decoded bytes of some texts one after another, each with the places where texts begin in it (one more for the end)."""
+        found, first = self.memory.find(texts)
+        return [(data, at[first]) for data, at in map(runs, found)]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -470,11 +438,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
-        for batch in sliced(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [[int(i) for x in got if x[1] for i in x[0].split(",")] for got in codec.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-        codec.rest()
+        for batch in sliced(batches, limit=BATCH_BYTES):
+            (data, at), *_ = codec.encode(batch.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array(at // 4, pa.int32()), pa.array(np.frombuffer(data, "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -501,16 +468,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
-        for batch in sliced(batches):
-            counts, ids_sha, text_sha = [], [], []
-            for got in codec.encode([t or "" for t in batch.column("text").to_pylist()]):
-                ids, numbers, raw = zip(*got, strict=True)
-                counts.append(sum(numbers))
-                ids_sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+        for batch in sliced(batches, limit=BATCH_BYTES):
+            (_, places), (decimals, at), (decoded, of) = codec.encode(batch.column("text"))
+            counts = np.diff(places) // 4
+            # The comma after a text's last id is left out.
+            ids_sha = [hashlib.sha256(decimals[a : max(a, b - 1)]).hexdigest() for a, b in pairwise(at.tolist())]
+            text_sha = [hashlib.sha256(str(decoded[a:b], "utf-8", "replace").encode()).hexdigest() for a, b in pairwise(of.tolist())]
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from tokenizers import Tokenizer
 
 from formlake.llm import token_codec, token_output
 from formlake.llm.units import UNIT_BYTES, UnitMemory, runs, units
@@ -78,3 +79,17 @@ def test_library_ids_encode_each_word_once(blob):
         if some is texts:
             # Each word stands behind nothing, behind a line's end and behind a blank; its marks make no other units of it.
             assert sum(map(len, sent)) < 2 * sum(len(w) + 1 for w in words) + 100
+
+
+def test_codec_learns_each_word_once(blob):
+    codec = token_codec.Codec(token_codec.Vocabulary(blob), token_codec.Transducer.build({}))
+    words, texts = spread()
+    library = Tokenizer.from_file(token_codec.default_path())
+    for some in (texts, made(3, 5000)):
+        (data, at), (decimals, ends), (decoded, _) = codec.encode(pa.array(some, pa.string()))
+        expected = [e.ids for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
+        assert np.diff(at).tolist() == [4 * len(x) for x in expected] and np.frombuffer(data, "<u4").tolist() == [i for x in expected for i in x]
+        assert [bytes(decimals[a:b]).decode() for a, b in zip(ends, ends[1:], strict=False)] == ["".join(f"{i}," for i in x) for x in expected]
+        assert bytes(decoded).decode() == "".join(t or "" for t in some)
+        if some is texts:
+            assert len(codec.memory.keys) <= 2 * len(words) + 11

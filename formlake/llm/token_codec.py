@@ -404,6 +404,10 @@ class Codec:
         found, first = self.memory.find(texts)
         return [(data, at[first]) for data, at in map(runs, found)]
 
+    def rest(self) -> None:
+        """Gives memory that is not in use back to the system: a worker that waits, or goes on with another job, holds no more than what it remembers."""
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -442,6 +446,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             (data, at), *_ = codec.encode(batch.column("text"))
             ids = pa.ListArray.from_arrays(pa.array(at // 4, pa.int32()), pa.array(np.frombuffer(data, "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+        codec.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -476,6 +481,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             text_sha = [hashlib.sha256(str(decoded[a:b], "utf-8", "replace").encode()).hexdigest() for a, b in pairwise(of.tolist())]
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id (nulls first; rows of one doc_id by a ha
 names hold the ids of all documents in ascending order of doc_id, each followed by an end id. The stream of a task is cut into blocks of
 4,096 ids (the last has fewer), which are coded by `id_coder` each from nothing. A block is a string of bytes that can be read by itself:
 
-    "FLT2", then as unsigned 32-bit integers (little-endian): ids, segments, distinct ids, bytes of the list of these, crc32 of the ids;
+    "FLT3", then as unsigned 32-bit integers (little-endian): ids, segments, distinct ids, bytes of the list of these, crc32 of the ids;
     for each segment of a document: doc_id (64 bits), flags (8 bits; 1: begins here, 2: ends here, 4: no doc_id), ids (32 bits);
     the distinct ids in ascending order, each as the difference from the one before in groups of seven bits;
     the code; the crc32 of all this.
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from formlake.llm.id_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from formlake.llm.kernels import sliced
 from formlake.llm.token_codec import Vocabulary, default_path
-from formlake.llm.units import BATCH_BYTES, UnitMemory, joined, runs, stand_apart
+from formlake.llm.units import BATCH_BYTES, IndexedMemory, joined, runs, stand_apart
 
 #: What follows the ids of each document.
 END_ID = 2
 #: Bytes of the units that a worker remembers.
-MEMORY_BYTES = 64 << 20
-MAGIC, _HEAD, _BEGINS, _ENDS, _UNNAMED = b"FLT2", struct.Struct("<5I"), 1, 2, 4
+MEMORY_BYTES = 96 << 20
+MAGIC, _HEAD, _BEGINS, _ENDS, _UNNAMED = b"FLT3", struct.Struct("<5I"), 1, 2, 4
 _SEGMENT = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("n", "<u4")])
 
 
@@ -61,7 +61,7 @@ class LibraryIds:
         vocabulary = Vocabulary(blob)
         self.sizes = np.array(list(map(len, vocabulary.tokens)), np.int64)
         self.special = [s.encode() for s in vocabulary.special]
-        self.memory = UnitMemory(self._encoded, 1, self.special, MEMORY_BYTES)
+        self.memory = IndexedMemory(self._encoded, 1, self.special, MEMORY_BYTES)
 
     def _encoded(self, units: pa.Array) -> list[pa.Array]:
         """The ids of each unit as bytes. Units that stay apart in one text are encoded many together, and told by the sizes of the tokens."""
@@ -105,15 +105,16 @@ def _library(blob: bytes) -> LibraryIds:
     return _libraries[key]
 
 
-def _leb(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**35 in groups of seven bits, the lowest first; the top bit says that more follow."""
+def _leb(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers below 2**35 in groups of seven bits, the lowest first; the top bit says that more follow. And where each ends."""
     many = 1 + sum((numbers >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
-    begin = np.cumsum(many) - many
+    ends = np.cumsum(many)
+    begin = ends - many
     out = np.zeros(int(many.sum()), np.uint8)
     for k in range(int(many.max(initial=0))):
-        some = many > k
+        some = np.flatnonzero(many > k)
         out[begin[some] + k] = (numbers[some] >> (7 * k)) & 127 | np.where(many[some] > k + 1, 128, 0)
-    return out.tobytes()
+    return out.tobytes(), ends
 
 
 def _unleb(raw: bytes) -> np.ndarray:
@@ -123,51 +124,65 @@ def _unleb(raw: bytes) -> np.ndarray:
     return np.add.reduceat((x & 127) << (7 * (np.arange(len(x)) - np.repeat(begin, ends - begin + 1))), begin) if len(x) else x
 
 
+def _groups(n: int) -> list[tuple[int, int]]:
+    """As few runs of at most LANES of n blocks as can be, equally long."""
+    many = -(-n // LANES)
+    at = [n * i // many for i in range(many + 1)] if n else []
+    return list(zip(at, at[1:], strict=False))
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids in ascending order, and the number of each id among them."""
-    top = int(ids.max(initial=0)) + 1
-    if top > 1 << 20:
+def _numbered(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in ascending order, and the number of each id among them. place: a cell for each id below 2**16, used anew."""
+    if int(ids.max()) >= len(place):
         return np.unique(ids, return_inverse=True)
-    there = np.zeros(top, bool)
-    there[ids] = True
-    known = np.flatnonzero(there)
-    number = np.zeros(top, np.int16)
-    number[known] = np.arange(len(known))
-    return known, number[ids]
+    order = np.sort(ids.astype(np.uint16), kind="stable")
+    first = np.empty(len(order), bool)
+    first[0] = True
+    np.not_equal(order[1:], order[:-1], first[1:])
+    known = order[first]
+    place[known] = np.arange(len(known))
+    return known, place[ids]
 
 
 def pack_blocks(ids: np.ndarray, segments: np.ndarray) -> list[bytes]:
     """Blocks of a stream of ids whose segments (doc_id, flags, n) say where documents begin and end; both flags of a segment that a block's border cuts are set anew."""
-    cuts = list(range(0, len(ids), BLOCK_IDS)) + [len(ids)]
-    parts = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    names: list[bytes] = [b""] * len(parts)
-    distinct = [0] * len(parts)
+    cuts = np.append(np.arange(0, len(ids), BLOCK_IDS), len(ids))
+    parts = [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+    place = np.zeros(1 << 16, np.int16)
     order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
     codes: list[bytes] = [b""] * len(parts)
-    for k in range(0, len(order), LANES):
-        own = order[k : k + LANES]
+    known: list[np.ndarray] = [np.zeros(0, np.int64)] * len(parts)
+    for a, b in _groups(len(order)):
+        own = order[a:b]
         sizes = np.array([len(parts[i]) for i in own], np.int64)
         symbols = np.zeros((len(own), int(sizes.max())), np.int16)
         for j, i in enumerate(own):
-            known, numbers = _numbered(parts[i])
-            symbols[j, : sizes[j]] = numbers
-            names[i], distinct[i] = _leb(np.diff(known.astype(np.int64), prepend=0)), len(known)
-        for i, code in zip(own, encode_blocks(symbols.T, sizes, np.array([distinct[i] for i in own])), strict=True):
+            known[i], symbols[j, : sizes[j]] = _numbered(parts[i], place)
+        for i, code in zip(own, encode_blocks(symbols.T, sizes, np.array([len(known[i]) for i in own])), strict=True):
             codes[i] = code
+    # The names of all blocks one after another; the first of each stands for itself.
+    distinct = np.array(list(map(len, known)), np.int64)
+    upto = np.cumsum(distinct)
+    steps = np.diff(np.concatenate([np.zeros(1, np.int64), *(x.astype(np.int64) for x in known)]))
+    if len(parts):
+        steps[upto[:-1]] = [int(x[0]) for x in known[1:]]
+    names, ends = _leb(steps)
+    name_at = np.concatenate([[0], ends[upto - 1]]).tolist()
     # The segments of each block: those of documents, cut at the borders.
     ends = np.cumsum(segments["n"].astype(np.int64))
     begins = ends - segments["n"]
     blocks = []
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        own = slice(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(begins, b, "left")))
+    for i, (a, b, left, right) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), np.searchsorted(ends, cuts[:-1], "right").tolist(), np.searchsorted(begins, cuts[1:], "left").tolist(), strict=False)):
+        own = slice(left, right)
         some = segments[own].copy()
         some["n"] = np.minimum(ends[own], b) - np.maximum(begins[own], a)
         some["flags"] &= ~(np.where(begins[own] < a, _BEGINS, 0) | np.where(ends[own] > b, _ENDS, 0)).astype(np.uint8)
-        body = MAGIC + _HEAD.pack(b - a, len(some), distinct[i], len(names[i]), _crc(parts[i])) + some.tobytes() + names[i] + codes[i]
+        named = names[name_at[i] : name_at[i + 1]]
+        body = MAGIC + _HEAD.pack(b - a, len(some), len(known[i]), len(named), _crc(parts[i])) + some.tobytes() + named + codes[i]
         blocks.append(body + struct.pack("<I", zlib.crc32(body)))
     return blocks
 
@@ -182,15 +197,18 @@ def unpack_blocks(blocks: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarra
         at = 4 + _HEAD.size + many * _SEGMENT.itemsize
         heads.append((n, distinct, crc))
         segments.append(np.frombuffer(raw, _SEGMENT, many, 4 + _HEAD.size))
-        names.append(np.cumsum(_unleb(raw[at : at + size])).astype(np.uint32))
+        names.append(raw[at : at + size])
         codes.append(raw[at + size : -4])
+    ends = np.cumsum([d for _, d, _ in heads])
+    total = np.concatenate([[0], np.cumsum(_unleb(b"".join(names)))])
+    known = [(total[b - d + 1 : b + 1] - total[b - d]).astype(np.uint32) for b, (_, d, _) in zip(ends.tolist(), heads, strict=True)]
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])
-    for k in range(0, len(order), LANES):
-        own = order[k : k + LANES]
+    for a, b in _groups(len(order)):
+        own = order[a:b]
         symbols = np.ascontiguousarray(decode_blocks([codes[i] for i in own], np.array([heads[i][0] for i in own]), np.array([heads[i][1] for i in own])).T)
         for j, i in enumerate(own):
-            out[i] = names[i][symbols[j, : heads[i][0]]]
+            out[i] = known[i][symbols[j, : heads[i][0]]]
             if _crc(out[i]) != heads[i][2]:
                 raise ValueError("the ids of a block differ from its checksum")
     return out, segments
@@ -286,8 +304,8 @@ def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, Callable]:
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for k in range(0, batch.num_rows, LANES):
-                part, first, document, block = (batch.slice(k, LANES).column(c).to_pylist() for c in ("part", "first", "document", "block"))
+            for k, end in _groups(batch.num_rows):
+                part, first, document, block = (batch.slice(k, end - k).column(c).to_pylist() for c in ("part", "first", "document", "block"))
                 ids, marks = unpack_blocks(block)
                 flat, segments, many = np.concatenate(ids), np.concatenate(marks), [len(m) for m in marks]
                 at = np.concatenate([[0], np.cumsum(segments["n"].astype(np.int64))])

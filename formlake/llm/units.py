@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from formlake.llm.kernels import mix, powers
+
 #: Bytes of text worked on at once: the more, the fewer units are looked up again.
 BATCH_BYTES = 4 << 20
 #: Bytes of a unit that is remembered, at most.
@@ -84,6 +86,13 @@ class UnitMemory:
     def held(self) -> int:
         return sum(c.nbytes for c in (self.keys, *self.known))
 
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Where each unit is among the known ones, -1 for new ones."""
+        return pc.fill_null(pc.index_in(distinct, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def added(self, keys: pa.Array) -> None:
+        """Told of units that are remembered from now on."""
+
     def find(self, column: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
         """Each column's values for all units of some texts one after another, and the number of the first unit of each text (one more for the end)."""
         if self.held() > self.limit:
@@ -91,7 +100,7 @@ class UnitMemory:
         found, first = units(column, self.special)
         named = found.dictionary_encode()
         distinct, known = named.dictionary, self.known
-        place = pc.fill_null(pc.index_in(distinct, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = self.places(distinct)
         new = np.flatnonzero(place < 0)
         if len(new):
             # New units follow the known ones; those that are too long to remember come last.
@@ -103,10 +112,61 @@ class UnitMemory:
             known = [pa.concat_arrays([a, b]) for a, b in zip(self.known, got, strict=True)]
             self.known = known if short == len(new) else [pa.concat_arrays([a, b[:short]]) for a, b in zip(self.known, got, strict=True)]
             self.keys = pa.concat_arrays([self.keys, keys[:short]])
+            self.added(keys[:short])
         places = pa.array(place[named.indices.to_numpy()] if len(place) else place)
         return [c.take(places) for c in known], first
 
 
+class IndexedMemory(UnitMemory):
+    """A memory whose known units are found by an open-addressed table of their hashes, which grows with them and is not made anew for each batch. Units are equal only if their bytes are."""
+
+    def forget(self) -> None:
+        super().forget()
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.full(1 << 12, -1, np.int32)
+
+    def held(self) -> int:
+        return super().held() + self.hashes.nbytes + self.slots.nbytes
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        h = hashed(distinct)
+        out = np.full(len(h), -1, np.int64)
+        open_, at = (np.arange(len(h)), self._slot(h)) if len(self.hashes) else (np.zeros(0, np.int64),) * 2
+        while len(open_):
+            got = self.slots[at]
+            same = (got >= 0) & (self.hashes[got] == h[open_])
+            out[open_[same]] = got[same]
+            more = (got >= 0) & ~same
+            open_, at = open_[more], (at[more] + 1) & (len(self.slots) - 1)
+        known = np.flatnonzero(out >= 0)
+        same = pc.equal(self.keys.take(pa.array(out[known])), distinct.take(pa.array(known))).to_numpy(zero_copy_only=False)
+        out[known[~same]] = -1
+        return out
+
+    def added(self, keys: pa.Array) -> None:
+        todo = np.arange(len(self.hashes), len(self.hashes) + len(keys))
+        self.hashes = np.concatenate([self.hashes, hashed(keys)])
+        if 5 * len(self.hashes) > 3 * len(self.slots):
+            todo, self.slots = np.arange(len(self.hashes)), np.full(1 << (2 * len(self.hashes)).bit_length(), -1, np.int32)
+        at = self._slot(self.hashes[todo])
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            left = self.slots[at] != todo
+            todo, at = todo[left], (at[left] + 1) & (len(self.slots) - 1)
+
+
+def hashed(column: pa.Array) -> np.ndarray:
+    """64 bits of each value of a binary column."""
+    raw, at = runs(column)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * powers(len(raw)), out=total[1:])
+    own = (total[at[1:]] - total[at[:-1]]) * powers(len(raw) + 1, inverse=True)[at[:-1]]
+    return mix(own + np.diff(at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def joined(starts: np.ndarray, data: bytes | memoryview) -> pa.Array:
     """A binary column from where its values begin in some bytes (one more for the end)."""
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])

@@ -72,6 +72,24 @@ def test_coder_round_trips():
     assert len(id_coder.encode_blocks(np.tile(np.arange(16, dtype=np.int16), 256)[:, None], np.array([4096]), np.array([16]))[0]) < 300
 
 
+def test_coder_codes_eight_symbols_of_a_block_at_once():
+    assert id_coder._Lanes(np.array([4096]), np.array([5])).sizes.tolist() == [512] * 8
+    rng = np.random.default_rng(3)
+    sizes = np.sort(np.concatenate([np.arange(1, 40), rng.integers(1, 4097, 30), [4096, 4095, 4089, 4088, 513, 512]]))[::-1]
+    blocks = [np.minimum(rng.zipf(1.2, n), rng.integers(1, 4096)) - 1 if n % 3 else np.resize(rng.integers(0, 60, 90), n) for n in sizes]
+    alphabets = np.array([b.max() + 1 for b in blocks])
+    symbols = np.zeros((sizes.max(), len(blocks)), np.int16)
+    for i, b in enumerate(blocks):
+        symbols[: len(b), i] = b
+    codes = id_coder.encode_blocks(symbols, sizes, alphabets)
+    # The code of a block depends on no other block that is coded beside it.
+    for own in (range(len(blocks)), range(0, len(blocks), 2), *([i] for i in range(len(blocks)))):
+        own = list(own)
+        assert id_coder.encode_blocks(symbols[:, own], sizes[own], alphabets[own]) == [codes[i] for i in own]
+        got = id_coder.decode_blocks([codes[i] for i in own], sizes[own], alphabets[own])
+        assert all((got[: len(blocks[i]), k] == blocks[i]).all() for k, i in enumerate(own))
+
+
 def test_blocks_name_damage():
     segments = np.array([(5, 3, 4000), (0, 7, 5000)], token_output._SEGMENT)
     ids = np.random.default_rng(2).integers(0, 2**32 - 1, 9000, dtype=np.uint32)

@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import regex
 from tokenizers import Tokenizer
 
 from formlake.llm import token_codec, token_output
-from formlake.llm.units import UNIT_BYTES, UnitMemory, runs, units
+from formlake.llm.units import UNIT_BYTES, IndexedMemory, UnitMemory, runs, units
 
 SPECIAL = "<|endoftext|>"
 PARTS = ["a", "B", "st", "é", "ß", "ł", "А", "漢", "ⅷ", "1", "2", "²", "'", "'s", "'ll", " ", " ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", " ", "　", "​", "﻿", "—", "×", "÷", "!", "($", "_-", ".", "😀", "́", SPECIAL]
@@ -93,3 +94,36 @@ def test_codec_learns_each_word_once(blob):
         assert bytes(decoded).decode() == "".join(t or "" for t in some)
         if some is texts:
             assert len(codec.memory.keys) <= 2 * len(words) + 11
+
+
+def test_indexed_memory_equals_plain_one():
+    def learn(new):
+        return [pa.array([x[::-1] for x in new.to_pylist()], pa.binary())]
+
+    plain, indexed = UnitMemory(learn, 1, [], 1 << 20), IndexedMemory(learn, 1, [], 1 << 20)
+    r = random.Random(5)
+    for k in range(12):
+        if k == 8:
+            plain.limit = indexed.limit = 0
+        texts = pa.array([None, "", *(" ".join(str(r.randrange(400 << k)) for _ in range(2000)) for _ in range(3)), "y" * (UNIT_BYTES + 1 + k)])
+        (a,), x = plain.find(texts)
+        (b,), y = indexed.find(texts)
+        assert a.equals(b) and (x == y).all() and plain.keys.equals(indexed.keys) and len(indexed.hashes) == len(indexed.keys)
+
+
+def test_indexed_memory_tells_units_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr("formlake.llm.units.hashed", lambda column: np.full(len(column), 7, np.uint64))
+    memory = IndexedMemory(lambda new: [pa.array([x.upper() for x in new.to_pylist()], pa.binary())], 1, [], 1 << 20)
+    for _ in range(3):
+        assert bytes(runs(memory.find(pa.array(["one two three", "three two"]))[0][0])[0]) == b"ONE TWO THREETHREE TWO"
+
+
+def test_library_ids_look_up_no_more_than_a_batch(blob, monkeypatch):
+    """A table of all known units for each batch took more time the more a worker knew."""
+    library = token_output.LibraryIds(blob)
+    library.ids(pa.array([" ".join(f"w{i}" for i in range(20_000))]))
+    monkeypatch.setattr(pc, "index_in", lambda *a, **b: pytest.fail("a table of all known units was made"))
+    seen = []
+    monkeypatch.setattr(library.memory, "_slot", lambda h: (seen.append(len(h)), IndexedMemory._slot(library.memory, h))[1])
+    library.ids(pa.array(["w1 w2 w3 new"]))
+    assert 0 < max(seen) < 20

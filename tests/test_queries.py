@@ -44,3 +44,25 @@ def test_oracles_name_queries():
 def test_no_product_of_tables(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.fixture
+def against_sql(spark, tmp_path):
+    """A function that runs a query and its SQL on small tables (name: SELECT) and gives the rows of both."""
+
+    def run(name, **tables):
+        con = duckdb.connect()
+        for t, select in tables.items():
+            con.sql(f"copy ({select}) to '{tmp_path}/{t}.parquet' (format parquet)")
+            con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+        df = QUERIES[name](spark, str(tmp_path))
+        quoted = ", ".join(f'"{c}"' for c in df.columns)
+        return norm(map(tuple, df.collect())), norm(con.sql(f"select {quoted} from ({ORACLE[name]})").fetchall())
+
+    return run
+
+
+def test_prices_round_as_in_sql(against_sql):
+    orders = "select 63090 as o_orderkey, 4096 as o_custkey, 15099.81::double as o_totalprice, '4-NOT SPECIFIED' as o_orderpriority, 'P' as o_orderstatus union all select 98609, 4096, 345607.48, '5-LOW', 'O' union all select 1, 7, 2.5, '5-LOW', 'P'"
+    got, expected = against_sql("jn_best_occurrence", orders=orders)
+    assert got == expected and (4096, 63090) in got

@@ -152,6 +152,27 @@ def test_common_runs_equal_brute_force(spark):
         assert r.n == n and r.r == (n / min(len(r.a), len(r.b)) if n else 0)
 
 
+def test_common_runs_of_long_texts(spark):
+    from difflib import SequenceMatcher
+    from time import perf_counter
+
+    from formlake.functions import similarity
+
+    rng = random.Random(7)
+    for alphabet, most in (("ab", 40), ("abcè漢😀", 60), ("a", 30)):
+        for _ in range(150):
+            a, b = sorted(("".join(rng.choices(alphabet, k=rng.randint(0, most))) for _ in range(2)), key=len)
+            n = SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
+            assert similarity._digested(a, b) == similarity._searched(a, b) == n
+    # Lines of 60,000 characters, one of them with the other's middle, and one character throughout.
+    a, b = ("".join(rng.choices("abcdefgh ", k=60_000)) for _ in range(2))
+    rows = [(a, b[:30_000] + a[20_000:25_000] + b[30_000:]), ("a" * 60_000, "a" * 59_000 + "b"), (a, b)]
+    began = perf_counter()
+    got = spark.createDataFrame(rows, "a string, b string").select(similarity.common_run(F.col("a"), F.col("b")).alias("n")).collect()
+    # (Two texts of nine characters at random share some ten to twelve.)
+    assert 5_000 <= got[0].n <= 5_010 and got[1].n == 59_000 and 8 <= got[2].n <= 16 and perf_counter() - began < 60
+
+
 def test_flattened_at_any_depth(spark):
     deep = '{"k": [' * 30 + '"x"' + "]}" * 30
     rows = spark.createDataFrame([(1, deep), (2, '{"a": {"b": 1.50, "c": [], "d": {}, "e": "q\\"\\u00e8", "f": [true, null, 1e5]}}'), (3, "no"), (4, None), (5, "7"), (6, '{"a' )], "id int, raw string")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from itertools import zip_longest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from formlake.rounds import settled
 
@@ -89,6 +95,53 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return out if out is not None else level.select(key, "path", F.col("a").alias("pos"), F.col("alabel").alias("old"), F.col("blabel").alias("new"))
 
 
+@lru_cache(4096)
+def _kind(tag: str) -> str:
+    """As in tokens(), of a tag."""
+    found = re.match("</?([A-Za-z][A-Za-z0-9:]*)", tag)
+    name, end = found[1].lower() if found else "", tag.startswith("</")
+    if name in OPTIONAL:
+        return "end" if end else "leaf"
+    return "leaf" if not name or name in VOID or tag.endswith("/>") else "close" if end else "open"
+
+
+def _children(text: str) -> dict[int, list[tuple[int, str]]]:
+    """Of each node of a text that may hold others (-1: the top) what it holds, in order: pos and label."""
+    below, opened = {-1: []}, [-1]
+    for pos, token in enumerate(re.findall(_TOKEN, text)):
+        kind = _kind(token) if token[0] == "<" else "leaf"
+        if kind == "close":
+            if len(opened) > 1:
+                opened.pop()
+        elif kind != "end":
+            below[opened[-1]].append((pos, token))
+            if kind == "open":
+                opened.append(pos)
+                below[pos] = []
+    return below
+
+
+@F.arrow_udf(ArrayType(StructType().add("path", StringType()).add("pos", IntegerType()).add("old", StringType()).add("new", StringType())))
+def text_changes(before: pa.Array, after: pa.Array) -> pa.Array:
+    """The path, pos, old and new of changes() between two versions of a text that stand in one row: their trees are walked side by side, at any depth."""
+    ends, paths, places, olds, news = [0], [], [], [], []
+    for one, other in zip(before.to_pylist(), after.to_pylist(), strict=True):
+        a, b = (_children(t or "") if one != other else {} for t in (one, other))
+        todo = [(-1, -1, "")]
+        for p, q, above in todo:
+            for place, (x, y) in enumerate(zip_longest(a.get(p, ()), b.get(q, ()), fillvalue=(None, None)), 1):
+                if x[1] != y[1]:
+                    paths.append(f"{above}{place}")
+                    places.append(x[0])
+                    olds.append(x[1])
+                    news.append(y[1])
+                if x[0] in a and y[0] is not None or y[0] in b and x[0] is not None:
+                    todo.append((x[0], y[0], f"{above}{place}/"))
+        ends.append(len(paths))
+    rows = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(places, pa.int32()), pa.array(olds, pa.string()), pa.array(news, pa.string())], ["path", "pos", "old", "new"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def placement_problems(changed: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """changed (key, pos, new) with reason: a change of a node that an edit (key, pos, new) names and that made its label is in order (null); others are not."""
     planned = allowed.select(key, "pos", F.col("new").alias("_new"), F.lit(True).alias("_there"))

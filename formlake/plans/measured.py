@@ -741,16 +741,15 @@ _WHY = "case pos % 23 when 11 then 'change that nobody planned' when 17 then 'no
     rf"with t as (select page_id, unnest(regexp_extract_all(html, '(?s)(<!--.*?-->|<[^>]*>|[^<]+|<)')) as tok, generate_subscripts(regexp_extract_all(html, '(?s)(<!--.*?-->|<[^>]*>|[^<]+|<)'), 1) - 1 as pos from pages), w as (select page_id as page, pos, tok as old, {_WRITTEN} as new, {_WHY} as reason from t where not starts_with(tok, '<')) select * from w where new is not null and new <> old"
 )
 def au_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that changed in every page's tree, told by digests of subtrees: those that were planned, those that were not, and those written otherwise."""
+    """Texts that changed in every page's tree: those that were planned, those that were not, and those written otherwise."""
     from formlake.operators import trees
 
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     parts = F.regexp_extract_all("html", F.lit(r"(?s)(<!--.*?-->|<[^>]*>|[^<]+|<)"), F.lit(1))
     new = lambda i: F.when(i % 23 == 5, F.concat(F.lit("V"), i.cast("string"))).when(i % 23 == 11, F.concat(F.lit("X"), i.cast("string"))).when(i % 23 == 17, F.concat(F.lit("W"), i.cast("string")))
-    written = pages.select("page_id", F.array_join(F.transform(parts, lambda t, i: F.when(~t.startswith("<"), F.coalesce(new(i), t)).otherwise(t)), "").alias("html"))
-    before = trees.nodes(pages, "page_id", "html")
-    plan = before.filter(~F.col("label").startswith("<") & (F.col("pos") % 23).isin(5, 17)).select("page_id", "pos", F.concat(F.lit("V"), F.col("pos").cast("string")).alias("new"))
-    changed = trees.changes(trees.digests(before, "page_id"), trees.digests(trees.nodes(written, "page_id", "html"), "page_id"), "page_id")
+    written = F.array_join(F.transform(parts, lambda t, i: F.when(~t.startswith("<"), F.coalesce(new(i), t)).otherwise(t)), "")
+    plan = trees.tokens(pages, "page_id", "html").filter(~F.col("token").startswith("<") & (F.col("pos") % 23).isin(5, 17)).select("page_id", "pos", F.concat(F.lit("V"), F.col("pos").cast("string")).alias("new"))
+    changed = pages.select("page_id", F.inline(trees.text_changes(F.col("html"), written)))
     return trees.placement_problems(changed, plan, "page_id").select(F.col("page_id").alias("page"), "pos", "old", "new", "reason")
 
 

@@ -267,6 +267,25 @@ def test_trees_tell_what_changed(spark):
     assert trees.changes(same, same, "id").count() == 0 and trees.digests(trees.nodes(old.limit(0), "id", "t"), "id").count() == 0
 
 
+def test_trees_of_texts_side_by_side(spark):
+    from formlake.operators import trees
+
+    rng = random.Random(8)
+    marks = ["<a>", "</a>", "<B x='1'>", "</b>", "<p>", "</P>", "<br>", "</br>", "<i/>", "x", "y<", "<!-- <a> -->", "<"]
+    rows = []
+    for k in range(60):
+        one = rng.choices(marks, k=rng.randint(0, 25))
+        rows.append((k, "".join(one), "".join(rng.choice(marks) if rng.random() < 0.1 else m for m in one)))
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    got = {tuple(r) for r in df.select("id", F.inline(trees.text_changes(F.col("a"), F.col("b")))).collect()}
+    tree = lambda c: trees.digests(trees.nodes(df, "id", c), "id")
+    assert got == {(r.id, r.path, r.pos, r.old, r.new) for r in trees.changes(tree("a"), tree("b"), "id").collect()} and len(got) > 50
+    # No depth costs a round of its own.
+    deep = spark.createDataFrame([(1, "<a>" * 3000 + "x" + "</a>" * 3000, "<a>" * 3000 + "y"), (2, None, None), (3, None, "z")], "id int, a string, b string")
+    found = deep.select("id", F.inline(trees.text_changes(F.col("a"), F.col("b"))))
+    assert [(r.id, r.pos, r.old, r.new) for r in found.orderBy("id").collect()] == [(1, 3000, "x", "y"), (3, None, None, "z")]
+
+
 def test_edits_cross_runs(spark):
     from formlake.operators import edits
 

@@ -334,17 +334,30 @@ def fitting_area_size(words: Column, width: Column, height: Column, size: float
     return F.get(F.filter(sizes, lambda s: F.coalesce(wrapped_lines(words, width / s) * LEADING * s <= height, F.lit(False))), F.lit(0))
 
 
-def ink_sums(pixels: DataFrame, wide: int, high: int, dark: int = 160) -> DataFrame:
-    """page, x, y, s of every place of a page's picture (0 to wide, 0 to high): dark pixels (page, x, y, value) left of x and above y. Sums along rows, then along columns; no window holds more than one row or column."""
-    counts = pixels.filter(F.col("value") < dark).groupBy("page", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y")).agg(F.count("*").alias("n"))
-    places = pixels.select("page").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(wide)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(high))))
-    full = places.join(counts, ["page", "x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    so_far = lambda part, order, c: F.sum(c).over(Window.partitionBy("page", part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return full.withColumn("_r", so_far("y", "x", "n")).withColumn("s", so_far("x", "y", "_r")).select("page", "x", "y", "s")
-
-
-def ink_within(rects: DataFrame, sums: DataFrame) -> DataFrame:
-    """page, id, ink: dark pixels in each rectangle (page, id, x0, y0, x1, y1 in whole pixels, ends not included): four lookups of sums, whatever its size."""
-    corner = lambda x, y, sign: F.struct(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"), F.lit(sign).alias("sign"))
-    four = rects.select("page", "id", F.explode(F.array(corner("x1", "y1", 1), corner("x0", "y0", 1), corner("x0", "y1", -1), corner("x1", "y0", -1))).alias("c")).select("page", "id", "c.*")
-    return four.join(sums, ["page", "x", "y"], "left").groupBy("page", "id").agg(F.sum(F.col("sign") * F.coalesce("s", F.lit(0))).alias("ink"))
+#: Points of a tile's side, and pixels of one of a picture: what lies in a tile of a page is one row.
+TILE, DOTS = 64.0, 16
+
+
+def tiles(rows: DataFrame, low: tuple[str, str], high: tuple[str, str], columns: list[str], side: float = TILE) -> DataFrame:
+    """page, _l, _u, _r, _d, _all: the rows of each tile of a page, by their places `low` (names of x and y), with the bounds of all of them up to `high`.
+
+    Partitioned by page, as what is joined with it by page is after a window over pages: then nothing but the rows themselves is shuffled, and once.
+    """
+    tile = [F.floor(F.col(c) / side).alias(f"_t{k}") for k, c in enumerate(low)]
+    bounds = [f(c).alias(n) for f, c, n in ((F.min, low[0], "_l"), (F.min, low[1], "_u"), (F.max, high[0], "_r"), (F.max, high[1], "_d"))]
+    return rows.groupBy("page", *tile).agg(*bounds, F.collect_list(F.struct(*columns)).alias("_all")).drop("_t0", "_t1")
+
+
+def ink_tiles(pixels: DataFrame, dark: int = 160) -> DataFrame:
+    """The dark pixels (page, x, y, value) of each tile of a page's picture, each place once with their number n."""
+    counts = pixels.filter(F.col("value") < dark).select("page", "x", "y").repartition("page").groupBy("page", "x", "y").agg(F.count("*").alias("n"))
+    return tiles(counts, ("x", "y"), ("x", "y"), ["x", "y", "n"], DOTS)
+
+
+def ink_within(rects: DataFrame, inked: DataFrame) -> DataFrame:
+    """page, id, ink: dark pixels in each rectangle (page, id, x0, y0, x1, y1 in whole pixels, ends not included), counted in the tiles that it meets."""
+    t = inked.withColumnRenamed("page", "_page")
+    meets = (F.col("_l") < F.col("x1")) & (F.col("_r") >= F.col("x0")) & (F.col("_u") < F.col("y1")) & (F.col("_d") >= F.col("y0"))
+    inside = F.filter("_all", lambda p: (p["x"] >= F.col("x0")) & (p["x"] < F.col("x1")) & (p["y"] >= F.col("y0")) & (p["y"] < F.col("y1")))
+    met = rects.join(t, (F.col("page") == F.col("_page")) & meets, "left").withColumn("_n", F.aggregate(inside, F.lit(0).cast("long"), lambda a, p: a + p["n"]))
+    return met.groupBy("page", "id").agg(F.sum(F.coalesce("_n", F.lit(0).cast("long"))).alias("ink"))

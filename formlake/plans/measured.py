@@ -608,9 +608,9 @@ _CLIPS = f"select page, id, cast(floor(x0 / 8) as int) as x0, cast(floor(y0 / 4)
 
 @query(f"with c as ({duck(_CLIPS)}), p as ({duck(_PIXELS)}) select page, id, count(p.x) as ink from c left join p on p.clip = c.page and p.value < 160 and p.x >= c.x0 and p.x < c.x1 and p.y >= c.y0 and p.y < c.y1 group by page, id")
 def au_clip_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dark pixels in each clip of each page, by sums over the page's picture."""
-    sums = geometry.ink_sums(derived(spark, sf_dir, _PIXELS).withColumnRenamed("clip", "page"), 64, 64)
-    return geometry.ink_within(derived(spark, sf_dir, _CLIPS), sums).select("page", "id", "ink")
+    """Dark pixels in each clip of each page, by tiles of the page's picture."""
+    inked = geometry.ink_tiles(derived(spark, sf_dir, _PIXELS).withColumnRenamed("clip", "page"))
+    return geometry.ink_within(derived(spark, sf_dir, _CLIPS), inked).select("page", "id", "ink")
 
 
 #: Tables of bars: those of one customer, most of one width; uprights stand at some ends.

@@ -286,6 +286,36 @@ def test_trees_of_texts_side_by_side(spark):
     assert [(r.id, r.pos, r.old, r.new) for r in found.orderBy("id").collect()] == [(1, 3000, "x", "y"), (3, None, None, "z")]
 
 
+def test_ink_by_tiles(spark):
+    from formlake.operators import geometry
+
+    rng = random.Random(9)
+    # A picture of 100,000 places a side; sums of all of them would be as many rows.
+    pixels = [(p, rng.choice([0, 70_000]) + rng.randint(0, 150), rng.randint(-70, 150), rng.choice([10, 200])) for p in (1, 2) for _ in range(600)]
+    rects = [(p, k, x, y, x + rng.randint(0, 120), y + rng.randint(0, 90)) for p in (1, 2, 3) for k in range(40) for x, y in [(rng.choice([0, 70_000]) + rng.randint(-5, 150), rng.randint(-80, 150))]]
+    rects.append((1, 99, -100, -100, 100_000, 100_000))
+    found = geometry.ink_within(spark.createDataFrame(rects, "page int, id int, x0 int, y0 int, x1 int, y1 int"), geometry.ink_tiles(spark.createDataFrame(pixels, "page int, x int, y int, value int")))
+    assert {tuple(r) for r in found.collect()} == {(p, k, sum(q == p and v < 160 and x0 <= x < x1 and y0 <= y < y1 for q, x, y, v in pixels)) for p, k, x0, y0, x1, y1 in rects}
+
+
+def test_pages_are_shuffled_once(spark, tmp_path):
+    import duckdb
+
+    from formlake.plans.registry import QUERIES
+
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.sql(f"copy (select * from '/root/testdata/sf0.001/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+    # An exchange for each table read, none for the pairs that meet on a page.
+    for name, tables in PAGEWISE.items():
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= tables and "NestedLoop" not in plan, (name, plan)
+
+
+#: Queries and how many tables of pages they read.
+PAGEWISE = {"au_clip_ink": 2}
+
+
 def test_edits_cross_runs(spark):
     from formlake.operators import edits
 

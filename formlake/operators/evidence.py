@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.similarity import common_run_ratio
 from formlake.functions.text import clean_label
-from formlake.operators.geometry import CELL, checkboxes, line_labels
+from formlake.operators.geometry import CELL, checkboxes, line_labels, tiles
 
 #: A field's surroundings to the left, above, right and below, characters of a context, the share of old ink that makes new ink
 #: illegible, the least likeness of a context, and open points that a report names.
@@ -17,15 +17,15 @@ AROUND, CONTEXT_CHARS, OLD_INK, LIKE, NAMED = (90.0, 34.0, 90.0, 12.0), 200, 0.1
 def contexts(fields: DataFrame, lines: DataFrame) -> DataFrame:
     """page, id, context: the lines (page, x0, y0, x1, y1, text) that cross a field (page, id, x0, y0, x1, y1), else those in its surroundings, in reading order without filler runs, the first 200 characters."""
     left, up, right, down = AROUND
-    band = lambda y: F.floor(y / CELL)
-    f = fields.select("page", "id", *[F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(F.sequence(band(F.col("y0") - up), band(F.col("y1") + down))).alias("_b"))
-    near = f.join(lines.withColumn("_b", F.explode(F.sequence(band(F.col("y0")), band(F.col("y1"))))), ["page", "_b"])
-    meets = lambda l, u, r, d: (F.col("x0") < F.col("fx1") + r) & (F.col("x1") > F.col("fx0") - l) & (F.col("y0") < F.col("fy1") + d) & (F.col("y1") > F.col("fy0") - u)  # noqa: E731, E741
-    # A line that spans bands meets a field in several of them.
-    found = near.filter(meets(left, up, right, down)).withColumn("_on", meets(0, 0, 0, 0)).select("page", "id", "x0", "y0", "text", "_on").distinct()
-    text = F.struct("y0", "x0", clean_label(F.col("text"), False).alias("t"))
-    both = found.groupBy("page", "id").agg(F.array_sort(F.collect_list(F.when(F.col("_on"), text))).alias("a"), F.array_sort(F.collect_list(text)).alias("b"))
-    shown = F.filter(F.transform(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b")), lambda z: z.t), lambda t: t != "")
+    text = clean_label(F.col("text"), False)
+    at = tiles(lines.select("page", "x0", "y0", "x1", "y1", text.alias("t")).repartition("page"), ("x0", "y0"), ("x1", "y1"), ["y0", "x0", "t", "x1", "y1"]).withColumnRenamed("page", "_page")
+    near = (F.col("_l") < F.col("x1") + right) & (F.col("_r") > F.col("x0") - left) & (F.col("_u") < F.col("y1") + down) & (F.col("_d") > F.col("y0") - up)
+    meets = lambda l, u, r, d: (F.col("_z.x0") < F.col("x1") + r) & (F.col("_z.x1") > F.col("x0") - l) & (F.col("_z.y0") < F.col("y1") + d) & (F.col("_z.y1") > F.col("y0") - u)  # noqa: E731, E741
+    met = fields.select("page", "id", "x0", "y0", "x1", "y1").join(at, (F.col("page") == F.col("_page")) & near).select("page", "id", "x0", "y0", "x1", "y1", F.explode("_all").alias("_z"))
+    found = met.filter(meets(left, up, right, down)).select("page", "id", F.struct("_z.y0", "_z.x0", "_z.t", meets(0, 0, 0, 0).alias("on")).alias("z"))
+    both = found.groupBy("page", "id").agg(F.array_sort(F.collect_set("z")).alias("b"))
+    crossing = F.filter("b", lambda z: z["on"])
+    shown = F.filter(F.transform(F.when(F.size(crossing) > 0, crossing).otherwise(F.col("b")), lambda z: z["t"]), lambda t: t != "")
     return both.select("page", "id", F.substring(F.array_join(shown, " "), 1, CONTEXT_CHARS).alias("context"))
 
 

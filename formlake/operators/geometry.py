@@ -87,21 +87,21 @@ def grid_cells(bars: DataFrame, uprights: DataFrame, margin: float = 0.6, wide:
     a bar of each level covers the span between them, and no bar of a level between covers it (a cell may span rows).
     Uprights elsewhere on the page do not divide it. Levels meet through the uprights that reach both, never as all pairs of a page.
     """
-    # Bars stand in the cells of the grid that they cross, a little wider, and are asked from one cell: that of an upright's place.
-    bar = bars.select("page", "y", F.col("from").alias("bf"), F.col("to").alias("bt")).distinct()
-    row = F.floor(F.col("y") / CELL)
-    laid = bar.select("*", row.alias("_cy"), F.explode(_cells(F.col("bf") - margin, F.col("bt") + margin)).alias("_cx"))
-    reach = lambda b0, b1, at: (b0 <= at + margin) & (b1 >= at - margin)
+    # Bars of a tile are one row, and meet what is asked of them on their page.
+    bar = bars.select("page", "y", F.col("from").alias("bf"), F.col("to").alias("bt")).repartition("page").distinct()
+    laid = tiles(bar, ("bf", "y"), ("bt", "y"), ["y", "bf", "bt"]).withColumnRenamed("page", "_page")
+    within = lambda x0, x1, y0, y1: (F.col("page") == F.col("_page")) & (F.col("_l") <= x0 + margin) & (F.col("_r") >= x1 - margin) & (F.col("_u") <= y1) & (F.col("_d") >= y0)
     # The levels that an upright stands on.
-    standing = uprights.select("page", "x", "from", "to").distinct().withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.explode(_cells(F.col("from") - margin, F.col("to") + margin))})
-    on = standing.join(laid, ["page", "_cx", "_cy"]).filter((F.col("y") >= F.col("from") - margin) & (F.col("y") <= F.col("to") + margin) & reach(F.col("bf"), F.col("bt"), F.col("x")))
-    on = on.groupBy("page", "x", "from", "to").agg(F.array_sort(F.collect_set("y")).alias("ys"))
+    standing = uprights.select("page", "x", "from", "to").repartition("page").distinct()
+    near = standing.join(laid, within(F.col("x"), F.col("x"), F.col("from") - margin, F.col("to") + margin)).select("page", "x", "from", "to", F.explode("_all").alias("_b"))
+    on = near.filter((F.col("_b.y") >= F.col("from") - margin) & (F.col("_b.y") <= F.col("to") + margin) & (F.col("_b.bf") <= F.col("x") + margin) & (F.col("_b.bt") >= F.col("x") - margin))
+    on = on.groupBy("page", "x", "from", "to").agg(F.array_sort(F.collect_set("_b.y")).alias("ys"))
     tops = on.select("page", "x", F.explode(F.transform("ys", lambda t: F.struct(t.alias("y0"), F.filter("ys", lambda b: b - t >= high).alias("lows")))).alias("p")).select("page", "x", "p.y0", F.explode("p.lows").alias("y1")).distinct()
     sides = tops.withColumn("x1", F.lead("x").over(Window.partitionBy("page", "y0", "y1").orderBy("x"))).filter(F.col("x1") - F.col("x") >= wide).withColumnRenamed("x", "x0")
-    covers = (F.col("bf") <= F.col("x0") + margin) & (F.col("bt") >= F.col("x1") - margin)
-    asked = sides.withColumns({"_cx": F.floor(F.col("x0") / CELL), "_cy": F.explode(_cells(F.col("y0"), F.col("y1")))})
-    near = asked.join(laid, ["page", "_cx", "_cy"]).filter(covers & F.col("y").between(F.col("y0"), F.col("y1")))
-    found = near.groupBy("page", "x0", "y0", "x1", "y1").agg(F.max((F.col("y") == F.col("y0")).cast("int")).alias("top"), F.max((F.col("y") == F.col("y1")).cast("int")).alias("low"), F.max(((F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1"))).cast("int")).alias("inner"))
+    y = F.col("_b.y")
+    asked = sides.join(laid, within(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))).select("page", "x0", "y0", "x1", "y1", F.explode("_all").alias("_b"))
+    covering = asked.filter((F.col("_b.bf") <= F.col("x0") + margin) & (F.col("_b.bt") >= F.col("x1") - margin) & y.between(F.col("y0"), F.col("y1")))
+    found = covering.groupBy("page", "x0", "y0", "x1", "y1").agg(F.max((y == F.col("y0")).cast("int")).alias("top"), F.max((y == F.col("y1")).cast("int")).alias("low"), F.max(((y > F.col("y0")) & (y < F.col("y1"))).cast("int")).alias("inner"))
     return found.filter("top = 1 and low = 1 and inner = 0").select("page", "x0", "y0", "x1", "y1")
 
 

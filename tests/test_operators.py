@@ -328,7 +328,7 @@ def test_pages_are_shuffled_once(spark, tmp_path):
 
 
 #: Queries and how many tables of pages they read.
-PAGEWISE = {"au_clip_ink": 2, "jn_overlap_claim": 1, "wn_cascade": 1, "wn_empty_areas": 2}
+PAGEWISE = {"au_clip_ink": 2, "jn_overlap_claim": 1, "wn_cascade": 1, "wn_empty_areas": 2, "wn_context": 2, "wn_grid_cells": 6}
 
 
 def test_edits_cross_runs(spark):

@@ -54,8 +54,9 @@ def skipped_sections(lines: DataFrame, parts: list[str], order: str, text: str,
 def provenance_problem(value: Column, sources: Column) -> Column:
     """The first word of a value that comes from no source (array of texts); null if all do."""
     known = F.flatten(F.transform(sources, ascii_words))
-    packed = F.array_join(known, "")
-    strange = F.filter(ascii_words(value), lambda w: ~F.array_contains(known, w) & ~w.isin(*GLUE) & ~((F.length(w) >= 3) & F.contains(packed, w)))
+    # As an element of an array the sources' words are found once for a value, not for each of its words.
+    once = F.array(F.struct(F.array_distinct(known).alias("known"), F.array_join(known, "").alias("packed"), F.array_distinct(ascii_words(value)).alias("words")))
+    strange = F.transform(once, lambda s: F.get(F.filter(s["words"], lambda w: ~F.array_contains(s["known"], w) & ~w.isin(*GLUE) & ~((F.length(w) >= 3) & F.contains(s["packed"], w))), F.lit(0)))
     return F.when(F.size(F.filter(sources, lambda s: F.trim(F.coalesce(s, F.lit(""))) != "")) < F.greatest(F.size(sources), F.lit(1)), F.lit("no source")).otherwise(F.get(strange, F.lit(0)))
 
 

@@ -331,6 +331,19 @@ def test_pages_are_shuffled_once(spark, tmp_path):
 PAGEWISE = {"au_clip_ink": 2, "jn_overlap_claim": 1, "wn_cascade": 1, "wn_empty_areas": 2, "wn_context": 2, "wn_grid_cells": 6}
 
 
+def test_provenance_of_long_values(spark):
+    from time import perf_counter
+
+    from formlake.operators import rules
+
+    many = [f"w{k}q" for k in range(6000)]
+    rows = [(1, " ".join(many * 2) + " zz9", [" ".join(many)]), (2, "Rossi di rom xy", ["Mario Rossi", "Roma"]), (3, "a", [" "]), (4, None, ["a"]), (5, "a", None)]
+    began = perf_counter()
+    got = {r.id: r.p for r in spark.createDataFrame(rows, "id int, v string, s array<string>").select("id", rules.provenance_problem(F.col("v"), F.col("s")).alias("p")).collect()}
+    # Finding the sources' words for each word of the value took minutes.
+    assert got[1] == "zz9" and got[2] == "xy" and got[3] == "no source" and got[4] is None and perf_counter() - began < 40
+
+
 def test_edits_cross_runs(spark):
     from formlake.operators import edits
 

@@ -239,6 +239,14 @@ def test_lines_from_shuffled_glyphs(spark):
     assert rows[0].x0 == 0 and rows[0].x1 == 5.0 * len(texts[0]) and abs(rows[0].base) <= 1
 
 
+def test_glyphs_are_not_shuffled(spark):
+    from formlake.plans.registry import QUERIES
+
+    plan = QUERIES["io_pdf_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # The one exchange is of whole texts.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
+
+
 def test_gap_groups_over_ranges(spark):
     from formlake.operators import sequences
 

@@ -20,21 +20,22 @@ def edited_runs(runs: DataFrame, edits: DataFrame, parts: list[str]) -> DataFram
     """parts, run, piece (from 0), text, other columns of runs: what becomes of runs (parts, run, text, ...) under edits (parts, start, until, value).
 
     Edits of a paragraph do not overlap; places count characters from 0 and `until` is exclusive. What an edit covers goes, run by run; its value
-    stands in the run in which it begins (at a paragraph's end: in the last run) and has that one's format. Runs and edits of a paragraph meet
-    in stretches of it.
+    stands in the run in which it begins (at a paragraph's end: in the last run) and has that one's format. Each run looks its paragraph's edits
+    up by stretches. Runs that are dealt out by paragraph before are not shuffled again.
     """
     others = [c for c in runs.columns if c not in (*parts, "run", "text")]
     placed = placed_runs(runs, parts)
-    last = Window.partitionBy(*parts)
-    placed = placed.withColumn("_last", F.col("run") == F.max("run").over(last))
-    stretch = lambda a, b: F.explode(F.sequence(F.floor(a / STRETCH), F.floor(b / STRETCH)))
-    r = placed.withColumn("_s", stretch(F.col("begin"), F.greatest("end", "begin")))
-    e = edits.select(*parts, "start", "until", "value", stretch(F.col("start"), F.greatest("until", "start")).alias("_s"))
-    starts_here = (F.col("start") >= F.col("begin")) & ((F.col("start") < F.col("end")) | (F.col("_last") & (F.col("start") == F.col("end"))))
-    covers = (F.col("start") < F.col("end")) & (F.col("until") > F.col("begin"))
-    met = r.join(e, [*parts, "_s"]).filter(starts_here | covers)
-    own = met.groupBy(*parts, "run").agg(F.array_sort(F.collect_set(F.struct("start", "until", F.when(starts_here, F.col("value")).alias("value")))).alias("_e"))
-    rows = placed.join(own, [*parts, "run"], "left").withColumn("_e", F.coalesce("_e", F.array().cast("array<struct<start:bigint,until:bigint,value:string>>")))
+    placed = placed.withColumn("_last", F.lead("run").over(Window.partitionBy(*parts).orderBy("run")).isNull())
+    stretches = lambda a, b: F.sequence(F.floor(a / STRETCH), F.floor(b / STRETCH))
+    edit = F.struct(F.col("start").cast("long").alias("start"), F.col("until").cast("long").alias("until"), "value")
+    e = edits.select(*parts, edit.alias("_x"), F.explode(stretches(F.col("start"), F.greatest("until", "start"))).alias("_s")).groupBy(*parts, "_s").agg(F.array_sort(F.collect_set("_x")).alias("_x"))
+    e = e.groupBy(*parts).agg(F.map_from_entries(F.collect_list(F.struct("_s", "_x"))).alias("_map"))
+    starts_here = lambda x: (x["start"] >= F.col("begin")) & ((x["start"] < F.col("end")) | (F.col("_last") & (x["start"] == F.col("end"))))
+    covers = lambda x: (x["start"] < F.col("end")) & (x["until"] > F.col("begin"))
+    none = F.array().cast("array<struct<start:bigint,until:bigint,value:string>>")
+    near = F.flatten(F.transform(stretches(F.col("begin"), F.greatest("end", "begin")), lambda s: F.coalesce(F.try_element_at("_map", s), none)))
+    own = F.transform(F.filter(near, lambda x: starts_here(x) | covers(x)), lambda x: F.struct(x["start"], x["until"], F.when(starts_here(x), x["value"]).alias("value")))
+    rows = placed.join(e, parts, "left").withColumn("_e", F.when(F.col("_map").isNull(), none).otherwise(F.array_sort(F.array_distinct(own)))).drop("_map")
     clipped = lambda x: F.least(F.greatest(x, F.col("begin")), F.col("end"))
     lows = F.concat(F.array("begin"), F.transform("_e", lambda x: clipped(x["until"])))
     highs = F.concat(F.transform("_e", lambda x: clipped(x["start"])), F.array("end"))

@@ -720,7 +720,8 @@ def wr_docx_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that begin in one run and end in the next, over every line of every document; digests of the new text and of each character's format."""
     from formlake.operators import edits as E
 
-    words = views.lines(spark, sf_dir).select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("run", "w"))
+    # Lines are dealt out before they become words: nothing but whole lines is shuffled.
+    words = views.lines(spark, sf_dir).repartition("doc_id", "n").select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("run", "w"))
     w = Window.partitionBy("doc_id", "n").orderBy("run")
     next_ = F.lead("w").over(w)
     runs = words.select("doc_id", "n", "run", "w", next_.alias("nxt"), F.concat("w", F.when(next_.isNull(), "").otherwise(" ")).alias("text"), F.substring(F.lit("abc"), (F.col("run") % 3 + 1), F.lit(1)).alias("style"))

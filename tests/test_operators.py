@@ -364,6 +364,14 @@ def test_edits_cross_runs(spark):
     assert by == {1: [("a", "> "), ("a", "nome "), ("b", "Rossi"), ("d", " fine"), ("d", "!")], 2: [("a", "x" * 10), ("a", "-"), ("a", "x" * 10), ("b", "y"), ("b", "z")], 3: [("a", "intatto")]}
 
 
+def test_words_of_edits_are_not_shuffled(spark):
+    from formlake.plans.registry import QUERIES
+
+    plan = QUERIES["wr_docx_apply"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Lines for the runs, and lines for the edits.
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
 def test_grids_at_any_scale_and_place(spark):
     from formlake.operators import geometry
 
